@@ -58,3 +58,16 @@ def checkpoint(df: DataFrame) -> DataFrame:
         folder = sc.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_checkpoints"
         sc.setCheckpointDir(folder)
     return df.checkpoint()
+
+
+#: Rows of at most a few hundred bytes that may be broadcast: about 50 MB.
+BROADCAST_ROWS = 200_000
+
+
+def small_side(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
+    """df with a broadcast hint if it has at most `rows` rows (that many are counted, no more), else as it is: then the join shuffles."""
+    return F.broadcast(df) if is_small(df, rows) else df
+
+
+def is_small(df: DataFrame, rows: int = BROADCAST_ROWS) -> bool:
+    return df.limit(rows + 1).count() <= rows

@@ -6,15 +6,19 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from shelfspan.llm import tokens
+from shelfspan.llm import chat, decontaminate, fingerprints, licenses, tokens
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_decontaminate": decontaminate.op1_decontaminate,
+        "op2_license_scan": licenses.op2_license_scan,
         "op3_bpe_round_trip": tokens.op3_bpe_round_trip,
+        "op4_chat_format": chat.op4_chat_format,
+        "op5_fingerprints": fingerprints.op5_fingerprints,
         "op6_token_counts": tokens.op6_token_counts,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op2_license_scan": licenses.op2_sql(), "op4_chat_format": chat.OP4_SQL}
