@@ -82,8 +82,9 @@ def _items(benchmark: DataFrame, item_id: str, text: str) -> DataFrame:
 
 def _verified(hits: DataFrame) -> DataFrame:
     """Hits with arrays h and g and places i and j, where a stretch around the hit is good enough."""
-    enough = F.least(F.lit(MIN_SCORE), F.ceil(F.size("g") * MIN_SHARE))
-    return hits.select("*", best_stretch(F.col("h"), F.col("g"), F.col("i"), F.col("j")).alias("best")).where(F.col("best.score") >= enough)
+    # The comparison is generated, not projected: a filter on it would move into the join, for every seed and not just for hits.
+    best = F.explode(F.array(best_stretch(F.col("h"), F.col("g"), F.col("i"), F.col("j"))))
+    return hits.select("*", best.alias("best")).where(F.col("best.score") >= F.least(F.lit(MIN_SCORE), F.ceil(F.size("g") * MIN_SHARE)))
 
 
 def leaks(docs: DataFrame, benchmark: DataFrame, key: str, text: str = "text", item_id: str = "item_id", item_text: str = "text", broadcast_seeds: int = 100_000) -> DataFrame:

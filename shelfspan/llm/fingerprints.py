@@ -16,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from shelfspan.llm.common import checkpoint, table
+from shelfspan.llm.common import checkpoint, small_side, table
 
 #: A paragraph: a line, or stretches of 64 to 128 characters of a longer one, cut after a sentence if possible.
 PARAGRAPH = r"[^\n]{1,64}[^\n.!?]{0,64}[.!?]*"
@@ -24,7 +24,7 @@ TABLES = 3
 #: Cells of a fingerprint's subtable.
 CELLS = 8
 #: Peeling steps; each takes digests out of one subtable.
-STEPS = 15
+STEPS = 12
 
 
 def digests(text: Column) -> Column:
@@ -42,82 +42,97 @@ def is_digest(key: Column) -> Column:
     return F.xxhash64(high).bitwiseAND(F.lit(0xFFFF)) == key.bitwiseAND(F.lit(0xFFFF))
 
 
-def cell(key: Column, t: int, level: Column, cells: Column) -> Column:
-    """The digest's cell in subtable t of a sketch of the given level: subtables follow each other."""
-    return (F.pmod(F.xxhash64(key, level, F.lit(t)), cells.cast("long")) + t * cells.cast("long")).cast("int")
+def cell(key: Column, t: int, spec: Column) -> Column:
+    """The digest's cell in subtable t: subtables follow each other. `spec` names a sketch: 32 * level + log2 of a subtable's cells."""
+    m = cells_of(spec)
+    return (F.xxhash64(key, spec, F.lit(t)).bitwiseAND((m - 1).cast("long")) + t * m).cast("int")
+
+
+def cells_of(spec: Column) -> Column:
+    return F.call_function("shiftleft", F.lit(1), spec.bitwiseAND(F.lit(31)))
 
 
 def sketch(rows: DataFrame, by: list[str], added: str, removed: str | None) -> DataFrame:
-    """(*by, level, cells, cell, n, key): the sketch of array column `added` minus that of `removed`; a row with cell -2 for each sketch."""
+    """(*by, spec, cell, n, key): the sketch of array column `added` minus that of `removed`; a row with cell -2 for each sketch."""
     long = lambda k: F.lit(k).cast("long")
     entry = lambda sign: lambda k: F.struct(long(sign).alias("n"), k.alias("key"))
     entries = [F.transform(added, entry(1)), F.array(F.struct(long(0).alias("n"), long(0).alias("key")))]
     if removed:
         entries.append(F.transform(removed, entry(-1)))
-    e = rows.select(*by, "level", "cells", F.explode(F.concat(*entries)).alias("e")).select(*by, "level", "cells", "e.n", "e.key")
-    places = F.when(F.col("n") == 0, F.array(F.lit(-2))).otherwise(F.array(*(cell(F.col("key"), t, F.col("level"), F.col("cells")) for t in range(TABLES))))
+    e = rows.select(*by, "spec", F.explode(F.concat(*entries)).alias("e")).select(*by, "spec", "e.n", "e.key")
+    places = F.when(F.col("n") == 0, F.array(F.lit(-2))).otherwise(F.array(*(cell(F.col("key"), t, F.col("spec")) for t in range(TABLES))))
     e = e.select("*", F.explode(places).alias("cell"))
-    return e.groupBy(*by, "level", "cells", "cell").agg(F.sum("n").alias("n"), F.bit_xor("key").alias("key"))
+    return e.groupBy(*by, "spec", "cell").agg(F.sum("n").alias("n"), F.bit_xor("key").alias("key"))
+
+
+def peel(cells: DataFrame, by: list[str], digests: bool) -> DataFrame:
+    """(*by, spec, cell, digest, n, key): what is left of subtracted sketches, and in rows of negative cells what was taken out.
 
+    With `digests` each digest taken out has a row (cell -1, n: its sign). Without, digests taken out are
+    counted: in n of cell -1 the added ones, in n of cell -3 the removed ones, with the sign that they have.
+    """
+    zero = F.lit(0).cast("long")
+
+    def row(c: Column, n: Column, k: Column, d: Column = zero) -> Column:
+        return F.struct(c.cast("int").alias("cell"), n.alias("n"), k.alias("key"), *[d.alias("digest")] * digests)
 
-def peel(cells: DataFrame, by: list[str]) -> DataFrame:
-    """(*by, level, cells, cell, digest, n, key): what is left of subtracted sketches, and with cell -1 the digests taken out (n: their sign)."""
-    rows = cells.withColumn("digest", F.lit(0).cast("long"))
-    row = lambda c, d, n, k: F.struct(c.cast("int").alias("cell"), d.cast("long").alias("digest"), n.alias("n"), k.alias("key"))
-    none, zero = F.lit(-1), F.lit(0).cast("long")
+    rows = cells.withColumn("digest", zero) if digests else cells
     for step in range(STEPS):
         t = step % TABLES
-        key, n, level, m = F.col("key"), F.col("n"), F.col("level"), F.col("cells")
-        here = F.col("cell")
-        pure = (here >= t * m) & (here < (t + 1) * m) & (F.abs(n) == 1) & is_digest(key) & (cell(key, t, level, m) == here)
+        key, n, spec, here = (F.col(c) for c in ("key", "n", "spec", "cell"))
+        pure = (F.abs(n) == 1) & (here >= 0) & is_digest(key) & (cell(key, t, spec) == here)
+        taken = row(F.lit(-1), n, zero, key) if digests else row(F.when(n > 0, -1).otherwise(-3), n, zero)
         out = (
-            F.when(here < 0, F.array(row(here, F.col("digest"), n, key)))
-            .when(pure, F.array(row(none, key, n, zero), *(row(cell(key, u, level, m), zero, -n, key) for u in range(TABLES) if u != t)))
-            .when((n != 0) | (key != 0), F.array(row(here, zero, n, key)))
-            .otherwise(F.slice(F.array(row(here, zero, n, key)), 1, 0))
+            F.when(here < 0, F.array(row(here, n, key, F.col("digest")) if digests else row(here, n, key)))
+            .when(pure, F.array(taken, *(row(cell(key, u, spec), -n, key) for u in range(TABLES) if u != t)))
+            .when((n != 0) | (key != 0), F.array(row(here, n, key)))
+            .otherwise(F.slice(F.array(row(here, n, key)), 1, 0))
         )
-        rows = rows.select(*by, "level", "cells", F.explode(out).alias("o")).select(*by, "level", "cells", "o.*")
-        rows = rows.groupBy(*by, "level", "cells", "cell", "digest").agg(F.sum("n").alias("n"), F.bit_xor("key").alias("key"))
+        rows = rows.select(*by, "spec", F.explode(out).alias("o")).select(*by, "spec", "o.*")
+        rows = rows.groupBy(*by, "spec", "cell", *["digest"] * digests).agg(F.sum("n").alias("n"), F.bit_xor("key").alias("key"))
     return rows
 
 
-def sized(n_added: Column, n_removed: Column, level: int) -> Column:
-    """Cells of a subtable at a level above 0: a power of two with room even if nothing is shared, doubled from level to level."""
-    most = (n_added + n_removed) * 0.5 + 4
-    return F.pow(F.lit(2.0), F.ceil(F.log2(most)) + level - 1).cast("int")
+def spec_of(level: int, n_added: Column, n_removed: Column) -> Column:
+    """Level 0 has a fingerprint's size; above, a subtable has a power of two of cells with room even if nothing is shared, doubled from level to level."""
+    if level == 0:
+        return F.lit(CELLS.bit_length() - 1)
+    return (32 * level + F.ceil(F.log2((n_added + n_removed) * 0.5 + 4)) + level - 1).cast("int")
 
 
-def differences(pairs: DataFrame, by: list[str], levels: int = 12) -> DataFrame:
-    """(*by, level, added, removed): what peeling recovers from pairs of digest arrays `a` and `b`.
+def differences(pairs: DataFrame, by: list[str], digests: bool = True, levels: int = 12) -> DataFrame:
+    """What peeling recovers from pairs of digest arrays `a` and `b`, named by the columns `by`.
 
-    `added` are the digests in b but not in a, `removed` those in a but not in b (sorted), `level` the sketch
-    size that sufficed: 0 is a fingerprint's, each next one is larger and hashes anew. Pairs that don't peel
-    are tried again at the next level, with a checkpoint between levels; a pair that still fails after the
-    last one (each doubles the size; not seen) raises an error. `by` must identify a pair, so repeated pairs
-    are given once. Null arrays are empty. Levels 0 and 1 are tried in one pass, as pairs that differ in much
-    never peel at level 0.
+    (*by, level, added, removed): `added` are the digests in b but not in a, `removed` those in a but
+    not in b, sorted arrays, or with digests=False how many there are. `level` is the sketch size that
+    sufficed: 0 is a fingerprint's, each next one is larger and hashes anew. Pairs that don't peel are tried
+    again at the next level, with a checkpoint between levels; a pair that still fails after the last one
+    (each doubles the size; not seen) raises an error. Pairs of the same name are one, given once. Null arrays
+    are empty. Levels 0 and 1 are tried in one pass, as pairs that differ in much never peel at level 0. If
+    rows are laid out by some of the columns `by`, they aren't shuffled again.
     """
     empty = F.array().cast("array<long>")
-    pairs = pairs.select(*by, F.coalesce("a", empty).alias("a"), F.coalesce("b", empty).alias("b")).dropDuplicates(by)
+    pairs = pairs.select(*by, F.coalesce("a", empty).alias("a"), F.coalesce("b", empty).alias("b"))
     found, pending = None, pairs
     for level in range(1, levels):
-        tried = [0, 1] if level == 1 else [level]
-        sizes = F.array(*(F.struct(F.lit(k).alias("level"), (F.lit(CELLS) if k == 0 else sized(F.size("a"), F.size("b"), k)).alias("cells")) for k in tried))
-        rows = pending.select(*by, "a", "b", F.explode(sizes).alias("s")).select(*by, "a", "b", "s.level", "s.cells")
-        peeled = peel(sketch(rows, by, "b", "a"), by)
+        specs = F.array(*(spec_of(k, F.size("a"), F.size("b")) for k in ([0, 1] if level == 1 else [level])))
+        rows = pending.select(*by, "a", "b", F.explode(specs).alias("spec"))
+        peeled = peel(sketch(rows, by, "b", "a"), by, digests)
         left = F.count_if((F.col("cell") >= 0) & ((F.col("n") != 0) | (F.col("key") != 0)))
-        took = lambda sign: F.sort_array(F.collect_list(F.when((F.col("cell") == -1) & (F.col("n") == sign), F.col("digest"))))  # noqa: E731, B023
-        result = peeled.groupBy(*by, "level").agg(left.alias("left"), took(1).alias("added"), took(-1).alias("removed"), F.max(F.when(F.col("cell") < 0, F.abs("n")).otherwise(0)).alias("most"))
-        good = (F.col("left") == 0) & (F.col("most") <= 1)
-        best = F.min_by(F.when(good, F.struct("level", "added", "removed")), F.when(good, F.col("level")))
-        done = checkpoint(result.groupBy(*by).agg(best.alias("r")))
+        if digests:
+            took = [F.sort_array(F.collect_list(F.when((F.col("cell") == -1) & (F.col("n") == sign), F.col("digest")))) for sign in (1, -1)]
+        else:
+            took = [F.sum(F.when(F.col("cell") == c, F.abs("n")).otherwise(0)) for c in (-1, -3)]
+        odd = F.count_if((F.col("cell") == -1) & (F.abs("n") > 1)) if digests else F.lit(0)
+        result = peeled.groupBy(*by, "spec").agg((left + odd).alias("left"), took[0].alias("added"), took[1].alias("removed"))
+        good = F.when(F.col("left") == 0, F.struct((F.col("spec") / 32).cast("int").alias("level"), "added", "removed"))
+        done = checkpoint(result.groupBy(*by).agg(F.min_by(good, F.when(F.col("left") == 0, F.col("spec"))).alias("r")))
         solved = done.where("r is not null").select(*by, "r.*")
         found = solved if found is None else found.unionByName(solved)
         failing = done.where("r is null").select(*by)
         if failing.isEmpty():
             return found
-        null_safe = [F.col(f"f.{c}").eqNullSafe(F.col(f"p.{c}")) for c in by]
-        pending = pairs.alias("p").join(failing.alias("f"), null_safe, "left_semi")
+        pending = pairs.join(small_side(failing), by, "left_semi")
     raise RuntimeError("sketches of the largest size don't peel")
 
 
@@ -126,11 +141,15 @@ def likeness(a: Column, b: Column, differing: Column) -> Column:
     return F.when(a + b == 0, 1.0).otherwise((a + b - differing) / (a + b + differing))
 
 
-def as_text(sketches: DataFrame, by: list[str], size: str) -> DataFrame:
-    """(*by, fingerprint): the sketch as text: number of paragraphs, then cell.count.key of each cell in use."""
+def as_text(sketches: DataFrame, by: list[str], size: Column) -> DataFrame:
+    """(*by, fingerprint): the sketch as text: number of paragraphs, then cell.count.key of each cell in use.
+
+    `size` is the number of paragraphs as an aggregate of a sketch's rows.
+    """
     c = F.sort_array(F.collect_list(F.when(F.col("cell") >= 0, F.struct("cell", "n", "key"))))
     one = lambda x: F.concat_ws(".", x["cell"].cast("string"), x["n"].cast("string"), F.hex(x["key"]))
-    return sketches.groupBy(*by, size).agg(c.alias("c")).select(*by, F.concat(F.col(size).cast("string"), F.lit(":"), F.array_join(F.transform("c", one), ",")).alias("fingerprint"))
+    text = F.concat(F.col("size").cast("string"), F.lit(":"), F.array_join(F.transform("c", one), ","))
+    return sketches.groupBy(*by).agg(c.alias("c"), size.alias("size")).select(*by, text.alias("fingerprint"))
 
 
 def bounds(df: DataFrame, column: str, parts: int) -> list[list[int]]:
@@ -182,21 +201,23 @@ def compare_edits(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", p
     row is its own next document.
     """
     spark = docs.sparkSession
-    parts = parts or 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
+    parts = parts or 16 * int(spark.conf.get("spark.sql.shuffle.partitions"))
     n = F.char_length("text")
     quarter = F.floor(n / 4).cast("int")
     edited = F.concat(F.substr("text", F.lit(1), n - quarter), F.substr("next_text", F.lit(1), quarter))
     rows = with_next(docs, doc_id, text, parts).select("bucket", "at", "doc_id", n.cast("long").alias("n_chars"), "text", edited.alias("edited"), "next_text")
     rows = rows.select("bucket", "at", "doc_id", "n_chars", F.sha2("edited", 256).alias("edited_sha256"), digests(F.col("text")).alias("a"), digests(F.col("edited")).alias("b"), digests(F.col("next_text")).alias("c"))
-    rows = checkpoint(rows)
     place = ["bucket", "at"]
-    kinds = F.array(F.struct(F.lit("edited").alias("kind"), F.col("b").alias("b")), F.struct(F.lit("next").alias("kind"), F.col("c").alias("b")))
-    pairs = rows.select(*place, "a", F.explode(kinds).alias("k")).select(*place, "k.kind", "a", "k.b")
-    apart = differences(pairs, [*place, "kind"]).groupBy(*place).agg(*(F.max(F.when(F.col("kind") == k, F.size("added") + F.size("removed"))).alias(f"d_{k}") for k in ("edited", "next")))
-    sides = F.array(F.struct(F.lit(0).alias("side"), F.col("a").alias("set")), F.struct(F.lit(1).alias("side"), F.col("b").alias("set")))
-    single = rows.select(*place, F.explode(sides).alias("s")).select(*place, "s.side", F.size("s.set").alias("size"), "s.set", F.lit(0).alias("level"), F.lit(CELLS).alias("cells"))
-    prints = as_text(sketch(single, [*place, "side", "size"], "set", None), [*place, "side"], "size")
-    prints = prints.groupBy(*place).agg(*(F.max(F.when(F.col("side") == k, F.col("fingerprint"))).alias(c) for k, c in enumerate(("fingerprint", "edited_fingerprint"))))
+    rows = checkpoint(rows).repartition(*place)  # all that follows is by these columns and stays where it is
+    sides = lambda *sets: F.explode(F.array(*(F.struct(F.lit(k).alias("side"), F.col(c).alias("b")) for k, c in enumerate(sets))))
+    wide = lambda df, values: df.groupBy(*place).agg(*(F.max(F.when(F.col("side") == k, v)).alias(c) for k, (c, v) in enumerate(values.items())))
+    by = [*place, "side"]
+    apart = differences(rows.select(*place, "a", sides("b", "c").alias("k")).select(*place, "k.side", "a", "k.b"), by, digests=False)
+    apart = wide(apart, dict.fromkeys(("d_edited", "d_next"), F.col("added") + F.col("removed")))
+    single = rows.select(*place, sides("a", "b").alias("k")).select(*place, "k.side", "k.b", spec_of(0, F.lit(0), F.lit(0)).alias("spec"))
+    # Each paragraph is in one cell of each subtable, so the first subtable's counts add up to the number of paragraphs.
+    size = F.coalesce(F.sum(F.when(F.col("cell").between(0, CELLS - 1), F.col("n"))), F.lit(0))
+    prints = wide(as_text(sketch(single, by, "b", None), by, size), dict.fromkeys(("fingerprint", "edited_fingerprint"), F.col("fingerprint")))
     size = lambda c: F.size(c).cast("double")
     return (
         rows.join(apart, place)
