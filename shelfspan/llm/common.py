@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
@@ -71,3 +72,12 @@ def small_side(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
 
 def is_small(df: DataFrame, rows: int = BROADCAST_ROWS) -> bool:
     return df.limit(rows + 1).count() <= rows
+
+
+def materialize(df: DataFrame) -> DataFrame:
+    """df written as Parquet to the shared folder that the session names, and read again: compressed, unlike a checkpoint."""
+    checkpoint(df.limit(0))  # sets the folder where the session has none
+    folder = df.sparkSession.sparkContext._jsc.sc().getCheckpointDir().get()
+    path = f"{folder}/table-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from shelfspan.llm import chat, decontaminate, fingerprints, licenses, tokens
+from shelfspan.llm import chat, decontaminate, fingerprints, language, licenses, minhash, pii, tokens, toxicity
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -17,6 +17,10 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op4_chat_format": chat.op4_chat_format,
         "op5_fingerprints": fingerprints.op5_fingerprints,
         "op6_token_counts": tokens.op6_token_counts,
+        "op7_toxicity": toxicity.op7_toxicity,
+        "op8_near_duplicates": minhash.op8_near_duplicates,
+        "op9_pii": pii.op9_pii,
+        "op10_language": language.op10_language,
     }
 
 
