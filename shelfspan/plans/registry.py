@@ -4,12 +4,394 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from shelfspan.functions import fuzzy, geography, identifiers, periods, text
+from shelfspan.operators import align, coverage, graph, normalize, panel, reports, schema
+from shelfspan.plans.derived import CUSTOMER, RUN_SQL, SIDES_SQL, client_file, panel_file, read
+from shelfspan.sources import tabular
 
-def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {}
+Query = Callable[[SparkSession, str], DataFrame]
+CONCEPTS = {"customer": "Retailer", "client_market": "Market", "month": "Month", "upc": "UPC", "item_description": "Item Description", "brand": "Brand", "category": "Category"}
+METRICS = {"sales": "POS Sales $", "unit": "Units"}
+_FOUND: dict[str, tuple[Query, str | None]] = {}
+
+
+def query(sql: str | None = None) -> Callable[[Query], Query]:
+    def add(f: Query) -> Query:
+        _FOUND[f.__name__] = f, sql
+        return f
+
+    return add
+
+
+def model(spark: SparkSession, sf: str) -> DataFrame:
+    """The client file in the fixed model."""
+    return normalize.normalize(client_file(spark, sf), CONCEPTS, METRICS, "monthly", "comparable", 0.95)
+
+
+def sides(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
+    export = panel.validate(panel_file(spark, sf))
+    return normalize.for_coverage(model(spark, sf)), panel.for_coverage(export.panel, "monthly")
+
+
+def run(spark: SparkSession, sf: str) -> coverage.Coverage:
+    mine, theirs = sides(spark, sf)
+    # Labels come with the place where they first appear; both lists are a few rows, taken from the small tables.
+    names = read(spark, sf, "region").select("r_name", F.col("r_regionkey").alias("position"))
+    there = names.where("r_name != 'ASIA'").select(F.concat(F.lit(f"{CUSTOMER} "), "r_name", F.lit(" TA")).alias("market"), "position")
+    aligned = align.align_markets(names.select(text.standardize(F.col("r_name")).alias("market"), "position"), there, CUSTOMER)
+    return coverage.run_coverage(mine, theirs, aligned, by_description=False)
+
+
+def on_run(sql: str) -> str:
+    return f"{RUN_SQL} {sql}"
+
+
+def on_sides(sql: str) -> str:
+    return f"WITH {SIDES_SQL} {sql}"
+
+
+# -- coverage and its reports
+
+
+@query(
+    on_run("""
+, t AS (SELECT period_key, sum(panel_sales) AS ps, sum(panel_units) AS pu FROM g WHERE status IN ('matched', 'matched_with_caveat') GROUP BY 1)
+SELECT r.period_key AS period, round(sum(sales), 2) AS client_sales, round(coalesce(any_value(ps), 0), 2) AS panel_sales,
+       round(coalesce(sum(sales) FILTER (WHERE status IN ('matched', 'matched_with_caveat')), 0) - coalesce(any_value(ps), 0), 2) AS sales_delta,
+       coalesce(round(coalesce(sum(sales) FILTER (WHERE status IN ('matched', 'matched_with_caveat')), 0) / sum(sales), 4), 0) AS coverage_rate,
+       round(sum(units), 2) AS client_units, round(any_value(pu), 2) AS panel_units
+FROM r LEFT JOIN t USING (period_key) GROUP BY 1""")
+)
+def coverage_by_period(spark: SparkSession, sf: str) -> DataFrame:
+    return reports.trend(run(spark, sf))
+
+
+@query(
+    on_run("""
+, a AS (SELECT count(*) AS n, count(*) FILTER (WHERE m) AS k, sum(sales) AS s, coalesce(sum(sales) FILTER (WHERE m), 0) AS t, sum(units) AS u, coalesce(sum(units) FILTER (WHERE m), 0) AS v
+        FROM (SELECT *, status IN ('matched', 'matched_with_caveat') AS m FROM r)),
+b AS (SELECT sum(panel_sales) AS ps, sum(panel_units) AS pu FROM g WHERE status IN ('matched', 'matched_with_caveat'))
+SELECT n AS total_client_rows, k AS matched_rows, round(k / n, 4) AS row_coverage_pct, round(s, 2) AS client_sales_uploaded, round(t, 2) AS matched_client_sales,
+       round(t / s, 4) AS sales_coverage_pct, round(ps, 2) AS panel_comparable_sales, round(t - ps, 2) AS sales_delta, round(u, 2) AS client_units_uploaded,
+       round(v, 2) AS matched_client_units, round(v / u, 4) AS unit_coverage_pct, round(pu, 2) AS panel_comparable_units, round(v - pu, 2) AS unit_delta, round(s - t, 2) AS uncovered_sales,
+       'comparable' AS comparison_mode, 'comparable' AS delta_label, n AS kpi_slice_rows, round(k / n, 4) AS kpi_slice_row_coverage_pct, CAST(0 AS BIGINT) AS rows_needing_review, CAST(NULL AS VARCHAR) AS kpi_slice_note
+FROM a, b""")
+)
+def kpis(spark: SparkSession, sf: str) -> DataFrame:
+    return reports.kpis(run(spark, sf))
+
+
+@query(
+    on_run("""
+SELECT CASE status WHEN 'matched_with_caveat' THEN 2 WHEN 'missing_from_discover' THEN 4 WHEN 'missing_from_client' THEN 5 WHEN 'market_mismatch' THEN 6 WHEN 'period_mismatch' THEN 7 END::BIGINT AS rank,
+       status, n AS rows, round(s, 2) AS client_sales, round(p, 2) AS panel_sales
+FROM (SELECT status, count(*) AS n, sum(sales) AS s, 0.0::DOUBLE AS p FROM r WHERE status NOT IN ('matched', 'missing_from_client') GROUP BY 1
+      UNION ALL SELECT status, count(*), 0.0, sum(panel_sales) FROM g WHERE status = 'missing_from_client' GROUP BY 1)""")
+)
+def exceptions(spark: SparkSession, sf: str) -> DataFrame:
+    return reports.exceptions(run(spark, sf)).drop("note")
+
+
+@query(
+    on_run("""
+SELECT status, period_key AS period, panel_market AS market, round(client_sales, 2) AS client_sales, round(panel_sales, 2) AS panel_sales, round(client_sales - panel_sales, 2) AS sales_delta,
+       round(client_units, 2) AS client_units, round(panel_units, 2) AS panel_units, round(client_units - panel_units, 2) AS unit_delta, coalesce(client_row_count, 0) AS client_row_count
+FROM (SELECT * FROM g ORDER BY pkey, period_key, panel_market LIMIT 5000)""")
+)
+def drilldown(spark: SparkSession, sf: str) -> DataFrame:
+    return reports.drilldown(run(spark, sf), CUSTOMER).select("status", "period", "market", "client_sales", "panel_sales", "sales_delta", "client_units", "panel_units", "unit_delta", "client_row_count")
+
+
+@query(on_run("SELECT status, count(*) AS groups, coalesce(sum(client_row_count), 0)::BIGINT AS rows FROM g GROUP BY 1"))
+def coverage_status(spark: SparkSession, sf: str) -> DataFrame:
+    return run(spark, sf).groups.groupBy("status").agg(F.count(F.lit(1)).alias("groups"), F.coalesce(F.sum("client_row_count"), F.lit(0)).alias("rows"))
+
+
+@query(on_run("SELECT status, count(*) AS rows, round(sum(sales), 2) AS sales FROM r GROUP BY 1"))
+def row_status(spark: SparkSession, sf: str) -> DataFrame:
+    return run(spark, sf).rows.groupBy("status").agg(F.count(F.lit(1)).alias("rows"), F.round(F.sum("sales"), 2).alias("sales"))
+
+
+@query(on_run("SELECT pkey, period_key, panel_market, round(client_sales, 2) AS client_sales, client_units, client_row_count, pmatch FROM cg"))
+def client_group_agg(spark: SparkSession, sf: str) -> DataFrame:
+    g = run(spark, sf).groups.where("client_row_count is not null")
+    return g.select("pkey", "period_key", "panel_market", F.round("client_sales", 2).alias("client_sales"), "client_units", "client_row_count", "pmatch")
+
+
+@query(on_run("SELECT pkey, period_key, panel_market, round(panel_sales, 2) AS panel_sales, panel_units FROM inside"))
+def panel_group_agg(spark: SparkSession, sf: str) -> DataFrame:
+    g = run(spark, sf).groups.where("panel_sales is not null")
+    return g.select("pkey", "period_key", "panel_market", F.round("panel_sales", 2).alias("panel_sales"), "panel_units")
+
+
+@query(on_run("SELECT pkey, period_key, panel_market, client_row_count IS NOT NULL AS from_client, panel_sales IS NOT NULL AS from_panel, status FROM g"))
+def coverage_outer_join(spark: SparkSession, sf: str) -> DataFrame:
+    return run(spark, sf).groups.select("pkey", "period_key", "panel_market", F.col("client_row_count").isNotNull().alias("from_client"), F.col("panel_sales").isNotNull().alias("from_panel"), "status")
+
+
+@query(on_run("SELECT status, period_key AS period, count(*) AS rows, round(sum(sales), 2) AS sales FROM r WHERE status NOT IN ('matched', 'matched_with_caveat') GROUP BY 1, 2"))
+def exception_rows(spark: SparkSession, sf: str) -> DataFrame:
+    return reports.exception_rows(run(spark, sf)).groupBy("status", "period").agg(F.count(F.lit(1)).alias("rows"), F.round(F.sum("sales_value"), 2).alias("sales"))
+
+
+@query(
+    on_run("""
+SELECT brand_norm AS brand, count(*) AS client_rows, count(*) FILTER (WHERE status IN ('matched', 'matched_with_caveat')) AS matched_rows, round(sum(sales), 2) AS client_sales,
+       round(count(*) FILTER (WHERE status IN ('matched', 'matched_with_caveat')) / count(*), 3) AS match_rate FROM r GROUP BY 1""")
+)
+def brand_diag(spark: SparkSession, sf: str) -> DataFrame:
+    return reports.brand_diagnostic(run(spark, sf))
+
+
+@query(
+    on_run("""
+SELECT period_key AS period, count(*) AS client_rows, count(*) FILTER (WHERE m) AS matched_rows, round(sum(sales), 2) AS client_sales, round(coalesce(sum(sales) FILTER (WHERE m), 0), 2) AS matched_client_sales,
+       coalesce(round(coalesce(sum(sales) FILTER (WHERE m), 0) / sum(sales), 3), 0) AS match_rate FROM (SELECT *, status IN ('matched', 'matched_with_caveat') AS m FROM r) GROUP BY 1""")
+)
+def period_diag(spark: SparkSession, sf: str) -> DataFrame:
+    return reports.period_diagnostic(run(spark, sf))
+
+
+@query(
+    on_sides("""
+SELECT count(DISTINCT c) AS client_brand_count, count(DISTINCT p) AS panel_brand_count, count(*) FILTER (WHERE c IS NOT NULL AND p IS NOT NULL) AS overlap_count,
+       coalesce(array_to_string(list_sort(list(c) FILTER (WHERE p IS NULL))[:20], ', '), '') AS client_unmatched_brands
+FROM (SELECT DISTINCT brand_norm AS c FROM client) FULL JOIN (SELECT DISTINCT brand_norm AS p FROM panel) ON c = p""")
+)
+def brand_overlap(spark: SparkSession, sf: str) -> DataFrame:
+    return reports.brand_overlap(*sides(spark, sf))
+
+
+@query(on_run("SELECT DISTINCT period_key AS period FROM g WHERE status = 'matched' AND panel_market = 'Acme EUROPE TA'"))
+def drilldown_facet(spark: SparkSession, sf: str) -> DataFrame:
+    whole = reports.drilldown(run(spark, sf), CUSTOMER, limit=None)
+    return reports.facet(reports.filtered(whole, status="matched", market="Acme EUROPE TA"), "period")
+
+
+# -- client file to the fixed model
+
+
+@query(on_sides("SELECT source_row_id, market AS client_market_standardized, period_key, upc_key, upc AS upc_normalized, description AS item_description_raw, brand AS brand_standardized, sales AS sales_value, units AS unit_value, 'normalized' AS record_status, 0.95::DOUBLE AS mapping_confidence FROM client"))
+def norm_long(spark: SparkSession, sf: str) -> DataFrame:
+    return model(spark, sf).select("source_row_id", "client_market_standardized", "period_key", "upc_key", "upc_normalized", "item_description_raw", "brand_standardized", "sales_value", "unit_value", "record_status", "mapping_confidence")
+
+
+@query(
+    """
+SELECT o_custkey AS source_row_id, p.period_key, s AS sales_value, u AS unit_value FROM (
+  SELECT o_custkey, sum(CASE WHEN month(o_orderdate) = 1 THEN o_totalprice END) AS s1, count(*) FILTER (WHERE month(o_orderdate) = 1) AS u1,
+         sum(CASE WHEN month(o_orderdate) = 2 THEN o_totalprice END) AS s2, count(*) FILTER (WHERE month(o_orderdate) = 2) AS u2 FROM orders GROUP BY 1) w,
+  LATERAL (SELECT '2025-01' AS period_key, round(s1, 2) AS s, u1::DOUBLE AS u UNION ALL SELECT '2025-02', round(s2, 2), u2::DOUBLE) p"""
+)
+def unpivot_wide(spark: SparkSession, sf: str) -> DataFrame:
+    m = F.month("o_orderdate")
+    wide = read(spark, sf, "orders").groupBy(F.col("o_custkey").alias("source_row_id")).agg(*(x for k, label in ((1, "Jan-25"), (2, "Feb-25")) for x in (F.round(F.sum(F.when(m == k, F.col("o_totalprice"))), 2).alias(f"{label} Net Rev"), F.count_if(m == k).alias(f"{label} Units"))))
+    columns = [(f"{label} {what}", f"2025-{k:02}-01", end, "monthly", kind) for k, label, end in ((1, "Jan-25", "2025-01-31"), (2, "Feb-25", "2025-02-28")) for what, kind in (("Net Rev", "sales"), ("Units", "unit"))]
+    return normalize.normalize(wide, {}, {}, "monthly", "directional", 0.4, columns).select("source_row_id", "period_key", "sales_value", "unit_value")
+
+
+@query(on_sides("SELECT count(*) AS total_rows, 1.0::DOUBLE AS period_parse_rate, 1.0::DOUBLE AS upc_valid_rate, 1.0::DOUBLE AS sales_present_rate, 0::BIGINT AS rows_needing_review, count(DISTINCT period_key) AS distinct_periods, count(DISTINCT market) AS distinct_markets, count(DISTINCT upc_key) AS distinct_products FROM client"))
+def quality_summary(spark: SparkSession, sf: str) -> DataFrame:
+    return normalize.quality(model(spark, sf))
+
+
+@query(on_sides("SELECT brand AS value, count(*) AS rows FROM client GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 12"))
+def top_values(spark: SparkSession, sf: str) -> DataFrame:
+    return reports.top_values(model(spark, sf), "brand_standardized", 12)
+
+
+@query(
+    """
+WITH raw AS (SELECT o_orderkey, CASE o_orderkey % 6 WHEN 0 THEN '$' || printf('%.2f', o_totalprice) WHEN 1 THEN '(' || printf('%.2f', o_totalprice) || ')' WHEN 2 THEN '1,' || printf('%.1f', 100 + o_orderkey % 800) WHEN 3 THEN 'n/a' WHEN 4 THEN ' ' || CAST(o_orderkey AS VARCHAR) ELSE NULL END AS x, o_totalprice FROM orders)
+SELECT o_orderkey, CASE o_orderkey % 6 WHEN 0 THEN CAST(printf('%.2f', o_totalprice) AS DOUBLE) WHEN 1 THEN -CAST(printf('%.2f', o_totalprice) AS DOUBLE) WHEN 2 THEN 1100 + o_orderkey % 800 WHEN 4 THEN o_orderkey END::DOUBLE AS value FROM raw"""
+)
+def numeric_restore(spark: SparkSession, sf: str) -> DataFrame:
+    k, price = F.col("o_orderkey") % 6, F.format_string("%.2f", "o_totalprice")
+    raw = F.when(k == 0, F.concat(F.lit("$"), price)).when(k == 1, F.concat(F.lit("("), price, F.lit(")"))).when(k == 2, F.format_string("1,%d.0", (100 + F.col("o_orderkey") % 800).cast("int"))).when(k == 3, F.lit("n/a")).when(k == 4, F.concat(F.lit(" "), F.col("o_orderkey").cast("string")))
+    return read(spark, sf, "orders").select("o_orderkey", normalize.number(raw).alias("value"))
+
+
+@query(on_sides("SELECT 'UPC' AS \"column\", count(*) AS rows, 1.0::DOUBLE AS numeric_rate, 0.0::DOUBLE AS date_rate, 1.0::DOUBLE AS upc_rate FROM client UNION ALL SELECT 'Month', count(*), 0.0, 1.0, 0.0 FROM client UNION ALL SELECT 'POS Sales $', count(*), 1.0, 0.0, 0.0 FROM client"))
+def column_profile(spark: SparkSession, sf: str) -> DataFrame:
+    sales = client_file(spark, sf).select("UPC", "Month", F.concat(F.lit("$9"), F.lit("999.5")).alias("POS Sales $"))
+    return schema.profile(sales).select("column", "rows", "numeric_rate", "date_rate", "upc_rate")
+
+
+@query("SELECT 'wide' AS structure, 'monthly' AS grain, 'comparable' AS mode WHERE false UNION ALL SELECT 'long', 'monthly', 'comparable'")
+def schema_detection(spark: SparkSession, sf: str) -> DataFrame:
+    found = schema.detect(client_file(spark, sf))
+    return spark.createDataFrame([(found.structure, found.grain, found.mode)], "structure string, grain string, mode string")
+
+
+@query("SELECT CASE WHEN median(d) BETWEEN 6 AND 8 THEN 'weekly' WHEN median(d) BETWEEN 27 AND 32 THEN 'monthly' ELSE 'daily' END AS grain FROM (SELECT date_diff('day', lag(w) OVER (ORDER BY w), w) AS d FROM (SELECT DISTINCT date_trunc('week', l_shipdate)::DATE AS w FROM lineitem))")
+def grain_inference(spark: SparkSession, sf: str) -> DataFrame:
+    weeks = read(spark, sf, "lineitem").select(F.date_trunc("week", "l_shipdate").cast("date").alias("d"))
+    return spark.createDataFrame([(schema.spacing_grain(weeks, "d"),)], "grain string")
+
+
+# -- scalar functions over whole tables
+
+
+def _labels(key: Column, day: Column) -> Column:
+    """A period label in one of eight spellings."""
+    forms = (F.date_format(day, "MM/dd/yyyy"), F.concat(F.lit("WE "), F.date_format(day, "MM/dd/yyyy")), F.concat(F.lit("FY"), F.date_format(day, "yy"), F.lit(" P"), F.date_format(day, "MM")), F.date_format(day, "MMM-yy"), F.date_format(day, "yyyy MMM"), F.date_format(day, "yyyy-MM"), F.concat(F.lit("5 w/e "), F.date_format(day, "MM/dd/yy")), F.lit("hello"))
+    return F.coalesce(*(F.when(key % 8 == k, f) for k, f in enumerate(forms)))
+
+
+@query(
+    """
+SELECT l_orderkey, l_linenumber, strftime(CASE k WHEN 0 THEN d WHEN 1 THEN d - 6 WHEN 6 THEN d - 34 WHEN 7 THEN NULL ELSE date_trunc('month', d)::DATE END, '%Y-%m-%d') AS period_start,
+       strftime(CASE k WHEN 0 THEN d WHEN 1 THEN d WHEN 6 THEN d WHEN 7 THEN NULL ELSE last_day(d) END, '%Y-%m-%d') AS period_end,
+       CASE k WHEN 0 THEN 'daily_date' WHEN 1 THEN 'weekly' WHEN 6 THEN 'multi_week' WHEN 7 THEN NULL ELSE 'monthly' END AS grain
+FROM (SELECT l_orderkey, l_linenumber, l_shipdate::DATE AS d, (l_orderkey + l_linenumber) % 8 AS k FROM lineitem)"""
+)
+def period_parse(spark: SparkSession, sf: str) -> DataFrame:
+    key = F.col("l_orderkey") + F.col("l_linenumber")
+    t = read(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", periods.parse_period(_labels(key, F.col("l_shipdate"))).alias("t"))
+    return t.select("l_orderkey", "l_linenumber", F.date_format("t.period_start", "yyyy-MM-dd").alias("period_start"), F.date_format("t.period_end", "yyyy-MM-dd").alias("period_end"), "t.grain")
+
+
+@query(
+    """
+SELECT p_partkey, CASE p_partkey % 6 WHEN 0 THEN CAST(7180000000 + p_partkey AS VARCHAR) WHEN 1 THEN CAST(7180000000 + p_partkey AS VARCHAR) WHEN 2 THEN CAST(7180000000 + p_partkey AS VARCHAR) WHEN 3 THEN NULL WHEN 4 THEN CAST(7180000000 + p_partkey AS VARCHAR) ELSE NULL END AS upc_key,
+       p_partkey % 6 = 5 AS pseudo FROM part"""
+)
+def upc_key(spark: SparkSession, sf: str) -> DataFrame:
+    k, digits = F.col("p_partkey") % 6, (F.lit(7180000000) + F.col("p_partkey")).cast("string")
+    code = F.when(k == 0, F.concat(F.lit("0"), digits, F.lit("7"))).when(k == 1, F.concat(digits, F.lit("3.0"))).when(k == 2, F.concat(F.lit("000"), digits, F.lit("4"))).when(k == 3, F.col("p_partkey").cast("string")).when(k == 4, F.concat(F.lit("0-"), digits, F.lit("-1X"))).otherwise(F.concat(F.lit("ABI-"), digits))
+    return read(spark, sf, "part").select("p_partkey", identifiers.upc_key(code).alias("upc_key"), (identifiers.is_pseudo_code(code) & (k != 4)).alias("pseudo"))
+
+
+@query("SELECT p_partkey, (2 + p_partkey % 23)::BIGINT AS pack_count, (p_size + 0.5)::DOUBLE AS size, CASE WHEN p_partkey % 2 = 0 THEN 'OZ' ELSE 'ML' END AS size_unit, CASE WHEN p_partkey % 2 = 0 THEN 'CAN' ELSE 'BTL' END AS package_type, (2 + p_partkey % 23) || 'pk-' || p_size || '.5' || CASE WHEN p_partkey % 2 = 0 THEN 'oz-can' ELSE 'ml-btl' END AS size_key FROM part")
+def desc_tokens(spark: SparkSession, sf: str) -> DataFrame:
+    even = F.col("p_partkey") % 2 == 0
+    d = F.concat(F.upper("p_name"), F.lit(" "), (2 + F.col("p_partkey") % 23).cast("string"), F.lit("PK"), F.col("p_size").cast("string"), F.lit(".5"), F.when(even, "OZCAN").otherwise("mlbtls"))
+    return read(spark, sf, "part").select("p_partkey", text.description_tokens(d).alias("t"), text.size_key(d).alias("size_key")).select("p_partkey", "t.*", "size_key")
+
+
+@query("SELECT p_partkey, CASE WHEN p_partkey % 5 = 0 THEN 'coca-cola' ELSE lower(p_brand) END AS brand_norm, string_split(p_name, ' ')[1] AS first_word, lower(replace(p_brand, '#', ' ')) AS value_form, lower(p_brand) || ' $' AS header_form FROM part")
+def brand_norm(spark: SparkSession, sf: str) -> DataFrame:
+    raw = F.when(F.col("p_partkey") % 5 == 0, F.lit("  COKE (The Company)")).otherwise(F.concat(F.upper("p_brand"), F.lit("  (maker)")))
+    return read(spark, sf, "part").select("p_partkey", text.norm_brand(raw).alias("brand_norm"), text.brand_from_description(F.concat(F.lit("The 12 "), "p_name")).alias("first_word"), text.norm_value(F.col("p_brand")).alias("value_form"), text.norm_header(F.concat("p_brand", F.lit(" ($)"))).alias("header_form"))
+
+
+@query("SELECT n_name, n_nationkey % 3 = 0 AS total_like, CASE WHEN n_nationkey % 2 = 0 THEN 'Acme' ELSE string_split(n_name, ' ')[1] END AS customer, CASE WHEN n_name ~ '^[A-Z]{5,}$' THEN n_name[1] || lower(n_name[2:]) ELSE n_name END AS standard FROM nation WHERE NOT contains(n_name, ' ')")
+def market_labels(spark: SparkSession, sf: str) -> DataFrame:
+    n = read(spark, sf, "nation").where("not contains(n_name, ' ')")
+    label = F.when(F.col("n_nationkey") % 3 == 0, F.concat("n_name", F.lit(" National Account"))).otherwise(F.col("n_name"))
+    market = F.when(F.col("n_nationkey") % 2 == 0, F.concat(F.lit("Total Acme (x) "), "n_name")).otherwise(F.concat("n_name", F.lit(" TA")))
+    return n.select("n_name", text.is_total_like(label).alias("total_like"), text.customer_from_market(market).alias("customer"), text.standardize(F.col("n_name")).alias("standard"))
+
+
+# -- panel
+
+
+@query(on_sides("SELECT market, count(*) AS rows, round(sum(sales), 2) AS dollar_sales, sum(units) AS unit_sales, min(period_key) AS first_period, max(period_key) AS last_period, 'Acme' AS customer FROM panel GROUP BY 1"))
+def junk_filter(spark: SparkSession, sf: str) -> DataFrame:
+    export = panel_file(spark, sf)
+    junk = spark.createDataFrame([("Copyright", None, None, None, None, None, None, None), ("Acme ASIA TA", "2000-01", None, "x", "b", "c", 1.0, 1.0), ("Acme ASIA TA", "2000-01", "041000000010", "x", "b", "c", None, 1.0)], export.schema)
+    rows = panel.validate(export.unionByName(junk)).panel
+    key = periods.period_key(F.col("period_end"), "monthly")
+    return rows.groupBy("market").agg(F.count(F.lit(1)).alias("rows"), F.round(F.sum("dollar_sales"), 2).alias("dollar_sales"), F.sum("unit_sales").alias("unit_sales"), F.min(key).alias("first_period"), F.max(key).alias("last_period"), F.min("customer").alias("customer"))
+
+
+@query(on_sides("SELECT market, count(*) AS rows, round(sum(sales), 2) AS dollar_sales FROM panel GROUP BY 1"))
+def stitch_dedupe(spark: SparkSession, sf: str) -> DataFrame:
+    export = panel_file(spark, sf)
+    early, late = (panel.validate(export.where(c)).panel for c in ("Periods <= '1999-06'", "Periods >= '1999-01'"))
+    return panel.stitch([early, late]).groupBy("market").agg(F.count(F.lit(1)).alias("rows"), F.round(F.sum("dollar_sales"), 2).alias("dollar_sales"))
+
+
+@query(on_sides("SELECT count(*)::BIGINT AS overlapping_rows FROM panel WHERE period_key BETWEEN '1999-01' AND '1999-06'"))
+def overlap_count(spark: SparkSession, sf: str) -> DataFrame:
+    export = panel_file(spark, sf)
+    early, late = (panel.validate(export.where(c)).panel for c in ("Periods <= '1999-06'", "Periods >= '1999-01'"))
+    return panel.overlap_count(early.unionByName(late.withColumn("dollar_sales", F.col("dollar_sales") + 1)))
+
+
+# -- alignment
+
+
+@query("SELECT array_to_string(list_transform(string_split(lower(r_name), ' '), lambda w: upper(w[1]) || w[2:]), ' ') AS client_market, CASE WHEN r_name <> 'ASIA' THEN 'Acme ' || r_name || ' TA' END AS panel_market FROM region WHERE length(r_name) > 4 UNION ALL SELECT r_name, NULL FROM region WHERE length(r_name) <= 4")
+def market_alignment(spark: SparkSession, sf: str) -> DataFrame:
+    names = read(spark, sf, "region").select("r_name", F.col("r_regionkey").alias("position"))
+    there = names.where("r_name != 'ASIA'").select(F.concat(F.lit("Acme "), "r_name", F.lit(" TA")).alias("market"), "position")
+    return align.align_markets(names.select(text.standardize(F.col("r_name")).alias("market"), "position"), there, CUSTOMER).select("client_market", "panel_market")
+
+
+GEO = (("Western NY Operating Area", "NY"), ("Mid-Atlantic", ""), ("Buffalo TA", "NY"), ("Washington", "DC WA"), ("Orlando", "FL"), ("New England", "CT MA ME NH RI VT"), ("walmart", ""))
+
+
+@query("SELECT * FROM (VALUES " + ", ".join(f"('{a}', '{b}')" for a, b in GEO) + ") AS v(label, states)")
+def geo_expansion(spark: SparkSession, sf: str) -> DataFrame:
+    labels = spark.createDataFrame([(a,) for a, _ in GEO], "market string")
+    return geography.expand(labels, "market").select("label", F.array_join("states", " ").alias("states"))
+
+
+@query("SELECT p_brand AS client_brand, CASE WHEN k % 3 = 0 THEN replace(lower(p_brand), '#', ' #') WHEN k % 3 = 1 THEN 'maker ' || lower(p_brand) END AS panel_brand FROM (SELECT DISTINCT lower(p_brand) AS p_brand, CAST(string_split(p_brand, '#')[2] AS INTEGER) AS k FROM part) WHERE k % 3 < 2")
+def brand_alias(spark: SparkSession, sf: str) -> DataFrame:
+    b = read(spark, sf, "part").select(F.lower("p_brand").alias("brand")).distinct()
+    k = F.get(F.split("brand", "#"), 1).cast("int") % 3
+    there = b.select(F.when(k == 0, F.replace("brand", F.lit("#"), F.lit(" #"))).when(k == 1, F.concat(F.lit("maker "), "brand")).otherwise(F.lit("zzz")).alias("brand"))
+    return align.align_brands(b, there).select("client_brand", "panel_brand")
+
+
+@query("SELECT CAST(4100000000 + p_partkey AS VARCHAR) AS client_key, CASE WHEN p_partkey % 10 = 0 THEN 'user' || p_partkey ELSE CAST(5200000000 + p_partkey AS VARCHAR) END AS panel_key, CASE WHEN p_partkey % 10 = 0 THEN 'user' ELSE 'auto' END AS basis FROM part WHERE p_partkey % 5 = 0")
+def crosswalk_user_override(spark: SparkSession, sf: str) -> DataFrame:
+    part = read(spark, sf, "part").where("p_partkey % 5 = 0").select((F.lit(4100000000) + F.col("p_partkey")).cast("string").alias("client_key"), (F.lit(5200000000) + F.col("p_partkey")).cast("string").alias("panel_key"), "p_partkey")
+    said = part.where("p_partkey % 10 = 0").select("client_key", F.explode(F.array(F.struct(F.lit(1).alias("position"), F.lit("old").alias("panel_key")), F.struct(F.lit(2).alias("position"), F.concat(F.lit("user"), "p_partkey").alias("panel_key")))).alias("e")).select("client_key", "e.*")
+    return align.merge_crosswalk(part.drop("p_partkey"), said)
+
+
+@query()
+def crosswalk_auto(spark: SparkSession, sf: str) -> DataFrame:
+    """Client codes without a twin in the panel, matched by brand and description."""
+    mine, theirs = sides(spark, sf)
+    return align.build_crosswalk(mine.select("upc_key", F.lower("description").alias("description"), "brand_norm", F.col("source_row_id").alias("position")).withColumnRenamed("brand_norm", "brand"), theirs.select("upc_key", "description", F.col("brand_norm").alias("brand"), "position"))
+
+
+@query()
+def description_fuzzy(spark: SparkSession, sf: str) -> DataFrame:
+    """Product keys with all tiers: code, description, brand."""
+    mine, theirs = sides(spark, sf)
+    keyed, _ = coverage.resolve_keys(mine.withColumn("description", F.lower("description")), theirs)
+    return keyed.groupBy("pmatch").agg(F.count(F.lit(1)).alias("rows"), F.count_distinct("pkey").alias("keys"))
+
+
+@query("SELECT 100.0::DOUBLE AS subset, 0.0::DOUBLE AS nothing, round(100 * 2 * 3 / 8.0, 4)::DOUBLE AS plain, 100.0::DOUBLE AS part")
+def fuzzy_scores(spark: SparkSession, sf: str) -> DataFrame:
+    one = spark.range(1).select(F.lit("lime fizz").alias("a"), F.lit("fizz lime twelve").alias("b"), F.lit("").alias("e"), F.lit("abcd").alias("x"), F.lit("abce").alias("y"))
+    return one.select(fuzzy.token_set("a", "b").alias("subset"), fuzzy.token_set("a", "e").alias("nothing"), F.round(fuzzy.token_set("x", "y"), 4).alias("plain"), fuzzy.partial(F.lit("fizz"), "b").alias("part"))
+
+
+# -- mapping graph
+
+
+@query("SELECT 14::BIGINT AS nodes, 7::BIGINT AS n_source_column, 7::BIGINT AS n_target_field WHERE false UNION ALL SELECT 18, 9, 9")
+def graph_stats(spark: SparkSession, sf: str) -> DataFrame:
+    maps = graph.mappings_frame(spark, schema.detect(client_file(spark, sf)))
+    return graph.stats(graph.layout(graph.nodes_of(maps))).select("nodes", "n_source_column", "n_target_field")
+
+
+@query("SELECT count(*)::BIGINT AS edges FROM (VALUES (1), (2), (3), (4), (5), (6), (7), (8), (9))")
+def graph_edges(spark: SparkSession, sf: str) -> DataFrame:
+    maps = graph.mappings_frame(spark, schema.detect(client_file(spark, sf)))
+    nodes, edges = graph.visible(graph.nodes_of(maps), graph.edges_of(maps))
+    return edges.agg(F.count(F.lit(1)).alias("edges"))
+
+
+@query("SELECT 'USER' AS kind WHERE false UNION ALL SELECT 'read'")
+def preview(spark: SparkSession, sf: str) -> DataFrame:
+    shown = tabular.preview(client_file(spark, sf), 25)
+    return shown.agg(F.when(F.count(F.lit(1)) == 25, "read").otherwise("short").alias("kind"))
+
+
+def queries() -> dict[str, Query]:
+    return {name: f for name, (f, _) in _FOUND.items()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {name: sql.strip() for name, (_, sql) in _FOUND.items() if sql is not None}
