@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from shelfspan.functions import identifiers, periods, text
+from shelfspan.functions.let import let
 
 #: Columns of the fixed model and their types, in order.
 MODEL = (
@@ -20,7 +21,7 @@ def number(x: Column) -> Column:
     """A number, also with currency signs, thousands separators or in parentheses (negative); null for anything else."""
     s = F.regexp_replace(F.trim(x.cast("string")), r"[$£€¥,]", "")
     s = F.regexp_replace(s, r"^\(([\d.]+)\)$", "-$1")
-    return F.when(s.rlike(r"^[+-]?([0-9]+\.?[0-9]*|\.[0-9]+)([eE][+-]?[0-9]+)?$"), s.try_cast("double"))
+    return let(s, lambda v: F.when(v.rlike(r"^[+-]?([0-9]+\.?[0-9]*|\.[0-9]+)([eE][+-]?[0-9]+)?$"), v.try_cast("double")))
 
 
 def row_period(concepts: dict[str, str]) -> Column:
@@ -33,6 +34,17 @@ def row_period(concepts: dict[str, str]) -> Column:
     return F.coalesce(*got) if got else F.lit(None).cast("struct<period_start:date,period_end:date,grain:string>")
 
 
+def with_period(df: DataFrame, concepts: dict[str, str]) -> DataFrame:
+    """Adds _parsed. Labels repeat, so the distinct ones are parsed and joined back; that is what Spark broadcasts if they are few."""
+    columns = [concepts[c] for c in ("week_end_date", "period", "month", "fiscal_year", "fiscal_month") if c in concepts]
+    if not columns:
+        return df.withColumn("_parsed", row_period(concepts))
+    named = [F.col(f"`{c}`").alias(f"_k{k}") for k, c in enumerate(columns)]
+    labels = df.select(*named).distinct().select(*(f"_k{k}" for k in range(len(columns))), row_period({c: f"_k{columns.index(x)}" for c, x in concepts.items() if x in columns}).alias("_parsed"))
+    same = [F.col(f"`{c}`").eqNullSafe(F.col(f"_k{k}")) for k, c in enumerate(columns)]
+    return df.join(labels, same, "left").drop(*(f"_k{k}" for k in range(len(columns))))
+
+
 def unpivot(df: DataFrame, wide: Sequence[tuple[str, str, str, str, str]]) -> DataFrame:
     """A row for each source row and period of a wide file: wide lists (column, start, end, grain, kind), one column for each period and kind.
 
@@ -55,7 +67,7 @@ def normalize(df: DataFrame, concepts: dict[str, str], metrics: dict[str, str],
     """The fixed model (see MODEL) of a client file.
 
     `concepts` maps concepts to columns, `metrics` maps sales, unit and volume to columns; df has source_row_id.
-    Blank cells are null. Only column functions: one pass, no shuffle.
+    Blank cells are null. Column functions only; period labels are parsed once each and joined back.
     """
     cell = lambda c: text.clean_label(F.col(f"`{concepts[c]}`")) if c in concepts else F.lit(None).cast("string")
     if wide:
@@ -64,7 +76,7 @@ def normalize(df: DataFrame, concepts: dict[str, str], metrics: dict[str, str],
     else:
         have = [c for c in ("sales", "unit", "volume") if c in metrics]
         pick = lambda k: number(F.col(f"`{metrics[k]}`")) if k in metrics else F.lit(None).cast("double")
-        rows = df.select("*", row_period(concepts).alias("_parsed"), pick("sales").alias("_sales"), pick("unit").alias("_units"), pick("volume").alias("_volume"), F.lit("; ".join(metrics[k] for k in have)).alias("_metric_names"))
+        rows = with_period(df, concepts).select("*", pick("sales").alias("_sales"), pick("unit").alias("_units"), pick("volume").alias("_volume"), F.lit("; ".join(metrics[k] for k in have)).alias("_metric_names"))
         raws = [text.clean_label(F.col(f"`{concepts[c]}`")) for c in ("week_end_date", "period", "month", "fiscal_month") if c in concepts]
         raw = F.coalesce(*raws) if raws else F.lit(None).cast("string")
     start, end = F.col("_parsed.period_start"), F.col("_parsed.period_end")

@@ -39,7 +39,7 @@ def client_file(spark: SparkSession, sf_dir: str) -> DataFrame:
         (F.col("l_orderkey") * 100 + F.col("l_linenumber")).alias("source_row_id"),
         F.lit("ACME  STORES").alias("Retailer"),
         F.col("r_name").alias("Market"),
-        F.date_format("l_shipdate", "MMM-yy").alias("Month"),
+        F.date_format("l_shipdate", "MMM yyyy").alias("Month"),
         _code(41000000000, F.col("p_partkey") % 10).alias("UPC"),
         F.concat(F.upper("p_name"), F.lit(" "), F.col("p_size").cast("string"), F.lit("OZCAN")).alias("Item Description"),
         F.col("p_brand").alias("Brand"),
