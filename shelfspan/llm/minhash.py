@@ -14,11 +14,10 @@ components are compared further, until no such members are left uncompared.
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Callable
 
 import numpy as np
-import regex
-import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -29,10 +28,9 @@ WORDS = 5
 THRESHOLD = 0.8
 #: A pair at the threshold shares no band with probability (1 - 0.8 ** ROWS) ** BANDS, about 7e-6.
 BANDS, ROWS = 30, 5
-#: Groups of at most so many members are compared pair by pair where components differ.
-SMALL_GROUP = 64
+#: After the first leader, about so many members of a group at a time are compared with the members of other components.
+LEADERS = 64
 
-WORD = regex.compile(r"[\p{L}\p{N}]+")
 MIX = tuple(np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB))
 
 
@@ -43,21 +41,49 @@ def mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def word_hashes() -> Remembered:
-    return Remembered(lambda w: xxhash.xxh3_64_intdigest(w))
+@functools.cache
+def _word_characters() -> np.ndarray:
+    """Whether each character of the basic plane is a letter or digit."""
+    return np.fromiter((chr(c).isalnum() for c in range(1 << 16)), bool, 1 << 16)
 
 
-def bag(text: str | None, hashed: Remembered) -> tuple[np.ndarray, np.ndarray]:
+def word_hashes(text: str) -> np.ndarray:
+    """uint64 of each word, in order. Words are runs of letters and digits, lower case.
+
+    A word's hash is a polynomial of its characters, taken from sums over the whole text, and mixed with its length.
+    """
+    c = np.frombuffer(text.lower().encode("utf-32-le", "surrogatepass"), np.uint32)
+    inside = _word_characters()[np.minimum(c, 0xFFFF)]
+    for k in np.flatnonzero(c > 0xFFFF):
+        inside[k] = chr(c[k]).isalnum()
+    edge = np.flatnonzero(np.diff(np.concatenate([[False], inside, [False]])))
+    start, stop = edge[::2], edge[1::2]
+    if not len(start):
+        return np.zeros(0, np.uint64)
+    size = (stop - start).astype(np.uint64)
+    # Places in the word, so that equal words have equal sums wherever they are; powers are taken per place.
+    power = _powers(int(size.max()))
+    place = np.arange(len(c)) - np.repeat(start, np.diff(np.append(start, len(c)))) if start[0] == 0 else np.arange(len(c)) - np.concatenate([np.zeros(start[0], np.int64), np.repeat(start, np.diff(np.append(start, len(c))))])
+    value = np.where(inside, (c.astype(np.uint64) + np.uint64(1)) * power[np.minimum(place, len(power) - 1)], np.uint64(0))
+    total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(value)])
+    return mixed((total[stop] - total[start]) ^ (size * MIX[1]))
+
+
+def _powers(n: int) -> np.ndarray:
+    """At least n powers of an odd constant modulo 2**64."""
+    return np.concatenate([np.ones(1, np.uint64), np.cumprod(np.full(max(n, 64), MIX[0]))])
+
+
+def bag(text: str | None) -> tuple[np.ndarray, np.ndarray]:
     """Distinct shingles (as hashes, ascending) and how often each occurs. Fewer words than a shingle has make one shingle; none make none."""
-    words = WORD.findall((text or "").lower())
-    if not words:
+    h = word_hashes(text or "")
+    if not len(h):
         return np.zeros(0, np.uint64), np.zeros(0, np.int64)
-    h = np.fromiter(map(hashed.__getitem__, words), np.uint64, len(words))
-    k = min(WORDS, len(words))
-    s = np.zeros(len(words) - k + 1, np.uint64)
+    k = min(WORDS, len(h))
+    s = np.zeros(len(h) - k + 1, np.uint64)
     for i in range(k):
-        s = mixed(s * MIX[0] + h[i : i + len(s)])
-    return np.unique(s, return_counts=True)
+        s = (s ^ (s >> np.uint64(29))) * MIX[0] + h[i : i + len(s)]
+    return np.unique(mixed(s), return_counts=True)
 
 
 def overlap(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray]) -> float:
@@ -87,14 +113,14 @@ def signature(elements: np.ndarray, weights: np.ndarray, m: int = BANDS * ROWS)
     earliest, latest = np.full(m, np.inf), np.inf
     while len(seed):
         # As many points at a time as mostly fill all registers; then the few processes that still are early enough go on.
-        points = max(1, min(512, 6 * m // len(seed))) if latest == np.inf else 2
+        points = min(512, -(-6 * m // len(seed))) if latest == np.inf else 2
         u = mixed(seed[:, None] + np.arange(done + 1, done + points + 1, dtype=np.uint64) * MIX[0])
         gap = -np.log1p(-(u >> np.uint64(11)).astype(np.float64) * 2.0**-53)
         # Whole multiples of 2**-36 and rates that are powers of two add up exactly, in whatever order.
         t = time[:, None] + np.cumsum(np.floor(gap * 2.0**36) * 2.0**-36 / rate[:, None], axis=1)
         v = mixed(u ^ MIX[1])
-        kept = ((v >> np.uint64(32)) % width[:, None] < cover[:, None]) & (t < latest)
-        np.minimum.at(earliest, ((v & np.uint64(0xFFFFFFFF)) % np.uint64(m)).astype(np.int64)[kept], t[kept])
+        kept = (((v >> np.uint64(32)) & (width[:, None] - np.uint64(1))) < cover[:, None]) & (t < latest)
+        np.minimum.at(earliest, (((v[kept] & np.uint64(0xFFFFFFFF)) * np.uint64(m)) >> np.uint64(32)).astype(np.int64), t[kept])
         done, time = done + points, t[:, -1]
         latest = earliest.max()
         going = time < latest
@@ -119,10 +145,8 @@ def _signed(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
     """(row, doc_id, md5, bands), checkpointed: a row for each row of docs; bands are null without words."""
 
     def make() -> Callable:
-        hashed = word_hashes()
-
         def keys(t: str) -> list[int] | None:
-            b = bag(t, hashed)
+            b = bag(t)
             return band_keys(signature(*b)).tolist() if len(b[0]) else None
 
         known = Remembered(keys, limit=1000)  # copies often are neighbours; only short keys are remembered
@@ -170,15 +194,14 @@ def _verified(pairs: DataFrame, texts: DataFrame, threshold: float) -> DataFrame
     """The pairs (a, b) of nodes whose bags overlap enough; a may be a leader of very many."""
 
     def make() -> Callable:
-        hashed = word_hashes()
         last: list = [None, None]
 
         def f(rows: dict[str, list]) -> dict[str, list]:
             out = []
             for a, x, y in zip(rows["a"], rows["text_a"], rows["text_b"], strict=True):
                 if last[0] != a:
-                    last[:] = a, bag(x, hashed)
-                out.append(overlap(last[1], bag(y, hashed)) >= threshold)
+                    last[:] = a, bag(x)
+                out.append(overlap(last[1], bag(y)) >= threshold)
             return {"alike": out}
 
         return f
@@ -220,23 +243,23 @@ def _labels(rows: DataFrame, docs: DataFrame, doc_id: str, text: str, threshold:
     tried = live.select(F.col("leader").alias("a"), F.col("node").alias("b")).distinct()
     edges = checkpoint(_verified(tried, texts, threshold))
     label = components(edges)
+    live = live.select("key", "node")
     while True:
         # Leaders have been compared with all of their group; what is left matters where components still differ.
         now = live.join(label, "node", "left").select("key", "node", F.coalesce("label", "node").alias("label"))
-        group = now.groupBy("key").agg(F.min("node").alias("leader"), F.count(F.lit(1)).alias("n"), (F.min("label") != F.max("label")).alias("mixed")).where("mixed")
-        now = checkpoint(now.join(group, "key"))
+        group = now.groupBy("key").agg(F.count(F.lit(1)).alias("n"), (F.min("label") != F.max("label")).alias("mixed")).where("mixed")
+        now = checkpoint(now.join(group.select("key", "n"), "key").withColumn("leads", F.pmod(F.xxhash64("node", "n"), F.ceil(F.col("n") / LEADERS)) == 0))
         if now.isEmpty():
             return label
-        small = now.where(F.col("n") <= SMALL_GROUP).select("key", "node", "label")
-        other = small.select("key", F.col("node").alias("b"), F.col("label").alias("label_b"))
-        pairs = small.join(other, "key").where("node < b and label != label_b").select(F.col("node").alias("a"), "b")
-        led = now.join(now.where("node = leader").select("key", F.col("label").alias("led")), "key")
-        large = led.where((F.col("n") > SMALL_GROUP) & (F.col("node") != F.col("leader")) & (F.col("label") != F.col("led"))).select(F.col("leader").alias("a"), F.col("node").alias("b"))
-        pairs = checkpoint(pairs.unionByName(large).distinct().join(tried, ["a", "b"], "left_anti"))
+        led = now.where("leads").select("key", F.col("node").alias("leader"), F.col("label").alias("led"))
+        pairs = now.join(led, "key").where("node != leader and label != led").select(F.least("node", "leader").alias("a"), F.greatest("node", "leader").alias("b"))
+        pairs = checkpoint(pairs.distinct().join(tried, ["a", "b"], "left_anti"))
         tried = tried.unionByName(pairs)
-        edges = checkpoint(edges.unionByName(_verified(pairs, texts, threshold)))
-        label = components(edges)
-        live = now.where((F.col("n") > SMALL_GROUP) & (F.col("node") != F.col("leader"))).select("key", "node")
+        new = checkpoint(_verified(pairs, texts, threshold))
+        if not new.isEmpty():
+            edges = edges.unionByName(new)
+            label = components(edges)
+        live = now.where("not leads").select("key", "node")
 
 
 def deduplicate(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", threshold: float = THRESHOLD) -> DataFrame:

@@ -98,10 +98,10 @@ def test_near_duplicates_against_brute_force(spark):
     assert minhash.near_duplicates(df.limit(0)).count() == 0 and minhash.deduplicate(df.limit(0)).count() == 0
 
 
-@pytest.mark.parametrize("small", [64, 1])
-def test_members_that_differ_from_the_leader_are_compared(spark, small, monkeypatch):
+@pytest.mark.parametrize("leaders", [64, 2])
+def test_members_that_differ_from_the_leader_are_compared(spark, leaders, monkeypatch):
     """Groups in which the leader is alike to none, but others are to each other."""
-    monkeypatch.setattr(minhash, "SMALL_GROUP", small)
+    monkeypatch.setattr(minhash, "LEADERS", leaders)
     monkeypatch.setattr(minhash, "BANDS", 1)
     monkeypatch.setattr(minhash, "ROWS", 1)
     monkeypatch.setattr(minhash, "band_keys", lambda earliest: np.zeros(1, np.int64))
