@@ -49,6 +49,17 @@ def align_customers(client: DataFrame, panel: DataFrame) -> DataFrame:
     return scored.groupBy("client").agg(F.max(F.struct(same.alias("same"), "score", "panel")).alias("best")).select("client", "best.panel", "best.score")
 
 
+def align_equal_markets(client: DataFrame, panel: DataFrame, customer: str | None = None) -> DataFrame:
+    """The part of `align_markets` that needs no likeness: labels whose words of place are the same. Same columns; of panel markets that tie the first."""
+    own = [w for w in (customer or "").lower().split() if w.isalpha()]
+    core = lambda c: F.array_join(F.filter(F.regexp_extract_all(F.lower(c), F.lit("[a-z][a-z']*"), F.lit(0)), lambda w: ~w.isin(*own, *GENERIC)), " ")
+    label = lambda df, c: df.where("market is not null").groupBy(F.col("market").alias(c)).agg(F.min("position").alias("at")).select(c, "at", core(F.col(c)).alias("core"))
+    there = label(panel, "d").where("core != ''").groupBy("core").agg(F.min_by("d", "at").alias("d"))
+    found = label(client, "c").join(there, "core", "left")
+    fits = F.col("d").isNotNull()
+    return found.select(F.col("c").alias("client_market"), F.col("d").alias("panel_market"), F.when(fits, "core").otherwise("none").alias("basis"), F.when(fits, 1.0).otherwise(0.0).alias("score"), F.lit(False).alias("caveat"), F.lit(None).cast("array<string>").alias("components"))
+
+
 def align_markets(client: DataFrame, panel: DataFrame, customer: str | None = None) -> DataFrame:
     """(client_market, panel_market, basis, score, caveat, components): what each client market is compared with; null if nothing fits.
 
@@ -64,7 +75,7 @@ def align_markets(client: DataFrame, panel: DataFrame, customer: str | None = No
     left, right = label(client, "c"), label(panel, "d")
     strong = lambda c: F.struct(F.size(_without(_without(_words(c), [*GENERIC, *DIRECTIONS]), TOTALS)), F.size(_words(c)))
     broadest = lambda df, c: df.where(text.is_total_like(F.col(c))).select(F.min_by(c, F.struct(strong(F.col(c)).alias("s"), f"{c}_at")).alias(c)).where(f"{c} is not null")
-    totals = broadest(left, "c").join(broadest(right, "d"), F.lit(True)).select("c", "d")  # one row each
+    totals = broadest(left, "c").join(broadest(right, "d"), F.lit(True)).select("c", "d").cache()  # one row each; what is used again is kept
     rest_c, rest_d = left.join(totals, "c", "left_anti"), right.join(totals, "d", "left_anti")
 
     forms = lambda df, c: df.select(c, f"{c}_at", _forms(F.col(c), own).alias(f"{c}_forms"), _without(_without(_without(_words(F.col(c)), own), GENERIC), DIRECTIONS).alias(f"{c}_core"))
@@ -73,7 +84,7 @@ def align_markets(client: DataFrame, panel: DataFrame, customer: str | None = No
     read = pairs.select("c", "c_at", "d", "d_at", "c_core", "d_core", F.explode("c_forms").alias("x"), "d_forms").select("*", F.explode("d_forms").alias("y"))
     scored = read.withColumn("s", fuzzy.token_set("x", "y")).groupBy("c", "d").agg(F.max("s").alias("s"), F.first("c_at").alias("c_at"), F.first("d_at").alias("d_at"), F.first(F.arrays_overlap("c_core", "d_core")).alias("place"))
     picked = scored.groupBy("c").agg(F.max_by(F.struct("d", "s", "c_at", "place"), F.struct("s", -F.col("d_at"))).alias("p")).select("c", "p.*").where(f"s >= {ENOUGH} and place")
-    won = picked.groupBy("d").agg(F.max_by(F.struct("c", "s"), F.struct("s", -F.col("c_at"))).alias("p")).select("p.c", "d", "p.s")
+    won = picked.groupBy("d").agg(F.max_by(F.struct("c", "s"), F.struct("s", -F.col("c_at"))).alias("p")).select("p.c", "d", "p.s").cache()
 
     left_c, left_d = rest_c.join(won, "c", "left_anti"), rest_d.join(won, "d", "left_anti").where(~text.is_total_like(F.col("d")))
     c_geo = geography.expand(left_c, "c").select(F.col("label").alias("c"), F.col("states").alias("c_states"), "part_cities").where("size(c_states) > 0")

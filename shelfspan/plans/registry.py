@@ -41,7 +41,7 @@ def run(spark: SparkSession, sf: str) -> coverage.Coverage:
     # Labels come with the place where they first appear; both lists are a few rows, taken from the small tables.
     names = read(spark, sf, "region").select("r_name", F.col("r_regionkey").alias("position"))
     there = names.where("r_name != 'ASIA'").select(F.concat(F.lit(f"{CUSTOMER} "), "r_name", F.lit(" TA")).alias("market"), "position")
-    aligned = align.align_markets(names.select(text.standardize(F.col("r_name")).alias("market"), "position"), there, CUSTOMER)
+    aligned = align.align_equal_markets(names.select(text.standardize(F.col("r_name")).alias("market"), "position"), there, CUSTOMER).cache()  # a row for each market label
     return coverage.run_coverage(mine, theirs, aligned, by_description=False)
 
 
