@@ -237,7 +237,7 @@ def grain_inference(spark: SparkSession, sf: str) -> DataFrame:
 
 def _labels(key: Column, day: Column) -> Column:
     """A period label in one of eight spellings."""
-    forms = (F.date_format(day, "MM/dd/yyyy"), F.concat(F.lit("WE "), F.date_format(day, "MM/dd/yyyy")), F.concat(F.lit("FY"), F.date_format(day, "yy"), F.lit(" P"), F.date_format(day, "MM")), F.date_format(day, "MMM-yy"), F.date_format(day, "yyyy MMM"), F.date_format(day, "yyyy-MM"), F.concat(F.lit("5 w/e "), F.date_format(day, "MM/dd/yy")), F.lit("hello"))
+    forms = (F.date_format(day, "MM/dd/yyyy"), F.concat(F.lit("WE "), F.date_format(day, "MM/dd/yyyy")), F.concat(F.lit("FY"), F.date_format(day, "yyyy"), F.lit(" P"), F.date_format(day, "MM")), F.date_format(day, "MMM-yyyy"), F.date_format(day, "yyyy MMM"), F.date_format(day, "yyyy-MM"), F.concat(F.lit("5 w/e "), F.date_format(day, "MM/dd/yy")), F.lit("hello"))
     return F.coalesce(*(F.when(key % 8 == k, f) for k, f in enumerate(forms)))
 
 
@@ -272,13 +272,13 @@ def desc_tokens(spark: SparkSession, sf: str) -> DataFrame:
     return read(spark, sf, "part").select("p_partkey", text.description_tokens(d).alias("t"), text.size_key(d).alias("size_key")).select("p_partkey", "t.*", "size_key")
 
 
-@query("SELECT p_partkey, CASE WHEN p_partkey % 5 = 0 THEN 'coca-cola' ELSE lower(p_brand) END AS brand_norm, string_split(p_name, ' ')[1] AS first_word, lower(replace(p_brand, '#', ' ')) AS value_form, lower(p_brand) || ' $' AS header_form FROM part")
+@query("SELECT p_partkey, CASE WHEN p_partkey % 5 = 0 THEN 'coca-cola' ELSE lower(p_brand) END AS brand_norm, CASE WHEN string_split(p_name, ' ')[1] IN ('old', 'new') THEN string_split(p_name, ' ')[2] ELSE string_split(p_name, ' ')[1] END AS first_word, lower(replace(p_brand, '#', ' ')) AS value_form, lower(p_brand) || ' $' AS header_form FROM part")
 def brand_norm(spark: SparkSession, sf: str) -> DataFrame:
     raw = F.when(F.col("p_partkey") % 5 == 0, F.lit("  COKE (The Company)")).otherwise(F.concat(F.upper("p_brand"), F.lit("  (maker)")))
     return read(spark, sf, "part").select("p_partkey", text.norm_brand(raw).alias("brand_norm"), text.brand_from_description(F.concat(F.lit("The 12 "), "p_name")).alias("first_word"), text.norm_value(F.col("p_brand")).alias("value_form"), text.norm_header(F.concat("p_brand", F.lit(" ($)"))).alias("header_form"))
 
 
-@query("SELECT n_name, n_nationkey % 3 = 0 AS total_like, CASE WHEN n_nationkey % 2 = 0 THEN 'Acme' ELSE string_split(n_name, ' ')[1] END AS customer, CASE WHEN n_name ~ '^[A-Z]{5,}$' THEN n_name[1] || lower(n_name[2:]) ELSE n_name END AS standard FROM nation WHERE NOT contains(n_name, ' ')")
+@query("SELECT n_name, n_nationkey % 3 = 0 AS total_like, CASE WHEN n_nationkey % 2 = 0 THEN 'Acme' ELSE string_split(n_name, ' ')[1] END AS customer, CASE WHEN upper(n_name) = n_name AND length(n_name) > 4 THEN n_name[1] || lower(n_name[2:]) ELSE n_name END AS standard FROM nation WHERE NOT contains(n_name, ' ')")
 def market_labels(spark: SparkSession, sf: str) -> DataFrame:
     n = read(spark, sf, "nation").where("not contains(n_name, ' ')")
     label = F.when(F.col("n_nationkey") % 3 == 0, F.concat("n_name", F.lit(" National Account"))).otherwise(F.col("n_name"))
