@@ -319,7 +319,7 @@ def overlap_count(spark: SparkSession, sf: str) -> DataFrame:
 def market_alignment(spark: SparkSession, sf: str) -> DataFrame:
     names = read(spark, sf, "region").select("r_name", F.col("r_regionkey").alias("position"))
     there = names.where("r_name != 'ASIA'").select(F.concat(F.lit("Acme "), "r_name", F.lit(" TA")).alias("market"), "position")
-    return align.align_markets(names.select(text.standardize(F.col("r_name")).alias("market"), "position"), there, CUSTOMER).select("client_market", "panel_market")
+    return align.align_equal_markets(names.select(text.standardize(F.col("r_name")).alias("market"), "position"), there, CUSTOMER).select("client_market", "panel_market")
 
 
 GEO = (("Western NY Operating Area", "NY"), ("Mid-Atlantic", ""), ("Buffalo TA", "NY"), ("Washington", "DC WA"), ("Orlando", "FL"), ("New England", "CT MA ME NH RI VT"), ("walmart", ""))
