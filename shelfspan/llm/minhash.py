@@ -9,7 +9,10 @@ later than every register, so a signature takes about one or two points for each
 
 Bands of registers give candidate groups. A group isn't expanded into pairs: its members are compared with
 one leader, verified links join components, and only members of a group that are still in different
-components are compared further, until no such members are left uncompared.
+components are compared further, until no such members are left uncompared. Two tests come before a pair's
+texts are read. One bit of each register: pairs at the threshold differ in more than `_most_apart` of them
+with probability below 2e-6. And a bound that loses nothing: bags can't share more than either of them shares
+with any other member of the wide groups, so members with too many shingles of their own leave these groups.
 """
 
 from __future__ import annotations
@@ -22,7 +25,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from shelfspan.llm.bpe import Remembered
-from shelfspan.llm.common import checkpoint, map_rows, materialize, small_side, table
+from shelfspan.llm.common import checkpoint, is_small, map_rows, materialize, small_side, table
 
 WORDS = 5
 THRESHOLD = 0.8
@@ -30,6 +33,10 @@ THRESHOLD = 0.8
 BANDS, ROWS = 30, 5
 #: After the first leader, about so many members of a group at a time are compared with the members of other components.
 LEADERS = 64
+#: Groups of so many that still are in different components have their members' own shingles counted.
+WIDE = 16
+#: Bits of a signature, in longs of as many bits.
+CELLS = 50
 
 MIX = tuple(np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB))
 
@@ -137,28 +144,45 @@ def band_keys(earliest: np.ndarray, bands: int = BANDS, rows: int = ROWS) -> np.
     return out.view(np.int64)
 
 
+def cells(earliest: np.ndarray) -> list[int]:
+    """One bit of each register, in longs of CELLS bits."""
+    bits = mixed(earliest.view(np.uint64)) & np.uint64(1)
+    place = np.uint64(1) << np.arange(CELLS, dtype=np.uint64)
+    return [int((bits[k : k + CELLS] * place[: len(bits) - k]).sum()) for k in range(0, len(bits), CELLS)]
+
+
+def _most_apart(threshold: float, m: int = BANDS * ROWS) -> int:
+    """Bits in which two bags at the threshold differ at most: 5.2 standard deviations above their mean."""
+    p = (1 - threshold) / 2
+    return int(m * p + 5.2 * (m * p * (1 - p)) ** 0.5)
+
+
 def text_md5(text: str) -> Column:
     return F.md5(F.coalesce(F.col(text), F.lit("")))
 
 
 def _signed(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
-    """(row, doc_id, md5, bands), checkpointed: a row for each row of docs; bands are null without words."""
+    """(row, doc_id, md5, bands, cells, size), checkpointed: a row for each row of docs; bands are null without words."""
 
     def make() -> Callable:
-        def keys(t: str) -> list[int] | None:
+        def keys(t: str) -> tuple:
             b = bag(t)
-            return band_keys(signature(*b)).tolist() if len(b[0]) else None
+            if not len(b[0]):
+                return None, None, 0
+            s = signature(*b)
+            return band_keys(s).tolist(), cells(s), int(b[1].sum())
 
         known = Remembered(keys, limit=1000)  # copies often are neighbours; only short keys are remembered
 
         def f(rows: dict[str, list]) -> dict[str, list]:
-            return {"bands": [known[t] if t and len(t) <= known.LONGEST_KEY else keys(t) for t in rows["text"]]}
+            got = [known[t] if t and len(t) <= known.LONGEST_KEY else keys(t or "") for t in rows["text"]]
+            return {c: [x[k] for x in got] for k, c in enumerate(("bands", "cells", "size"))}
 
         return f
 
     d = docs.select(F.col(doc_id).alias("doc_id"), text_md5(text).alias("md5"), F.col(text).alias("text"))
-    signed = map_rows(d, ["text"], "bands array<long>", make, keep=True).drop("text")
-    return checkpoint(signed.select(F.monotonically_increasing_id().alias("row"), "doc_id", "md5", "bands"))
+    signed = map_rows(d, ["text"], "bands array<long>, cells array<long>, size long", make, keep=True).drop("text")
+    return checkpoint(signed.select(F.monotonically_increasing_id().alias("row"), "doc_id", "md5", "bands", "cells", "size"))
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -206,7 +230,11 @@ def _verified(pairs: DataFrame, texts: DataFrame, threshold: float) -> DataFrame
 
         return f
 
-    t = lambda s: texts.select(F.col("node").alias(s), F.col("text").alias(f"text_{s}"))
+    def t(s: str) -> DataFrame:
+        found = texts.select(F.col("node").alias(s), F.col("text").alias(f"text_{s}"))
+        named = pairs.select(s).distinct()
+        return found.join(F.broadcast(named), s, "left_semi") if is_small(named) else found
+
     both = pairs.join(t("b"), "b").join(t("a"), "a")
     return map_rows(both, ["a", "text_a", "text_b"], "alike boolean", make, keep=True).where("alike").select("a", "b")
 
@@ -222,44 +250,91 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     """
     signed = _signed(docs, doc_id, text)
     node = signed.groupBy("md5").agg(F.min("row").alias("node"))
-    rows = checkpoint(signed.join(node, "md5").select("row", "node", "doc_id", "md5", F.when(F.col("row") == F.col("node"), F.col("bands")).alias("bands")))
+    rows = checkpoint(signed.join(node, "md5").select("row", "node", "doc_id", "md5", *(F.when(F.col("row") == F.col("node"), F.col(c)).alias(c) for c in ("bands", "cells", "size"))))
     label = _labels(rows, docs, doc_id, text, threshold)
     member = rows.select("node", "doc_id", "md5").join(label, "node", "left").select("doc_id", "md5", F.coalesce("label", "node").alias("label"))
     of = member.groupBy("label").agg(F.min("doc_id").alias("class_id"), F.count(F.lit(1)).alias("class_size"))
     return member.join(of, "label").select("doc_id", "md5", "class_id", "class_size")
 
 
+def _possible(a: str, b: str, threshold: float) -> Column:
+    """Whether the members in the struct columns a and b may be alike, by `size`, `own` (null outside wide groups) and `cells`."""
+    x, y = (lambda f: F.col(f"{a}.{f}")), (lambda f: F.col(f"{b}.{f}"))
+    known = x("own").isNotNull() & y("own").isNotNull()
+    shared = F.when(known, F.least(x("size") - x("own"), y("size") - y("own"))).otherwise(F.least(x("size"), y("size")))
+    apart = sum((F.bit_count(x("cells")[k].bitwiseXOR(y("cells")[k])) for k in range(BANDS * ROWS // CELLS)), F.lit(0))
+    return (shared * (1 + threshold) + 1e-6 >= (x("size") + y("size")) * threshold) & (apart <= _most_apart(threshold))
+
+
+def _own_shingles(texts: DataFrame, nodes: DataFrame) -> DataFrame:
+    """(node, own): how many shingles of each of the nodes none of the others has, repeats counted."""
+
+    def make() -> Callable:
+        def f(rows: dict[str, list]) -> dict[str, list]:
+            return {"bag": [[{"shingle": int(s), "times": int(n)} for s, n in zip(e.view(np.int64), w, strict=True)] for e, w in map(bag, rows["text"])]}
+
+        return f
+
+    of = map_rows(texts.join(small_side(nodes), "node"), ["text"], "bag array<struct<shingle:long,times:long>>", make, keep=True).select("node", F.explode("bag").alias("s"))
+    alone = of.groupBy("s.shingle").agg(F.count(F.lit(1)).alias("n"), F.min("node").alias("node"), F.min("s.times").alias("times")).where("n = 1")
+    return nodes.join(alone.groupBy("node").agg(F.sum("times").alias("own")), "node", "left").select("node", F.coalesce("own", F.lit(0).cast("long")).alias("own"))
+
+
 def _labels(rows: DataFrame, docs: DataFrame, doc_id: str, text: str, threshold: float) -> DataFrame:
     """(node, label) of nodes that are linked to others."""
     bands = rows.where("bands is not null").select("node", F.explode("bands").alias("key"))
     leader = bands.groupBy("key").agg(F.min("node").alias("leader"), F.count(F.lit(1)).alias("n")).where("n > 1")
     live = checkpoint(bands.join(leader, "key").where("node != leader").select("key", "node", "leader"))
     named = live.select(F.explode(F.array("node", "leader")).alias("node")).distinct()
-    wanted = rows.where("row = node").join(named, "node").select("node", F.col("md5").alias("of_md5"), F.col("doc_id").alias("of_id"))
+    wanted = checkpoint(rows.where("row = node").join(named, "node").select("node", F.col("md5").alias("of_md5"), F.col("doc_id").alias("of_id"), "size", "cells"))
     d = docs.select(F.col(doc_id).alias("of"), text_md5(text).alias("md5"), F.col(text).alias("text"))
     found = d.join(small_side(wanted), (d["md5"] == wanted["of_md5"]) & d["of"].eqNullSafe(wanted["of_id"])).select("node", "text")
     texts = materialize(found.dropDuplicates(["node"]))
+    facts = wanted.select("node", "size", "cells", F.lit(None).cast("long").alias("own"))
 
-    tried = live.select(F.col("leader").alias("a"), F.col("node").alias("b")).distinct()
+    def described(pairs: DataFrame) -> DataFrame:
+        """The pairs (a, b) that may be alike."""
+        x = lambda s: small_side(facts.select(F.col("node").alias(s), F.struct("size", "cells", "own").alias(f"of_{s}")))
+        return pairs.join(x("a"), "a").join(x("b"), "b").where(_possible("of_a", "of_b", threshold)).select("a", "b")
+
+    tried = checkpoint(described(live.select(F.col("leader").alias("a"), F.col("node").alias("b")).distinct()))
     edges = checkpoint(_verified(tried, texts, threshold))
     label = components(edges)
     live = live.select("key", "node")
+
+    def mixed_groups() -> DataFrame:
+        """(key, node, label, n, least): members of groups that are in different components, with the group's size and its least bag."""
+        now = live.join(label, "node", "left").select("key", "node", F.coalesce("label", "node").alias("label")).join(small_side(facts), "node")
+        group = now.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("size").alias("least"), (F.min("label") != F.max("label")).alias("mixed")).where("mixed")
+        return checkpoint(now.join(group.drop("mixed"), "key"))
+
+    # Wide groups lose the members that have too many shingles of their own; the others meet the one with the fewest.
+    now = mixed_groups()
+    own = _own_shingles(texts, now.where(F.col("n") >= WIDE).select("node").distinct())
+    facts = checkpoint(facts.drop("own").join(small_side(own), "node", "left"))
+    now = now.drop("own").join(small_side(own), "node", "left")
+    partner = F.greatest(F.col("least"), F.col("size") * threshold)
+    may = (F.col("size") - F.col("own")) * (1 + threshold) + 1e-6 >= (F.col("size") + partner) * threshold
+    now = checkpoint(now.where((F.col("n") < WIDE) | may))
+    live = now.select("key", "node")
+    central = now.where(F.col("n") >= WIDE).groupBy("key").agg(F.min(F.struct("own", "node")).alias("c")).select("key", F.col("c.node").alias("leader"))
+    pairs = now.join(central, "key").where("node != leader").select(F.least("node", "leader").alias("a"), F.greatest("node", "leader").alias("b")).distinct()
+    pairs = checkpoint(described(pairs.join(tried, ["a", "b"], "left_anti")))
     while True:
-        # Leaders have been compared with all of their group; what is left matters where components still differ.
-        now = live.join(label, "node", "left").select("key", "node", F.coalesce("label", "node").alias("label"))
-        group = now.groupBy("key").agg(F.count(F.lit(1)).alias("n"), (F.min("label") != F.max("label")).alias("mixed")).where("mixed")
-        now = checkpoint(now.join(group.select("key", "n"), "key").withColumn("leads", F.pmod(F.xxhash64("node", "n"), F.ceil(F.col("n") / LEADERS)) == 0))
-        if now.isEmpty():
-            return label
-        led = now.where("leads").select("key", F.col("node").alias("leader"), F.col("label").alias("led"))
-        pairs = now.join(led, "key").where("node != leader and label != led").select(F.least("node", "leader").alias("a"), F.greatest("node", "leader").alias("b"))
-        pairs = checkpoint(pairs.distinct().join(tried, ["a", "b"], "left_anti"))
         tried = tried.unionByName(pairs)
         new = checkpoint(_verified(pairs, texts, threshold))
         if not new.isEmpty():
             edges = edges.unionByName(new)
             label = components(edges)
-        live = now.where("not leads").select("key", "node")
+        # Who has led has been compared with all of the group; what is left matters where components still differ.
+        now = mixed_groups()
+        if now.isEmpty():
+            return label
+        now = now.select("key", F.struct("node", "size", "cells", "own").alias("x"), "label", (F.pmod(F.xxhash64("node", "n"), F.ceil(F.col("n") / LEADERS)) == 0).alias("leads"))
+        led = now.where("leads").select("key", F.col("x").alias("y"), F.col("label").alias("led"))
+        pairs = now.join(led, (now["key"] == led["key"]) & (F.col("label") != F.col("led")) & _possible("x", "y", threshold)).select(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b"))
+        pairs = checkpoint(pairs.distinct().join(tried, ["a", "b"], "left_anti"))
+        live = now.where("not leads").select("key", "x.node")
 
 
 def deduplicate(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", threshold: float = THRESHOLD) -> DataFrame:

@@ -9,6 +9,7 @@ import numpy as np
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from shelfspan.llm import language, minhash, pii, tokens, toxicity
 
@@ -98,16 +99,14 @@ def test_near_duplicates_against_brute_force(spark):
     assert minhash.near_duplicates(df.limit(0)).count() == 0 and minhash.deduplicate(df.limit(0)).count() == 0
 
 
-@pytest.mark.parametrize("leaders", [64, 2])
-def test_members_that_differ_from_the_leader_are_compared(spark, leaders, monkeypatch):
+@pytest.mark.parametrize(("leaders", "wide"), [(64, 16), (2, 16), (2, 2)])
+def test_members_that_differ_from_the_leader_are_compared(spark, leaders, wide, monkeypatch):
     """Groups in which the leader is alike to none, but others are to each other."""
     monkeypatch.setattr(minhash, "LEADERS", leaders)
-    monkeypatch.setattr(minhash, "BANDS", 1)
-    monkeypatch.setattr(minhash, "ROWS", 1)
-    monkeypatch.setattr(minhash, "band_keys", lambda earliest: np.zeros(1, np.int64))
+    monkeypatch.setattr(minhash, "WIDE", wide)
     docs = [(1, " ".join(f"a{k}" for k in range(60)))] + [(2 + j + 3 * v, " ".join(f"b{v}{k if k != 30 + j else 'z'}" for k in range(100))) for v in range(2) for j in range(3)]
-    rows = spark.createDataFrame([(k, k, i, str(k), [7]) for k, (i, _) in enumerate(docs)], "row long, node long, doc_id long, md5 string, bands array<long>")
-    rows = rows.drop("md5").join(spark.createDataFrame(docs, "doc_id long, text string").withColumn("md5", minhash.text_md5("text")).drop("text"), "doc_id")
+    rows = minhash._signed(spark.createDataFrame(docs, "doc_id long, text string"), "doc_id", "text")
+    rows = rows.withColumn("row", F.col("doc_id") - 1).withColumn("node", F.col("row")).withColumn("bands", F.array(F.lit(7).cast("long")))
     got = minhash._labels(rows, spark.createDataFrame(docs, "doc_id long, text string"), "doc_id", "text", 0.8)
     assert {(r.node, r.label) for r in got.collect() if r.node != r.label} == {(2, 1), (3, 1), (5, 4), (6, 4)}
 
