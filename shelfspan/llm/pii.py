@@ -63,9 +63,18 @@ BRACKETED = re.compile(r"\s*(?:\[\s*(?P<a>at|@|dot|\.)\s*\]|\(\s*(?P<b>at|@|dot|
 #: Last labels that make `at` and `dot` between blanks an address.
 LAST = "com|org|net|edu|gov|mil|info|biz|dev|app|co|io|ai|me|tv|de|fr|es|it|uk|eu|us|ch|nl|be|pl|se|pt|mx|ca|au|ru|in|jp|cn|br|example|test|invalid"
 SPACED = re.compile(rf"(?<=[A-Za-z0-9])(?P<at>[ _]+at[ _]+)(?P<host>[A-Za-z0-9-]+(?:(?:[ _]+dot[ _]+|\.)[A-Za-z0-9-]+)*[ _]+dot[ _]+(?:{LAST})\b)", re.IGNORECASE)
-DOT_WORD = re.compile(r"[ _]+dot[ _]+", re.IGNORECASE)
+DOT_WORD = re.compile(r"(?<![ _])[ _]+dot[ _]+", re.IGNORECASE)
 AROUND_AT = re.compile(r"(?<=[A-Za-z0-9])[ \t]+@[ \t]*(?=[A-Za-z0-9])|(?<=[A-Za-z0-9])@[ \t]+(?=[A-Za-z0-9])")
-LOCAL_DOT = re.compile(r"(?<=[A-Za-z0-9])[ _]+dot[ _]+(?=[A-Za-z0-9._%+-]+@)", re.IGNORECASE)
+#: What may stand in the part before an @, and a host whose labels are joined by dots or dot words.
+LOCAL_RUN = re.compile(r"[A-Za-z0-9._%+-]+")
+HOST_DOTS = re.compile(r"(?<=[A-Za-z0-9._%+-]@)[A-Za-z0-9-]+(?:(?:[ _]+dot[ _]+|\.)[A-Za-z0-9-]+)+", re.IGNORECASE)
+#: Four numbers, in figures or in up to three digit words each, between dots or dot words.
+DOT_NAME = "dot|point|punkt|punto"
+IP_SIGN = re.compile(rf"(?<![ _])[ _]+(?:{DOT_NAME})[ _]+(?:[0-9]|(?:{DIGIT_WORD})\b)", re.IGNORECASE)
+IP_NUMBER = rf"(?:[0-9]+|(?:{DIGIT_WORD})(?:[ -]+(?:{DIGIT_WORD})){{0,2}})"
+IP_DOT = rf"(?:[ _]+(?:{DOT_NAME})[ _]+|\.)"
+IP_WORDS = re.compile(rf"(?:(?<![0-9])(?=[0-9])|(?<!\w)(?=[^\W0-9_])){IP_NUMBER}(?:{IP_DOT}{IP_NUMBER}){{3}}(?![^\W0-9_])", re.IGNORECASE)
+IP_PART = re.compile(rf"(?P<figures>[0-9]+)|(?P<dot>[ _]+(?:{DOT_NAME})[ _]+|\.)|(?P<word>{DIGIT_WORD})|(?P<gap>[ -]+)", re.IGNORECASE)
 
 
 def emails(text: str) -> Iterator[tuple[int, int]]:
@@ -154,6 +163,29 @@ def digit_changes(text: str) -> Iterator[tuple[int, int, str]]:
             at = p.end()
 
 
+def local_changes(text: str) -> list[tuple[int, int, str]]:
+    """Dot words of the part before an @ to dots; taken from the right, as only the last one meets the @."""
+    changes, after, joined = [], len(text), False
+    for d in reversed(list(DOT_WORD.finditer(text))):
+        run = LOCAL_RUN.match(text, d.end(), after)
+        joined = run is not None and (joined if run.end() == after else text[run.end()] == "@")
+        after = d.start()
+        if joined and LOCAL_RUN.match(text, max(0, after - 1), after):
+            changes.append((*d.span(), "."))
+    return changes[::-1]
+
+
+def ip_changes(text: str) -> Iterator[tuple[int, int, str]]:
+    """Four numbers between dot words to figures and dots."""
+    for m in IP_WORDS.finditer(text):
+        if not IP_SIGN.search(text, *m.span()):
+            continue
+        for p in IP_PART.finditer(text, m.start(), m.end()):
+            new = p["figures"] or (SPELLED[p["word"].lower()] if p["word"] else "." if p["dot"] else "")
+            if new != p.group():
+                yield *p.span(), new
+
+
 def deobfuscated(text: str) -> Rewritten | None:
     """The text after all transducers; None if none of them finds anything."""
     out = Rewritten(text)
@@ -177,8 +209,13 @@ def deobfuscated(text: str) -> Rewritten | None:
         out.replace([(*d.span(), ".") for d in DOT_WORD.finditer(out.text) if "@" in out.text[max(0, d.start() - 80) : d.end() + 80]])
     if " @" in out.text or "@ " in out.text:
         out.replace([(*m.span(), "@") for m in AROUND_AT.finditer(out.text)])
+    if "@" in out.text and "dot" in lower:
+        out.replace(local_changes(out.text))
+        out.replace([(*d.span(), ".") for m in HOST_DOTS.finditer(out.text) for d in DOT_WORD.finditer(out.text, *m.span())])
     if ANY_DIGIT_WORD.search(out.text):
         out.replace(list(digit_changes(out.text)))
+    if IP_SIGN.search(out.text):
+        out.replace(list(ip_changes(out.text)))
     return None if out.start is None else out
 
 

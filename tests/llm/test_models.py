@@ -2,6 +2,7 @@
 
 import random
 import re
+import time
 import zlib
 from collections import Counter
 
@@ -166,6 +167,28 @@ def test_disguises(text, want):
     assert [text[a:b] for a, b, _ in spans] == ([want] if want else [])
 
 
+@pytest.mark.parametrize(
+    ("text", "want"),
+    [
+        ("john@example dot com", ["john@example dot com"]),
+        ("mail john dot doe@example dot co dot uk now", ["john dot doe@example dot co dot uk"]),
+        ("192 dot 168 dot 0 dot 1", ["192 dot 168 dot 0 dot 1"]),
+        ("host 192.168 dot zero dot 1 or one dot one dot one dot one", ["192.168 dot zero dot 1", "one dot one dot one dot one"]),
+        ("see me@site.org dot your i's, 300 dot 1 dot 1 dot 1 or 1 dot 2 dot 3", ["me@site.org"]),
+        ("no dot @ here, the a dot of a dot b", []),
+    ],
+)
+def test_dot_words_in_plain_text(text, want):
+    assert [text[a:b] for a, b, _ in pii.all_spans(text, pii.plain_spans(text))] == want
+
+
+def test_dot_words_take_linear_time():
+    began = time.process_time()
+    for text in ("a dot " * 40000 + "@", "_" * 60000 + "@ dot", " " * 60000 + "@ dot 1", "a_dot_" * 20000 + "b@", "x@" + "a dot " * 20000, "1 dot " * 40000):
+        assert pii.all_spans(text, []) is not None
+    assert time.process_time() - began < 20
+
+
 def test_pii_table(spark):
     rows = [(1, "a@b.co 1.2.3.4"), (2, None), (3, ""), (4, LONG + "x@y.org"), (4, "same"), (None, "x (at) y (dot) org")]
     df = spark.createDataFrame([(i, t, "s", 1) for i, t in rows], "doc_id long, text string, spans string, n_ip int")
