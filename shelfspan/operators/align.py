@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -36,14 +38,48 @@ def _forms(label: Column, customer: Column) -> Column:
     return F.filter(F.array_distinct(F.array(*(F.array_join(f, " ") for f in forms))), lambda f: f != "")
 
 
+#: Pairs of neighbouring characters that strings must share, of the length of the shorter one (n) and of the sum of
+#: both lengths (s). If 2 * LCS >= q * s, then at least 3 * LCS - s - 1 pairs of neighbours in the LCS are neighbours
+#: in both strings: each character that is left out parts one pair. A stretch for which `partial` is 82 or more has
+#: at least 0.41 / 0.59 of the shorter one's length, and what is contained has all of its n - 1 pairs.
+ENOUGH_SHARED = {"partial": lambda n, s: 0.23 * n / 0.59 - 1, "token_set 90": lambda n, s: 0.35 * s - 1}
+
+
+def _shared_pieces(left: DataFrame, c: str, right: DataFrame, d: str, enough: Callable[[Column, Column], Column], written: Callable[[Column], Column] = lambda x: x) -> DataFrame:
+    """(c, d): distinct pairs that share as many pairs of neighbouring characters as `enough` asks, at least one, or a string of one character.
+
+    A pair that occurs k times in a string counts k times. `written` is the form of a string that is looked at.
+    """
+
+    def pieces(df: DataFrame, x: str, here: str, there: str) -> DataFrame:
+        # A string of one character meets the characters of the other side's strings; no other characters meet.
+        own = df.select(x, written(F.col(x)).alias("v")).where("v != ''").withColumn("n", F.char_length("v"))
+        pairs = own.where("n > 1").select(x, "n", F.explode(F.expr("transform(sequence(1, n - 1), k -> substring(v, k, 2))")).alias("piece"))
+        alone = own.where("n = 1").select(x, "n", F.concat(F.lit(here), "v").alias("piece"))
+        each = own.select(x, "n", F.explode(F.expr("array_distinct(transform(sequence(1, n), k -> substring(v, k, 1)))")).alias("piece"))
+        met = pairs.unionByName(alone).unionByName(each.withColumn("piece", F.concat(F.lit(there), "piece")))
+        return met.groupBy(x, "n", "piece").agg(F.count(F.lit(1)).alias("times"))
+
+    a = pieces(left, c, "left:", "right:").withColumnsRenamed({"n": "n_a", "times": "times_a"})
+    b = pieces(right, d, "right:", "left:").withColumnsRenamed({"n": "n_b", "times": "times_b"})
+    met = a.join(b, "piece")
+    counted = met.groupBy(c, d, "n_a", "n_b").agg(F.sum(F.least("times_a", "times_b")).alias("shared"))
+    n, s = F.least("n_a", "n_b"), F.col("n_a") + F.col("n_b")
+    return counted.where((n == 1) | (F.col("shared") >= enough(n, s) - 1e-9)).select(c, d)
+
+
 def align_customers(client: DataFrame, panel: DataFrame) -> DataFrame:
     """(client, panel, score): each client customer's panel customer: equal after normalising, else the most alike from 90 on.
 
-    Inputs have a column `customer` and are customers lists, so few rows; candidates share a word or are equal.
+    Inputs have a column `customer` and are customers lists, so few rows. Candidates share a word, or their sorted
+    words share as many pairs of characters as a likeness of 90 without a common word implies.
     """
     side = lambda df, c: df.select(F.col("customer").alias(c), text.norm_value(F.col("customer")).alias(f"{c}_norm")).where(f"{c} is not null").distinct()
     words = lambda df, c: df.select("*", F.explode(F.split(f"{c}_norm", " ")).alias("word"))
-    pairs = words(side(client, "client"), "client").join(words(side(panel, "panel"), "panel"), "word").drop("word").distinct()
+    mine, theirs = side(client, "client"), side(panel, "panel")
+    norms = lambda df, c: df.select(f"{c}_norm").distinct()
+    close = _shared_pieces(norms(mine, "client"), "client_norm", norms(theirs, "panel"), "panel_norm", ENOUGH_SHARED["token_set 90"], lambda x: F.array_join(F.array_sort(F.array_distinct(F.split(x, " "))), " "))
+    pairs = words(mine, "client").join(words(theirs, "panel"), "word").drop("word").unionByName(mine.join(close, "client_norm").join(theirs, "panel_norm")).distinct()
     same = F.col("client_norm") == F.col("panel_norm")
     scored = pairs.withColumn("score", F.when(same, F.lit(100.0)).otherwise(fuzzy.token_set("client_norm", "panel_norm"))).where("score >= 90")
     return scored.groupBy("client").agg(F.max(F.struct(same.alias("same"), "score", "panel")).alias("best")).select("client", "best.panel", "best.score")
@@ -108,17 +144,18 @@ def align_markets(client: DataFrame, panel: DataFrame, customer: str | None = No
 def align_brands(client: DataFrame, panel: DataFrame) -> DataFrame:
     """(client_brand, panel_brand, basis): equal but for blanks, else the shortest panel brand that contains it or is contained, else alike in part and in words.
 
-    Inputs have a column `brand`, normalised. Candidates for containment and likeness share a word.
+    Inputs have a column `brand`, normalised. Containment needs a client brand of three characters at least.
+    Likeness looks at the panel brand that is most alike in part (82 at least) and then at its words (60 at least).
     """
     side = lambda df, c: df.select(F.col("brand").alias(c)).where(f"{c} is not null").distinct()
     c, d = side(client, "c"), side(panel, "d")
     tight = lambda x: text.without_blanks(F.col(x))
     exact = c.join(d, tight("c") == tight("d")).groupBy("c").agg(F.min("d").alias("d")).withColumn("basis", F.lit("equal"))
-    words = lambda df, x: df.select(x, F.explode(F.array_distinct(F.split(x, " "))).alias("word"))
-    near = words(c.join(exact, "c", "left_anti"), "c").join(words(d, "d"), "word").select("c", "d").distinct()
-    within = near.where(F.col("d").contains(F.col("c")) | F.col("c").contains(F.col("d"))).groupBy("c").agg(F.min_by("d", F.struct(F.char_length("d"), "d")).alias("d")).withColumn("basis", F.lit("contained"))
-    rest = near.join(within, "c", "left_anti").select("c", "d", fuzzy.partial("c", "d").alias("p"), fuzzy.token_set("c", "d").alias("t")).where("p >= 82 and t >= 60")
-    alike = rest.groupBy("c").agg(F.max_by("d", F.struct("p", "t", "d")).alias("d")).withColumn("basis", F.lit("alike"))
+    near = _shared_pieces(c.join(exact, "c", "left_anti"), "c", d, "d", ENOUGH_SHARED["partial"])
+    within = near.where((F.char_length("c") >= 3) & (F.col("d").contains(F.col("c")) | F.col("c").contains(F.col("d")))).groupBy("c").agg(F.min_by("d", F.struct(F.char_length("d"), "d")).alias("d")).withColumn("basis", F.lit("contained"))
+    rest = near.join(within, "c", "left_anti").select("c", "d", fuzzy.partial("c", "d").alias("p"), fuzzy.token_set("c", "d").alias("t")).where("p >= 82")
+    best = rest.groupBy("c").agg(F.max(F.struct("p", "t", "d")).alias("b")).where("b.t >= 60")
+    alike = best.select("c", "b.d", F.lit("alike").alias("basis"))
     return exact.unionByName(within).unionByName(alike).select(F.col("c").alias("client_brand"), F.col("d").alias("panel_brand"), "basis")
 
 
@@ -133,7 +170,7 @@ def build_crosswalk(client: DataFrame, panel: DataFrame, cutoff: float = 0.65) -
     """(client_key, panel_key, score, basis): client codes without a panel twin, matched on brand and description.
 
     Inputs have upc_key, description, brand (normalised) and position; the first row of a code counts. Panel
-    products of the same brand are candidates, or if there is none those of a brand that contains it as words;
+    products of the same brand are candidates, or if there is none those of a brand that contains it;
     of these the ones of equal pack and size if there are any. Most alike descriptions win; equal pack and size
     adds 8.
     """
@@ -142,8 +179,9 @@ def build_crosswalk(client: DataFrame, panel: DataFrame, cutoff: float = 0.65) -
     c = c.join(d, F.col("c_key") == F.col("d_key"), "left_anti").where("c_brand is not null and c_desc is not null")
     same = c.join(d, F.col("c_brand") == F.col("d_brand"))
     alone = c.join(d, F.col("c_brand") == F.col("d_brand"), "left_anti")
-    words = d.select("*", F.explode(F.array_distinct(F.split("d_brand", " "))).alias("word"))
-    within = alone.withColumn("word", F.get(F.split("c_brand", " "), 0)).join(words, "word").where(F.col("d_brand").contains(F.col("c_brand"))).drop("word")
+    brands = lambda df, x: df.where(f"{x} is not null").select(x).distinct()
+    wider = _shared_pieces(brands(alone, "c_brand"), "c_brand", brands(d, "d_brand"), "d_brand", lambda n, _: n - 1).where(F.col("d_brand").contains(F.col("c_brand")))
+    within = alone.join(wider, "c_brand").join(d, "d_brand").select(*same.columns)
     fits = F.coalesce(F.col("c_size") == F.col("d_size"), F.lit(False))
     pool = same.unionByName(within).withColumn("fits", fits).withColumn("any_fits", F.max("fits").over(Window.partitionBy("c_key"))).where("(fits or not any_fits) and d_desc is not null")
     scored = pool.withColumn("s", F.least(F.lit(100.0), fuzzy.token_set("c_desc", "d_desc") + F.when(F.col("fits"), 8.0).otherwise(0.0)))
