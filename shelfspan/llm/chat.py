@@ -102,10 +102,12 @@ def read_back(formatted: Column) -> Column:
 
 
 def op4_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", *(F.coalesce(c, F.lit("")).alias(c) for c in ("role", "text"))).distinct()
     said = "</s>[INST] ok [/INST]"
     extra = spark.createDataFrame([(-7, 0, "user", said), (-7, 1, "assistant", said)], "conv_id long, turn long, role string, text string")
-    events = rows.unionByName(extra).withColumns({"seq": F.col("turn"), "kind": F.lit("message")})
+    # Rows that tie on a turn are messages of their own, in the order of role and text.
+    tied = Window.partitionBy("conv_id", "turn").orderBy("role", "text")
+    events = rows.unionByName(extra).withColumns({"seq": F.col("turn"), "kind": F.lit("message"), "turn": F.struct("turn", F.row_number().over(tied).alias("tie"))})
     read = render(fold(events)).select("*", read_back(F.col("formatted")).alias("turns"))
     loss = F.array_join(F.transform(F.filter("turns", lambda t: t["role"] == LOSS_ROLE), lambda t: t["text"]), "")
     return read.select("conv_id", F.size("turns").cast("long").alias("n_turns"), "turns", loss.alias("loss"), "formatted").select(

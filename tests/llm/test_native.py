@@ -4,6 +4,7 @@ import hashlib
 import json
 import re
 
+import duckdb
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -75,6 +76,15 @@ def test_ties_have_a_defined_order(spark):
     assert [r.text for r in chat.fold(df).collect()] == ["b"]
 
 
+def test_tied_turns_against_sql(spark, tmp_path):
+    rows = [(1, 0, "user", "b"), (1, 0, "user", "a"), (1, 1, "assistant", "x"), (1, 1, "assistant", "x"), (1, 1, "assistant", "y"), (1, 1, "user", "x"), (2, 0, None, "t"), (2, 0, "", None), (2, 0, "assistant", "s")]
+    spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").write.parquet(f"{tmp_path}/conversations.parquet")
+    db = duckdb.connect()
+    db.execute(f"CREATE VIEW conversations AS FROM '{tmp_path}/conversations.parquet/*.parquet'")
+    want = db.execute(chat.OP4_SQL).fetchall()
+    assert sorted(map(tuple, chat.op4_chat_format(spark, str(tmp_path)).collect())) == sorted(want)
+
+
 # -- decontamination
 
 
