@@ -248,13 +248,18 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     the least doc_id of the class (null if it has none), `class_size` its rows. Only one of each set of equal
     texts gets compared. Extra columns are ignored.
     """
+    member = _members(docs, doc_id, text, threshold)
+    of = member.groupBy("label").agg(F.min("doc_id").alias("class_id"), F.count(F.lit(1)).alias("class_size"))
+    return member.join(of, "label").select("doc_id", "md5", "class_id", "class_size")
+
+
+def _members(docs: DataFrame, doc_id: str, text: str, threshold: float) -> DataFrame:
+    """(doc_id, md5, label): a row for each row of docs; rows of a class, and no others, have the same label."""
     signed = _signed(docs, doc_id, text)
     node = signed.groupBy("md5").agg(F.min("row").alias("node"))
     rows = checkpoint(signed.join(node, "md5").select("row", "node", "doc_id", "md5", *(F.when(F.col("row") == F.col("node"), F.col(c)).alias(c) for c in ("bands", "cells", "size"))))
     label = _labels(rows, docs, doc_id, text, threshold)
-    member = rows.select("node", "doc_id", "md5").join(label, "node", "left").select("doc_id", "md5", F.coalesce("label", "node").alias("label"))
-    of = member.groupBy("label").agg(F.min("doc_id").alias("class_id"), F.count(F.lit(1)).alias("class_size"))
-    return member.join(of, "label").select("doc_id", "md5", "class_id", "class_size")
+    return rows.select("node", "doc_id", "md5").join(label, "node", "left").select("doc_id", "md5", F.coalesce("label", "node").alias("label"))
 
 
 def _possible(a: str, b: str, threshold: float) -> Column:
@@ -339,8 +344,8 @@ def _labels(rows: DataFrame, docs: DataFrame, doc_id: str, text: str, threshold:
 
 def deduplicate(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", threshold: float = THRESHOLD) -> DataFrame:
     """One row of each class of near duplicates, with all columns of docs: that of the least doc_id, null last, then the least MD5 of the text; of repeats of it, any one."""
-    of = near_duplicates(docs, doc_id, text, threshold)
-    first = of.groupBy(F.coalesce("class_id", F.lit(None).cast("long")).alias("class_id"), F.when(F.col("class_id").isNull(), F.col("md5")).alias("alone"))
+    # Classes are told apart by their labels: the same doc_id may stand in several, or in none.
+    first = _members(docs, doc_id, text, threshold).groupBy("label")
     keep = first.agg(F.min(F.struct(F.col("doc_id").isNull().alias("last"), F.col("doc_id").alias("of_id"), F.col("md5").alias("of_md5"))).alias("k")).select("k.of_id", "k.of_md5")
     kept = docs.withColumn("__md5", text_md5(text))
     kept = kept.join(keep, (kept["__md5"] == keep["of_md5"]) & kept[doc_id].eqNullSafe(keep["of_id"]), "left_semi")

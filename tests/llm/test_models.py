@@ -119,6 +119,13 @@ def test_components(spark):
     assert minhash.components(spark.createDataFrame([], "a long, b long")).count() == 0
 
 
+def test_one_row_of_each_class_whatever_its_ids(spark):
+    words = lambda w, k: " ".join(f"{w}{i}" for i in range(k))
+    rows = [(1, words("tree", 60)), (1, words("stone", 60)), (None, words("cloud", 60)), (None, words("cloud", 61)), (None, words("river", 60))]
+    kept = minhash.deduplicate(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted((str(r.doc_id), r.text[:5]) for r in kept) == [("1", "stone"), ("1", "tree0"), ("None", "cloud"), ("None", "river")]
+
+
 # -- personal data
 
 BASE = {
