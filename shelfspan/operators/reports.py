@@ -138,8 +138,9 @@ def brand_overlap(client: DataFrame, panel: DataFrame) -> DataFrame:
     """One row: brands of each side, of both, and up to 20 client brands that the panel lacks, sorted and comma-joined."""
     side = lambda df: df.select(F.col("brand_norm").alias("brand")).where("brand is not null").distinct()
     j = side(client).withColumn("c", F.lit(1)).join(side(panel).withColumn("p", F.lit(1)), "brand", "full")
-    lacking = F.slice(F.array_sort(F.collect_set(F.when(F.col("p").isNull(), F.col("brand")))), 1, 20)
-    return j.agg(F.count("c").alias("client_brand_count"), F.count("p").alias("panel_brand_count"), F.count_if(F.col("c").isNotNull() & F.col("p").isNotNull()).alias("overlap_count"), F.array_join(lacking, ", ").alias("client_unmatched_brands"))
+    counts = j.agg(F.count("c").alias("client_brand_count"), F.count("p").alias("panel_brand_count"), F.count_if(F.col("c").isNotNull() & F.col("p").isNotNull()).alias("overlap_count"))
+    lacking = j.where("p is null").orderBy("brand").limit(20).agg(F.array_join(F.array_sort(F.collect_list("brand")), ", ").alias("client_unmatched_brands"))
+    return counts.join(F.broadcast(lacking), F.lit(True))  # one row each
 
 
 def filtered(groups: DataFrame, search: str | None = None, **equal: str | None) -> DataFrame:
