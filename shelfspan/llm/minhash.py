@@ -8,11 +8,12 @@ probability of the bags' weighted Jaccard index. Points come in time order and a
 later than every register, so a signature takes about one or two points for each shingle.
 
 Bands of registers give candidate groups. A group isn't expanded into pairs: its members are compared with
-one leader, verified links join components, and only members of a group that are still in different
-components are compared further, until no such members are left uncompared. Two tests come before a pair's
-texts are read. One bit of each register: pairs at the threshold differ in more than `_most_apart` of them
-with probability below 2e-6. And a bound that loses nothing: bags can't share more than either of them shares
-with any other member of the wide groups, so members with too many shingles of their own leave these groups.
+one leader (the one that shares most bands with others), and verified links join components. Members of a
+group that still are in different components are looked at once more, together: a pair at the threshold has
+so many shingles in common that both have one of them among their rarest, in places that the two sizes bound
+(a prefix join, which loses no pair). Shingles that no other such member has come first, so members that have
+too many of their own drop out, and what meets is nearly always a link. No step repeats until it has nothing
+left to do, but for the components.
 """
 
 from __future__ import annotations
@@ -25,18 +26,12 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from shelfspan.llm.bpe import Remembered
-from shelfspan.llm.common import checkpoint, is_small, map_rows, materialize, small_side, table
+from shelfspan.llm.common import Scratch, is_small, map_rows, small_side, table
 
 WORDS = 5
 THRESHOLD = 0.8
 #: A pair at the threshold shares no band with probability (1 - 0.8 ** ROWS) ** BANDS, about 7e-6.
 BANDS, ROWS = 30, 5
-#: After the first leader, about so many members of a group at a time are compared with the members of other components.
-LEADERS = 64
-#: Groups of so many that still are in different components have their members' own shingles counted.
-WIDE = 16
-#: Bits of a signature, in longs of as many bits.
-CELLS = 50
 
 MIX = tuple(np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB))
 
@@ -93,6 +88,13 @@ def bag(text: str | None) -> tuple[np.ndarray, np.ndarray]:
     return np.unique(mixed(s), return_counts=True)
 
 
+def elements(text: str | None) -> list[int]:
+    """The bag as a set of int64: one for each occurrence of a shingle. Sets share as many as the bags have in common."""
+    shingle, times = bag(text)
+    which = np.arange(times.sum(), dtype=np.int64) - np.repeat(np.cumsum(times) - times, times)
+    return mixed(np.repeat(shingle, times) + which.astype(np.uint64) * MIX[0]).view(np.int64).tolist()
+
+
 def overlap(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray]) -> float:
     """Weighted Jaccard index of two bags; 0 if both are empty."""
     _, i, j = np.intersect1d(a[0], b[0], assume_unique=True, return_indices=True)
@@ -144,59 +146,40 @@ def band_keys(earliest: np.ndarray, bands: int = BANDS, rows: int = ROWS) -> np.
     return out.view(np.int64)
 
 
-def cells(earliest: np.ndarray) -> list[int]:
-    """One bit of each register, in longs of CELLS bits."""
-    bits = mixed(earliest.view(np.uint64)) & np.uint64(1)
-    place = np.uint64(1) << np.arange(CELLS, dtype=np.uint64)
-    return [int((bits[k : k + CELLS] * place[: len(bits) - k]).sum()) for k in range(0, len(bits), CELLS)]
-
-
-def _most_apart(threshold: float, m: int = BANDS * ROWS) -> int:
-    """Bits in which two bags at the threshold differ at most: 5.2 standard deviations above their mean."""
-    p = (1 - threshold) / 2
-    return int(m * p + 5.2 * (m * p * (1 - p)) ** 0.5)
-
-
-def text_md5(text: str) -> Column:
-    return F.md5(F.coalesce(F.col(text), F.lit("")))
+def digest(text: str) -> Column:
+    """MD5 of the text as 16 bytes; null counts as empty."""
+    return F.unhex(F.md5(F.coalesce(F.col(text), F.lit(""))))
 
 
 def _signed(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
-    """(row, doc_id, md5, bands, cells, size), checkpointed: a row for each row of docs; bands are null without words."""
+    """(doc_id, md5, size, bands): a row for each row of docs; bands are null without words, size counts shingles."""
 
     def make() -> Callable:
         def keys(t: str) -> tuple:
             b = bag(t)
-            if not len(b[0]):
-                return None, None, 0
-            s = signature(*b)
-            return band_keys(s).tolist(), cells(s), int(b[1].sum())
+            return (band_keys(signature(*b)).tolist(), int(b[1].sum())) if len(b[0]) else (None, 0)
 
-        known = Remembered(keys, limit=1000)  # copies often are neighbours; only short keys are remembered
+        known = Remembered(keys, limit=1000)  # copies often are neighbours; only short texts are remembered
 
         def f(rows: dict[str, list]) -> dict[str, list]:
             got = [known[t] if t and len(t) <= known.LONGEST_KEY else keys(t or "") for t in rows["text"]]
-            return {c: [x[k] for x in got] for k, c in enumerate(("bands", "cells", "size"))}
+            return {"bands": [x[0] for x in got], "size": [x[1] for x in got]}
 
         return f
 
-    d = docs.select(F.col(doc_id).alias("doc_id"), text_md5(text).alias("md5"), F.col(text).alias("text"))
-    signed = map_rows(d, ["text"], "bands array<long>, cells array<long>, size long", make, keep=True).drop("text")
-    return checkpoint(signed.select(F.monotonically_increasing_id().alias("row"), "doc_id", "md5", "bands", "cells", "size"))
+    d = docs.select(F.col(doc_id).alias("doc_id"), digest(text).alias("md5"), F.col(text).alias("text"))
+    return map_rows(d, ["text"], "bands array<long>, size long", make, keep=True).drop("text")
 
 
 def components(edges: DataFrame) -> DataFrame:
     """(node, label): the least node of each linked node's component, by alternating large and small stars.
 
     Edges (a, b) of longs in any direction. Nodes only meet as edges that are partially aggregated before
-    they are shuffled; each round is checkpointed.
+    they are shuffled; each round is written to the shared folder, and the one before it deleted.
     """
 
-    def both(e: DataFrame) -> DataFrame:
-        return e.select(F.explode(F.array(F.struct("a", "b"), F.struct(F.col("b").alias("a"), F.col("a").alias("b")))).alias("e")).select("e.a", "e.b")
-
     def star(e: DataFrame, large: bool) -> DataFrame:
-        near = both(e) if large else e.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
+        near = e.unionAll(e.select(F.col("b").alias("a"), F.col("a").alias("b"))) if large else e.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
         least = near.groupBy("a").agg(F.least(F.col("a"), F.min("b")).alias("least"))
         to = near.join(least, "a")
         if large:
@@ -204,39 +187,32 @@ def components(edges: DataFrame) -> DataFrame:
         own = least.select("a", F.col("least").alias("b"))
         return to.where("b != least").select(F.col("b").alias("a"), F.col("least").alias("b")).unionByName(own).distinct()
 
-    state = None
+    state, before = None, None
     edges = edges.where("a != b").select("a", "b")
     while True:
-        edges = checkpoint(star(star(edges, True), False))
+        scratch = Scratch(edges.sparkSession)
+        edges = scratch.save(star(star(edges, True), False))
+        if before is not None:
+            before.drop()
         now = tuple(edges.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("a", "b"))).first())
         if now == state:
-            return edges.select(F.col("a").alias("node"), F.col("b").alias("label"))
-        state = now
+            # Each edge now leads to the least node of its component.
+            of = edges.select(F.col("a").alias("node"), F.col("b").alias("label"))
+            return of.unionAll(of.select(F.col("label").alias("node"), "label")).distinct()
+        state, before = now, scratch
 
 
-def _verified(pairs: DataFrame, texts: DataFrame, threshold: float) -> DataFrame:
-    """The pairs (a, b) of nodes whose bags overlap enough; a may be a leader of very many."""
-
-    def make() -> Callable:
-        last: list = [None, None]
-
-        def f(rows: dict[str, list]) -> dict[str, list]:
-            out = []
-            for a, x, y in zip(rows["a"], rows["text_a"], rows["text_b"], strict=True):
-                if last[0] != a:
-                    last[:] = a, bag(x)
-                out.append(overlap(last[1], bag(y)) >= threshold)
-            return {"alike": out}
-
-        return f
+def _verified(pairs: DataFrame, bags: DataFrame, threshold: float) -> DataFrame:
+    """The pairs (a, b) of nodes whose bags (as sets of elements) overlap enough; a may be a leader of very many."""
 
-    def t(s: str) -> DataFrame:
-        found = texts.select(F.col("node").alias(s), F.col("text").alias(f"text_{s}"))
+    def of(s: str) -> DataFrame:
+        found = bags.select(F.col("node").alias(s), F.col("elements").alias(f"of_{s}"))
         named = pairs.select(s).distinct()
         return found.join(F.broadcast(named), s, "left_semi") if is_small(named) else found
 
-    both = pairs.join(t("b"), "b").join(t("a"), "a")
-    return map_rows(both, ["a", "text_a", "text_b"], "alike boolean", make, keep=True).where("alike").select("a", "b")
+    both = small_side(pairs).join(of("b"), "b").join(of("a"), "a")
+    shared = F.size(F.array_intersect("of_a", "of_b"))
+    return both.where(shared * (1 + threshold) + 1e-6 >= (F.size("of_a") + F.size("of_b")) * threshold).select("a", "b")
 
 
 def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", threshold: float = THRESHOLD) -> DataFrame:
@@ -246,110 +222,114 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     digits, lower case) have a Jaccard index of at least the threshold, directly or through others of the
     class. Equal texts always are of one class, also those without words; null counts as empty. `class_id` is
     the least doc_id of the class (null if it has none), `class_size` its rows. Only one of each set of equal
-    texts gets compared. Extra columns are ignored.
+    texts gets compared. Extra columns are ignored. The result reads tables in the shared folder.
     """
-    member = _members(docs, doc_id, text, threshold)
-    of = member.groupBy("label").agg(F.min("doc_id").alias("class_id"), F.count(F.lit(1)).alias("class_size"))
-    return member.join(of, "label").select("doc_id", "md5", "class_id", "class_size")
-
-
-def _members(docs: DataFrame, doc_id: str, text: str, threshold: float) -> DataFrame:
-    """(doc_id, md5, label): a row for each row of docs; rows of a class, and no others, have the same label."""
-    signed = _signed(docs, doc_id, text)
-    node = signed.groupBy("md5").agg(F.min("row").alias("node"))
-    rows = checkpoint(signed.join(node, "md5").select("row", "node", "doc_id", "md5", *(F.when(F.col("row") == F.col("node"), F.col(c)).alias(c) for c in ("bands", "cells", "size"))))
-    label = _labels(rows, docs, doc_id, text, threshold)
-    return rows.select("node", "doc_id", "md5").join(label, "node", "left").select("doc_id", "md5", F.coalesce("label", "node").alias("label"))
-
-
-def _possible(a: str, b: str, threshold: float) -> Column:
-    """Whether the members in the struct columns a and b may be alike, by `size`, `own` (null outside wide groups) and `cells`."""
-    x, y = (lambda f: F.col(f"{a}.{f}")), (lambda f: F.col(f"{b}.{f}"))
-    known = x("own").isNotNull() & y("own").isNotNull()
-    shared = F.when(known, F.least(x("size") - x("own"), y("size") - y("own"))).otherwise(F.least(x("size"), y("size")))
-    apart = sum((F.bit_count(x("cells")[k].bitwiseXOR(y("cells")[k])) for k in range(BANDS * ROWS // CELLS)), F.lit(0))
-    return (shared * (1 + threshold) + 1e-6 >= (x("size") + y("size")) * threshold) & (apart <= _most_apart(threshold))
-
-
-def _own_shingles(texts: DataFrame, nodes: DataFrame) -> DataFrame:
-    """(node, own): how many shingles of each of the nodes none of the others has, repeats counted."""
+    rows, classes = _classes(docs, doc_id, text, threshold)
+    alone = F.col("label").isNull()
+    of = rows.join(small_side(classes), "md5", "left")
+    return of.select("doc_id", F.lower(F.hex("md5")).alias("md5"), F.when(alone, F.col("doc_id")).otherwise(F.col("class_id")).alias("class_id"), F.when(alone, F.lit(1).cast("long")).otherwise(F.col("class_size")).alias("class_size"))
+
+
+def _classes(docs: DataFrame, doc_id: str, text: str, threshold: float) -> tuple[DataFrame, DataFrame]:
+    """(doc_id, md5) of each row of docs, and (md5, label, class_id, class_size) of each text that some other row has or is alike to."""
+    kept, work = Scratch(docs.sparkSession), Scratch(docs.sparkSession)
+    rows = kept.save(_signed(docs, doc_id, text))
+    texts = rows.groupBy("md5").agg(F.min("doc_id").alias("doc_id"), F.count(F.lit(1)).alias("n"), F.first("size").alias("size"), F.first("bands").alias("bands"))
+    nodes = work.save(texts.select(F.monotonically_increasing_id().alias("node"), "md5", "doc_id", "n", "size", "bands"))
+    label = _labels(nodes, docs, doc_id, text, threshold, work)
+    member = nodes.join(small_side(label), "node", "left").where("n > 1 OR label IS NOT NULL").select("md5", "doc_id", "n", F.coalesce("label", "node").alias("label"))
+    of = work.save(member.groupBy("label").agg(F.min("doc_id").alias("class_id"), F.sum("n").alias("class_size")))
+    classes = kept.save(member.select("md5", "label").join(small_side(of), "label").where("class_size > 1"))
+    work.drop()
+    return rows.select("doc_id", "md5"), classes
+
+
+def _labels(nodes: DataFrame, docs: DataFrame, doc_id: str, text: str, threshold: float, work: Scratch) -> DataFrame:
+    """(node, label) of nodes that are linked to others."""
+    bands = nodes.where("bands IS NOT NULL").select("node", "size", F.explode("bands").alias("key"))
+    group = work.save(bands.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1"))
+    live = work.save(bands.join(small_side(group), "key"))
+
+    # A group's leader is the member that most others meet in all groups together.
+    met = live.groupBy("node").agg(F.sum("n").alias("met"))
+    ranked = live.join(met, "node").groupBy("key").agg(F.max(F.struct("met", "node", "size")).alias("first"))
+    leader = work.save(ranked.select("key", F.col("first.node").alias("leader"), F.col("first.size").alias("of_size")))
+    fits = F.least("size", "of_size") + 1e-6 >= F.greatest("size", "of_size") * threshold
+    pairs = work.save(live.join(small_side(leader), "key").where((F.col("node") != F.col("leader")) & fits).select(F.col("leader").alias("a"), F.col("node").alias("b")).distinct())
+    bags = _bags(live.select("node").distinct().join(nodes, "node").select("node", "md5", "doc_id"), docs, doc_id, text, work)
+    label = components(_verified(pairs, bags, threshold))
+
+    of = live.join(small_side(label), "node", "left").select("key", "node", "size", F.coalesce("label", "node").alias("label"))
+    mixed = work.save(of.groupBy("key").agg(F.min("label").alias("least"), F.max("label").alias("most")).where("least != most").select("key"))
+    open_ = work.save(of.join(small_side(mixed), "key", "left_semi").select("node", "size", "label").distinct())
+    pairs = work.save(_prefix_pairs(open_, bags, threshold, work))
+    links = _verified(pairs, bags, threshold).join(open_.select(F.col("node").alias("a"), F.col("label").alias("x")), "a").join(open_.select(F.col("node").alias("b"), F.col("label").alias("y")), "b")
+    links = work.save(links.select(F.col("x").alias("a"), F.col("y").alias("b")).distinct())
+    if links.isEmpty():
+        return label
+    # Components that the second step has linked.
+    wider = components(links).select(F.col("node").alias("label"), F.col("label").alias("wider"))
+    all_of = label.unionByName(open_.select("node", "label")).distinct()
+    return work.save(all_of.join(small_side(wider), "label", "left").select("node", F.coalesce("wider", "label").alias("label")))
+
+
+def _bags(wanted: DataFrame, docs: DataFrame, doc_id: str, text: str, work: Scratch) -> DataFrame:
+    """(node, elements) of the wanted (node, md5, doc_id), from one row of docs each."""
+    named = work.save(wanted.select("node", F.col("md5").alias("of_md5"), F.col("doc_id").alias("of_id")))
+    d = docs.select(F.col(doc_id).alias("id"), digest(text).alias("md5"), F.col(text).alias("text"))
+    found = d.join(small_side(named), (d["md5"] == named["of_md5"]) & d["id"].eqNullSafe(named["of_id"])).select("node", "text").dropDuplicates(["node"])
 
     def make() -> Callable:
-        def f(rows: dict[str, list]) -> dict[str, list]:
-            return {"bag": [[{"shingle": int(s), "times": int(n)} for s, n in zip(e.view(np.int64), w, strict=True)] for e, w in map(bag, rows["text"])]}
+        return lambda rows: {"elements": [elements(t) for t in rows["text"]]}
 
-        return f
+    return work.save(map_rows(found, ["text"], "elements array<long>", make, keep=True).drop("text"))
 
-    of = map_rows(texts.join(small_side(nodes), "node"), ["text"], "bag array<struct<shingle:long,times:long>>", make, keep=True).select("node", F.explode("bag").alias("s"))
-    alone = of.groupBy("s.shingle").agg(F.count(F.lit(1)).alias("n"), F.min("node").alias("node"), F.min("s.times").alias("times")).where("n = 1")
-    return nodes.join(alone.groupBy("node").agg(F.sum("times").alias("own")), "node", "left").select("node", F.coalesce("own", F.lit(0).cast("long")).alias("own"))
 
+def _prefix_pairs(nodes: DataFrame, bags: DataFrame, threshold: float, work: Scratch) -> DataFrame:
+    """(a, b): pairs of the nodes (node, size, label) of different labels that may be alike, and among them all that are.
 
-def _labels(rows: DataFrame, docs: DataFrame, doc_id: str, text: str, threshold: float) -> DataFrame:
-    """(node, label) of nodes that are linked to others."""
-    bands = rows.where("bands is not null").select("node", F.explode("bands").alias("key"))
-    leader = bands.groupBy("key").agg(F.min("node").alias("leader"), F.count(F.lit(1)).alias("n")).where("n > 1")
-    live = checkpoint(bands.join(leader, "key").where("node != leader").select("key", "node", "leader"))
-    named = live.select(F.explode(F.array("node", "leader")).alias("node")).distinct()
-    wanted = checkpoint(rows.where("row = node").join(named, "node").select("node", F.col("md5").alias("of_md5"), F.col("doc_id").alias("of_id"), "size", "cells"))
-    d = docs.select(F.col(doc_id).alias("of"), text_md5(text).alias("md5"), F.col(text).alias("text"))
-    found = d.join(small_side(wanted), (d["md5"] == wanted["of_md5"]) & d["of"].eqNullSafe(wanted["of_id"])).select("node", "text")
-    texts = materialize(found.dropDuplicates(["node"]))
-    facts = wanted.select("node", "size", "cells", F.lit(None).cast("long").alias("own"))
-
-    def described(pairs: DataFrame) -> DataFrame:
-        """The pairs (a, b) that may be alike."""
-        x = lambda s: small_side(facts.select(F.col("node").alias(s), F.struct("size", "cells", "own").alias(f"of_{s}")))
-        return pairs.join(x("a"), "a").join(x("b"), "b").where(_possible("of_a", "of_b", threshold)).select("a", "b")
-
-    tried = checkpoint(described(live.select(F.col("leader").alias("a"), F.col("node").alias("b")).distinct()))
-    edges = checkpoint(_verified(tried, texts, threshold))
-    label = components(edges)
-    live = live.select("key", "node")
-
-    def mixed_groups() -> DataFrame:
-        """(key, node, label, n, least): members of groups that are in different components, with the group's size and its least bag."""
-        now = live.join(label, "node", "left").select("key", "node", F.coalesce("label", "node").alias("label")).join(small_side(facts), "node")
-        group = now.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("size").alias("least"), (F.min("label") != F.max("label")).alias("mixed")).where("mixed")
-        return checkpoint(now.join(group.drop("mixed"), "key"))
-
-    # Wide groups lose the members that have too many shingles of their own; the others meet the one with the fewest.
-    now = mixed_groups()
-    own = _own_shingles(texts, now.where(F.col("n") >= WIDE).select("node").distinct())
-    facts = checkpoint(facts.drop("own").join(small_side(own), "node", "left"))
-    now = now.drop("own").join(small_side(own), "node", "left")
-    partner = F.greatest(F.col("least"), F.col("size") * threshold)
-    may = (F.col("size") - F.col("own")) * (1 + threshold) + 1e-6 >= (F.col("size") + partner) * threshold
-    now = checkpoint(now.where((F.col("n") < WIDE) | may))
-    live = now.select("key", "node")
-    central = now.where(F.col("n") >= WIDE).groupBy("key").agg(F.min(F.struct("own", "node")).alias("c")).select("key", F.col("c.node").alias("leader"))
-    pairs = now.join(central, "key").where("node != leader").select(F.least("node", "leader").alias("a"), F.greatest("node", "leader").alias("b")).distinct()
-    pairs = checkpoint(described(pairs.join(tried, ["a", "b"], "left_anti")))
-    while True:
-        tried = tried.unionByName(pairs)
-        new = checkpoint(_verified(pairs, texts, threshold))
-        if not new.isEmpty():
-            edges = edges.unionByName(new)
-            label = components(edges)
-        # Who has led has been compared with all of the group; what is left matters where components still differ.
-        now = mixed_groups()
-        if now.isEmpty():
-            return label
-        now = now.select("key", F.struct("node", "size", "cells", "own").alias("x"), "label", (F.pmod(F.xxhash64("node", "n"), F.ceil(F.col("n") / LEADERS)) == 0).alias("leads"))
-        led = now.where("leads").select("key", F.col("x").alias("y"), F.col("label").alias("led"))
-        pairs = now.join(led, (now["key"] == led["key"]) & (F.col("label") != F.col("led")) & _possible("x", "y", threshold)).select(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b"))
-        pairs = checkpoint(pairs.distinct().join(tried, ["a", "b"], "left_anti"))
-        live = now.where("not leads").select("key", "x.node")
+    Sets of sizes x and y at the threshold t share at least t / (1 + t) * (x + y) elements. In an order of all
+    elements, the first shared one therefore stands at most at place x + 1 - t / (1 + t) * (x + y) of the one set,
+    and likewise in the other: so an element at place p of a set only meets sets up to the size `up_to` below.
+    Rare elements come first; those of a single node meet none, so they are counted and not carried.
+    """
+    share = threshold / (1 + threshold)
+    element = bags.join(small_side(nodes.select("node")), "node", "left_semi").select("node", F.explode("elements").alias("e"))
+    common = work.save(element.groupBy("e").agg(F.count(F.lit(1)).alias("n")).where("n > 1"))
+    of = element.join(common, "e").groupBy("node").agg(F.collect_list(F.struct("n", "e")).alias("common"))
+    of = of.join(nodes, "node").withColumn("own", F.col("size") - F.size("common"))
+    prefix = F.floor(F.col("size") * (1 - threshold) + 1 + 1e-6).cast("int") - F.col("own").cast("int")
+    entry = of.where(prefix > 0).select("node", "size", "label", "own", F.posexplode(F.slice(F.array_sort("common"), F.lit(1), prefix)).alias("k", "c"))
+    up_to = (F.col("size") - F.col("own") - F.col("k")) / share - F.col("size") + 1e-6
+    entry = work.save(entry.select(F.col("c.e").alias("e"), "node", "size", "label", up_to.alias("up_to")))
+    token = entry.groupBy("e").agg(F.min("label").alias("least"), F.max("label").alias("most"), F.min("size").alias("from_size"), F.max("up_to").alias("to_size"))
+    token = work.save(token.where("least != most").select("e", "from_size", "to_size"))
+    entry = work.save(entry.join(small_side(token), "e").where("up_to >= from_size AND size <= to_size").select("e", "node", "size", "label", "up_to"))
+    x, y = entry.alias("x"), entry.alias("y")
+    fits = (F.col("x.node") < F.col("y.node")) & (F.col("x.label") != F.col("y.label")) & (F.col("x.size") <= F.col("y.up_to")) & (F.col("y.size") <= F.col("x.up_to"))
+    return x.join(y, (F.col("x.e") == F.col("y.e")) & fits).select(F.col("x.node").alias("a"), F.col("y.node").alias("b")).distinct()
 
 
 def deduplicate(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", threshold: float = THRESHOLD) -> DataFrame:
     """One row of each class of near duplicates, with all columns of docs: that of the least doc_id, null last, then the least MD5 of the text; of repeats of it, any one."""
+    rows, classes = _classes(docs, doc_id, text, threshold)
+    work = Scratch(docs.sparkSession)
     # Classes are told apart by their labels: the same doc_id may stand in several, or in none.
-    first = _members(docs, doc_id, text, threshold).groupBy("label")
-    keep = first.agg(F.min(F.struct(F.col("doc_id").isNull().alias("last"), F.col("doc_id").alias("of_id"), F.col("md5").alias("of_md5"))).alias("k")).select("k.of_id", "k.of_md5")
-    kept = docs.withColumn("__md5", text_md5(text))
-    kept = kept.join(keep, (kept["__md5"] == keep["of_md5"]) & kept[doc_id].eqNullSafe(keep["of_id"]), "left_semi")
-    return kept.dropDuplicates([doc_id, "__md5"]).drop("__md5")
+    member = work.save(rows.join(small_side(classes.select("md5", "label")), "md5"))
+    first = member.groupBy("label").agg(F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "md5")).alias("k"))
+    first = work.save(first.select("label", F.col("k.doc_id").alias("of_id"), F.col("k.md5").alias("of_md5")))
+    known = member.join(small_side(first), "label").withColumn("stays", (F.col("md5") == F.col("of_md5")) & F.col("doc_id").eqNullSafe(F.col("of_id")))
+    known = work.save(known.groupBy("stays", F.col("md5").alias("of_md5"), F.col("doc_id").alias("of_id")).agg(F.count(F.lit(1)).alias("times")))
+
+    def of(d: DataFrame, named: DataFrame, how: str) -> DataFrame:
+        named = small_side(named.select("of_md5", "of_id"))
+        return d.join(named, (d["__md5"] == named["of_md5"]) & d[doc_id].eqNullSafe(named["of_id"]), how)
+
+    kept = of(docs.withColumn("__md5", digest(text)), known.where("NOT stays"), "left_anti")
+    repeated = known.where("stays AND times > 1")
+    if not repeated.isEmpty():
+        kept = of(kept, repeated, "left_anti").unionByName(of(kept, repeated, "left_semi").dropDuplicates([doc_id, "__md5"]))
+    return kept.drop("__md5")
 
 
 def op8_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -13,6 +13,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from shelfspan.llm import language, minhash, pii, tokens, toxicity
+from shelfspan.llm.common import Scratch
 
 LONG = "word " * 40000
 SF = "/root/testdata/sf0.001"
@@ -100,16 +101,34 @@ def test_near_duplicates_against_brute_force(spark):
     assert minhash.near_duplicates(df.limit(0)).count() == 0 and minhash.deduplicate(df.limit(0)).count() == 0
 
 
-@pytest.mark.parametrize(("leaders", "wide"), [(64, 16), (2, 16), (2, 2)])
-def test_members_that_differ_from_the_leader_are_compared(spark, leaders, wide, monkeypatch):
+@pytest.mark.parametrize("words", [100, 41])
+def test_members_that_differ_from_the_leader_are_compared(spark, words):
     """Groups in which the leader is alike to none, but others are to each other."""
-    monkeypatch.setattr(minhash, "LEADERS", leaders)
-    monkeypatch.setattr(minhash, "WIDE", wide)
-    docs = [(1, " ".join(f"a{k}" for k in range(60)))] + [(2 + j + 3 * v, " ".join(f"b{v}{k if k != 30 + j else 'z'}" for k in range(100))) for v in range(2) for j in range(3)]
-    rows = minhash._signed(spark.createDataFrame(docs, "doc_id long, text string"), "doc_id", "text")
-    rows = rows.withColumn("row", F.col("doc_id") - 1).withColumn("node", F.col("row")).withColumn("bands", F.array(F.lit(7).cast("long")))
-    got = minhash._labels(rows, spark.createDataFrame(docs, "doc_id long, text string"), "doc_id", "text", 0.8)
-    assert {(r.node, r.label) for r in got.collect() if r.node != r.label} == {(2, 1), (3, 1), (5, 4), (6, 4)}
+    docs = [(1, " ".join(f"a{k}" for k in range(60)))] + [(2 + j + 3 * v, " ".join(f"b{v}{k if k != 30 + j else 'z'}" for k in range(words))) for v in range(2) for j in range(3)]
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    nodes = minhash._signed(df, "doc_id", "text").withColumn("node", F.col("doc_id") - 1).withColumn("n", F.lit(1).cast("long")).withColumn("bands", F.array(F.lit(7).cast("long")))
+    got = minhash._labels(nodes, df, "doc_id", "text", 0.8, Scratch(spark))
+    linked = {(2, 1), (3, 1), (5, 4), (6, 4)} if words == 100 else set()
+    assert {(r.node, r.label) for r in got.collect() if r.node != r.label} == linked
+
+
+@given(st.lists(st.lists(st.integers(0, 12), min_size=1, max_size=30), min_size=2, max_size=9), st.sampled_from([0.5, 0.8, 0.9]))
+@settings(max_examples=5, deadline=None)
+def test_prefix_pairs_lose_none(spark, sets, threshold):
+    """Sets with common elements: each pair at the threshold of different labels is found."""
+    sets = [sorted(set(s)) for s in sets]
+    nodes = spark.createDataFrame([(i, len(s), i) for i, s in enumerate(sets)], "node long, size long, label long")
+    bags = spark.createDataFrame(list(enumerate(sets)), "node long, elements array<long>")
+    got = {tuple(r) for r in minhash._prefix_pairs(nodes, bags, threshold, Scratch(spark)).collect()}
+    like = lambda a, b: len(set(a) & set(b)) / len(set(a) | set(b))
+    assert got >= {(i, j) for j in range(len(sets)) for i in range(j) if like(sets[i], sets[j]) >= threshold}
+
+
+def test_elements_share_as_many_as_bags():
+    for x, y in (("a b c d e f g", "a b c d e f h"), ("x " * 50, "x " * 30), ("one", "one two"), ("", "a"), ("p q r s t " * 9, "p q r s t " * 4 + "u")):
+        a, b = set(minhash.elements(x)), set(minhash.elements(y))
+        assert len(a) == len(minhash.elements(x))
+        assert (len(a & b) / len(a | b) if a | b else 0.0) == minhash.overlap(minhash.bag(x), minhash.bag(y))
 
 
 def test_components(spark):
