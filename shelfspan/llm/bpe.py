@@ -19,6 +19,7 @@ from __future__ import annotations
 
 import bisect
 import functools
+import itertools
 import json
 
 import ahocorasick
@@ -28,6 +29,7 @@ import regex
 #: Fixed value: the split pattern of byte-level pre-tokenisation.
 SPLIT = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+")
 BLANK = regex.compile(r"\s")
+BLANKS = regex.compile(r"\s*")
 #: Entries that a table of remembered pieces or pairs holds before it starts afresh; bounds a worker's memory.
 REMEMBERED = 200_000
 #: Tokens that are decoded at a time.
@@ -206,29 +208,44 @@ def load(path: str) -> Encoder:
 class PrefixTokens:
     """Exact token counts of every prefix of one text, without encoding any prefix.
 
-    Pre-tokens that end inside a prefix are the same in the prefix and in the whole text, but for white
-    space that the prefix cuts off (it becomes one pre-token), for contractions cut in two and for the
-    strings of added tokens cut short; those few characters are split again.
+    The table has two levels: the count before each pre-token, for all of them, and the counts inside a
+    pre-token (`Encoder.prefix_counts`) for those in which a prefix is cut. A prefix has the pre-tokens of
+    the whole text that end inside it, and the beginning of one more, but in three places: white space that
+    the prefix cuts off becomes one pre-token (tables of such runs are kept as well), and contractions or
+    strings of added tokens that are cut in two are split again, a few characters each.
     """
 
-    def __init__(self, encoder: Encoder, text: str, counts: Remembered | None = None):
+    def __init__(self, encoder: Encoder, text: str, sizes: Remembered | None = None):
+        """`sizes` remembers the token counts of whole pre-tokens from text to text."""
         self.encoder, self.text = encoder, text
-        self.counts = counts if counts is not None else Remembered(lambda p: encoder.prefix_counts(p))
-        self.starts, self.before, self.added = [], [], set()
+        self.sizes = sizes if sizes is not None else sizes_of(encoder)
+        self.starts, self.before, self.added = [], [], []
         at = total = 0
         for pieces, added in encoder.segments(text):
-            for p in pieces:
-                self.starts.append(at)
-                self.before.append(total)
-                at += len(p)
-                total += self.counts[p][-1]
+            self.starts += itertools.accumulate(map(len, pieces), initial=at)
+            self.before += itertools.accumulate(map(self.sizes.__getitem__, pieces), initial=total)
+            at, total = self.starts.pop(), self.before.pop()
             if added is not None:
-                self.added.add(len(self.starts))
+                self.added.append(len(self.starts))
                 self.starts.append(at)
                 self.before.append(total)
                 at += len(added)
                 total += 1
         self.total = total
+        self.tables: dict[int, list[int]] = {}
+
+    def _is_added(self, k: int) -> bool:
+        i = bisect.bisect_left(self.added, k)
+        return i < len(self.added) and self.added[i] == k
+
+    def _end(self, k: int) -> int:
+        return self.starts[k + 1] if k + 1 < len(self.starts) else len(self.text)
+
+    def _inside(self, start: int, end: int) -> list[int]:
+        """Token counts of the beginnings of text[start:end], which is one pre-token."""
+        if start not in self.tables:
+            self.tables[start] = self.encoder.prefix_counts(self.text[start:end])
+        return self.tables[start]
 
     def count(self, chars: int) -> int:
         """Tokens of text[:chars] encoded on its own."""
@@ -239,14 +256,34 @@ class PrefixTokens:
         if chars == len(text):
             return self.total
         k = bisect.bisect_left(self.starts, chars) - 1  # the pre-token that holds the last character
-        ends = self.starts[k + 1] if k + 1 < len(self.starts) else len(text)
-        if k in self.added:
-            if chars == ends:
+        if self._is_added(k):
+            if chars == self._end(k):
                 return self.before[k] + 1
-            k = max(0, k - 1) if k - 1 not in self.added else k
-        while k and k - 1 not in self.added and BLANK.match(text[self.starts[k]]) and BLANK.match(text[self.starts[k] - 1]):
-            k -= 1
-        return self.before[k] + sum(self.counts[p][-1] for p in SPLIT.findall(text[self.starts[k] : chars]))
+            k = max(0, k - 1) if not self._is_added(k - 1) else k
+            while k and not self._is_added(k - 1) and BLANK.match(text[self.starts[k]]) and BLANK.match(text[self.starts[k] - 1]):
+                k -= 1
+            return self.before[k] + sum(map(self.sizes.__getitem__, SPLIT.findall(text[self.starts[k] : chars])))
+        start = self.starts[k]
+        if BLANK.match(text[chars - 1]):
+            while k and not self._is_added(k - 1) and BLANK.match(text[self.starts[k - 1]]) and BLANK.match(text[self.starts[k] - 1]):
+                k -= 1
+            start = self.starts[k]
+            return self.before[k] + self._run(k)[chars - start]
+        if chars == self._end(k):
+            return self.before[k] + self.sizes[text[start:chars]]
+        if text[start] == "'" and chars - start < 3:
+            return self.before[k] + sum(map(self.sizes.__getitem__, SPLIT.findall(text[start:chars])))
+        return self.before[k] + self._inside(start, self._end(k))[chars - start]
+
+    def _run(self, k: int) -> list[int]:
+        """Token counts of the beginnings of the blanks from pre-token k on, each of which is one pre-token where a prefix ends."""
+        start = self.starts[k]
+        if ~start not in self.tables:
+            stop, i = BLANKS.match(self.text, start).end(), bisect.bisect_left(self.added, k)
+            if i < len(self.added):
+                stop = min(stop, self.starts[self.added[i]])
+            self.tables[~start] = self.encoder.prefix_counts(self.text[start:stop])
+        return self.tables[~start]
 
     def fit(self, limit: int) -> int:
         """Characters of the longest prefix that has at most `limit` tokens."""
@@ -258,3 +295,8 @@ class PrefixTokens:
             last += 1
         end = self.starts[last] if last < len(self.starts) else len(self.text)
         return next((c for c in range(end, 0, -1) if self.count(c) <= limit), 0)
+
+
+def sizes_of(encoder: Encoder) -> Remembered:
+    """Token counts of whole pre-tokens."""
+    return Remembered(lambda p: len(encoder.encode_piece(p)))

@@ -101,17 +101,16 @@ def count(df: DataFrame, path: str, limit: int, doc_id: str = "doc_id", text: st
 
     def make():
         encoder = bpe.load(path)
-        counts = bpe.Remembered(lambda p: bytes(c) if (c := encoder.prefix_counts(p))[-1] < 256 and max(c) < 256 else c)
+        sizes = bpe.sizes_of(encoder)
 
         def f(rows):
             out: dict[str, list] = {"doc_id": rows[doc_id], "n_bytes": [], "n_tokens": [], "over_limit": [], "fitting_chars": []}
             for t in rows[text]:
-                t = t or ""
-                n = sum(sum([c[-1] for c in map(counts.__getitem__, pieces)]) + (added is not None) for pieces, added in encoder.segments(t))
-                out["n_bytes"].append(len(t.encode()))
-                out["n_tokens"].append(n)
-                out["over_limit"].append(n > limit)
-                out["fitting_chars"].append(len(t) if n <= limit else bpe.PrefixTokens(encoder, t, counts).fit(limit))
+                prefix = bpe.PrefixTokens(encoder, t or "", sizes)
+                out["n_bytes"].append(len(prefix.text.encode()))
+                out["n_tokens"].append(prefix.total)
+                out["over_limit"].append(prefix.total > limit)
+                out["fitting_chars"].append(prefix.fit(limit))
             return out
 
         return f

@@ -1,6 +1,7 @@
 """Encoding, decoding and counts against the tokenizers library."""
 
 import hashlib
+import time
 
 import numpy as np
 import pytest
@@ -50,6 +51,17 @@ def test_every_prefix_count(text, special):
     assert [table.fit(n) for n in range(4)] == [max(k for k, c in enumerate(want) if c <= n) for n in range(4)]
 
 
+@pytest.mark.parametrize("unit", ["a", " ", "\n", "!", "7", "é", "ab ", "x<|endoftext|>"])
+def test_fit_takes_linear_time(unit):
+    text = unit * (20_000 // len(unit))
+    began = time.process_time()
+    table = bpe.PrefixTokens(bpe.load(PATH), text)
+    got = [table.fit(n) for n in (0, 5, 1000)]
+    assert time.process_time() - began < 1
+    for n, c in zip((0, 5, 1000), got, strict=True):
+        assert len(ids_of(text[:c])) <= n and (c == len(text) or len(ids_of(text[: c + 1])) > n)
+
+
 @pytest.fixture(scope="module")
 def frame(spark):
     rows = [(i, t, "extra", 7) for i, t in enumerate(CASES)] + [(None, "null id", None, None), (3, "a", "extra", 7)]
