@@ -8,6 +8,7 @@ are mapped back and added where they cover no identifier of the same kind.
 
 from __future__ import annotations
 
+import bisect
 import hashlib
 import re
 from collections.abc import Callable, Iterator
@@ -22,12 +23,11 @@ KINDS = ("email", "ip", "card", "phone")
 
 # An address is found from its @: what may precede it is taken up to the last character that can't.
 DOMAIN = re.compile(r"@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
-LOCAL = re.compile(r"[A-Za-z0-9._%+-]+\Z")
 IP = re.compile(r"(?<![0-9])[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++")
 CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
-#: Longest part before an @ that is looked at in one go.
-STEP = 256
+#: What may stand before an @.
+LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 
 #: Characters and what they look like.
 LOOKS = str.maketrans(
@@ -55,11 +55,14 @@ SPELLED = {
     **{w: str(k) for k, w in enumerate("cero uno dos tres cuatro cinco seis siete ocho nueve".split())},
 }
 DIGIT_WORD = "|".join(sorted(SPELLED, key=len, reverse=True))
-#: A run of digits and digit words, at least four words; a sign word may lead it.
-DIGIT_RUN = re.compile(rf"(?<!\w)(?:plus[\s-]+)?(?:{DIGIT_WORD}|[0-9])(?:[\s,.-]*\b(?:{DIGIT_WORD}|dot|point|punkt|punto)\b|[\s-]*[0-9])*?(?:[\s,.-]*\b(?:{DIGIT_WORD})\b){{3}}(?:[\s,.-]*\b(?:{DIGIT_WORD}|dot|point|punkt|punto)\b|[\s-]*[0-9])*(?!\w)", re.IGNORECASE)
+DOT_NAME = "dot|point|punkt|punto"
+#: What runs of spelled digits are made of, and what may stand between.
+SPELLING = re.compile(rf"(?<!\w)(?:(?P<word>{DIGIT_WORD})|(?P<dot>{DOT_NAME})|(?P<plus>plus)|(?P<digits>[0-9]+))(?!\w)", re.IGNORECASE)
+BETWEEN, BEFORE_FIGURES = re.compile(r"[\s,.-]*"), re.compile(r"[\s-]*")
+#: Digit words in a row, after at least one more digit or digit word, that make a run.
+IN_A_ROW = 3
 ANY_DIGIT_WORD = re.compile(rf"\b(?:{DIGIT_WORD})[\s,.-]+(?:{DIGIT_WORD})[\s,.-]+(?:{DIGIT_WORD})\b", re.IGNORECASE)
-RUN_PART = re.compile(rf"(?P<plus>plus)|(?P<word>{DIGIT_WORD})|(?P<dot>dot|point|punkt|punto)|(?P<digit>[0-9])", re.IGNORECASE)
-BRACKETED = re.compile(r"\s*(?:\[\s*(?P<a>at|@|dot|\.)\s*\]|\(\s*(?P<b>at|@|dot|\.)\s*\)|\{\s*(?P<c>at|@|dot|\.)\s*\}|<\s*(?P<d>at|@|dot|\.)\s*>)\s*", re.IGNORECASE)
+BRACKETED = re.compile(r"(?:\[\s*(?P<a>at|@|dot|\.)\s*\]|\(\s*(?P<b>at|@|dot|\.)\s*\)|\{\s*(?P<c>at|@|dot|\.)\s*\}|<\s*(?P<d>at|@|dot|\.)\s*>)\s*", re.IGNORECASE)
 #: Last labels that make `at` and `dot` between blanks an address.
 LAST = "com|org|net|edu|gov|mil|info|biz|dev|app|co|io|ai|me|tv|de|fr|es|it|uk|eu|us|ch|nl|be|pl|se|pt|mx|ca|au|ru|in|jp|cn|br|example|test|invalid"
 SPACED = re.compile(rf"(?<=[A-Za-z0-9])(?P<at>[ _]+at[ _]+)(?P<host>[A-Za-z0-9-]+(?:(?:[ _]+dot[ _]+|\.)[A-Za-z0-9-]+)*[ _]+dot[ _]+(?:{LAST})\b)", re.IGNORECASE)
@@ -69,7 +72,6 @@ AROUND_AT = re.compile(r"(?<=[A-Za-z0-9])[ \t]+@[ \t]*(?=[A-Za-z0-9])|(?<=[A-Za-
 LOCAL_RUN = re.compile(r"[A-Za-z0-9._%+-]+")
 HOST_DOTS = re.compile(r"(?<=[A-Za-z0-9._%+-]@)[A-Za-z0-9-]+(?:(?:[ _]+dot[ _]+|\.)[A-Za-z0-9-]+)+", re.IGNORECASE)
 #: Four numbers, in figures or in up to three digit words each, between dots or dot words.
-DOT_NAME = "dot|point|punkt|punto"
 IP_SIGN = re.compile(rf"(?<![ _])[ _]+(?:{DOT_NAME})[ _]+(?:[0-9]|(?:{DIGIT_WORD})\b)", re.IGNORECASE)
 IP_NUMBER = rf"(?:[0-9]+|(?:{DIGIT_WORD})(?:[ -]+(?:{DIGIT_WORD})){{0,2}})"
 IP_DOT = rf"(?:[ _]+(?:{DOT_NAME})[ _]+|\.)"
@@ -82,15 +84,11 @@ def emails(text: str) -> Iterator[tuple[int, int]]:
         return
     done = 0
     for m in DOMAIN.finditer(text):
-        at, size = m.start(), STEP
-        while True:
-            low = max(done, at - size)
-            got = LOCAL.search(text[low:at])
-            if got is None or got.start() > 0 or low == done:
-                break
-            size *= 2
-        if got is not None:
-            yield low + got.start(), m.end()
+        start = at = m.start()
+        while start > done and text[start - 1] in LOCAL:
+            start -= 1
+        if start < at:
+            yield start, m.end()
             done = m.end()
 
 
@@ -151,16 +149,45 @@ class Rewritten:
         return (a, b) if self.start is None else (self.start[a], self.end[b - 1])
 
 
+def bracket_changes(text: str) -> Iterator[tuple[int, int, str]]:
+    """Signs in brackets, with the blanks around them, to plain signs."""
+    done = 0
+    for m in BRACKETED.finditer(text):
+        start = m.start()
+        while start > done and text[start - 1].isspace():
+            start -= 1
+        done = m.end()
+        yield start, done, "@" if (m["a"] or m["b"] or m["c"] or m["d"]).lower() in ("at", "@") else "."
+
+
+def spelled_runs(text: str) -> Iterator[list[re.Match]]:
+    """Runs of digits and digit words, in one pass; a sign word may lead a run, dot words may stand inside."""
+    run: list[re.Match] = []
+    for m in SPELLING.finditer(text):
+        joined = run and (BEFORE_FIGURES if m["digits"] else BETWEEN).fullmatch(text, run[-1].end(), m.start())
+        if joined and not m["plus"]:
+            if not (m["dot"] and run[-1]["plus"]):
+                run.append(m)
+                continue
+        yield run
+        run = [] if m["dot"] else [m]
+    yield run
+
+
 def digit_changes(text: str) -> Iterator[tuple[int, int, str]]:
     """Spelled digits to figures, one change a word; what stands between goes."""
-    for m in DIGIT_RUN.finditer(text):
-        at = None
-        for p in RUN_PART.finditer(text, m.start(), m.end()):
-            if at is not None and p.start() > at:
-                between = text[at : p.start()]
-                yield at, p.start(), "." if between.strip() == "." else ""
-            yield *p.span(), "+" if p["plus"] else "." if p["dot"] else p["digit"] or SPELLED[p["word"].lower()]
-            at = p.end()
+    for run in spelled_runs(text):
+        row = best = 0
+        for m in run[1 + bool(run and run[0]["plus"]) :]:
+            row = row + 1 if m["word"] else 0
+            best = max(best, row)
+        if best < IN_A_ROW:
+            continue
+        for last, m in zip([None, *run], run, strict=False):
+            if last is not None and m.start() > last.end():
+                yield last.end(), m.start(), "." if text[last.end() : m.start()].strip() == "." else ""
+            if not m["digits"]:
+                yield *m.span(), "+" if m["plus"] else "." if m["dot"] else SPELLED[m["word"].lower()]
 
 
 def local_changes(text: str) -> list[tuple[int, int, str]]:
@@ -197,7 +224,7 @@ def deobfuscated(text: str) -> Rewritten | None:
             out.text = out.text.translate(LOOKS)
             out.start, out.end = start or list(range(len(out.text))), end or list(range(1, len(out.text) + 1))
     if any(c in out.text for c in "[({<"):
-        out.replace([(*m.span(), "@" if (m["a"] or m["b"] or m["c"] or m["d"]).lower() in ("at", "@") else ".") for m in BRACKETED.finditer(out.text)])
+        out.replace(list(bracket_changes(out.text)))
     lower = out.text.lower()
     if "dot" in lower and "at" in lower:
         changes = []
@@ -205,8 +232,6 @@ def deobfuscated(text: str) -> Rewritten | None:
             changes.append((*m.span("at"), "@"))
             changes += [(*d.span(), ".") for d in DOT_WORD.finditer(out.text, *m.span("host"))]
         out.replace(changes)
-    if out.start is not None and "@" in out.text:
-        out.replace([(*d.span(), ".") for d in DOT_WORD.finditer(out.text) if "@" in out.text[max(0, d.start() - 80) : d.end() + 80]])
     if " @" in out.text or "@ " in out.text:
         out.replace([(*m.span(), "@") for m in AROUND_AT.finditer(out.text)])
     if "@" in out.text and "dot" in lower:
@@ -226,10 +251,10 @@ def all_spans(text: str, plain: list[tuple[int, int, int]]) -> list[tuple[int, i
         return plain
     spans = list(plain)
     for k, kind in enumerate(KINDS):
-        taken = [s for s in spans if s[2] == k]
+        starts, ends = ([s[c] for s in plain if s[2] == k] for c in (0, 1))
         for a, b in FINDERS[kind](new.text):
             a, b = new.source(a, b)
-            if not any(a < y and x < b for x, y, _ in taken):
+            if bisect.bisect_right(ends, a) == bisect.bisect_left(starts, b):  # those before it end before it
                 spans.append((a, b, k))
     return sorted(spans)
 

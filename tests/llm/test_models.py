@@ -208,6 +208,17 @@ def test_dot_words_in_plain_text(text, want):
     assert [text[a:b] for a, b, _ in pii.all_spans(text, pii.plain_spans(text))] == want
 
 
+@pytest.mark.parametrize("unit", ["7", "1 ", " ", "_", "[ ", " at ", "one . ", "x dot ", "1 dot ", "a]@b.c ", "ab@cd.ef ", "one two three four ", "plus ", "4111 1111 1111 1111 ", "x @ y "])
+def test_long_odd_texts_take_linear_time(unit):
+    times = []
+    for size in (60_000, 240_000):
+        text = "one two three four " + unit * (size // len(unit))
+        began = time.process_time()
+        pii.all_spans(text, pii.plain_spans(text))
+        times.append(time.process_time() - began)
+    assert times[1] < 10 * max(times[0], 0.05)
+
+
 def test_dot_words_take_linear_time():
     began = time.process_time()
     for text in ("a dot " * 40000 + "@", "_" * 60000 + "@ dot", " " * 60000 + "@ dot 1", "a_dot_" * 20000 + "b@", "x@" + "a dot " * 20000, "1 dot " * 40000):
