@@ -64,8 +64,8 @@ def fold(events: DataFrame) -> DataFrame:
 def render(messages: DataFrame) -> DataFrame:
     """(conv_id, n_turns, formatted, loss_spans): each conversation as one text.
 
-    `loss_spans` has (start, end), in code points of `formatted`, of the texts of assistant turns: the loss
-    mask. A conversation's text is one value of one row, as the format asks; what is sent to its task is the
+    `loss_spans` has (n, start, end) of the texts of assistant turns: the turn's place, from 1, and where its
+    text is in `formatted`, in code points: the loss mask. A conversation's text is one value of one row, as the format asks; what is sent to its task is the
     rendered turns. Turns that tie are ordered by role and text.
     """
     head = F.concat(F.lit(START), escape_role(F.col("role")), F.lit("\n"))
@@ -75,7 +75,7 @@ def render(messages: DataFrame) -> DataFrame:
     order = Window.partitionBy("conv_id").orderBy("turn", "role", "text").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     placed = parts.withColumn("end", F.sum(F.char_length("segment").cast("long")).over(order)).withColumn("n", F.count(F.lit(1)).over(order))
     start = F.col("end") - F.char_length("segment") + F.char_length("head")
-    span = F.when(F.col("role") == LOSS_ROLE, F.struct(start.alias("start"), (start + F.char_length("body")).alias("end")))
+    span = F.when(F.col("role") == LOSS_ROLE, F.struct("n", start.alias("start"), (start + F.char_length("body")).alias("end")))
     return (
         placed.select("conv_id", F.struct("n", "segment", span.alias("span")).alias("part"))
         .groupBy("conv_id")
@@ -101,15 +101,35 @@ def read_back(formatted: Column) -> Column:
     )
 
 
+def under_mask(formatted: Column, loss_spans: Column) -> Column:
+    """array<string>: what the loss mask covers, unescaped. A span's turn is split off first, so that long conversations aren't searched once a span."""
+    parts = F.split(formatted, r"<\|im_end\|>\n", -1)
+    return F.transform(loss_spans, lambda s: unescape(F.right(F.get(parts, s["n"].cast("int") - 1), s["end"] - s["start"])))
+
+
+def log_of(rows: DataFrame) -> DataFrame:
+    """A log (conv_id, seq, turn, kind, role, text) that ends in the given rows (conv_id, turn, role, text), one message each.
+
+    Assistant texts are streamed: a draft, a regeneration that discards it, and the text in two deltas. Other
+    texts are sent without their last character and edited. Rows that tie on a turn are messages of their own,
+    in the order of role and text, repeated rows too.
+    """
+    tied = Window.partitionBy("conv_id", "turn").orderBy("role", "text")
+    half = F.floor(F.char_length("text") / 2).cast("int")
+    cut = lambda a, b: F.substr("text", a, b)
+    event = lambda k, kind, text: F.struct(F.lit(k).alias("k"), F.lit(kind).alias("kind"), text.alias("text"))
+    streamed = F.array(event(0, "message", F.reverse("text")), event(1, "regenerate", F.lit("")), event(2, "delta", cut(F.lit(1), half)), event(3, "delta", cut(half + 1, F.char_length("text"))))
+    edited = F.array(event(0, "message", cut(F.lit(1), F.char_length("text") - 1)), event(1, "edit", F.col("text")))
+    e = rows.withColumn("tie", F.row_number().over(tied)).select("*", F.explode(F.when(F.col("role") == LOSS_ROLE, streamed).otherwise(edited)).alias("e"))
+    return e.select("conv_id", (F.coalesce("turn", F.lit(-1)) * 4 + F.col("e.k")).alias("seq"), F.struct("turn", "tie").alias("turn"), "e.kind", "role", "e.text")
+
+
 def op4_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", *(F.coalesce(c, F.lit("")).alias(c) for c in ("role", "text"))).distinct()
+    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", *(F.coalesce(c, F.lit("")).alias(c) for c in ("role", "text")))
     said = "</s>[INST] ok [/INST]"
     extra = spark.createDataFrame([(-7, 0, "user", said), (-7, 1, "assistant", said)], "conv_id long, turn long, role string, text string")
-    # Rows that tie on a turn are messages of their own, in the order of role and text.
-    tied = Window.partitionBy("conv_id", "turn").orderBy("role", "text")
-    events = rows.unionByName(extra).withColumns({"seq": F.col("turn"), "kind": F.lit("message"), "turn": F.struct("turn", F.row_number().over(tied).alias("tie"))})
-    read = render(fold(events)).select("*", read_back(F.col("formatted")).alias("turns"))
-    loss = F.array_join(F.transform(F.filter("turns", lambda t: t["role"] == LOSS_ROLE), lambda t: t["text"]), "")
+    read = render(fold(log_of(rows.unionByName(extra)))).select("*", read_back(F.col("formatted")).alias("turns"))
+    loss = F.array_join(under_mask(F.col("formatted"), F.col("loss_spans")), "")
     return read.select("conv_id", F.size("turns").cast("long").alias("n_turns"), "turns", loss.alias("loss"), "formatted").select(
         "conv_id",
         "n_turns",
@@ -122,7 +142,7 @@ def op4_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 OP4_SQL = r"""
 WITH rows AS (
-  SELECT DISTINCT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
   UNION ALL SELECT -7, 0, 'user', '</s>[INST] ok [/INST]'
   UNION ALL SELECT -7, 1, 'assistant', '</s>[INST] ok [/INST]'),
 parts AS (
