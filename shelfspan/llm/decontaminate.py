@@ -12,9 +12,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from shelfspan.llm.common import checkpoint, is_small, table
+from shelfspan.llm.common import checkpoint, small_side, table
 
-#: Two masks of nine words and weight six. Texts of fewer words have no seed and are never reported.
+#: Two masks of nine words and weight six.
 MASKS = ("110101101", "111001011")
 SPAN = 9
 #: A stretch's score must reach this, or this share of a shorter item's words.
@@ -87,22 +87,25 @@ def _verified(hits: DataFrame) -> DataFrame:
     return hits.select("*", best.alias("best")).where(F.col("best.score") >= F.least(F.lit(MIN_SCORE), F.ceil(F.size("g") * MIN_SHARE)))
 
 
-def leaks(docs: DataFrame, benchmark: DataFrame, key: str, text: str = "text", item_id: str = "item_id", item_text: str = "text", broadcast_seeds: int = 100_000) -> DataFrame:
+def leaks(docs: DataFrame, benchmark: DataFrame, key: str, text: str = "text", item_id: str = "item_id", item_text: str = "text", broadcast_bytes: int = 64 << 20) -> DataFrame:
     """(key, item_id, score, start, words): benchmark items of which a document holds a passage, with its best stretch.
 
     `key` names the document; rows that share a key are one document. A row for each key and item. Null texts
-    are empty; texts and items of fewer than SPAN words give none; extra columns are ignored. A null key or
-    item_id is a value of its own.
-
-    While the benchmark has at most `broadcast_seeds` seeds (counted first; with items of up to 1,000 words
-    that is 1 GB at the very most, mostly far less), its seeds and item words are broadcast and documents
-    aren't shuffled at all. Beyond that, seeds of both sides meet in a shuffle as bare hashes, and word
-    arrays are joined to the hits afterwards.
+    are empty. Items of fewer than SPAN words have no seed: a document holds such an item if all its words
+    stand there in a row, with their number as score. Items without words, and documents' own passages of
+    fewer than SPAN words of a longer item, give none. Extra columns are ignored. A null key or item_id is a
+    value of its own.
+
+    While the benchmark's seeds, each with its item's word hashes, take at most `broadcast_bytes` (summed
+    first), they are broadcast and documents aren't shuffled at all. Beyond that, seeds of both sides meet in
+    a shuffle as bare hashes, and word arrays are joined to the hits afterwards.
     """
     doc = docs.select(F.col(f"`{key}`").alias("key"), hashes(F.col(text)).alias("h"))
     items = _items(benchmark, item_id, item_text)
     item_seeds = seeds(items, "g", "j")
-    if is_small(item_seeds.select("key"), broadcast_seeds):
+    # A seed's row: 8 bytes a word, and about 64 for the rest.
+    weight = items.where(F.size("g") >= SPAN).agg(F.sum((F.size("g") - SPAN + 1).cast("long") * len(MASKS) * (8 * F.size("g") + 64))).first()[0] or 0
+    if weight <= broadcast_bytes:
         side = F.broadcast(item_seeds.select(F.col("key").alias("item_key"), F.col("mask").alias("item_mask"), "item_id", "g", "j"))
         at = seeds(doc.select(F.col("key").alias("doc"), "h"), "h", "i")
         hits = at.join(side, (at["key"] == side["item_key"]) & _starts_run("i", "j", "item_mask"))
@@ -115,7 +118,16 @@ def leaks(docs: DataFrame, benchmark: DataFrame, key: str, text: str = "text", i
         pairs = at.join(seeds(words_of, "g", "j").select("item_md5", "j", "key"), "key").groupBy("text_md5", "item_md5", diagonal.alias("shift")).agg(F.min("i").alias("i"))
         pairs = checkpoint(pairs.select("text_md5", "item_md5", "i", (F.col("i") - F.col("shift")).alias("j")))
         found = _verified(doc.join(pairs, "text_md5").join(words_of, "item_md5"))
-    best = F.max(F.struct(F.col("best.score").alias("score"), (-F.col("best.start")).alias("before"), F.col("best.words").alias("words")))
+    found = found.select("doc", "item_id", "best.score", "best.start", "best.words")
+    lengths = [r[0] for r in items.where(F.size("g").between(1, SPAN - 1)).select(F.size("g")).distinct().collect()]  # fewer than SPAN
+    if lengths:
+        short = items.where(F.size("g").between(1, SPAN - 1)).select("item_id", F.hash("g").alias("short"), "g")
+        places = F.concat(*(F.transform(F.sequence(F.lit(0), F.greatest(F.size("h") - n, F.lit(0))), lambda i, n=n: F.struct(i.alias("i"), F.slice("h", i + 1, n).alias("of"))) for n in lengths))
+        at = doc.select(F.col(doc.columns[0]).alias("doc"), F.explode(places).alias("p")).select("doc", "p.i", "p.of", F.hash("p.of").alias("hash"))
+        short = small_side(short)
+        whole = at.join(short, (at["hash"] == short["short"]) & (at["of"] == short["g"]))
+        found = found.unionByName(whole.select("doc", "item_id", F.size("of").alias("score"), F.col("i").alias("start"), F.size("of").alias("words")))
+    best = F.max(F.struct(F.col("score"), (-F.col("start")).alias("before"), F.col("words")))
     return found.groupBy("doc", "item_id").agg(best.alias("best")).select(F.col("doc").alias(key), "item_id", F.col("best.score").cast("long").alias("score"), (-F.col("best.before")).cast("long").alias("start"), F.col("best.words").cast("long").alias("words"))
 
 
