@@ -106,17 +106,16 @@ def differences(pairs: DataFrame, by: list[str], digests: bool = True, levels: i
     (*by, level, added, removed): `added` are the digests in b but not in a, `removed` those in a but
     not in b, sorted arrays, or with digests=False how many there are. `level` is the sketch size that
     sufficed: 0 is a fingerprint's, each next one is larger and hashes anew. Pairs that don't peel are tried
-    again at the next level, with a checkpoint between levels; a pair that still fails after the last one
-    (each doubles the size; not seen) raises an error. Pairs of the same name are one, given once. Null arrays
-    are empty. Levels 0 and 1 are tried in one pass, as pairs that differ in much never peel at level 0. If
+    again at the next level, which has room for all of them and doubles from then on, with a checkpoint
+    between levels; of a pair that still fails after the last one (not seen) the arrays themselves are
+    compared, at level -1. Pairs of the same name are one, given once. Null arrays are empty. If
     rows are laid out by some of the columns `by`, they aren't shuffled again.
     """
     empty = F.array().cast("array<long>")
     pairs = pairs.select(*by, F.coalesce("a", empty).alias("a"), F.coalesce("b", empty).alias("b"))
     found, pending = None, pairs
-    for level in range(1, levels):
-        specs = F.array(*(spec_of(k, F.size("a"), F.size("b")) for k in ([0, 1] if level == 1 else [level])))
-        rows = pending.select(*by, "a", "b", F.explode(specs).alias("spec"))
+    for level in range(levels):
+        rows = pending.select(*by, "a", "b", spec_of(level, F.size("a"), F.size("b")).alias("spec"))
         peeled = peel(sketch(rows, by, "b", "a"), by, digests)
         left = F.count_if((F.col("cell") >= 0) & ((F.col("n") != 0) | (F.col("key") != 0)))
         if digests:
@@ -133,7 +132,8 @@ def differences(pairs: DataFrame, by: list[str], digests: bool = True, levels: i
         if failing.isEmpty():
             return found
         pending = pairs.join(small_side(failing), by, "left_semi")
-    raise RuntimeError("sketches of the largest size don't peel")
+    only = lambda x, y: F.sort_array(F.array_except(x, y)) if digests else F.size(F.array_except(x, y)).cast("long")
+    return found.unionByName(pending.select(*by, F.lit(-1).alias("level"), only("b", "a").alias("added"), only("a", "b").alias("removed")))
 
 
 def likeness(a: Column, b: Column, differing: Column) -> Column:
