@@ -68,10 +68,32 @@ NOTICES = (
     "This work is licensed under the {}.",
     "This project is licensed under the {}.",
     "This software is licensed under the {}.",
-    "{}",
 )
+#: What the BSD texts have in common.
+BSD_HEAD = """Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:
+
+1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer.
+
+2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution.
+"""
+BSD_THIRD = """
+3. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission.
+"""
+BSD_TAIL = """
+THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE."""
 #: Entire texts of short licences, as published.
 TEXTS = {
+    "BSD-2-Clause": BSD_HEAD + BSD_TAIL,
+    "BSD-3-Clause": BSD_HEAD + BSD_THIRD + BSD_TAIL,
+    "Unlicense": """This is free and unencumbered software released into the public domain.
+
+Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means.
+
+In jurisdictions that recognize copyright laws, the author or authors of this software dedicate any and all copyright interest in the software to the public domain. We make this dedication for the benefit of the public at large and to the detriment of our heirs and successors. We intend this dedication to be an overt act of relinquishment in perpetuity of all present and future rights to this software under copyright law.
+
+THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE.
+
+For more information, please refer to <https://unlicense.org>""",
     "MIT": """Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions:
 
 The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software.
@@ -93,12 +115,26 @@ Permission is granted to anyone to use this software for any purpose, including
 }
 
 
-def known_licenses(spark: SparkSession) -> DataFrame:
-    """(license, text): the notices and short texts that this module states; pass a table of the same form for others."""
-    titles = {"MIT": "MIT License\n\n", "ISC": "ISC License\n\n", "0BSD": "BSD Zero Clause License\n\n", "Zlib": "zlib License\n\n"}
+#: The line that may precede an entire text.
+TITLES = {"MIT": "MIT License", "ISC": "ISC License", "0BSD": "BSD Zero Clause License", "Zlib": "zlib License", "BSD-2-Clause": "BSD 2-Clause License", "BSD-3-Clause": "BSD 3-Clause License", "Unlicense": "The Unlicense"}
+
+
+def known_rows() -> list[tuple[str, str]]:
     rows = [(k, n.format(name)) for k, names in NAMES.items() for name in names for n in NOTICES]
-    rows += [(k, head + t) for k, t in TEXTS.items() for head in ("", titles[k])]
-    return spark.createDataFrame(rows, "license string, text string")
+    return rows + [(k, head + t) for k, t in TEXTS.items() for head in ("", TITLES[k] + "\n\n")]
+
+
+def known_licenses(spark: SparkSession, folder: str | None = None) -> DataFrame:
+    """(license, text): the notices and short texts that this module states, and the whole of each file in `folder`, whose name is the licence's.
+
+    Long licences (Apache, GPL, MPL, CC) have no entire text here: without a folder of their published texts only
+    notices find them.
+    """
+    known = spark.createDataFrame(known_rows(), "license string, text string")
+    if folder is None:
+        return known
+    name = F.regexp_extract(F.input_file_name(), r"([^/]*?)(\.txt)?$", 1)
+    return known.unionByName(spark.read.text(folder, wholetext=True).select(name.alias("license"), F.col("value").alias("text")))
 
 
 def canonical(line: Column) -> Column:
@@ -161,10 +197,7 @@ def op2_sql() -> str:
     for pattern, to in SPELLINGS:
         text = f"regexp_replace({text}, {quoted(pattern)}, {quoted(to.replace('$', chr(92)))}, 'g')"
     lines = f"list_filter(list_transform(string_split(coalesce(text, ''), chr(10)), lambda x: trim({text}, ' ')), lambda y: y <> '')"
-    rows = [(k, n.format(name)) for k, names in NAMES.items() for name in names for n in NOTICES]
-    titles = {"MIT": "MIT License\n\n", "ISC": "ISC License\n\n", "0BSD": "BSD Zero Clause License\n\n", "Zlib": "zlib License\n\n"}
-    rows += [(k, head + t) for k, t in TEXTS.items() for head in ("", titles[k])]
-    values = ", ".join(f"({quoted(k)}, {quoted(t)})" for k, t in rows)
+    values = ", ".join(f"({quoted(k)}, {quoted(t)})" for k, t in known_rows())
     return f"""
 WITH known AS (SELECT DISTINCT license, array_to_string({lines}, ' ') AS form FROM (VALUES {values}) AS v(license, text)),
 forms AS (SELECT doc_id, {lines} AS lines FROM documents),
