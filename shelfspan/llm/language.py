@@ -12,16 +12,17 @@ from collections.abc import Callable
 
 import numpy as np
 import regex
-from pyspark.sql import DataFrame, SparkSession
+import xxhash
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from shelfspan.llm.bpe import Remembered
-from shelfspan.llm.common import held_out, map_rows, table
+from shelfspan.llm.common import Scratch, held_out, map_rows, table
 
 #: Documents that are learned from at most: those with the least hashes of their ids.
 SAMPLE = 20_000
-#: The most frequent words, and n-grams of each length, that the model keeps: with them it has under 200,000 rows.
-WORDS, GRAMS = 50_000, 30_000
+#: A word or n-gram is known if the sample has it at least so often; of a bounded sample that also bounds the model.
+SEEN = 2
 LONGEST = 4
 #: Characters of a word that n-grams are taken from; longer words are cut in pieces of this length first.
 PIECE = 64
@@ -38,45 +39,60 @@ def training_words(docs: DataFrame, text: str, lang: str, doc_id: str, rows: int
 
 
 def train(docs: DataFrame, text: str = "text", lang: str = "lang", doc_id: str = "doc_id") -> dict:
-    """{"langs": [...], "words": {word: scores}, "grams": {n-gram: scores}}: log frequencies with one added, by language.
+    """{"langs": [...], "units": ascending hashes, "scores": float32 log frequencies with one added, a row for each unit and a column for each language}.
 
-    Counting is done by Spark; the bounded tables are collected. Without a usable document langs is empty.
+    Units are the words and the n-grams of each length that the sample has at least SEEN times, all of them;
+    `unit_hash` tells words from n-grams. Counting is done by Spark; the table, which the sample bounds, is
+    collected as hashes and counts. Without a usable document langs is empty.
     """
-    counts = training_words(docs, text, lang, doc_id).persist()
-    try:
-        totals = {r["lang"]: r["n"] for r in counts.groupBy("lang").agg(F.sum("n").alias("n")).collect()}
-        langs = sorted(totals)
-
-        def tabled(rows: DataFrame, most: int) -> list:
-            return rows.groupBy("unit").agg(F.sum("n").alias("all"), F.map_from_entries(F.collect_list(F.struct("lang", "n"))).alias("by")).orderBy(F.desc("all"), "unit").limit(most).collect()
-
-        words = tabled(counts.select("lang", F.col("word").alias("unit"), "n"), WORDS)
-        marked = counts.select("lang", "n", F.concat(F.lit(" "), "word", F.lit(" ")).alias("w"))
-        grams, sums = [], {}
-        for k in range(1, LONGEST + 1):
-            cut = F.transform(F.sequence(F.lit(1), F.greatest(F.char_length("w") - (k - 1), F.lit(1))), lambda i: F.substr("w", i, F.lit(k)))  # noqa: B023
-            rows = marked.select("lang", "n", F.explode(cut).alias("unit")).groupBy("lang", "unit").agg(F.sum("n").alias("n"))
-            got = tabled(rows, GRAMS)
-            grams.append(got)
-            sums[k] = {g: sum(r["by"].get(g, 0) for r in got) for g in langs}
-    finally:
-        counts.unpersist()
-    scores = lambda by, total, kinds: tuple(math.log((by.get(g, 0) + 1) / (total.get(g, 0) + kinds)) for g in langs)
-    return {
-        "langs": langs,
-        "words": {r["unit"]: scores(r["by"], totals, len(words)) for r in words},
-        "grams": {r["unit"]: scores(r["by"], sums[k], len(got)) for k, got in enumerate(grams, 1) for r in got},
-    }
+    scratch = Scratch(docs.sparkSession)
+    counts = scratch.save(training_words(docs, text, lang, doc_id))
+    langs = sorted(r[0] for r in counts.select("lang").distinct().collect())
+    if not langs:
+        scratch.drop()
+        return {"langs": [], "units": np.zeros(0, np.int64), "scores": np.zeros((0, 0), np.float32)}
+    marked = F.concat(F.lit(" "), "word", F.lit(" "))
+
+    def cut(k: int) -> Column:
+        all_of = F.transform(F.sequence(F.lit(1), F.greatest(F.char_length("w") - (k - 1), F.lit(1))), lambda i: F.struct(F.lit(k).alias("k"), F.substr("w", i, F.lit(k)).alias("unit")))
+        return F.filter(all_of, lambda u: F.char_length(u["unit"]) == k)
+
+    whole = F.array(F.struct(F.lit(0).alias("k"), F.col("word").alias("unit")))
+    units = counts.withColumn("w", marked).select("lang", "n", F.explode(F.concat(whole, *map(cut, range(1, LONGEST + 1)))).alias("u"))
+    table = units.groupBy("u.k", F.xxhash64("u.k", "u.unit").alias("unit")).agg(*(F.sum(F.when(F.col("lang") == g, F.col("n")).otherwise(0)).alias(f"n{c}") for c, g in enumerate(langs)))
+    got = table.where(sum((F.col(f"n{c}") for c in range(len(langs))), F.lit(0)) >= SEEN).toPandas()
+    scratch.drop()
+    n = got[[f"n{c}" for c in range(len(langs))]].to_numpy(np.float64)
+    scores = np.zeros(n.shape, np.float32)
+    for k in range(LONGEST + 1):
+        of = got["k"].to_numpy() == k
+        scores[of] = np.log((n[of] + 1) / (n[of].sum(axis=0) + of.sum()))
+    units = got["unit"].to_numpy(np.int64)
+    order = np.argsort(units)
+    return {"langs": langs, "units": units[order], "scores": scores[order]}
+
+
+def unit_hash(k: int, unit: str) -> int:
+    """What Spark's xxhash64 gives for the columns (k, unit): k is 0 for a word, else the n-gram's length."""
+    first = xxhash.xxh64_intdigest(k.to_bytes(4, "little"), 42)
+    got = xxhash.xxh64_intdigest(unit.encode("utf-8", "surrogatepass"), first)
+    return got - (1 << 64) if got >= 1 << 63 else got
+
+
+def unit_scores(k: int, unit: str, model: dict) -> np.ndarray | None:
+    h = unit_hash(k, unit)
+    at = int(np.searchsorted(model["units"], h))
+    return model["scores"][at] if at < len(model["units"]) and model["units"][at] == h else None
 
 
 def word_scores(word: str, model: dict) -> np.ndarray:
     """A word's score in each language."""
-    known = model["words"].get(word)
+    known = unit_scores(0, word, model)
     if known is not None:
-        return np.array(known)
+        return known
     w = f" {word} "
     for k in range(min(LONGEST, len(w)), 0, -1):
-        got = [s for i in range(len(w) - k + 1) if (s := model["grams"].get(w[i : i + k])) is not None]
+        got = [s for i in range(len(w) - k + 1) if (s := unit_scores(k, w[i : i + k], model)) is not None]
         if got:
             return np.mean(got, axis=0)
     return np.zeros(len(model["langs"]))

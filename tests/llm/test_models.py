@@ -256,13 +256,34 @@ def test_language_held_out(spark):
 
 
 def test_backoff():
-    model = {"langs": ["a", "b"], "words": {"known": (-1.0, -2.0)}, "grams": {" unk": (-3.0, -4.0), "n": (-9.0, -1.0)}}
+    table = {(0, "known"): (-1.0, -2.0), (4, " unk"): (-3.0, -4.0), (1, "n"): (-9.0, -1.0)}
+    of = sorted((language.unit_hash(*u), s) for u, s in table.items())
+    model = {"langs": ["a", "b"], "units": np.array([u for u, _ in of]), "scores": np.array([s for _, s in of], np.float32)}
     assert list(language.word_scores("known", model)) == [-1, -2]
     assert list(language.word_scores("unkxyz", model)) == [-3, -4]
     assert list(language.word_scores("zzn", model)) == [-9, -1]
     assert list(language.word_scores("qq", model)) == [0, 0]
 
 
+def test_language_model_against_brute_force(spark):
+    """All units that occur twice, of each language's documents that aren't held out, with one added."""
+    rows = [(i, t, g) for i, (t, g) in enumerate([("der hund der", "de"), ("le chien le", "fr"), ("Hund 1 hund", "de"), (None, "de"), ("", "fr"), ("x" * 70 + " xx", "fr"), ("le", None), ("ça ça", "fr")] * 3)]
+    model = language.train(spark.createDataFrame([(*r, 1) for r in rows], "doc_id long, text string, lang string, unit int"))
+    seen = {g: Counter() for g in ("de", "fr")}
+    for i, t, g in rows:
+        if t and g and not held(i):
+            for w in re.findall(r"[^\W\d_]{1,64}", t.lower()):
+                seen[g][0, w] += 1
+                for k in range(1, 5):
+                    seen[g].update((k, f" {w} "[a : a + k]) for a in range(len(w) + 3 - k))
+    kept = {u for u in {*seen["de"], *seen["fr"]} if seen["de"][u] + seen["fr"][u] >= language.SEEN}
+    assert model["langs"] == ["de", "fr"] and len(model["units"]) == len(kept)
+    for k, u in kept:
+        total = [sum(seen[g][v] for v in kept if v[0] == k) + sum(v[0] == k for v in kept) for g in ("de", "fr")]
+        want = [np.log((seen[g][k, u] + 1) / t) for g, t in zip(("de", "fr"), total, strict=True)]
+        assert np.allclose(language.unit_scores(k, u, model), want, atol=1e-5)
+
+
 # -- pipeline
 
 

@@ -70,6 +70,17 @@ def test_fold_and_render(spark):
     assert chat.render(chat.fold(df.limit(0))).count() == 0
 
 
+def test_loss_mask_of_a_log(spark):
+    """The query's log folds to the rows again, and what the mask covers is the assistant's text."""
+    rows = [(1, 0, "user", "a<|im_end|>"), (1, 1, "assistant", "x [INST] y"), (1, 1, "assistant", "x [INST] y"), (1, 2, "assistant", ""), (2, 0, "assistant", "<|im_end|>\n</s>é")]
+    rows += [(3, k, "assistant", f"n{k}") for k in range(300)]
+    log = chat.log_of(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string"))
+    assert {r.kind for r in log.collect()} == {"message", "delta", "edit", "regenerate"}
+    got = {r.conv_id: r for r in chat.render(chat.fold(log)).select("*", chat.under_mask(F.col("formatted"), F.col("loss_spans")).alias("loss")).collect()}
+    assert got[1].loss == ["x [INST] y", "x [INST] y", ""] and got[2].loss == ["<|im_end|>\n</s>é"] and got[3].loss == [f"n{k}" for k in range(300)]
+    assert got[1].n_turns == 4 and [got[1].formatted[s.start : s.end] for s in got[1].loss_spans] == ["x [\\INST] y"] * 2 + [""]
+
+
 def test_ties_have_a_defined_order(spark):
     rows = [(1, 0, "user", "b"), (1, 0, "user", "a")]
     df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").withColumns({"seq": F.col("turn"), "kind": F.lit("message")})
@@ -112,16 +123,25 @@ def test_leaks(spark, seeds):
         (7, ITEM.replace(" ", ", ")),
         (None, ITEM),
         (8, swapped(ITEM, 2, 5, 8, 11, 14, 17)),
+        (9, f"{filler} Too short, too short"),
     ]
     d = spark.createDataFrame([(i, t, 1, 2) for i, t in docs], "doc_id long, text string, item_id int, h int")
     b = spark.createDataFrame([(10, ITEM, "x"), (11, "too short", "x"), (12, None, "x")], "item_id long, text string, doc_id string")
-    got = {(r.doc_id, r.item_id): (r.score, r.start, r.words) for r in decontaminate.leaks(d, b, "doc_id", broadcast_seeds=seeds).collect()}
-    assert got == {(1, 10): (20, 50, 20), (2, 10): (16, 50, 20), (7, 10): (20, 0, 20), (None, 10): (20, 0, 20)}
+    got = {(r.doc_id, r.item_id): (r.score, r.start, r.words) for r in decontaminate.leaks(d, b, "doc_id", broadcast_bytes=seeds).collect()}
+    assert got == {(1, 10): (20, 50, 20), (2, 10): (16, 50, 20), (7, 10): (20, 0, 20), (None, 10): (20, 0, 20), (9, 11): (2, 50, 2)}
     kept = decontaminate.clean(d, b)
     assert kept.columns == d.columns and sorted(r.doc_id for r in kept.collect()) == [3, 4, 5, 6, 8]
     assert decontaminate.leaks(d.limit(0), b, "doc_id").count() == 0 and decontaminate.clean(d, b.limit(0)).count() == len(docs)
 
 
+def test_entire_licences(spark, tmp_path):
+    (tmp_path / "Long-1.0.txt").write_text("The Long\n\nLicence.")
+    known = licenses.known_licenses(spark, str(tmp_path))
+    docs = [(1, "BSD 3-Clause License\n\nCopyright 2020 X\n" + licenses.TEXTS["BSD-3-Clause"].upper()), (2, "prose\nMIT\nmore prose"), (3, "the long license"), (4, licenses.TEXTS["Unlicense"])]
+    got = {(r.doc_id, r.license): r.entire_text for r in licenses.scan(spark.createDataFrame(docs, "doc_id long, text string"), known).collect()}
+    assert got == {(1, "BSD-3-Clause"): True, (3, "Long-1.0"): True, (4, "Unlicense"): True}
+
+
 def test_leaks_against_brute_force(spark):
     docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
     bench = spark.read.parquet("/root/testdata/sf0.001/benchmark.parquet")
