@@ -31,7 +31,7 @@ SPLIT = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{
 BLANK = regex.compile(r"\s")
 BLANKS = regex.compile(r"\s*")
 #: Entries that a table of remembered pieces or pairs holds before it starts afresh; bounds a worker's memory.
-REMEMBERED = 200_000
+REMEMBERED = 100_000
 #: Tokens that are decoded at a time.
 DECODE_BLOCK = 1 << 16
 

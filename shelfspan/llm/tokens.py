@@ -18,9 +18,11 @@ def vocabulary(name: str = "byte_bpe_50k.json") -> str:
     return public_tokenizers.path(name)
 
 
-def encode(df: DataFrame, path: str, text: str = "text", ids: str = "token_ids", keep: bool = True) -> DataFrame:
+def encode(df: DataFrame, path: str, text: str = "text", ids: str = "token_ids", keep: bool = True, round_trip: str | None = None) -> DataFrame:
     """Adds `ids`: array<int> of each whole text's token ids, added tokens' strings as those tokens.
 
+    With `round_trip` also a boolean column of that name: whether decoding the ids gives the text back.
+
     Null text is encoded as the empty text (an empty array). Rows, order and repeats stay as they are; an
     existing column of the name `ids` is replaced. One pass without a shuffle.
     """
@@ -39,11 +41,14 @@ def encode(df: DataFrame, path: str, text: str = "text", ids: str = "token_ids",
                     if added is not None:
                         got.append(encoder.added[added])
                 out.append(got)
-            return {ids: out}
+            if not round_trip:
+                return {ids: out}
+            back = [encoder.decode(np.array(x, dtype=np.int64)).decode("utf-8", "replace") for x in out]
+            return {ids: out, round_trip: [b == (t or "") for b, t in zip(back, rows[text], strict=True)]}
 
         return f
 
-    return map_rows(df, [text], f"`{ids}` array<int>", make, keep)
+    return map_rows(df, [text], f"`{ids}` array<int>" + (f", `{round_trip}` boolean" if round_trip else ""), make, keep)
 
 
 def decode(df: DataFrame, path: str, ids: str = "token_ids", text: str = "decoded", keep: bool = True) -> DataFrame:
