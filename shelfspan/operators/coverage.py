@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from shelfspan.functions import fuzzy
+from shelfspan.sources.shared import stored
 
 #: Statuses in the order of reports.
 STATUSES = (
@@ -48,6 +49,7 @@ def place_markets(client: DataFrame, panel: DataFrame, alignment: DataFrame) ->
 
     If no client market is aligned, all markets of both sides are rolled up; if the client has none at all, a
     panel with one market is taken for it. Panel markets that are summed for a client market get its label.
+    Boolean in_scope of the panel says whether a client market is mapped to its market, or none is to any.
     """
     aligned = alignment.where("panel_market is not null")
     if aligned.isEmpty():
@@ -57,13 +59,15 @@ def place_markets(client: DataFrame, panel: DataFrame, alignment: DataFrame) ->
             ok = F.lit(True) if has_market else F.lit(False)
             return (
                 client.withColumns({"panel_market": F.lit(ALL_MARKETS), "market_ok": ok & F.col("market").isNotNull(), "market_caveat": ok}),
-                panel.withColumn("panel_market", F.lit(ALL_MARKETS)),
+                panel.withColumns({"panel_market": F.lit(ALL_MARKETS), "in_scope": F.lit(True)}),
             )
-        return client.withColumns({"panel_market": F.lit(only.a), "market_ok": F.lit(only.a is not None), "market_caveat": F.lit(False)}), panel.withColumn("panel_market", F.col("market"))
+        return client.withColumns({"panel_market": F.lit(only.a), "market_ok": F.lit(only.a is not None), "market_caveat": F.lit(False)}), panel.withColumns({"panel_market": F.col("market"), "in_scope": F.lit(True)})
     to = aligned.select(F.col("client_market").alias("market"), "panel_market", F.col("caveat").alias("market_caveat"))
     placed = client.join(to, "market", "left").withColumns({"market_ok": F.col("panel_market").isNotNull(), "market_caveat": F.coalesce("market_caveat", F.lit(False))})
     part = aligned.where("components is not null").select(F.explode("components").alias("market"), F.col("panel_market").alias("summed"))
-    return placed, panel.join(part, "market", "left").withColumn("panel_market", F.coalesce("summed", "market")).drop("summed")
+    there = panel.join(part, "market", "left").withColumn("panel_market", F.coalesce("summed", "market")).drop("summed")
+    mapped = aligned.select("panel_market", F.lit(True).alias("in_scope")).distinct()
+    return placed, there.join(mapped, "panel_market", "left").withColumn("in_scope", F.col("in_scope").isNotNull())
 
 
 def kpi_slice(client: DataFrame) -> DataFrame:
@@ -135,18 +139,17 @@ def panel_groups(panel: DataFrame) -> DataFrame:
         F.sum("volume").alias("panel_volume"),
         _first("description", "position").alias("panel_description"),
         _first("upc", "position").alias("panel_upc"),
+        F.bool_or("in_scope").alias("in_scope"),
     )
 
 
 def join_groups(mine: DataFrame, theirs: DataFrame) -> DataFrame:
     """The full join of both sides' groups with status, exception_reason and deltas; a panel market that no client market is mapped to only tells what it holds."""
-    mapped = mine.select(F.col("panel_market")).distinct()
-    inside = theirs.join(mapped, "panel_market", "left_semi")
+    inside = theirs.where("in_scope").drop("in_scope")
     joined = mine.withColumn("mine", F.lit(True)).join(inside.withColumn("theirs", F.lit(True)), KEYS, "full")
-    known = inside.select("pkey").distinct().withColumn("known", F.lit(True))
-    periods = inside.select("pkey", "period_key").distinct().withColumn("known_period", F.lit(True))
-    elsewhere = theirs.select("pkey").distinct().withColumn("anywhere", F.lit(True))
-    j = joined.join(known, "pkey", "left").join(periods, ["pkey", "period_key"], "left").join(elsewhere, "pkey", "left")
+    # A product's periods are few. What the panel holds of it, inside and outside the mapped markets:
+    held = theirs.groupBy("pkey").agg(F.collect_set(F.when(F.col("in_scope"), F.col("period_key"))).alias("periods"), F.lit(True).alias("anywhere"))
+    j = joined.join(held, "pkey", "left").withColumns({"known": F.nullif(F.size("periods") > 0, F.lit(False)), "known_period": F.nullif(F.array_contains("periods", F.col("period_key")), F.lit(False))}).drop("periods")
     both = F.col("mine").isNotNull() & F.col("theirs").isNotNull()
     empty = F.col("client_sales").isNull() & F.col("client_units").isNull()
     rolled_up = F.col("panel_market") == ALL_MARKETS
@@ -177,7 +180,12 @@ def join_groups(mine: DataFrame, theirs: DataFrame) -> DataFrame:
 def row_statuses(client: DataFrame, groups: DataFrame) -> DataFrame:
     """Client rows with status and exception_reason: what the row lacks, else its group's."""
     of = groups.where("client_row_count is not null").select(*KEYS, F.col("status").alias("group_status"), F.col("exception_reason").alias("group_reason"))
-    rows = client.withColumnRenamed("exception_reason", "row_reason").join(of, KEYS, "left")
+    rows = client.withColumnRenamed("exception_reason", "row_reason")
+    # Rows without a key meet no group; they stay where they are, as so many of them would meet in one task.
+    whole = F.lit(True)
+    for k in KEYS:
+        whole = whole & F.col(k).isNotNull()
+    rows = rows.where(whole).join(of, KEYS, "left").unionByName(rows.where(~whole), allowMissingColumns=True)
     cases = [
         (F.col("record_status") == "needs_review", F.lit("needs_review"), F.col("row_reason")),
         (~F.col("market_ok"), F.lit("market_mismatch"), F.lit("client market has no panel market")),
@@ -190,7 +198,9 @@ def row_statuses(client: DataFrame, groups: DataFrame) -> DataFrame:
 
 
 def run_coverage(client: DataFrame, panel: DataFrame, alignment: DataFrame, crosswalk: DataFrame | None = None, by_description: bool = True, brands: DataFrame | None = None) -> Coverage:
-    placed, there = place_markets(client, panel, alignment)
+    """Statuses of client rows and of both sides' groups. Each side, its groups and their join are written once and read where they are needed (see `stored`)."""
+    placed, there = place_markets(stored(client), stored(panel), alignment)
     mine, theirs = resolve_keys(kpi_slice(placed), there, crosswalk, by_description, brands)
-    groups = join_groups(client_groups(mine), panel_groups(theirs))
+    mine = stored(mine)
+    groups = stored(join_groups(client_groups(mine), stored(panel_groups(theirs))))
     return Coverage(row_statuses(mine, groups), groups)

@@ -82,7 +82,7 @@ def trend(run: Coverage) -> DataFrame:
         _share(F.col("matched"), F.col("client_sales")).alias("coverage_rate"),
         F.round("client_units", 2).alias("client_units"),
         F.round("panel_units", 2).alias("panel_units"),
-    )
+    ).orderBy("period")
 
 
 def exceptions(run: Coverage) -> DataFrame:
@@ -90,7 +90,7 @@ def exceptions(run: Coverage) -> DataFrame:
     rows = run.rows.where("status != 'matched' and status != 'missing_from_client'").groupBy("status").agg(F.count(F.lit(1)).alias("rows"), _total(F.col("sales")).alias("client_sales"), F.lit(0.0).alias("panel_sales"), F.min("exception_reason").alias("note"))
     groups = run.groups.where("status = 'missing_from_client'").groupBy("status").agg(F.count(F.lit(1)).alias("rows"), F.lit(0.0).alias("client_sales"), _total(F.col("panel_sales")).alias("panel_sales"), F.min("exception_reason").alias("note"))
     rank = F.array_position(F.array(*map(F.lit, STATUSES)), F.col("status"))
-    return rows.unionByName(groups).select(rank.cast("long").alias("rank"), "status", "rows", F.round("client_sales", 2).alias("client_sales"), F.round("panel_sales", 2).alias("panel_sales"), "note")
+    return rows.unionByName(groups).select(rank.cast("long").alias("rank"), "status", "rows", F.round("client_sales", 2).alias("client_sales"), F.round("panel_sales", 2).alias("panel_sales"), "note").orderBy("rank")
 
 
 def exception_rows(run: Coverage) -> DataFrame:
@@ -131,7 +131,7 @@ def period_diagnostic(run: Coverage) -> DataFrame:
     """By period: rows, sales and the share of sales that matched."""
     m = _matched()
     g = run.rows.where("period_key is not null").groupBy(F.col("period_key").alias("period")).agg(F.count(F.lit(1)).alias("client_rows"), F.count_if(m).alias("matched_rows"), _total(F.col("sales")).alias("s"), _total(F.when(m, F.col("sales"))).alias("t"))
-    return g.select("period", "client_rows", "matched_rows", F.round("s", 2).alias("client_sales"), F.round("t", 2).alias("matched_client_sales"), _share(F.col("t"), F.col("s"), 3).alias("match_rate"))
+    return g.select("period", "client_rows", "matched_rows", F.round("s", 2).alias("client_sales"), F.round("t", 2).alias("matched_client_sales"), _share(F.col("t"), F.col("s"), 3).alias("match_rate")).orderBy("period")
 
 
 def brand_overlap(client: DataFrame, panel: DataFrame) -> DataFrame:
