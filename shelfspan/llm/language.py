@@ -72,17 +72,22 @@ def train(docs: DataFrame, text: str = "text", lang: str = "lang", doc_id: str =
     return {"langs": langs, "units": units[order], "scores": scores[order]}
 
 
+#: Hash of each kind of unit alone, with Spark's seed.
+KINDS = tuple(xxhash.xxh64_intdigest(k.to_bytes(4, "little"), 42) for k in range(LONGEST + 1))
+
+
 def unit_hash(k: int, unit: str) -> int:
     """What Spark's xxhash64 gives for the columns (k, unit): k is 0 for a word, else the n-gram's length."""
-    first = xxhash.xxh64_intdigest(k.to_bytes(4, "little"), 42)
-    got = xxhash.xxh64_intdigest(unit.encode("utf-8", "surrogatepass"), first)
+    got = xxhash.xxh64_intdigest(unit.encode("utf-8", "surrogatepass"), KINDS[k])
     return got - (1 << 64) if got >= 1 << 63 else got
 
 
 def unit_scores(k: int, unit: str, model: dict) -> np.ndarray | None:
-    h = unit_hash(k, unit)
-    at = int(np.searchsorted(model["units"], h))
-    return model["scores"][at] if at < len(model["units"]) and model["units"][at] == h else None
+    """A unit's row of scores; the first call builds the index of the model's hashes."""
+    if "index" not in model:
+        model["index"] = {h: at for at, h in enumerate(model["units"].tolist())}
+    at = model["index"].get(unit_hash(k, unit))
+    return None if at is None else model["scores"][at]
 
 
 def word_scores(word: str, model: dict) -> np.ndarray:
@@ -94,7 +99,7 @@ def word_scores(word: str, model: dict) -> np.ndarray:
     for k in range(min(LONGEST, len(w)), 0, -1):
         got = [s for i in range(len(w) - k + 1) if (s := unit_scores(k, w[i : i + k], model)) is not None]
         if got:
-            return np.mean(got, axis=0)
+            return sum(got) / len(got)
     return np.zeros(len(model["langs"]))
 
 
@@ -109,9 +114,9 @@ def predict(docs: DataFrame, model: dict, text: str = "text") -> DataFrame:
     sent = docs.sparkSession.sparkContext.broadcast(model)
 
     def make() -> Callable:
-        model = sent.value
+        model = dict(sent.value)
         langs = model["langs"]
-        known = Remembered(lambda w: word_scores(w, model))
+        known = Remembered(lambda w: word_scores(w, model), limit=200_000)
 
         def one(t: str | None) -> tuple[str, float]:
             words = WORD.findall((t or "").lower())
