@@ -20,6 +20,8 @@ SPAN = 9
 #: A stretch's score must reach this, or this share of a shorter item's words.
 MIN_SCORE = 13
 MIN_SHARE = 0.7
+#: An item too short for seeds, but of at least so many words, is found anywhere in a text; a shorter one only as an entire text.
+MIN_INSIDE = 5
 
 
 def words(text: Column) -> Column:
@@ -87,12 +89,26 @@ def _verified(hits: DataFrame) -> DataFrame:
     return hits.select("*", best.alias("best")).where(F.col("best.score") >= F.least(F.lit(MIN_SCORE), F.ceil(F.size("g") * MIN_SHARE)))
 
 
+def _whole_items(doc: DataFrame, short: DataFrame, sizes: list[int]) -> DataFrame:
+    """(doc, item_id, best): items of fewer words than SPAN that documents hold word for word; `short` has item_id and key."""
+
+    def places(n: int) -> Column:
+        last = F.size("h") - n
+        at = F.when(last >= 0 if n >= MIN_INSIDE else last == 0, F.sequence(F.lit(0), F.greatest(last, F.lit(0)))).otherwise(F.array().cast("array<int>"))
+        return F.transform(at, lambda i: F.struct(F.xxhash64(F.lit(n), *(F.get("h", i + k) for k in range(n))).alias("key"), F.struct(F.lit(n).alias("score"), i.alias("start"), F.lit(n).alias("words")).alias("best")))
+
+    at = doc.select("doc", F.explode(F.concat(*map(places, sizes))).alias("at")).select("doc", "at.key", "at.best")
+    return at.join(short, "key").select("doc", "item_id", "best")
+
+
 def leaks(docs: DataFrame, benchmark: DataFrame, key: str, text: str = "text", item_id: str = "item_id", item_text: str = "text", broadcast_bytes: int = 64 << 20) -> DataFrame:
     """(key, item_id, score, start, words): benchmark items of which a document holds a passage, with its best stretch.
 
     `key` names the document; rows that share a key are one document. A row for each key and item. Null texts
-    are empty; texts and items of fewer than SPAN words give none; extra columns are ignored. A null key or
-    item_id is a value of its own.
+    are empty; extra columns are ignored. A null key or item_id is a value of its own.
+
+    Items of fewer than SPAN words, which no seed fits, must agree in all words: from MIN_INSIDE words on
+    anywhere in a text, below as an entire text. Items without a word give none.
 
     While the benchmark's seeds, each with its item's word hashes, take at most `broadcast_bytes` (summed
     first), they are broadcast and documents aren't shuffled at all. Beyond that, seeds of both sides meet in
@@ -102,7 +118,10 @@ def leaks(docs: DataFrame, benchmark: DataFrame, key: str, text: str = "text", i
     items = _items(benchmark, item_id, item_text)
     item_seeds = seeds(items, "g", "j")
     # A seed's row: 8 bytes a word, and about 64 for the rest.
-    weight = items.where(F.size("g") >= SPAN).agg(F.sum((F.size("g") - SPAN + 1).cast("long") * len(MASKS) * (8 * F.size("g") + 64))).first()[0] or 0
+    n = F.size("g")
+    fit = F.sum(F.when(n >= SPAN, (n - SPAN + 1).cast("long") * len(MASKS) * (8 * n + 64)))
+    too_short = n.between(1, SPAN - 1)
+    weight, shorter, sizes = items.agg(F.coalesce(fit, F.lit(0)), F.count_if(too_short), F.sort_array(F.collect_set(F.when(too_short, n)))).first()
     if weight <= broadcast_bytes:
         side = F.broadcast(item_seeds.select(F.col("key").alias("item_key"), F.col("mask").alias("item_mask"), "item_id", "g", "j"))
         at = seeds(doc.select(F.col("key").alias("doc"), "h"), "h", "i")
@@ -117,6 +136,12 @@ def leaks(docs: DataFrame, benchmark: DataFrame, key: str, text: str = "text", i
         pairs = checkpoint(pairs.select("text_md5", "item_md5", "i", (F.col("i") - F.col("shift")).alias("j")))
         found = _verified(doc.join(pairs, "text_md5").join(words_of, "item_md5"))
     found = found.select("doc", "item_id", "best.score", "best.start", "best.words")
+    if shorter:
+        # Nulls beyond an item's words leave its hash as it is.
+        short = items.where(too_short).select("item_id", F.xxhash64(n, *(F.get("g", F.lit(k)) for k in range(SPAN - 1))).alias("key"))
+        of = docs.select(F.col(f"`{key}`").alias("doc"), hashes(F.col(text)).alias("h"))
+        held = _whole_items(of, F.broadcast(short) if shorter * 64 <= broadcast_bytes else short, sizes)
+        found = found.unionByName(held.select("doc", "item_id", "best.score", "best.start", "best.words"))
     best = F.max(F.struct(F.col("score"), (-F.col("start")).alias("before"), F.col("words")))
     return found.groupBy("doc", "item_id").agg(best.alias("best")).select(F.col("doc").alias(key), "item_id", F.col("best.score").cast("long").alias("score"), (-F.col("best.before")).cast("long").alias("start"), F.col("best.words").cast("long").alias("words"))
 

@@ -123,13 +123,17 @@ def test_leaks(spark, seeds):
         (7, ITEM.replace(" ", ", ")),
         (None, ITEM),
         (8, swapped(ITEM, 2, 5, 8, 11, 14, 17)),
+        (9, "Too short!"),
+        (10, f"too short {filler}"),
+        (11, f"{filler} One two three, four five six. {filler} one two three four five six"),
+        (12, "one two three four five other"),
     ]
     d = spark.createDataFrame([(i, t, 1, 2) for i, t in docs], "doc_id long, text string, item_id int, h int")
-    b = spark.createDataFrame([(10, ITEM, "x"), (11, "too short", "x"), (12, None, "x")], "item_id long, text string, doc_id string")
+    b = spark.createDataFrame([(10, ITEM, "x"), (11, "too short", "x"), (12, None, "x"), (13, "one two three four five six", "x"), (14, "...", "x")], "item_id long, text string, doc_id string")
     got = {(r.doc_id, r.item_id): (r.score, r.start, r.words) for r in decontaminate.leaks(d, b, "doc_id", broadcast_bytes=seeds).collect()}
-    assert got == {(1, 10): (20, 50, 20), (2, 10): (16, 50, 20), (7, 10): (20, 0, 20), (None, 10): (20, 0, 20)}
+    assert got == {(1, 10): (20, 50, 20), (2, 10): (16, 50, 20), (7, 10): (20, 0, 20), (None, 10): (20, 0, 20), (9, 11): (2, 0, 2), (11, 13): (6, 50, 6)}
     kept = decontaminate.clean(d, b)
-    assert kept.columns == d.columns and sorted(r.doc_id for r in kept.collect()) == [3, 4, 5, 6, 8]
+    assert kept.columns == d.columns and sorted(r.doc_id for r in kept.collect()) == [3, 4, 5, 6, 8, 10, 12]
     assert decontaminate.leaks(d.limit(0), b, "doc_id").count() == 0 and decontaminate.clean(d, b.limit(0)).count() == len(docs)
 
 
