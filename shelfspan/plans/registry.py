@@ -331,7 +331,36 @@ def geo_expansion(spark: SparkSession, sf: str) -> DataFrame:
     return geography.expand(labels, "market").select("label", F.array_join("states", " ").alias("states"))
 
 
-@query("SELECT p_brand AS client_brand, CASE WHEN k % 3 = 0 THEN replace(lower(p_brand), '#', ' #') WHEN k % 3 = 1 THEN 'maker ' || lower(p_brand) END AS panel_brand FROM (SELECT DISTINCT lower(p_brand) AS p_brand, CAST(string_split(p_brand, '#')[2] AS INTEGER) AS k FROM part) WHERE k % 3 < 2")
+def indel(a: str, b: str) -> str:
+    """SQL of the indel ratio of two strings; the fold keeps the row of a table of common subsequences."""
+    row = "list_transform(range(1, length({b}) + 1), lambda j: list_max(list_transform(range(1, j + 1), lambda t: CASE WHEN {b}[t] = m.ch THEN coalesce(row.n[t - 1], 0) + 1 ELSE row.n[t] END)))"
+    start = "{{'ch': '', 'n': list_transform(range(1, length({b}) + 1), lambda j: 0)}}"
+    chars = "list_transform(range(1, length({a}) + 1), lambda k: {{'ch': {a}[k], 'n': NULL::BIGINT[]}})"
+    fold = f"list_reduce(list_concat([{start}], {chars}), lambda row, m: {{{{'ch': '', 'n': {row}}}}})"
+    return f"200.0 * list_max(({fold}).n) / (length({{a}}) + length({{b}}))".format(a=a, b=b)
+
+
+#: Equal without blanks, then contained, then alike. Client brands are one word, so brands that share a word are contained.
+BRAND_SQL = f"""
+WITH b AS (SELECT DISTINCT lower(p_brand) AS c, CAST(string_split(p_brand, '#')[2] AS INTEGER) % 3 AS k FROM part),
+panel AS (SELECT DISTINCT CASE k WHEN 0 THEN replace(c, '#', ' #') WHEN 1 THEN 'maker ' || c ELSE 'zzz' END AS d FROM b),
+equal AS (SELECT c, min(d) AS d FROM b JOIN panel ON replace(c, ' ', '') = replace(d, ' ', '') GROUP BY 1),
+contained AS (SELECT c, arg_min(d, (length(d), d)) AS d FROM b JOIN panel ON length(c) >= 3 AND (contains(d, c) OR contains(c, d)) WHERE c NOT IN (SELECT c FROM equal) GROUP BY 1),
+rest AS (SELECT c, d, CASE WHEN length(c) <= length(d) THEN c ELSE d END AS x, CASE WHEN length(c) <= length(d) THEN d ELSE c END AS y,
+                array_to_string(list_sort(list_distinct(string_split(d, ' '))), ' ') AS w
+         FROM b, panel WHERE c NOT IN (SELECT c FROM equal UNION ALL SELECT c FROM contained)),
+stretches AS (SELECT DISTINCT x, y, substring(y, greatest(k, 0) + 1, least(length(y), k + length(x)) - greatest(k, 0)) AS z
+              FROM (SELECT DISTINCT x, y FROM rest), LATERAL (SELECT unnest(range(1 - length(x), length(y))) AS k)
+              UNION SELECT y, x, substring(x, greatest(k, 0) + 1, least(length(x), k + length(y)) - greatest(k, 0))
+              FROM (SELECT DISTINCT x, y FROM rest WHERE length(x) = length(y)), LATERAL (SELECT unnest(range(1 - length(y), length(x))) AS k)),
+part_of AS (SELECT least(x, y) AS x, greatest(x, y) AS y, max({indel("x", "z")}) AS p FROM stretches GROUP BY 1, 2),
+scored AS (SELECT c, d, p, {indel("c", "w")} AS s FROM rest JOIN part_of ON part_of.x = least(c, d) AND part_of.y = greatest(c, d)),
+alike AS (SELECT c, arg_max(d, (p, s, d)) AS d, max((p, s, d)) AS best FROM scored GROUP BY 1)
+SELECT c AS client_brand, d AS panel_brand FROM equal UNION ALL SELECT c, d FROM contained
+UNION ALL SELECT c, d FROM alike WHERE best[1] >= 82 AND best[2] >= 60"""
+
+
+@query(BRAND_SQL)
 def brand_alias(spark: SparkSession, sf: str) -> DataFrame:
     b = read(spark, sf, "part").select(F.lower("p_brand").alias("brand")).distinct()
     k = F.get(F.split("brand", "#"), 1).cast("int") % 3
