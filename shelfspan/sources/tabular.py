@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import csv
 import re
 from dataclasses import dataclass, field
 from pathlib import PurePosixPath
@@ -11,6 +12,8 @@ from pyspark.sql import functions as F
 
 #: Rows that may hold the header.
 HEAD_ROWS = 10
+#: First lines of a file of which the one with most cells gives the number of columns.
+WIDTH_LINES = 100
 #: Headers of identifiers, which stay text; their leading zeros matter.
 IDENTIFIER = re.compile(r"\b(upc|gtin|barcode|ean|plu|item|product|sku|material|article)|\b(code|id|number|num|no|key|#)\b", re.IGNORECASE)
 
@@ -59,25 +62,36 @@ def restore_numbers(df: DataFrame) -> DataFrame:
     return df.select(*(_numeric(c).alias(c) if c in numeric else F.col(f"`{c}`") for c in df.columns))
 
 
+def first_lines(spark: SparkSession, path: str) -> list[list[str | None]]:
+    """Cells of the first lines of a CSV file, blank lines too; empty cells are null."""
+    lines = [r[0] for r in spark.read.text(path).head(WIDTH_LINES)]
+    return [[c.strip() or None for c in cells] for cells in csv.reader(lines)]
+
+
 def read_csv(spark: SparkSession, path: str, header_row: int | None = None) -> Loaded:
     """A CSV file as text columns under its own header, wherever in the first rows it is, with numbers restored and source_row_id.
 
-    All-null rows and columns are dropped. source_row_id numbers rows in file order, with gaps: the place of
+    The table is as wide as the longest of the first lines; shorter rows end in nulls. All-null rows and columns
+    are dropped. source_row_id numbers rows in file order, with gaps: the place of
     the file split, then the row in it, so no task sees more than its split.
     """
-    raw = spark.read.csv(path, header=False, inferSchema=False, mode="PERMISSIVE", ignoreLeadingWhiteSpace=True, ignoreTrailingWhiteSpace=True, multiLine=False).withColumn("source_row_id", F.monotonically_increasing_id())
+    lines = first_lines(spark, path)
+    width = max(map(len, lines), default=0)
+    if not width:
+        return Loaded(spark.createDataFrame([], "source_row_id long"), PurePosixPath(path).name)
+    raw = spark.read.csv(path, schema=", ".join(f"_c{k} string" for k in range(width)), header=False, mode="PERMISSIVE", ignoreLeadingWhiteSpace=True, ignoreTrailingWhiteSpace=True, multiLine=False).withColumn("source_row_id", F.monotonically_increasing_id())
     names = raw.columns[:-1]
-    head = raw.orderBy("source_row_id").limit(HEAD_ROWS).collect()
-    at = header_row if header_row is not None else find_header([[r[c] for c in names] for r in head])
-    if not head:
-        return Loaded(raw, PurePosixPath(path).name)
+    at = header_row if header_row is not None else find_header(lines)
+    # Spark's reader leaves blank lines out.
+    rows_before = sum(len(cells) > 1 or any(cells) for cells in lines[:at])
+    header_id = raw.orderBy("source_row_id").limit(rows_before + 1).collect()[-1]["source_row_id"]
     seen: dict[str, int] = {}
     header = []
-    for k, c in enumerate(names):
-        name = str(head[at][c]).strip() if head[at][c] is not None else f"Unnamed_{k}"
+    for k in range(width):
+        name = (lines[at][k] if k < len(lines[at]) else None) or f"Unnamed_{k}"
         seen[name] = seen.get(name, 0) + 1
         header.append(name if seen[name] == 1 else f"{name}.{seen[name] - 1}")
-    body = raw.where((F.col("source_row_id") > head[at]["source_row_id"]) & F.coalesce(*(F.col(c) for c in names)).isNotNull()).toDF(*header, "source_row_id")
+    body = raw.where((F.col("source_row_id") > header_id) & F.coalesce(*(F.col(c) for c in names)).isNotNull()).toDF(*header, "source_row_id")
     used = body.agg(*(F.count(F.col(f"`{c}`")).alias(str(k)) for k, c in enumerate(header))).first()
     body = body.select(*(F.col(f"`{c}`") for k, c in enumerate(header) if used[k]), "source_row_id")
     notes = [f"The header is in row {at + 1}."] if at else []
