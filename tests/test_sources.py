@@ -52,3 +52,20 @@ def test_wide_file_takes_the_best_ranked_measure(spark, tmp_path):
     found = schema.detect(df)
     out = normalize.normalize(df, found.concepts, found.metrics, found.grain, found.mode, 0.9, found.wide)
     assert found.structure == "wide" and sorted(r[0] for r in out.select("sales_value").collect()) == [9.0, 18.0, 27.0, 36.0]
+
+
+def test_structure_and_grain(spark):
+    def found(header, *rows):
+        d = schema.detect(spark.createDataFrame([*rows], ", ".join(f"`{h}` string" for h in header)))
+        return d.structure, d.grain
+
+    assert found(("UPC", "Month", "Sales"), *[("071800000211", m, "5") for m in ("Jan-25", "Feb-25")]) == ("long", "monthly")
+    assert found(("UPC", "Fiscal Year", "Month", "Sales"), *[("071800000211", "2025", m, "5") for m in ("Jan-25", "Feb-25")])[0] == "mixed"
+    # The week column tells no period, so the month does.
+    assert found(("UPC", "Week Ending", "Month", "Sales"), *[("071800000211", w, m, "5") for w, m in (("x", "Jan-25"), ("y", "Feb-25"))])[1] == "monthly"
+
+
+def test_spacing(spark):
+    grain = lambda *days: schema.spacing_grain(spark.createDataFrame([(d,) for d in days], "d string").select(F.col("d").cast("date").alias("d")), "d")
+    assert [grain("2025-01-04", "2025-01-11"), grain("2025-01-31", "2025-02-28", "2025-03-31"), grain("2025-01-01", "2025-01-02"), grain("2025-01-01")] == ["weekly", "monthly", "unknown", "unknown"]
+    assert grain("2025-01-01", "2025-01-02", "2025-01-09") == "weekly"
