@@ -86,9 +86,10 @@ def trend(run: Coverage) -> DataFrame:
 
 
 def exceptions(run: Coverage) -> DataFrame:
-    """By status other than matched: client rows, or panel groups that the client lacks, with sales and a note; `rank` is the order of statuses."""
-    rows = run.rows.where("status != 'matched' and status != 'missing_from_client'").groupBy("status").agg(F.count(F.lit(1)).alias("rows"), _total(F.col("sales")).alias("client_sales"), F.lit(0.0).alias("panel_sales"), F.min("exception_reason").alias("note"))
-    groups = run.groups.where("status = 'missing_from_client'").groupBy("status").agg(F.count(F.lit(1)).alias("rows"), F.lit(0.0).alias("client_sales"), _total(F.col("panel_sales")).alias("panel_sales"), F.min("exception_reason").alias("note"))
+    """By status other than matched: client rows, or panel groups that the client lacks, with the sales of that side and a note, the reason of the first row that has one; `rank` is the order of statuses."""
+    first = F.min_by("exception_reason", F.when(F.col("exception_reason").isNotNull(), F.col("source_row_id")))
+    rows = run.rows.where("status != 'matched' and status != 'missing_from_client'").groupBy("status").agg(F.count(F.lit(1)).alias("rows"), _total(F.col("sales")).alias("client_sales"), F.lit(None).cast("double").alias("panel_sales"), first.alias("note"))
+    groups = run.groups.where("status = 'missing_from_client'").groupBy("status").agg(F.count(F.lit(1)).alias("rows"), F.lit(None).cast("double").alias("client_sales"), _total(F.col("panel_sales")).alias("panel_sales"), F.min("exception_reason").alias("note"))
     rank = F.array_position(F.array(*map(F.lit, STATUSES)), F.col("status"))
     return rows.unionByName(groups).select(rank.cast("long").alias("rank"), "status", "rows", F.round("client_sales", 2).alias("client_sales"), F.round("panel_sales", 2).alias("panel_sales"), "note").orderBy("rank")
 

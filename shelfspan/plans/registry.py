@@ -88,8 +88,8 @@ def kpis(spark: SparkSession, sf: str) -> DataFrame:
     on_run("""
 SELECT CASE status WHEN 'matched_with_caveat' THEN 2 WHEN 'missing_from_discover' THEN 4 WHEN 'missing_from_client' THEN 5 WHEN 'market_mismatch' THEN 6 WHEN 'period_mismatch' THEN 7 END::BIGINT AS rank,
        status, n AS rows, round(s, 2) AS client_sales, round(p, 2) AS panel_sales
-FROM (SELECT status, count(*) AS n, sum(sales) AS s, 0.0::DOUBLE AS p FROM r WHERE status NOT IN ('matched', 'missing_from_client') GROUP BY 1
-      UNION ALL SELECT status, count(*), 0.0, sum(panel_sales) FROM g WHERE status = 'missing_from_client' GROUP BY 1)""")
+FROM (SELECT status, count(*) AS n, sum(sales) AS s, NULL::DOUBLE AS p FROM r WHERE status NOT IN ('matched', 'missing_from_client') GROUP BY 1
+      UNION ALL SELECT status, count(*), NULL, sum(panel_sales) FROM g WHERE status = 'missing_from_client' GROUP BY 1)""")
 )
 def exceptions(spark: SparkSession, sf: str) -> DataFrame:
     return reports.exceptions(run(spark, sf)).drop("note")
@@ -226,7 +226,7 @@ def schema_detection(spark: SparkSession, sf: str) -> DataFrame:
     return spark.createDataFrame([(found.structure, found.grain, found.mode)], "structure string, grain string, mode string")
 
 
-@query("SELECT CASE WHEN median(d) BETWEEN 6 AND 8 THEN 'weekly' WHEN median(d) BETWEEN 27 AND 32 THEN 'monthly' ELSE 'daily' END AS grain FROM (SELECT date_diff('day', lag(w) OVER (ORDER BY w), w) AS d FROM (SELECT DISTINCT date_trunc('week', l_shipdate)::DATE AS w FROM lineitem))")
+@query("SELECT CASE WHEN median(d) BETWEEN 6 AND 8 THEN 'weekly' WHEN median(d) BETWEEN 27 AND 32 THEN 'monthly' ELSE 'unknown' END AS grain FROM (SELECT date_diff('day', lag(w) OVER (ORDER BY w), w) AS d FROM (SELECT DISTINCT date_trunc('week', l_shipdate)::DATE AS w FROM lineitem))")
 def grain_inference(spark: SparkSession, sf: str) -> DataFrame:
     weeks = read(spark, sf, "lineitem").select(F.date_trunc("week", "l_shipdate").cast("date").alias("d"))
     return spark.createDataFrame([(schema.spacing_grain(weeks, "d"),)], "grain string")
