@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from shelfspan.llm import chat, decontaminate, fingerprints, language, licenses, minhash, pii, tokens, toxicity
+from shelfspan.llm import centroids, chat, decontaminate, fingerprints, language, licenses, minhash, pii, tokens, toxicity
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -21,8 +21,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_near_duplicates": minhash.op8_near_duplicates,
         "op9_pii": pii.op9_pii,
         "op10_language": language.op10_language,
+        "op13_centroid_clusters": centroids.op13_centroid_clusters,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_license_scan": licenses.op2_sql(), "op4_chat_format": chat.OP4_SQL}
+    return {"op2_license_scan": licenses.op2_sql(), "op4_chat_format": chat.OP4_SQL, "op13_centroid_clusters": centroids.op13_sql()}
