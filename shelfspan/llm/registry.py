@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from shelfspan.llm import centroids, chat, decontaminate, fingerprints, language, licenses, minhash, pii, tokens, toxicity
+from shelfspan.llm import centroids, chat, decontaminate, fingerprints, language, licenses, minhash, mixing, pii, tokens, toxicity
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -21,6 +21,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_near_duplicates": minhash.op8_near_duplicates,
         "op9_pii": pii.op9_pii,
         "op10_language": language.op10_language,
+        "op12_source_mix": mixing.op12_source_mix,
         "op13_centroid_clusters": centroids.op13_centroid_clusters,
     }
 

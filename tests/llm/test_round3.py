@@ -10,7 +10,7 @@ import numpy as np
 import pandas as pd
 import pytest
 
-from shelfspan.llm import centroids
+from shelfspan.llm import centroids, mixing
 
 SF = "/root/testdata/sf0.001"
 
@@ -69,3 +69,92 @@ def test_clusters_of_few_and_none(spark):
 
 def test_clusters_sql(spark):
     same_rows(centroids.op13_centroid_clusters(spark, SF), centroids.op13_sql(), {"embeddings": f"{SF}/embeddings.parquet"}, ["vec_id", "cluster", "distance", "cluster_inertia", "inertia", "centroid_sha256"])
+
+
+# -- mixes
+
+
+def brute_targets(sizes, weights=(5, 2, 1), most=3):
+    names = sorted(sizes, key=lambda s: (s is None, (s or "").encode()))
+    w = {s: weights[k % len(weights)] for k, s in enumerate(names)}
+    capped = {s for s in names if not sizes[s]}
+    while True:
+        left = sum(sizes.values()) - sum(most * sizes[s] for s in capped)
+        open_ = [s for s in names if s not in capped]
+        level = left / sum(w[s] for s in open_) if open_ else 0
+        above = {s for s in open_ if level * w[s] > most * sizes[s]}
+        if not above:
+            return {s: most * sizes[s] if s in capped else level * w[s] for s in names}
+        capped |= above
+
+
+def brute_rates(lengths, target, most=3):
+    """Rates of a source's documents by bisection."""
+    mean = sum(lengths) / len(lengths)
+    rate = lambda lam, z: min(most, math.exp(min(60, lam * z / mean)))
+    if target >= most * sum(lengths) * (1 - 1e-12):
+        return {z: most for z in lengths}
+    low, high = -1e4, 1e4
+    for _ in range(200):
+        lam = (low + high) / 2
+        low, high = (low, lam) if sum(z * rate(lam, z) for z in lengths) > target else (lam, high)
+    return {z: rate(low, z) for z in set(lengths)}
+
+
+def check_mix(rows, got):
+    """rows (doc_id, text, source), got rows of mix() with doc_id."""
+    import re
+
+    size = lambda t: len(re.findall("[^\\x20\\x09-\\x0D]+", t or ""))
+    assert Counter((r.doc_id, r.size) for r in got) == Counter((i, size(t)) for i, t, _ in rows)
+    of, source_of = defaultdict(list), {i: s for i, _, s in rows}
+    for _, t, s in rows:
+        of[s].append(size(t))
+    want = brute_targets({s: sum(z) for s, z in of.items()})
+    taken = defaultdict(int)
+    for r in got:
+        s = source_of[r.doc_id]
+        assert r.source_size == sum(of[s]) and r.target == pytest.approx(want[s], rel=1e-9) and 0 <= r.taken <= 3 * r.size and r.taken == r.copies * r.size
+        assert abs(r.copies - r.rate) < 1 or r.size == 0
+        taken[s] += r.taken
+    for s, lengths in of.items():
+        some = [z for z in lengths if z]
+        if some:
+            rates = brute_rates(some, want[s])
+            for r in got:
+                if source_of[r.doc_id] == s and r.size:
+                    assert r.rate == pytest.approx(rates[r.size], abs=2e-5)
+            assert abs(taken[s] - want[s]) <= max(some) / 2 + 1e-3 * want[s]
+
+
+def test_mix_by_hand(spark):
+    rng = np.random.default_rng(2)
+    rows, k = [], 0
+    for source, n in (("a", 200), ("b", 40), ("Z", 30), ("é", 10), (None, 25), ("one", 1), ("", 15)):
+        for _ in range(n):
+            rows.append((k, "w\u00a0 " * int(rng.lognormal(3, 1) + 1), source))
+            k += 1
+    rows += [(1000 + j, "copy of this\ttext", "a") for j in range(300)]
+    rows += [(2000, None, "a"), (2001, "", "b"), (2002, " \n\t", "nothing"), (2003, "\u3000", "b"), (2004, "x " * 30000, "a"), (0, rows[0][1], "a"), (0, rows[0][1], "a"), (None, "a b c", "a")]
+    df = spark.createDataFrame([(i, t, s, 7, "c") for i, t, s in rows], "doc_id long, text string, source string, size int, rank string").repartition(6)
+    got = mixing.mix(df).collect()
+    check_mix(rows, got)
+    again = mixing.mix(df.repartition(3)).collect()
+    assert sorted(map(str, got)) == sorted(map(str, again))
+    whole = mixing.mix(df, keep=["doc_id", "text", "rank"])
+    assert whole.columns == ["doc_id", "text", "rank", "size", "source_size", "target", "rate", "copies", "taken"]
+    assert mixing.taken_rows(whole).count() == sum(r.copies for r in got)
+
+
+def test_mix_of_nothing(spark):
+    df = spark.createDataFrame([(1, None, None), (2, "", "s")], "doc_id long, text string, source string")
+    assert mixing.mix(df.limit(0)).count() == 0
+    assert {(r.doc_id, r.size, r.source_size, r.target, r.taken) for r in mixing.mix(df).collect()} == {(1, 0, 0, 0.0, 0), (2, 0, 0, 0.0, 0)}
+    one = mixing.mix(df.withColumn("text", df.doc_id.cast("string"))).collect()
+    assert sum(r.taken for r in one) == 2
+
+
+def test_mix_query(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    check_mix([(r.doc_id, r.text, r.source) for r in docs.collect()], mixing.mix(docs).collect())
+    assert mixing.op12_source_mix(spark, SF).columns[:5] == ["doc_id", "size", "source_size", "target", "taken"]
