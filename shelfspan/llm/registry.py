@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from shelfspan.llm import centroids, chat, decontaminate, fingerprints, language, licenses, minhash, mixing, pii, tokens, toxicity
+from shelfspan.llm import centroids, chat, decontaminate, divergence, fingerprints, language, licenses, minhash, mixing, pii, tokens, toxicity
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -21,10 +21,11 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_near_duplicates": minhash.op8_near_duplicates,
         "op9_pii": pii.op9_pii,
         "op10_language": language.op10_language,
+        "op11_source_divergence": divergence.op11_source_divergence,
         "op12_source_mix": mixing.op12_source_mix,
         "op13_centroid_clusters": centroids.op13_centroid_clusters,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_license_scan": licenses.op2_sql(), "op4_chat_format": chat.OP4_SQL, "op13_centroid_clusters": centroids.op13_sql()}
+    return {"op2_license_scan": licenses.op2_sql(), "op4_chat_format": chat.OP4_SQL, "op11_source_divergence": divergence.OP11_SQL.strip(), "op13_centroid_clusters": centroids.op13_sql()}

@@ -10,7 +10,7 @@ import numpy as np
 import pandas as pd
 import pytest
 
-from shelfspan.llm import centroids, mixing
+from shelfspan.llm import centroids, divergence, mixing
 
 SF = "/root/testdata/sf0.001"
 
@@ -158,3 +158,67 @@ def test_mix_query(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     check_mix([(r.doc_id, r.text, r.source) for r in docs.collect()], mixing.mix(docs).collect())
     assert mixing.op12_source_mix(spark, SF).columns[:5] == ["doc_id", "size", "source_size", "target", "taken"]
+
+
+# -- divergence
+
+
+COLUMNS = ["lang", "source", "part", "item", "value", "rank"]
+
+
+def brute_audit(rows, top=200):
+    """Rows of (text, lang, source), in Python's integers."""
+    import re
+
+    rows = [tuple(x or "" for x in r) for r in rows]
+    lower = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+    found = [(re.findall("[^\\x00-\\x40\\x5B-\\x60\\x7B-\\x7F]+", t.translate(lower)), lang, s) for t, lang, s in rows]
+    out = []
+    for lang in {r[1] for r in rows}:
+        df, n = Counter(), defaultdict(Counter)
+        for terms, l, s in found:
+            if l == lang:
+                df.update(set(terms))
+                n[s].update(terms)
+        kept = [t for t, k in df.items() if k >= 3]
+        p = lambda c: (lambda total: {t: 1 + 10**9 * (c[t] + 1) // (total + len(kept)) for t in kept})(sum(c[t] for t in kept))
+        of = {s: p(c) for s, c in n.items()}
+        q = p(sum(n.values(), Counter()))
+        for s in of:
+            pairs = [(o, sum((of[s][t] - of[o][t]) ** 2 // of[o][t] for t in kept)) for o in of if o != s]
+            terms = [(t, (of[s][t] - q[t]) ** 2 // q[t]) for t in kept if n[s][t] and of[s][t] > q[t]]
+            for part, items, k in (("pair", pairs, None), ("term", terms, top)):
+                items.sort(key=lambda x: (-x[1], x[0].encode()))
+                out += [(lang, s, part, i, v, r) for r, (i, v) in enumerate(items[:k], 1)]
+    return sorted(out)
+
+
+def test_audit_by_hand(spark):
+    rng = np.random.default_rng(3)
+    pool = [f"w{chr(97 + k // 26)}{chr(97 + k % 26)}" for k in range(400)] + ["É", "é", "日本", "\u00a0", "Ab", "aB"]
+    rows = [(" ".join(rng.choice(pool, int(rng.integers(1, 60)))), "en", f"s{k % 5}") for k in range(80)]
+    rows += [("same same copy", "en", "s0")] * 40 + [(None, "en", None), ("", "en", "empty"), ("a b", None, "x"), ("a c", None, None), ("1 2 3", "xx", "only"), ("x1y_Z ´", "en", "s1"), ("long " * 30000, "en", "s2")]
+    df = spark.createDataFrame([(k, *r, 1, "p") for k, r in enumerate(rows)], "doc_id long, text string, lang string, source string, n int, part string").repartition(5)
+    want = brute_audit(rows)
+    assert sorted(map(tuple, divergence.audit(df).select(*COLUMNS).collect())) == want
+    # Many small blocks, and short lists merged from them.
+    assert sorted(map(tuple, divergence.audit(df, top=7, cells=40).select(*COLUMNS).collect())) == brute_audit(rows, 7)
+    assert divergence.audit(df.limit(0)).count() == 0
+    same_rows(divergence.audit(df), divergence.OP11_SQL, {"documents": pd.DataFrame([(k, *r) for k, r in enumerate(rows)], columns=["doc_id", "text", "lang", "source"])}, COLUMNS)
+
+
+def test_counts_return_before_they_grow(spark, monkeypatch):
+    rows = [(f"a{chr(97 + k)} b", "en", f"s{k % 3}") for k in range(26)]
+    df = spark.createDataFrame(rows, "text string, lang string, source string").coalesce(1)
+    monkeypatch.setattr(divergence, "HELD", 4)
+    got = divergence.term_counts(df).groupBy("term").sum("n", "docs").collect()
+    assert {(r[0], r[1], r[2]) for r in got} >= {("b", 26, 26), ("ac", 1, 1)}
+
+
+def test_shares_of_large_totals():
+    c, total = np.array([0, 5 * 10**11, 10**12 - 1], dtype=np.int64), np.int64(9 * 10**12)
+    assert divergence.shares(c, np.array([total]), 7).tolist() == [1 + 10**9 * (int(x) + 1) // (int(total) + 7) for x in c]
+
+
+def test_audit_sql(spark):
+    same_rows(divergence.op11_source_divergence(spark, SF), divergence.OP11_SQL, {"documents": f"{SF}/documents.parquet"}, COLUMNS)
