@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import csv
+import io
 import re
 from dataclasses import dataclass, field
 from pathlib import PurePosixPath
@@ -10,10 +11,10 @@ from pathlib import PurePosixPath
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from shelfspan.sources.records import read_records
+
 #: Rows that may hold the header.
 HEAD_ROWS = 10
-#: First lines of a file of which the one with most cells gives the number of columns.
-WIDTH_LINES = 100
 #: Headers of identifiers, which stay text; their leading zeros matter.
 IDENTIFIER = re.compile(r"\b(upc|gtin|barcode|ean|plu|item|product|sku|material|article)|\b(code|id|number|num|no|key|#)\b", re.IGNORECASE)
 
@@ -62,40 +63,50 @@ def restore_numbers(df: DataFrame) -> DataFrame:
     return df.select(*(_numeric(c).alias(c) if c in numeric else F.col(f"`{c}`") for c in df.columns))
 
 
-def first_lines(spark: SparkSession, path: str) -> list[list[str | None]]:
-    """Cells of the first lines of a CSV file, blank lines too; empty cells are null."""
-    lines = [r[0] for r in spark.read.text(path).head(WIDTH_LINES)]
-    return [[c.strip() or None for c in cells] for cells in csv.reader(lines)]
-
+def cells_of(text: str) -> list[str | None]:
+    """Cells of one record; empty ones are null."""
+    return [c.strip() or None for c in next(csv.reader(io.StringIO(text, newline="")), [])]
 
-def read_csv(spark: SparkSession, path: str, header_row: int | None = None) -> Loaded:
-    """A CSV file as text columns under its own header, wherever in the first rows it is, with numbers restored and source_row_id.
 
-    The table is as wide as the longest of the first lines; shorter rows end in nulls. All-null rows and columns
-    are dropped. source_row_id numbers rows in file order, with gaps: the place of
-    the file split, then the row in it, so no task sees more than its split.
-    """
-    lines = first_lines(spark, path)
-    width = max(map(len, lines), default=0)
-    if not width:
-        return Loaded(spark.createDataFrame([], "source_row_id long"), PurePosixPath(path).name)
-    raw = spark.read.csv(path, schema=", ".join(f"_c{k} string" for k in range(width)), header=False, mode="PERMISSIVE", ignoreLeadingWhiteSpace=True, ignoreTrailingWhiteSpace=True, multiLine=False).withColumn("source_row_id", F.monotonically_increasing_id())
-    names = raw.columns[:-1]
-    at = header_row if header_row is not None else find_header(lines)
-    # Spark's reader leaves blank lines out.
-    rows_before = sum(len(cells) > 1 or any(cells) for cells in lines[:at])
-    header_id = raw.orderBy("source_row_id").limit(rows_before + 1).collect()[-1]["source_row_id"]
+def unique_names(cells: list[str | None], width: int) -> list[str]:
+    """Column names from a header's cells: `Unnamed_k` where there is none, and a number after repeated ones."""
     seen: dict[str, int] = {}
-    header = []
+    names = []
     for k in range(width):
-        name = (lines[at][k] if k < len(lines[at]) else None) or f"Unnamed_{k}"
+        name = (cells[k] if k < len(cells) else None) or f"Unnamed_{k}"
         seen[name] = seen.get(name, 0) + 1
-        header.append(name if seen[name] == 1 else f"{name}.{seen[name] - 1}")
-    body = raw.where((F.col("source_row_id") > header_id) & F.coalesce(*(F.col(c) for c in names)).isNotNull()).toDF(*header, "source_row_id")
-    used = body.agg(*(F.count(F.col(f"`{c}`")).alias(str(k)) for k, c in enumerate(header))).first()
-    body = body.select(*(F.col(f"`{c}`") for k, c in enumerate(header) if used[k]), "source_row_id")
-    notes = [f"The header is in row {at + 1}."] if at else []
-    return Loaded(restore_numbers(body), PurePosixPath(path).name, header_row=at, notes=notes)
+        names.append(name if seen[name] == 1 else f"{name}.{seen[name] - 1}")
+    return names
+
+
+def read_csv(spark: SparkSession, path: str, header_row: int | None = None) -> Loaded:
+    """A CSV file, or a folder of parts with one header, as text columns under its own header, wherever in the first rows it is, with numbers restored and source_row_id.
+
+    Quoted cells may hold line breaks. The table is as wide as its widest row; shorter rows end in nulls. All-null rows
+    and columns are dropped. source_row_id ascends in file order, with gaps (see `records`).
+    """
+    found = read_records(spark, path)
+    name = PurePosixPath(path).name
+    first = [cells_of(r.value) for r in found.rows.orderBy("id").limit(max(HEAD_ROWS, (header_row or 0) + 1)).collect()]
+    if not any(c for cells in first for c in cells):
+        return Loaded(spark.createDataFrame([], "source_row_id long"), name)
+    at = header_row if header_row is not None else find_header(first)
+    header_id = found.rows.select("id").orderBy("id").limit(at + 1).agg(F.max("id")).first()[0]
+    header = unique_names(first[at], found.width)
+    plain = [f"_c{k}" for k in range(found.width)]
+    options = {"quote": '"', "escape": '"', "maxColumns": str(found.width + 1), "maxCharsPerColumn": "-1"}
+    cells = found.rows.where(F.col("id") > header_id).select("id", F.from_csv("value", ", ".join(f"{c} string" for c in plain), options).alias("c")).select("id", "c.*")
+    trimmed = cells.select("id", *(F.nullif(F.trim(c), F.lit("")).alias(c) for c in plain))
+    body = trimmed.where(F.coalesce(*plain).isNotNull())
+    return Loaded(typed(body, plain, header), name, header_row=at, notes=[f"The header is in row {at + 1}."] if at else [])
+
+
+def typed(body: DataFrame, plain: list[str], header: list[str]) -> DataFrame:
+    """The columns `plain` under their headers, without empty ones, columns of numbers as doubles, and `id` as source_row_id. One aggregation over all columns tells which."""
+    count = lambda c, h: F.struct(F.count(c).alias("n"), (F.lit(0) if IDENTIFIER.search(h) else F.count(_numeric(c))).alias("k")).alias(c)
+    counts = body.agg(*(count(c, h) for c, h in zip(plain, header, strict=True))).first()
+    kept = [(c, h) for c, h in zip(plain, header, strict=True) if counts[c].n]
+    return body.select(*((_numeric(c) if counts[c].k >= max(1, int(counts[c].n * 0.95)) else F.col(c)).alias(h) for c, h in kept), F.col("id").alias("source_row_id"))
 
 
 def read_excel(spark: SparkSession, path: str) -> Loaded:

@@ -1,10 +1,15 @@
 """CSV files of unknown layout, and the measure of wide files."""
 
+import csv
+import io
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
 from shelfspan.operators import normalize, schema
 from shelfspan.sources import tabular
+from shelfspan.sources.records import read_records
 
 
 def write(tmp_path, text):
@@ -69,3 +74,49 @@ def test_spacing(spark):
     grain = lambda *days: schema.spacing_grain(spark.createDataFrame([(d,) for d in days], "d string").select(F.col("d").cast("date").alias("d")), "d")
     assert [grain("2025-01-04", "2025-01-11"), grain("2025-01-31", "2025-02-28", "2025-03-31"), grain("2025-01-01", "2025-01-02"), grain("2025-01-01")] == ["weekly", "monthly", "unknown", "unknown"]
     assert grain("2025-01-01", "2025-01-02", "2025-01-09") == "weekly"
+
+
+def spreads(rng, n):
+    """Random records whose cells hold quotes, commas and line breaks, some wider than all before."""
+    pieces = ["a", "b ", '"', '""', ",", "\n", "\n\n", "x,y", "é", '",', ',"', "5\" pipe"]
+    return [["".join(rng.choice(pieces) for _ in range(rng.randrange(4))) for _ in range(rng.randrange(1, 5) if k != n - 10 else 9)] for k in range(n)]
+
+
+@pytest.mark.parametrize("split", [64, 301, 100_000])
+def test_records_against_the_csv_module(spark, tmp_path, split):
+    rng, out = random.Random(split), io.StringIO()
+    rows = spreads(rng, 400)
+    csv.writer(out, lineterminator="\n").writerows(rows)
+    # Quotes within open cells are text.
+    out.write('5" pipe,"a""b",c"d"\nx,"y"z"w,v\n')
+    (tmp_path / "odd.csv").write_bytes(out.getvalue().encode())
+    want = list(csv.reader(io.StringIO(out.getvalue(), newline="")))
+    spark.conf.set("spark.sql.files.maxPartitionBytes", split)
+    try:
+        found = read_records(spark, str(tmp_path / "odd.csv"))
+        got = [r.value for r in found.rows.orderBy("id").collect()]
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    assert [next(csv.reader(io.StringIO(v, newline="")), []) for v in got] == want
+    assert found.width == max(map(len, want)) == 9
+
+
+def test_breaks_in_cells_and_a_late_wide_line(spark, tmp_path):
+    text = 'UPC,"Long\nheader",Sales\n' + "".join(f'{k},"line {k}\n""quoted"", and more",{k}\n' for k in range(300)) + '9,x,1,"far\nout",2\n'
+    spark.conf.set("spark.sql.files.maxPartitionBytes", 500)
+    try:
+        got = tabular.load(spark, write(tmp_path, text))
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    assert got.df.columns == ["UPC", "Long\nheader", "Sales", "Unnamed_3", "Unnamed_4", "source_row_id"]
+    assert rows(got)[7] == ("7", 'line 7\n"quoted", and more', 7.0, None, None) and rows(got)[-1] == ("9", "x", 1.0, "far\nout", 2.0) and len(rows(got)) == 301
+
+
+def test_folder_of_parts_and_open_ends(spark, tmp_path):
+    (tmp_path / "parts").mkdir()
+    for k, text in enumerate(("﻿UPC,Market,Sales\n1,\"a\nb\",5\n", "", "2,c,6\n3,d,7")):
+        (tmp_path / "parts" / f"part-{k}.csv").write_text(text)
+    got = tabular.read_csv(spark, str(tmp_path / "parts"))
+    assert got.df.columns[:3] == ["UPC", "Market", "Sales"] and rows(got) == [("1", "a\nb", 5.0), ("2", "c", 6.0), ("3", "d", 7.0)]
+    with pytest.raises(ValueError, match="inside a quoted cell"):
+        tabular.read_csv(spark, write(tmp_path, 'UPC,Sales\n1,"2\n3,4\n'))
