@@ -19,35 +19,35 @@ STATES = {
 STATE_SPELLINGS = {"nyc": "NY", "calif": "CA", "cali": "CA", "penn": "PA", "penna": "PA", "mass": "MA", "conn": "CT", "wash": "WA", "ariz": "AZ", "tex": "TX"}
 #: Regions and their states.
 REGIONS = {
-    "northeast": "ME NH VT MA RI CT NY NJ PA",
-    "mid-atlantic": "NY NJ PA DE MD DC VA WV",
-    "southeast": "FL GA SC NC TN AL MS AR LA KY",
-    "midwest": "OH MI IN IL WI MN IA MO ND SD NE KS",
-    "great lakes": "OH MI IN IL WI MN PA NY",
-    "plains": "ND SD NE KS IA MO MN",
-    "south central": "TX OK AR LA",
-    "southwest": "TX OK NM AZ",
-    "mountain": "MT ID WY CO UT NV AZ NM",
-    "west": "WA OR CA NV ID MT WY UT CO AZ NM AK HI",
-    "west coast": "CA OR WA",
-    "pacific": "CA OR WA AK HI",
-    "pacific northwest": "WA OR ID",
-    "central": "IL WI MN IA MO IN OH MI",
-    "south": "FL GA SC NC TN AL MS AR LA KY TX OK VA WV",
-    "north": "ME NH VT MA RI CT NY NJ PA OH MI WI MN ND SD MT WA",
-    "east": "ME NH VT MA RI CT NY NJ PA DE MD VA NC SC GA FL DC",
-    **dict.fromkeys(("national", "national account", "total", "total us", "us", "all us"), " ".join(STATES.values())),
-    "florida peninsula": "FL",
-    "florida": "FL",
-    "carolinas": "NC SC",
-    "tristate": "NY NJ CT",
-    "tri state": "NY NJ CT",
-    "new england": "ME NH VT MA RI CT",
-    "deep south": "AL MS GA LA SC",
-    "appalachia": "WV KY TN VA",
-    "rust belt": "OH MI IN IL WI PA WV",
-    "sun belt": "AZ CA FL GA NV NM NC SC TX",
-    "rocky mountain": "MT ID WY CO UT",
+    "northeast": ["ME", "NH", "VT", "MA", "RI", "CT", "NY", "NJ", "PA"],
+    "mid-atlantic": ["NY", "NJ", "PA", "DE", "MD", "DC", "VA", "WV"],
+    "southeast": ["FL", "GA", "SC", "NC", "TN", "AL", "MS", "AR", "LA", "KY"],
+    "midwest": ["OH", "MI", "IN", "IL", "WI", "MN", "IA", "MO", "ND", "SD", "NE", "KS"],
+    "great lakes": ["OH", "MI", "IN", "IL", "WI", "MN", "PA", "NY"],
+    "plains": ["ND", "SD", "NE", "KS", "IA", "MO", "MN"],
+    "south central": ["TX", "OK", "AR", "LA"],
+    "southwest": ["TX", "OK", "NM", "AZ"],
+    "mountain": ["MT", "ID", "WY", "CO", "UT", "NV", "AZ", "NM"],
+    "west": ["WA", "OR", "CA", "NV", "ID", "MT", "WY", "UT", "CO", "AZ", "NM", "AK", "HI"],
+    "west coast": ["CA", "OR", "WA"],
+    "pacific": ["CA", "OR", "WA", "AK", "HI"],
+    "pacific northwest": ["WA", "OR", "ID"],
+    "central": ["IL", "WI", "MN", "IA", "MO", "IN", "OH", "MI"],
+    "south": ["FL", "GA", "SC", "NC", "TN", "AL", "MS", "AR", "LA", "KY", "TX", "OK", "VA", "WV"],
+    "north": ["ME", "NH", "VT", "MA", "RI", "CT", "NY", "NJ", "PA", "OH", "MI", "WI", "MN", "ND", "SD", "MT", "WA"],
+    "east": ["ME", "NH", "VT", "MA", "RI", "CT", "NY", "NJ", "PA", "DE", "MD", "VA", "NC", "SC", "GA", "FL", "DC"],
+    **dict.fromkeys(("national", "national account", "total", "total us", "us", "all us"), list(STATES.values())),
+    "florida peninsula": ["FL"],
+    "florida": ["FL"],
+    "carolinas": ["NC", "SC"],
+    "tristate": ["NY", "NJ", "CT"],
+    "tri state": ["NY", "NJ", "CT"],
+    "new england": ["ME", "NH", "VT", "MA", "RI", "CT"],
+    "deep south": ["AL", "MS", "GA", "LA", "SC"],
+    "appalachia": ["WV", "KY", "TN", "VA"],
+    "rust belt": ["OH", "MI", "IN", "IL", "WI", "PA", "WV"],
+    "sun belt": ["AZ", "CA", "FL", "GA", "NV", "NM", "NC", "SC", "TX"],
+    "rocky mountain": ["MT", "ID", "WY", "CO", "UT"],
 }
 #: Cities and their states, as measured markets name them.
 CITIES = {
@@ -93,7 +93,7 @@ def places(spark: SparkSession) -> DataFrame:
     """(place, kind, states): what names in labels stand for; kind is state, code, region or city."""
     rows = [(n, "state", [c]) for n, c in STATES.items()]
     rows += [(c.lower(), "code", [c]) for c in STATES.values()] + [(n, "code", [c]) for n, c in STATE_SPELLINGS.items()]
-    rows += [(n, "region", s.split()) for n, s in REGIONS.items()] + [(n, "city", [c]) for n, c in CITIES.items()]
+    rows += [(n, "region", s) for n, s in REGIONS.items()] + [(n, "city", [c]) for n, c in CITIES.items()]
     return spark.createDataFrame(rows, "place string, kind string, states array<string>")
 
 

@@ -10,9 +10,18 @@ from pyspark.sql import functions as F
 from shelfspan.functions import fuzzy, geography, text
 
 #: Market words without a place in them, directions, and full names of state codes.
-GENERIC = "ta tac trade area areas operating operation region regions zone zones district districts account accounts market markets geography geo division divisions territory territories channel channels planning sales remaining rem subregion the of and".split()
-DIRECTIONS = "north south east west central mid midwest midatlantic northern southern eastern western northeast northwest southeast southwest upper lower".split()
-TOTALS = "total all national overall combined corporate enterprise company companywide customer account".split()
+GENERIC = [
+    "ta", "tac", "trade", "area", "areas", "operating", "operation", "region", "regions", "zone", "zones", "district", "districts", "account",
+    "accounts", "market", "markets", "geography", "geo", "division", "divisions", "territory", "territories", "channel", "channels", "planning",
+    "sales", "remaining", "rem", "subregion", "the", "of", "and",
+]
+DIRECTIONS = [
+    "north", "south", "east", "west", "central", "mid", "midwest", "midatlantic", "northern", "southern", "eastern", "western", "northeast",
+    "northwest", "southeast", "southwest", "upper", "lower",
+]
+TOTALS = [
+    "total", "all", "national", "overall", "combined", "corporate", "enterprise", "company", "companywide", "customer", "account",
+]
 HIGH, ENOUGH = 88, 78
 
 

@@ -60,8 +60,7 @@ def cleaned(df: DataFrame, matched: dict[str, str]) -> DataFrame:
     rows = df.select(*(number(cell(f)).alias(f) if f.endswith("_sales") else cell(f).alias(f) for f in SYNONYMS))
     rows = rows.where("dollar_sales is not null and market is not null and upc is not null")
     rows = rows.withColumns({"item_description": F.coalesce("item_description", "brand"), "customer": F.coalesce("customer", text.customer_from_market(F.col("market")))})
-    labels = rows.select("period").distinct().select(F.col("period").alias("label"), periods.parse_period(F.col("period")).alias("parsed"))
-    rows = rows.join(labels, F.col("period").eqNullSafe(F.col("label")), "left")
+    rows = periods.with_parsed(rows, F.col("period"), "parsed")
     return rows.select(*SYNONYMS, "parsed.period_start", "parsed.period_end", identifiers.upc_key(F.col("upc")).alias("upc_key"), identifiers.normalize_upc(F.col("upc")).alias("upc_normalized"))
 
 

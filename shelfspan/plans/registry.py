@@ -250,7 +250,7 @@ FROM (SELECT l_orderkey, l_linenumber, l_shipdate::DATE AS d, (l_orderkey + l_li
 )
 def period_parse(spark: SparkSession, sf: str) -> DataFrame:
     key = F.col("l_orderkey") + F.col("l_linenumber")
-    t = read(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", periods.parse_period(_labels(key, F.col("l_shipdate"))).alias("t"))
+    t = periods.with_parsed(read(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", "l_shipdate"), _labels(key, F.col("l_shipdate")), "t")
     return t.select("l_orderkey", "l_linenumber", F.date_format("t.period_start", "yyyy-MM-dd").alias("period_start"), F.date_format("t.period_end", "yyyy-MM-dd").alias("period_end"), "t.grain")
 
 

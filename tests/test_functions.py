@@ -27,6 +27,9 @@ def test_periods(spark):
         "2025-01-25 00:00:00": (day(2025, 1, 25), day(2025, 1, 25), "daily_date"),
         "2025": (day(2025, 1, 1), day(2025, 1, 1), "daily_date"),
         "20250125": (day(2025, 1, 25), day(2025, 1, 25), "daily_date"),
+        "2025.03.05": (day(2025, 3, 5), day(2025, 3, 5), "daily_date"),
+        "2025-01-25T08:00:00": (day(2025, 1, 1), day(2025, 1, 31), "monthly"),
+        "Week Ending: 1/25/25": (day(2025, 1, 19), day(2025, 1, 25), "weekly"),
         "March 5, 2025": (day(2025, 3, 5), day(2025, 3, 5), "daily_date"),
         "Sep 7 2025": (day(2025, 9, 7), day(2025, 9, 7), "daily_date"),
         **dict.fromkeys(("13/25/2025", "Day 5, 2025", "hello", "", "nan", None, "202501", "45000", "Q1 2025", "12")),

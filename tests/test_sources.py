@@ -120,3 +120,30 @@ def test_folder_of_parts_and_open_ends(spark, tmp_path):
     assert got.df.columns[:3] == ["UPC", "Market", "Sales"] and rows(got) == [("1", "a\nb", 5.0), ("2", "c", 6.0), ("3", "d", 7.0)]
     with pytest.raises(ValueError, match="inside a quoted cell"):
         tabular.read_csv(spark, write(tmp_path, 'UPC,Sales\n1,"2\n3,4\n'))
+
+
+def test_alternates_are_no_metrics(spark):
+    rows = [(f"07180000021{k}", f"b{k}", "5", "7", "Jan-25") for k in range(8)]
+    found = schema.detect(spark.createDataFrame(rows, "UPC string, Brand string, Units string, `Brand Sales` string, Month string"))
+    assert found.metrics == {"unit": "Units"} and found.concepts["brand"] == "Brand"
+    assert [m["concept"] for m in found.mappings if m["column"] == "Brand Sales" and m["role"] == "alternate"] == ["brand"]
+
+
+@pytest.mark.parametrize(
+    ("label", "want"),
+    [("POS Sales $", ("sales", "pos", None, 1.0)), ("Net Rev", ("sales", "shipment", "net", 1.2)), ("Gross POS Sales", ("sales", "pos", "gross", 0.8)), ("Cases", ("volume", "shipment", None, 1.0)), ("EQ Vol", ("volume", None, "equivalized", 1.0)), ("Scan Units", ("unit", "pos", None, 1.0)), ("Promo Sales", ("other", None, "promotional / allowance metric", 0.0)), ("Foo", ("other", None, "unrecognized metric", 0.0))],
+)
+def test_metric_labels(label, want):
+    m = schema.classify_metric(label)
+    assert (m.kind, m.hint, m.modifier, m.rank) == want
+
+
+def test_profile_reads_no_cell_twice(spark):
+    df = spark.range(2000).select(F.col("id").alias("source_row_id"), F.when(F.col("id") % 4 == 0, "Jan-25").when(F.col("id") % 4 == 1, "x").alias("a b"), (F.col("id") % 7).cast("string").alias("n"), F.lit(None).cast("string").alias("none"), F.lit("  ").alias("blank"))
+    got = {r["column"]: r for r in schema.profile(df.repartition(5)).collect()}
+    assert got["a b"].non_null_rate == 0.5 and 0.35 < got["a b"].date_rate < 0.65 and got["a b"].distinct_values == 2
+    assert (got["n"].numeric_rate, got["n"].date_rate, got["n"].distinct_values) == (1.0, 0.0, 7)
+    assert got["none"].non_null_rate == got["blank"].non_null_rate == 0.0 and got["none"].rows == 2000
+    assert schema.profile(df.limit(0)).count() == 4
+    sample = schema.sampled(df, ["n"], lambda c: F.col(c), 50)
+    assert sample.count() == 50 and sorted(map(str, sample.collect())) == sorted(map(str, schema.sampled(df.repartition(3), ["n"], lambda c: F.col(c), 50).collect()))
