@@ -1,13 +1,17 @@
-"""Alignment of customers, markets and brands between the client's file and the panel."""
+"""Alignment of descriptions, brands and codes between the client's file and the panel."""
 
 from __future__ import annotations
 
-from collections.abc import Callable
+import math
+from collections import Counter
+from collections.abc import Callable, Iterator
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from shelfspan.functions import fuzzy, geography, text
+from shelfspan.functions import fuzzy, text
+from shelfspan.sources.shared import stored
 
 #: Market words without a place in them, directions, and full names of state codes.
 GENERIC = [
@@ -25,33 +29,11 @@ TOTALS = [
 HIGH, ENOUGH = 88, 78
 
 
-def _words(label: Column) -> Column:
-    """Words of a market label; a state's code is followed by its name."""
-    names = F.create_map(*(F.lit(v) for n, c in geography.STATES.items() for v in (c.lower(), n)), F.lit("nyc"), F.lit("new york"))
-    w = F.regexp_extract_all(F.lower(F.coalesce(label, F.lit(""))), F.lit("[a-z][a-z']*"), F.lit(0))
-    return F.flatten(F.transform(w, lambda x: F.filter(F.concat(F.array(x), F.split(F.coalesce(F.try_element_at(names, x), F.lit("")), " ")), lambda y: y != "")))
-
-
-def _without(words: Column, drop: list[str] | Column) -> Column:
-    if isinstance(drop, list):
-        return F.filter(words, lambda w: ~w.isin(*drop))
-    return F.filter(words, lambda w: ~F.array_contains(drop, w))
-
-
-def _forms(label: Column, customer: Column) -> Column:
-    """Up to six distinct readings of a label, from all its words to the customer with the place alone."""
-    base = _words(label)
-    bare = _without(base, customer)
-    place = lambda w: _without(_without(w, GENERIC), DIRECTIONS)
-    forms = (base, bare, place(base), place(bare), F.concat(customer, bare), F.concat(customer, place(bare)))
-    return F.filter(F.array_distinct(F.array(*(F.array_join(f, " ") for f in forms))), lambda f: f != "")
-
-
 #: Pairs of neighbouring characters that strings must share, of the length of the shorter one (n) and of the sum of
 #: both lengths (s). If 2 * LCS >= q * s, then at least 3 * LCS - s - 1 pairs of neighbours in the LCS are neighbours
 #: in both strings: each character that is left out parts one pair. A stretch for which `partial` is 82 or more has
 #: at least 0.41 / 0.59 of the shorter one's length, and what is contained has all of its n - 1 pairs.
-ENOUGH_SHARED = {"partial": lambda n, s: 0.23 * n / 0.59 - 1, "token_set 90": lambda n, s: 0.35 * s - 1}
+ENOUGH_SHARED = {"partial": lambda n, s: 0.23 * n / 0.59 - 1}
 
 
 def _shared_pieces(left: DataFrame, c: str, right: DataFrame, d: str, enough: Callable[[Column, Column], Column], written: Callable[[Column], Column] = lambda x: x) -> DataFrame:
@@ -77,77 +59,44 @@ def _shared_pieces(left: DataFrame, c: str, right: DataFrame, d: str, enough: Ca
     return counted.where((n == 1) | (F.col("shared") >= enough(n, s) - 1e-9)).select(c, d)
 
 
-def align_customers(client: DataFrame, panel: DataFrame) -> DataFrame:
-    """(client, panel, score): each client customer's panel customer: equal after normalising, else the most alike from 90 on.
+def alike_pairs(left: DataFrame, a: str, right: DataFrame, b: str, cutoff: float) -> DataFrame:
+    """(a, b, score): all pairs of distinct strings whose token-set likeness is `cutoff` or more (over 67), without comparing all.
 
-    Inputs have a column `customer` and are customers lists, so few rows. Candidates share a word, or their sorted
-    words share as many pairs of characters as a likeness of 90 without a common word implies.
-    """
-    side = lambda df, c: df.select(F.col("customer").alias(c), text.norm_value(F.col("customer")).alias(f"{c}_norm")).where(f"{c} is not null").distinct()
-    words = lambda df, c: df.select("*", F.explode(F.split(f"{c}_norm", " ")).alias("word"))
-    mine, theirs = side(client, "client"), side(panel, "panel")
-    norms = lambda df, c: df.select(f"{c}_norm").distinct()
-    close = _shared_pieces(norms(mine, "client"), "client_norm", norms(theirs, "panel"), "panel_norm", ENOUGH_SHARED["token_set 90"], lambda x: F.array_join(F.array_sort(F.array_distinct(F.split(x, " "))), " "))
-    pairs = words(mine, "client").join(words(theirs, "panel"), "word").drop("word").unionByName(mine.join(close, "client_norm").join(theirs, "panel_norm")).distinct()
-    same = F.col("client_norm") == F.col("panel_norm")
-    scored = pairs.withColumn("score", F.when(same, F.lit(100.0)).otherwise(fuzzy.token_set("client_norm", "panel_norm"))).where("score >= 90")
-    return scored.groupBy("client").agg(F.max(F.struct(same.alias("same"), "score", "panel")).alias("best")).select("client", "best.panel", "best.score")
-
-
-def align_equal_markets(client: DataFrame, panel: DataFrame, customer: str | None = None) -> DataFrame:
-    """The part of `align_markets` that needs no likeness: labels whose words of place are the same. Same columns; of panel markets that tie the first."""
-    own = [w for w in (customer or "").lower().split() if w.isalpha()]
-    core = lambda c: F.array_join(F.filter(F.regexp_extract_all(F.lower(c), F.lit("[a-z][a-z']*"), F.lit(0)), lambda w: ~w.isin(*own, *GENERIC)), " ")
-    label = lambda df, c: df.where("market is not null").groupBy(F.col("market").alias(c)).agg(F.min("position").alias("at")).select(c, "at", core(F.col(c)).alias("core"))
-    there = label(panel, "d").where("core != ''").groupBy("core").agg(F.min_by("d", "at").alias("d"))
-    found = label(client, "c").join(there, "core", "left")
-    fits = F.col("d").isNotNull()
-    return found.select(F.col("c").alias("client_market"), F.col("d").alias("panel_market"), F.when(fits, "core").otherwise("none").alias("basis"), F.when(fits, 1.0).otherwise(0.0).alias("score"), F.lit(False).alias("caveat"), F.lit(None).cast("array<string>").alias("components"))
-
-
-def align_markets(client: DataFrame, panel: DataFrame, customer: str | None = None) -> DataFrame:
-    """(client_market, panel_market, basis, score, caveat, components): what each client market is compared with; null if nothing fits.
-
-    Inputs have `market` and `position` (order of appearance). First the broadest totals of both sides. Then each
-    other client market picks the panel market that is most alike in any reading; a panel market goes to the
-    most alike of those that picked it and share a word of place with it (score from 78 on, with a caveat below
-    88); losers don't pick again. At last panel markets within a client market's states, of its part of the
-    state if it names one, are summed for the first client market that has them. Candidates share a word, so
-    no cross join is made; all steps are joins and aggregations over distinct labels.
+    A pair gets there in one of two ways. Shared words make up most of one side: then that side's rarest words, up to
+    the share that may be missing, have one that the other side has. Or the words of both, in order, are alike: then they
+    share so many pairs of neighbouring characters (a word's first one with the blank before it) that the rarest of each side, all but as many, have one in common.
+    With q = cutoff / 100 and n, m characters and at most k words: for 2 LCS >= q (n + m) at least 3 LCS - n - m - k + 1 neighbours stay neighbours, as each
+    character that is left out parts one pair; and m is at least n q / (2 - q).
     """
-    own = F.array(*map(F.lit, [w for w in (customer or "").lower().split() if w.isalpha()])).cast("array<string>")
-    label = lambda df, c: df.where("market is not null").groupBy(F.col("market").alias(c)).agg(F.min("position").alias(f"{c}_at"))
-    left, right = label(client, "c"), label(panel, "d")
-    strong = lambda c: F.struct(F.size(_without(_without(_words(c), [*GENERIC, *DIRECTIONS]), TOTALS)), F.size(_words(c)))
-    broadest = lambda df, c: df.where(text.is_total_like(F.col(c))).select(F.min_by(c, F.struct(strong(F.col(c)).alias("s"), f"{c}_at")).alias(c)).where(f"{c} is not null")
-    totals = broadest(left, "c").join(broadest(right, "d"), F.lit(True)).select("c", "d").cache()  # one row each; what is used again is kept
-    rest_c, rest_d = left.join(totals, "c", "left_anti"), right.join(totals, "d", "left_anti")
-
-    forms = lambda df, c: df.select(c, f"{c}_at", _forms(F.col(c), own).alias(f"{c}_forms"), _without(_without(_without(_words(F.col(c)), own), GENERIC), DIRECTIONS).alias(f"{c}_core"))
-    by_word = lambda df, c: df.select("*", F.explode(F.array_distinct(F.flatten(F.transform(f"{c}_forms", lambda f: F.split(f, " "))))).alias("word"))
-    pairs = by_word(forms(rest_c, "c"), "c").join(by_word(forms(rest_d, "d"), "d"), "word").drop("word").dropDuplicates(["c", "d"])
-    read = pairs.select("c", "c_at", "d", "d_at", "c_core", "d_core", F.explode("c_forms").alias("x"), "d_forms").select("*", F.explode("d_forms").alias("y"))
-    scored = read.withColumn("s", fuzzy.token_set("x", "y")).groupBy("c", "d").agg(F.max("s").alias("s"), F.first("c_at").alias("c_at"), F.first("d_at").alias("d_at"), F.first(F.arrays_overlap("c_core", "d_core")).alias("place"))
-    picked = scored.groupBy("c").agg(F.max_by(F.struct("d", "s", "c_at", "place"), F.struct("s", -F.col("d_at"))).alias("p")).select("c", "p.*").where(f"s >= {ENOUGH} and place")
-    won = picked.groupBy("d").agg(F.max_by(F.struct("c", "s"), F.struct("s", -F.col("c_at"))).alias("p")).select("p.c", "d", "p.s").cache()
-
-    left_c, left_d = rest_c.join(won, "c", "left_anti"), rest_d.join(won, "d", "left_anti").where(~text.is_total_like(F.col("d")))
-    c_geo = geography.expand(left_c, "c").select(F.col("label").alias("c"), F.col("states").alias("c_states"), "part_cities").where("size(c_states) > 0")
-    d_geo = geography.expand(left_d, "d").select(F.col("label").alias("d"), F.col("states").alias("d_states"), "cities").where("size(d_states) > 0")
-    first_state = d_geo.withColumn("state", F.get("d_states", 0))
-    inside = c_geo.join(left_c, "c").select("*", F.explode("c_states").alias("state")).join(first_state, "state")
-    inside = inside.where((F.size(F.array_except("d_states", "c_states")) == 0) & ((F.size("part_cities") == 0) | F.arrays_overlap("part_cities", "cities")))
-    claimed = inside.groupBy("d").agg(F.min_by("c", "c_at").alias("c"))
-    summed = claimed.groupBy("c").agg(F.array_sort(F.collect_set("d")).alias("components"))
-
-    none = F.lit(None).cast("array<string>")
-    rows = [
-        totals.select("c", "d", F.lit("total-rollup").alias("basis"), F.lit(1.0).alias("score"), F.lit(False).alias("caveat"), none.alias("components")),
-        won.select("c", "d", F.lit("fuzzy").alias("basis"), (F.col("s") / 100).alias("score"), (F.col("s") < HIGH).alias("caveat"), none.alias("components")),
-        summed.select("c", F.concat("c", F.lit("  (rollup of: "), F.array_join("components", ", "), F.lit(")")).alias("d"), F.lit("geo-rollup").alias("basis"), F.lit(0.85).alias("score"), F.lit(True).alias("caveat"), "components"),
-    ]
-    found = rows[0].unionByName(rows[1]).unionByName(rows[2])
-    return left.join(found, "c", "left").select(F.col("c").alias("client_market"), F.col("d").alias("panel_market"), F.coalesce("basis", F.lit("none")).alias("basis"), F.coalesce("score", F.lit(0.0)).alias("score"), F.coalesce("caveat", F.lit(False)).alias("caveat"), "components")
+    q = cutoff / 100
+    side = lambda df, x, k: df.select(F.col(x).alias("x"), F.lit(k).alias("side")).where("x is not null").distinct()
+
+    def keys(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            rows = []
+            for x, k in zip(frame["x"], frame["side"], strict=True):
+                words = sorted(set(x.split()))
+                n = sum(map(len, words)) + len(words) - 1
+                seen: Counter[str] = Counter()
+                for w in words:
+                    rows.append((x, k, "w" + w, len(w) + 1, 2 * (1 - q) / (2 - q) * n + 1e-6))
+                    for i in range(len(w)):
+                        pair = f" {w}"[i : i + 2]
+                        seen[pair] += 1
+                        # Of n - k + 1 pairs as many must be shared as the least partner needs.
+                        need = math.ceil((1.5 * q - 1) * (1 + q / (2 - q)) * n - len(words) + 1 - 1e-6)
+                        rows.append((x, k, f"p{pair}{seen[pair]}", 1, n - len(words) + 1 - max(need, 1)))
+            yield pd.DataFrame(rows, columns=["x", "side", "key", "weight", "spare"])
+
+    found = stored(side(left, a, 0).unionByName(side(right, b, 1)).mapInPandas(keys, "x string, side int, key string, weight int, spare double"))
+    often = found.groupBy("key").agg(F.count(F.lit(1)).alias("often"))
+    rarest = Window.partitionBy("side", "x", F.substring("key", 1, 1)).orderBy("often", "key").rowsBetween(Window.unboundedPreceding, -1)
+    # The rarest keys, until what is before them is more than may be missing.
+    first = stored(found.join(often, "key").withColumn("before", F.coalesce(F.sum("weight").over(rarest), F.lit(0))).where("before <= spare").select("x", "side", "key"))
+    of = lambda df, k, name: df.where(F.col("side") == k).select("key", F.col("x").alias(name))
+    words = lambda df: df.where("key like 'w%'")
+    pairs = of(first, 0, a).join(of(words(found), 1, b), "key").unionByName(of(words(found), 0, a).join(of(first, 1, b), "key")).unionByName(of(first, 0, a).join(of(first.where("key like 'p%'"), 1, b), "key"))
+    return pairs.select(a, b).distinct().withColumn("score", fuzzy.token_set(a, b)).where(F.col("score") >= cutoff)
 
 
 def align_brands(client: DataFrame, panel: DataFrame) -> DataFrame:
@@ -178,12 +127,12 @@ def merge_crosswalk(auto: DataFrame, user: DataFrame) -> DataFrame:
 def build_crosswalk(client: DataFrame, panel: DataFrame, cutoff: float = 0.65) -> DataFrame:
     """(client_key, panel_key, score, basis): client codes without a panel twin, matched on brand and description.
 
-    Inputs have upc_key, description, brand (normalised) and position; the first row of a code counts. Panel
+    Inputs have upc_key, description, brand (normalised) and position, of each code the first row counts. Panel
     products of the same brand are candidates, or if there is none those of a brand that contains it;
     of these the ones of equal pack and size if there are any. Most alike descriptions win; equal pack and size
     adds 8.
     """
-    first = lambda df, p: df.where("upc_key is not null").groupBy(F.col("upc_key").alias(f"{p}_key")).agg(F.min_by(F.struct("description", "brand"), "position").alias("f")).select(f"{p}_key", F.col("f.description").alias(f"{p}_desc"), F.col("f.brand").alias(f"{p}_brand"), text.size_key(F.col("f.description")).alias(f"{p}_size"))
+    first = lambda df, p: df.where("upc_key is not null").groupBy(F.col("upc_key").alias(f"{p}_key")).agg(F.min_by(F.struct("description", "brand"), "position").alias("f"), F.min("position").alias(f"{p}_at")).select(f"{p}_key", f"{p}_at", F.col("f.description").alias(f"{p}_desc"), F.col("f.brand").alias(f"{p}_brand"), text.size_key(F.col("f.description")).alias(f"{p}_size"))
     c, d = first(client, "c"), first(panel, "d")
     c = c.join(d, F.col("c_key") == F.col("d_key"), "left_anti").where("c_brand is not null and c_desc is not null")
     same = c.join(d, F.col("c_brand") == F.col("d_brand"))
@@ -194,5 +143,5 @@ def build_crosswalk(client: DataFrame, panel: DataFrame, cutoff: float = 0.65) -
     fits = F.coalesce(F.col("c_size") == F.col("d_size"), F.lit(False))
     pool = same.unionByName(within).withColumn("fits", fits).withColumn("any_fits", F.max("fits").over(Window.partitionBy("c_key"))).where("(fits or not any_fits) and d_desc is not null")
     scored = pool.withColumn("s", F.least(F.lit(100.0), fuzzy.token_set("c_desc", "d_desc") + F.when(F.col("fits"), 8.0).otherwise(0.0)))
-    best = scored.groupBy("c_key").agg(F.max(F.struct("s", F.col("c_size").isNotNull().alias("sized"), "d_key")).alias("b")).select("c_key", "b.*").where(F.col("s") >= 100 * cutoff)
+    best = scored.where("s > 0").groupBy("c_key").agg(F.max(F.struct("s", (-F.col("d_at")).alias("at"), F.col("c_size").isNotNull().alias("sized"), "d_key")).alias("b")).select("c_key", "b.*").where(F.col("s") >= 100 * cutoff)
     return best.select(F.col("c_key").alias("client_key"), F.col("d_key").alias("panel_key"), F.round(F.col("s") / 100, 3).alias("score"), F.when(F.col("sized") & (F.col("s") >= 92), "brand+size+pack").otherwise("brand+desc").alias("basis"))

@@ -2,19 +2,20 @@
 
 `client` has columns source_row_id, customer, market, market_level, period_key, upc_key, upc, description,
 brand, brand_norm, category, sales, units, volume, confidence, record_status, exception_reason; `panel` has
-market, period_key, upc_key, upc, description, brand_norm, sales, units, volume, position. Both sides are
+customer, market, period_key, upc_key, upc, description, brand_low_norm, brand_norm, sales, units, volume, position. Both sides are
 aggregated before they are joined, so the join's input is groups, and each row meets its group again by the
 three keys.
 """
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from shelfspan.functions import fuzzy
+from shelfspan.functions import text
+from shelfspan.operators import align, markets
 from shelfspan.sources.shared import stored
 
 #: Statuses in the order of reports.
@@ -38,73 +39,119 @@ KEYS = ["pkey", "period_key", "panel_market"]
 
 @dataclass
 class Coverage:
-    """rows: client rows with status; groups: both sides' groups with status."""
+    """rows: client rows with status; groups: both sides' groups with status; what the run found on the way. A blocked run has neither."""
 
-    rows: DataFrame
-    groups: DataFrame
+    rows: DataFrame | None = None
+    groups: DataFrame | None = None
+    mode: str = "comparable"
+    grain: str = "monthly"
+    blocked: bool = False
+    reasons: list[str] = field(default_factory=list)
+    warnings: list[str] = field(default_factory=list)
+    customer: str | None = None
+    customers: dict[str, str] = field(default_factory=dict)
+    markets: markets.Alignment = field(default_factory=lambda: markets.Alignment([]))
+    rollup: bool = False
+    hierarchy: bool = False
+    panel: DataFrame | None = None
+    brands: DataFrame | None = None
+    crosswalk: DataFrame | None = None
 
 
-def place_markets(client: DataFrame, panel: DataFrame, alignment: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Adds panel_market, market_ok, market_caveat to client and panel_market to panel.
+@dataclass
+class Facts:
+    """What a run needs to know of a side before it plans: labels in order of appearance, market levels, which brand columns hold anything."""
+
+    customers: list[str]
+    markets: list[str]
+    levels: set[str]
+    brands: dict[str, bool]
+
+
+def facts(df: DataFrame, position: str, brands: list[str]) -> Facts:
+    """One aggregation: a row for each customer, market and level."""
+    level = F.col("market_level") if "market_level" in df.columns else F.lit(None).cast("string")
+    got = df.groupBy("customer", "market", level.alias("level")).agg(F.min(position).alias("at"), *(F.count(b).alias(b) for b in brands)).limit(markets.LABELS * 4).collect()
+    got.sort(key=lambda r: r["at"])
+    labels = lambda c: list(dict.fromkeys(r[c] for r in got if r[c] is not None))
+    return Facts(labels("customer"), labels("market"), set(labels("level")), {b: any(r[b] for r in got) for b in brands})
+
+
+def place_markets(client: DataFrame, panel: DataFrame, aligned: markets.Alignment, mine: list[str], theirs: list[str]) -> tuple[DataFrame, DataFrame, bool]:
+    """Adds panel_market, market_ok, market_caveat to client and panel_market to panel, and whether markets are rolled up.
 
     If no client market is aligned, all markets of both sides are rolled up; if the client has none at all, a
     panel with one market is taken for it. Panel markets that are summed for a client market get its label.
     Boolean in_scope of the panel says whether a client market is mapped to its market, or none is to any.
     """
-    aligned = alignment.where("panel_market is not null")
-    if aligned.isEmpty():
-        has_market = not client.where("market is not null").isEmpty()
-        only = panel.select(F.min("market").alias("a"), F.max("market").alias("b")).first()
-        if has_market or only.a != only.b:
-            ok = F.lit(True) if has_market else F.lit(False)
-            return (
-                client.withColumns({"panel_market": F.lit(ALL_MARKETS), "market_ok": ok & F.col("market").isNotNull(), "market_caveat": ok}),
-                panel.withColumns({"panel_market": F.lit(ALL_MARKETS), "in_scope": F.lit(True)}),
-            )
-        return client.withColumns({"panel_market": F.lit(only.a), "market_ok": F.lit(only.a is not None), "market_caveat": F.lit(False)}), panel.withColumns({"panel_market": F.col("market"), "in_scope": F.lit(True)})
-    to = aligned.select(F.col("client_market").alias("market"), "panel_market", F.col("caveat").alias("market_caveat"))
+    spark = client.sparkSession
+    found = [m for m in aligned.matches if m[1] is not None]
+    if not found and mine and theirs:
+        whole = {"panel_market": F.lit(ALL_MARKETS), "market_ok": F.lit(True), "market_caveat": F.lit(True)}
+        return client.withColumns(whole), panel.withColumns({"panel_market": F.lit(ALL_MARKETS), "in_scope": F.lit(True)}), True
+    if not found:
+        only = theirs[0] if len(theirs) == 1 and not mine else None
+        one = {"panel_market": F.lit(only).cast("string"), "market_ok": F.lit(only is not None), "market_caveat": F.lit(False)}
+        return client.withColumns(one), panel.withColumns({"panel_market": F.col("market"), "in_scope": F.lit(True)}), False
+    to = F.broadcast(spark.createDataFrame([(m[0], m[1], m[4]) for m in found], "market string, panel_market string, market_caveat boolean"))
     placed = client.join(to, "market", "left").withColumns({"market_ok": F.col("panel_market").isNotNull(), "market_caveat": F.coalesce("market_caveat", F.lit(False))})
-    part = aligned.where("components is not null").select(F.explode("components").alias("market"), F.col("panel_market").alias("summed"))
-    there = panel.join(part, "market", "left").withColumn("panel_market", F.coalesce("summed", "market")).drop("summed")
-    mapped = aligned.select("panel_market", F.lit(True).alias("in_scope")).distinct()
-    return placed, there.join(mapped, "panel_market", "left").withColumn("in_scope", F.col("in_scope").isNotNull())
+    parts = {d: m[1] for m in found for d in m[5] or ()}
+    named = {d: parts.get(d, d) for d in theirs}
+    there = F.broadcast(spark.createDataFrame([(d, x, x in {m[1] for m in found}) for d, x in named.items()], "market string, panel_market string, in_scope boolean"))
+    return placed, panel.join(there, "market", "left").withColumn("in_scope", F.coalesce("in_scope", F.lit(False))), False
 
 
-def kpi_slice(client: DataFrame) -> DataFrame:
-    """Adds boolean kpi_slice: without rows of detail markets if the levels are total and detail, so nothing counts twice."""
-    both = client.select((F.count_distinct("market_level") == 2).alias("both_levels"))  # one row
-    return client.join(F.broadcast(both), F.lit(True)).withColumn("kpi_slice", ~(F.col("both_levels") & F.col("market_level").eqNullSafe("detail"))).drop("both_levels")
+def _met(df: DataFrame, key: str, row: str, right: DataFrame) -> DataFrame:
+    """df left-joined to right (first column: the key). Rows without a key meet nothing, and are spread over the tasks."""
+    k = F.coalesce(F.col(key), F.concat(F.lit("\0"), F.pmod(F.xxhash64(row), F.lit(1024)).cast("string")))
+    other = right.columns[0]
+    return df.withColumn("_k", k).join(right.withColumnRenamed(other, "_k"), "_k", "left").drop("_k")
 
 
-def resolve_keys(client: DataFrame, panel: DataFrame, crosswalk: DataFrame | None = None, by_description: bool = True, brands: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+@dataclass
+class Keyed:
+    client: DataFrame
+    panel: DataFrame
+    brands: DataFrame
+    crosswalk: DataFrame
+
+
+def resolve_keys(client: DataFrame, panel: DataFrame, user: DataFrame | None = None, cutoff: float = 85) -> Keyed:
     """Adds pkey and pmatch to client, pkey to panel.
 
-    In order: the code's key; for codes the panel lacks, the most alike panel description from 85 on (of those
-    that share a word; the first on ties); the crosswalk's key; the brand, for codes still unmatched on either side.
+    In order: the code's key; for codes the panel lacks, and rows without one, the most alike panel description from the cutoff on, the first on ties;
+    the crosswalk's key, built from codes and given by the user; the brand, for what is still unmatched on either side. Client brands take the panel's spelling.
     """
-    codes = panel.where("upc_key is not null").select(F.col("upc_key").alias("panel_code")).distinct()
-    c = client.join(codes, F.col("upc_key") == F.col("panel_code"), "left").withColumns({"pkey": F.col("upc_key"), "pmatch": F.when(F.col("upc_key").isNotNull(), "upc"), "known": F.col("panel_code").isNotNull()}).drop("panel_code")
-    if by_description:
-        mine = c.where("not known and description is not null").select("description").distinct()
-        theirs = panel.where("upc_key is not null and description is not null").groupBy(F.col("description").alias("panel_description")).agg(F.min("position").alias("at"), F.min_by("upc_key", "position").alias("fuzzy_key"))
-        words = lambda df, x: df.select("*", F.explode(F.array_distinct(F.split(x, r"\s+"))).alias("word")).where("word != ''")
-        pairs = words(mine, "description").join(words(theirs, "panel_description"), "word").drop("word").distinct()
-        best = pairs.withColumn("s", fuzzy.token_set("description", "panel_description")).where("s >= 85").groupBy("description").agg(F.max_by("fuzzy_key", F.struct("s", -F.col("at"))).alias("fuzzy_key"))
-        hit = ~F.col("known") & F.col("fuzzy_key").isNotNull()
-        c = c.join(best, "description", "left").withColumns({"pkey": F.when(hit, F.col("fuzzy_key")).otherwise(F.col("pkey")), "pmatch": F.when(hit, "description_fuzzy").otherwise(F.col("pmatch")), "known": F.col("known") | hit}).drop("fuzzy_key")
-    if crosswalk is not None:
-        x = crosswalk.select(F.col("client_key").alias("pkey"), F.col("panel_key").alias("cross_key"))
-        c = c.join(x, "pkey", "left").withColumns({"pmatch": F.when(F.col("cross_key").isNotNull(), "upc_crosswalk").otherwise(F.col("pmatch")), "pkey": F.coalesce("cross_key", "pkey")}).drop("cross_key")
-        c = c.drop("known").join(codes, F.col("pkey") == F.col("panel_code"), "left").withColumn("known", F.col("panel_code").isNotNull()).drop("panel_code")
-    if brands is not None:
-        b = brands.select(F.col("client_brand").alias("brand_norm"), "panel_brand")
-        c = c.join(b, "brand_norm", "left").withColumn("brand_norm", F.coalesce("panel_brand", "brand_norm")).drop("panel_brand")
-    rolled = ~F.col("known") & F.col("brand_norm").isNotNull()
+    codes = stored(panel.where("upc_key is not null").groupBy("upc_key").agg(F.min_by("description", "position").alias("description"), F.min_by("brand_norm", "position").alias("brand"), F.min("position").alias("position")))
+    in_panel = codes.select(F.col("upc_key").alias("code"), F.lit(True).alias("known"))
+    c = _met(client, "upc_key", "source_row_id", in_panel)
+    # Brands first: the crosswalk takes the panel's spelling too.
+    brand_sides = [df.select(F.col("brand_norm").alias("brand")).where("brand is not null").distinct() for df in (client, panel)]
+    brands = stored(align.align_brands(brand_sides[0].join(brand_sides[1], "brand", "left_anti"), brand_sides[1]))
+    c = _met(c, "brand_norm", "source_row_id", brands.select(F.col("client_brand"), "panel_brand")).withColumn("brand_norm", F.coalesce("panel_brand", "brand_norm")).drop("panel_brand")
+    c = stored(c)
+
+    mine = c.where("known is null and description is not null").select("description").distinct()
+    theirs = codes.where("description is not null").groupBy(F.col("description").alias("panel_description")).agg(F.min("position").alias("at"), F.max_by("upc_key", "position").alias("fuzzy_key"))
+    alike = align.alike_pairs(mine, "description", theirs, "panel_description", cutoff).join(theirs, "panel_description")
+    best = alike.groupBy("description").agg(F.max_by("fuzzy_key", F.struct("score", -F.col("at"))).alias("fuzzy_key"))
+    c = _met(c, "description", "source_row_id", best)
+    hit = F.col("known").isNull() & F.col("fuzzy_key").isNotNull()
+    c = c.withColumns({"pkey": F.when(hit, F.col("fuzzy_key")).otherwise(F.col("upc_key")), "pmatch": F.when(hit, "description_fuzzy").when(F.col("upc_key").isNotNull(), "upc")})
+
+    first = c.where("upc_key is not null and known is null").groupBy("upc_key").agg(F.min_by("description", "source_row_id").alias("description"), F.min_by("brand_norm", "source_row_id").alias("brand"), F.min("source_row_id").alias("position"))
+    auto = align.build_crosswalk(stored(first), codes)
+    crosswalk = stored(align.merge_crosswalk(auto, user if user is not None else client.sparkSession.createDataFrame([], "client_key string, panel_key string, position long")))
+    c = _met(c, "pkey", "source_row_id", crosswalk.select("client_key", F.col("panel_key").alias("cross_key")))
+    c = c.withColumns({"pmatch": F.when(F.col("cross_key").isNotNull(), "upc_crosswalk").otherwise(F.col("pmatch")), "pkey": F.coalesce("cross_key", "pkey")}).drop("cross_key", "fuzzy_key", "known")
+    c = _met(c, "pkey", "source_row_id", in_panel)
+    rolled = F.col("known").isNull() & F.col("brand_norm").isNotNull()
     c = c.withColumns({"pmatch": F.when(rolled, "brand_rollup").otherwise(F.col("pmatch")), "pkey": F.when(rolled, F.concat(F.lit("BRAND::"), "brand_norm")).otherwise(F.col("pkey"))}).drop("known")
-    mine = c.where("pkey is not null").select(F.col("pkey").alias("client_code")).distinct()
-    p = panel.join(mine, F.col("upc_key") == F.col("client_code"), "left")
-    p = p.withColumn("pkey", F.when(F.col("client_code").isNull() & F.col("brand_norm").isNotNull(), F.concat(F.lit("BRAND::"), "brand_norm")).otherwise(F.col("upc_key"))).drop("client_code")
-    return c, p
+    c = stored(c)
+    taken = c.where("pkey is not null").select(F.col("pkey").alias("code"), F.lit(True).alias("taken")).distinct()
+    p = _met(panel, "upc_key", "position", taken)
+    p = p.withColumn("pkey", F.when(F.col("taken").isNull() & F.col("brand_norm").isNotNull(), F.concat(F.lit("BRAND::"), "brand_norm")).otherwise(F.col("upc_key"))).drop("taken")
+    return Keyed(c, p, brands, crosswalk)
 
 
 def _first(x: str, order: str) -> Column:
@@ -197,10 +244,42 @@ def row_statuses(client: DataFrame, groups: DataFrame) -> DataFrame:
     return rows.withColumn("s", pick).select(*(c for c in rows.columns if c not in ("group_status", "group_reason", "row_reason")), "s.status", "s.exception_reason")
 
 
-def run_coverage(client: DataFrame, panel: DataFrame, alignment: DataFrame, crosswalk: DataFrame | None = None, by_description: bool = True, brands: DataFrame | None = None) -> Coverage:
-    """Statuses of client rows and of both sides' groups. Each side, its groups and their join are written once and read where they are needed (see `stored`)."""
-    placed, there = place_markets(stored(client), stored(panel), alignment)
-    mine, theirs = resolve_keys(kpi_slice(placed), there, crosswalk, by_description, brands)
-    mine = stored(mine)
-    groups = stored(join_groups(client_groups(mine), stored(panel_groups(theirs))))
-    return Coverage(row_statuses(mine, groups), groups)
+def run_coverage(client: DataFrame, panel: DataFrame, mode: str = "comparable", grain: str = "monthly", user_crosswalk: DataFrame | None = None) -> Coverage:
+    """Statuses of client rows and of both sides' groups, or the reason why they can't be compared.
+
+    Blocked are files that lack what a comparison needs, and files of which no customer is one of the panel's. Each side, its groups and
+    their join are written once and read where they are needed (see `stored`).
+    """
+    run = Coverage(mode=mode, grain=grain if grain in ("weekly", "monthly") else "weekly")
+    if mode == "not_comparable":
+        return _blocked(run, "The client file lacks dimensions or measures that a comparison needs.")
+    client, panel = stored(client), stored(panel)
+    mine, theirs = facts(client, "source_row_id", ["brand_norm"]), facts(panel, "position", ["brand_low_norm", "brand_norm"])
+    spark = client.sparkSession
+    found, notes = markets.customer_map(spark, mine.customers, theirs.customers)
+    run.customers, run.warnings = {c: d for c, (d, _) in found.items()}, notes
+    if mine.customers and theirs.customers and not found:
+        return _blocked(run, "No customer of the client file is one of the panel's; check the panel's scope.")
+    run.customer = next(iter(mine.customers or theirs.customers), None)
+    run.markets = markets.align_labels(spark, mine.markets, theirs.markets, run.customer)
+    run.warnings = run.warnings + run.markets.warnings
+    run.hierarchy = mine.levels == {"total", "detail"}
+    # Brands of descriptions stand in only where a file has none at all.
+    of_description = text.brand_from_description(F.col("description"))
+    if not mine.brands["brand_norm"]:
+        client = client.withColumn("brand_norm", of_description)
+    own = F.coalesce("brand_low_norm", "brand_norm") if theirs.brands["brand_low_norm"] else F.col("brand_norm") if theirs.brands["brand_norm"] else of_description
+    panel = panel.withColumn("brand_norm", own).drop("brand_low_norm")
+    placed, there, run.rollup = place_markets(client, panel, run.markets, mine.markets, theirs.markets)
+    if run.rollup:
+        run.warnings = [*run.warnings, "No client market is one of the panel's; all are rolled up and compared with the panel's total, with a caveat."]
+    keyed = resolve_keys(placed.withColumn("kpi_slice", ~F.col("market_level").eqNullSafe("detail") if run.hierarchy else F.lit(True)), there, user_crosswalk)
+    run.panel, run.brands, run.crosswalk = panel, keyed.brands, keyed.crosswalk
+    run.groups = stored(join_groups(client_groups(keyed.client), stored(panel_groups(keyed.panel))))
+    run.rows = row_statuses(keyed.client, run.groups)
+    return run
+
+
+def _blocked(run: Coverage, reason: str) -> Coverage:
+    run.blocked, run.reasons = True, [reason]
+    return run

@@ -55,13 +55,19 @@ def missing_fields(matched: dict[str, str]) -> list[str]:
 
 
 def cleaned(df: DataFrame, matched: dict[str, str]) -> DataFrame:
-    """Canonical columns (all of COLUMNS, null where absent), without junk rows: those without numeric dollars, market or code."""
+    """Canonical columns (all of COLUMNS, null where absent), without junk rows: those without numeric dollars, market or code.
+
+    Where the export has no such column, the description is the brand and the customer leads the market's label. `position` is the row's
+    place in the file if df has source_row_id, else a hash of its content.
+    """
+    place = F.col("source_row_id") if "source_row_id" in df.columns else F.xxhash64(*(F.col(f"`{h}`") for h in matched.values()))
     cell = lambda f: text.clean_label(F.col(f"`{matched[f]}`")) if f in matched else F.lit(None).cast("string")
-    rows = df.select(*(number(cell(f)).alias(f) if f.endswith("_sales") else cell(f).alias(f) for f in SYNONYMS))
+    rows = df.select(*(number(cell(f)).alias(f) if f.endswith("_sales") else cell(f).alias(f) for f in SYNONYMS), place.alias("position"))
     rows = rows.where("dollar_sales is not null and market is not null and upc is not null")
-    rows = rows.withColumns({"item_description": F.coalesce("item_description", "brand"), "customer": F.coalesce("customer", text.customer_from_market(F.col("market")))})
+    absent = {"item_description": F.col("brand"), "customer": text.customer_from_market(F.col("market"))}
+    rows = rows.withColumns({f: x for f, x in absent.items() if f not in matched})
     rows = periods.with_parsed(rows, F.col("period"), "parsed")
-    return rows.select(*SYNONYMS, "parsed.period_start", "parsed.period_end", identifiers.upc_key(F.col("upc")).alias("upc_key"), identifiers.normalize_upc(F.col("upc")).alias("upc_normalized"))
+    return rows.select(*SYNONYMS, "parsed.period_start", "parsed.period_end", identifiers.upc_key(F.col("upc")).alias("upc_key"), identifiers.normalize_upc(F.col("upc")).alias("upc_normalized"), "position")
 
 
 def validate(df: DataFrame) -> Validation:
@@ -73,11 +79,15 @@ def validate(df: DataFrame) -> Validation:
 
 
 def stitch(panels: list[DataFrame]) -> DataFrame:
-    """One panel of several files: united by name, without exact repeats. A single file stays as it is."""
-    first, *rest = panels
-    for p in rest:
+    """One panel of several files: united by name, without exact repeats, of which the first stays. A single file stays as it is."""
+    if len(panels) == 1:
+        return panels[0]
+    placed = [p.withColumn("position", (F.lit(k).cast("decimal(38,0)") * F.lit(1 << 62) * 4 + F.col("position")).cast("decimal(38,0)")) if "position" in p.columns else p for k, p in enumerate(panels)]
+    first = placed[0]
+    for p in placed[1:]:
         first = first.unionByName(p, allowMissingColumns=True)
-    return first.dropDuplicates() if rest else first
+    values = [c for c in first.columns if c != "position"]
+    return first.groupBy(*values).agg(F.min("position").alias("position")) if "position" in first.columns else first.dropDuplicates()
 
 
 def overlap_count(panel: DataFrame) -> DataFrame:
@@ -86,7 +96,6 @@ def overlap_count(panel: DataFrame) -> DataFrame:
 
 
 def for_coverage(panel: DataFrame, grain: str) -> DataFrame:
-    """The columns that coverage takes; the lowest brand that is known is the brand. `position` orders rows by content, as files have no order on a cluster."""
-    brand = F.coalesce(text.norm_brand(F.col("brand_low")), text.norm_brand(F.col("brand")), text.brand_from_description(F.col("item_description")))
+    """The columns that coverage takes."""
     key = periods.period_key(F.col("period_end"), "monthly" if grain == "monthly" else "weekly")
-    return panel.select("market", key.alias("period_key"), "upc_key", F.col("upc_normalized").alias("upc"), F.col("item_description").alias("description"), brand.alias("brand_norm"), "category", F.col("dollar_sales").alias("sales"), F.col("unit_sales").alias("units"), F.col("volume_sales").alias("volume"), F.xxhash64("market", "period_end", "upc", "item_description").alias("position"))
+    return panel.select("customer", "market", key.alias("period_key"), "upc_key", F.col("upc_normalized").alias("upc"), F.col("item_description").alias("description"), text.norm_brand(F.col("brand_low")).alias("brand_low_norm"), text.norm_brand(F.col("brand")).alias("brand_norm"), "category", F.col("dollar_sales").alias("sales"), F.col("unit_sales").alias("units"), F.col("volume_sales").alias("volume"), "position")

@@ -108,7 +108,7 @@ def drilldown(run: Coverage, customer: str | None = None, limit: int | None = DR
         "status",
         "exception_reason",
         F.col("period_key").alias("period"),
-        F.lit(customer).cast("string").alias("customer"),
+        F.lit(customer or run.customer).cast("string").alias("customer"),
         F.col("panel_market").alias("market"),
         "client_upc",
         F.col("client_description").alias("client_item_description"),
@@ -123,27 +123,58 @@ def drilldown(run: Coverage, customer: str | None = None, limit: int | None = DR
 
 
 def brand_diagnostic(run: Coverage) -> DataFrame:
-    """By brand: sales, rows, matched rows and their share."""
-    g = run.rows.where("brand_norm is not null").groupBy(F.col("brand_norm").alias("brand")).agg(F.count(F.lit(1)).alias("client_rows"), F.count_if(_matched()).alias("matched_rows"), F.round(_total(F.col("sales")), 2).alias("client_sales"))
+    """By brand over the KPI slice: sales, rows, matched rows and their share."""
+    g = run.rows.where("kpi_slice and brand_norm is not null").groupBy(F.col("brand_norm").alias("brand")).agg(F.count(F.lit(1)).alias("client_rows"), F.count_if(_matched()).alias("matched_rows"), F.round(_total(F.col("sales")), 2).alias("client_sales"))
     return g.withColumn("match_rate", F.round(F.col("matched_rows") / F.col("client_rows"), 3)).orderBy(F.desc("client_sales"), "brand")
 
 
 def period_diagnostic(run: Coverage) -> DataFrame:
-    """By period: rows, sales and the share of sales that matched."""
+    """By period over the KPI slice: rows, sales and the share of sales that matched."""
     m = _matched()
-    g = run.rows.where("period_key is not null").groupBy(F.col("period_key").alias("period")).agg(F.count(F.lit(1)).alias("client_rows"), F.count_if(m).alias("matched_rows"), _total(F.col("sales")).alias("s"), _total(F.when(m, F.col("sales"))).alias("t"))
+    g = run.rows.where("kpi_slice and period_key is not null").groupBy(F.col("period_key").alias("period")).agg(F.count(F.lit(1)).alias("client_rows"), F.count_if(m).alias("matched_rows"), _total(F.col("sales")).alias("s"), _total(F.when(m, F.col("sales"))).alias("t"))
     return g.select("period", "client_rows", "matched_rows", F.round("s", 2).alias("client_sales"), F.round("t", 2).alias("matched_client_sales"), _share(F.col("t"), F.col("s"), 3).alias("match_rate")).orderBy("period")
 
 
-def brand_overlap(client: DataFrame, panel: DataFrame) -> DataFrame:
-    """One row: brands of each side, of both, and up to 20 client brands that the panel lacks, sorted and comma-joined."""
-    side = lambda df: df.select(F.col("brand_norm").alias("brand")).where("brand is not null").distinct()
-    j = side(client).withColumn("c", F.lit(1)).join(side(panel).withColumn("p", F.lit(1)), "brand", "full")
+def brand_overlap(run: Coverage) -> DataFrame:
+    """One row: brands of each side and of both, after the alias map, and up to 20 client brands without a matched row in the KPI slice, sorted and comma-joined."""
+    mine = run.rows.where("brand_norm is not null").groupBy(F.col("brand_norm").alias("brand")).agg(F.lit(1).alias("c"), F.count_if(F.col("kpi_slice") & _matched()).alias("hits"))
+    theirs = run.panel.select(F.col("brand_norm").alias("brand")).where("brand is not null").distinct().withColumn("p", F.lit(1))
+    j = mine.join(theirs, "brand", "full")
     counts = j.agg(F.count("c").alias("client_brand_count"), F.count("p").alias("panel_brand_count"), F.count_if(F.col("c").isNotNull() & F.col("p").isNotNull()).alias("overlap_count"))
-    lacking = j.where("p is null").orderBy("brand").limit(20).agg(F.array_join(F.array_sort(F.collect_list("brand")), ", ").alias("client_unmatched_brands"))
+    lacking = j.where("hits = 0").orderBy("brand").limit(20).agg(F.array_join(F.array_sort(F.collect_list("brand")), ", ").alias("client_unmatched_brands"))
     return counts.join(F.broadcast(lacking), F.lit(True))  # one row each
 
 
+def summary(run: Coverage) -> dict:
+    """What the run found besides its figures; of lists that grow with the file as many entries as reports show. A blocked run has its reasons only."""
+    if run.blocked:
+        return {"blocked": True, "reasons": run.reasons, "comparison_mode": run.mode, "time_grain": run.grain, "customer_alignment": run.customers, "warnings": run.warnings}
+    overlap = brand_overlap(run).first()
+    warnings = list(run.warnings)
+    if overlap.client_brand_count and overlap.panel_brand_count and not overlap.overlap_count and run.rows.where(_matched()).isEmpty():
+        warnings.append(f"No row matches: none of the client's {overlap.client_brand_count} brands is one of the panel's {overlap.panel_brand_count}. The panel is probably of other products.")
+    shown = lambda df: [r.asDict() for r in df.limit(DRILLDOWN_ROWS).collect()]
+    mapped = run.markets.mapped()
+    return {
+        "blocked": False,
+        "comparison_mode": run.mode,
+        "time_grain": run.grain,
+        "customer_alignment": run.customers,
+        "market_alignment": mapped,
+        "market_rollup_mode": run.rollup,
+        "market_hierarchy_detected": run.hierarchy,
+        "unmapped_client_markets": [] if run.rollup else [m[0] for m in run.markets.matches if m[1] is None],
+        "warnings": warnings,
+        "match_grain": "code or item, period, customer and market",
+        "brand_overlap_diagnostic": overlap.asDict(),
+        "brand_diagnostic": shown(brand_diagnostic(run)),
+        "period_diagnostic": shown(period_diagnostic(run)),
+        "brand_alias_map": {r.client_brand: r.panel_brand for r in run.brands.orderBy("client_brand").limit(DRILLDOWN_ROWS).collect()},
+        "crosswalk_entries": shown(run.crosswalk.orderBy("client_key")),
+        "geo_rollup_map": {m[1]: list(m[5]) for m in run.markets.matches if m[5]},
+    }
+
+
 def filtered(groups: DataFrame, search: str | None = None, **equal: str | None) -> DataFrame:
     """Drilldown rows with the given values, and with the search text in a description (any case) or a code."""
     for c, v in equal.items():

@@ -1,7 +1,9 @@
 """A client's sales file and a panel export, derived from the order tables: messy codes, labels and gaps as real files have.
 
-The panel lacks parts divisible by 7, region ASIA and December; every fifth part has another code there, and
-check digits differ, so codes only match without them.
+The client file has rows of regions, and for first lines of orders rows of the total too; some lack code, brand, period or
+measures. The panel lacks parts divisible by 7, region ASIA (but for its total market) and December; every fifth part has another code there, and
+check digits differ, so codes only match without them. Descriptions of such parts differ a little or much, and every
+second brand is spelled with a blank.
 """
 
 from __future__ import annotations
@@ -33,80 +35,143 @@ def _code(base: int, check: Column | int) -> Column:
     return F.lpad((F.lit(base) + F.col("p_partkey") * 10 + check).cast("string"), 12, "0")
 
 
+def row_id(*columns: str) -> Column:
+    """60 bits of the values' digest: distinct, and the same in any order of rows."""
+    return F.conv(F.substring(F.md5(F.concat_ws("|", *(F.col(c).cast("string") for c in columns))), 1, 15), 16, 10).cast("long")
+
+
 def client_file(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The client's file as it comes: text, a month label, its own product codes."""
-    return _sales(spark, sf_dir).select(
-        (F.col("l_orderkey") * 100 + F.col("l_linenumber")).alias("source_row_id"),
+    part, n, blank = F.col("p_partkey"), F.col("l_quantity"), F.lit(None).cast("string")
+    size = F.concat((F.col("p_size") % 3 + 10).cast("string"), F.lit("OZCAN"))
+    rows = _sales(spark, sf_dir).withColumn("day", F.date_format("l_shipdate", "yyyy-MM-dd")).withColumn("Market", F.explode(F.when(F.col("l_linenumber") == 1, F.array("r_name", F.lit("Total"))).otherwise(F.array("r_name"))))
+    return rows.select(
+        row_id("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "day", "Market").alias("source_row_id"),
         F.lit("ACME  STORES").alias("Retailer"),
-        F.col("r_name").alias("Market"),
-        F.date_format("l_shipdate", "MMM yyyy").alias("Month"),
-        _code(41000000000, F.col("p_partkey") % 10).alias("UPC"),
-        F.concat(F.upper("p_name"), F.lit(" "), F.col("p_size").cast("string"), F.lit("OZCAN")).alias("Item Description"),
-        F.col("p_brand").alias("Brand"),
+        "Market",
+        F.when(F.col("l_orderkey") % 97 == 0, "hello").otherwise(F.date_format("l_shipdate", "MMM yyyy")).alias("Month"),
+        F.when(part % 11 == 0, blank).otherwise(_code(41000000000, part % 10)).alias("UPC"),
+        F.when(part % 3 == 0, F.concat(F.lower("p_name"), F.lit(" pieces"))).otherwise(F.concat(F.upper("p_name"), F.lit(" "), size)).alias("Item Description"),
+        F.when(part % 13 == 0, blank).otherwise(F.col("p_brand")).alias("Brand"),
         F.col("p_type").alias("Category"),
-        F.concat(F.lit("$"), F.format_string("%.2f", "l_extendedprice")).alias("POS Sales $"),
-        F.col("l_quantity").cast("string").alias("Units"),
+        F.when(n.isin(3, 5), blank).otherwise(F.concat(F.lit("$"), F.format_string("%.2f", "l_extendedprice"))).alias("POS Sales $"),
+        F.when(n.isin(3, 4), blank).otherwise(n.cast("string")).alias("Units"),
     )
 
 
 def panel_file(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = _sales(spark, sf_dir).where((F.col("p_partkey") % 7 != 0) & (F.col("r_name") != "ASIA") & (F.month("l_shipdate") != 12))
+    """The panel's export, with source_row_id as its reader gives it."""
+    part = F.col("p_partkey")
+    rows = _sales(spark, sf_dir).where((part % 7 != 0) & (F.month("l_shipdate") != 12))
+    rows = rows.withColumn("Markets", F.explode(F.filter(F.array(F.when(F.col("r_name") != "ASIA", F.concat(F.lit("Acme "), "r_name", F.lit(" TA"))), F.lit("Acme Total US")), lambda m: m.isNotNull())))
+    near = F.concat(F.upper("p_name"), F.lit(" "), (F.col("p_size") % 3 + 10).cast("string"), F.lit("OZ CAN"))
     rows = rows.select(
-        F.concat(F.lit("Acme "), "r_name", F.lit(" TA")).alias("Markets"),
+        "Markets",
         F.date_format("l_shipdate", "yyyy-MM").alias("Periods"),
-        F.when(F.col("p_partkey") % 5 == 0, _code(52000000000, 0)).otherwise(_code(41000000000, 0)).alias("UPC"),
-        F.concat(F.lower("p_name"), F.lit(" item")).alias("Product Description"),
-        F.upper("p_brand").alias("Brand"),
+        F.when(part % 5 == 0, _code(52000000000, 0)).otherwise(_code(41000000000, 0)).alias("UPC"),
+        F.when((part % 5 == 0) & (part % 2 == 0), near).otherwise(F.concat(F.lower("p_name"), F.lit(" item"))).alias("Product Description"),
+        F.when(F.get(F.split("p_brand", "#"), 1).cast("int") % 2 == 0, F.replace("p_brand", F.lit("#"), F.lit(" #"))).otherwise(F.upper("p_brand")).alias("Brand"),
         F.col("p_type").alias("Category"),
         "l_extendedprice",
         "l_quantity",
     )
-    return rows.groupBy("Markets", "Periods", "UPC", "Product Description", "Brand", "Category").agg((F.sum("l_extendedprice") * 2).alias("$"), F.sum("l_quantity").alias("Units"))
+    sums = rows.groupBy("Markets", "Periods", "UPC", "Product Description", "Brand", "Category").agg((F.sum("l_extendedprice") * 2).alias("$"), F.sum("l_quantity").alias("Units"))
+    return sums.withColumn("source_row_id", row_id("Markets", "Periods", "UPC"))
+
+
+def indel(a: str, b: str) -> str:
+    """SQL of the indel ratio of two strings; the fold keeps the row of a table of common subsequences."""
+    return f"200.0 * {lcs(a, b)} / (length({a}) + length({b}))"
+
+
+def lcs(a: str, b: str) -> str:
+    """SQL of the length of the longest common subsequence."""
+    row = "list_transform(range(1, length({b}) + 1), lambda j: list_max(list_transform(range(1, j + 1), lambda t: CASE WHEN {b}[t] = m.ch THEN coalesce(row.n[t - 1], 0) + 1 ELSE row.n[t] END)))"
+    start = "{{'ch': '', 'n': list_transform(range(1, length({b}) + 1), lambda j: 0)}}"
+    chars = "list_transform(range(1, length({a}) + 1), lambda k: {{'ch': {a}[k], 'n': NULL::BIGINT[]}})"
+    fold = f"list_reduce(list_concat([{start}], {chars}), lambda row, m: {{{{'ch': '', 'n': {row}}}}})"
+    return f"coalesce(list_max(({fold}).n), 0)".format(a=a, b=b)
+
+
+def token_set_sql(pairs: str) -> str:
+    """SQL of (a, b, s): the token-set likeness of the pairs (a, b) that a query gives."""
+    words = lambda x: f"list_sort(list_distinct(list_filter(string_split({x}, ' '), lambda w: w <> '')))"
+    joined = lambda x: f"array_to_string({x}, ' ')"
+    return f"""SELECT a, b, CASE WHEN len(wa) = 0 OR len(wb) = 0 THEN 0 WHEN s <> '' AND (p = '' OR q = '') THEN 100
+  ELSE greatest(100.0 * (1 - (length(p) + length(q) - 2 * {lcs("p", "q")}) / (g * 2 + length(s) * 2 + length(p) + length(q))),
+    CASE WHEN s <> '' THEN 100.0 * (1 - (1 + length(p)) / (2 * length(s) + 1 + length(p))) ELSE 0 END, CASE WHEN s <> '' THEN 100.0 * (1 - (1 + length(q)) / (2 * length(s) + 1 + length(q))) ELSE 0 END) END AS s
+FROM (SELECT *, CASE WHEN s <> '' THEN 1 ELSE 0 END AS g FROM (SELECT a, b, wa, wb, {joined("list_filter(wa, lambda w: list_contains(wb, w))")} AS s, {joined("list_filter(wa, lambda w: NOT list_contains(wb, w))")} AS p, {joined("list_filter(wb, lambda w: NOT list_contains(wa, w))")} AS q
+  FROM (SELECT a, b, {words("a")} AS wa, {words("b")} AS wb FROM ({pairs}))))"""
 
 
 #: The same two sides in DuckDB, in the columns that coverage takes.
 SIDES_SQL = """
 sales AS (
-  SELECT l.*, p.*, r.r_name FROM lineitem l JOIN part p ON l_partkey = p_partkey JOIN orders o ON l_orderkey = o_orderkey
+  SELECT l.*, p.*, r.r_name, strftime(l_shipdate, '%Y-%m') AS month, (p_size % 3 + 10)::VARCHAR AS oz FROM lineitem l JOIN part p ON l_partkey = p_partkey JOIN orders o ON l_orderkey = o_orderkey
   JOIN customer c ON o_custkey = c_custkey JOIN nation n ON c_nationkey = n_nationkey JOIN region r ON n_regionkey = r_regionkey),
 client AS (
-  SELECT l_orderkey * 100 + l_linenumber AS source_row_id, CASE WHEN r_name ~ '^[A-Z ]{5,}$' THEN array_to_string(list_transform(string_split(lower(r_name), ' '), lambda w: upper(w[1]) || w[2:]), ' ') ELSE r_name END AS market,
-         strftime(l_shipdate, '%Y-%m') AS period_key, CAST(4100000000 + p_partkey AS VARCHAR) AS upc_key,
-         lpad(CAST(41000000000 + p_partkey * 10 + p_partkey % 10 AS VARCHAR), 12, '0') AS upc,
-         upper(p_name) || ' ' || CAST(p_size AS VARCHAR) || 'OZCAN' AS description, p_brand AS brand, lower(p_brand) AS brand_norm,
-         p_type AS raw_category, l_extendedprice AS sales, l_quantity AS units FROM sales),
+  SELECT ('0x' || substr(md5(concat_ws('|', l_orderkey, l_linenumber, l_partkey, l_suppkey, strftime(l_shipdate, '%Y-%m-%d'), m)), 1, 15))::BIGINT AS source_row_id, 'Acme Stores' AS customer,
+         CASE WHEN m ~ '^[A-Z ]{5,}$' THEN array_to_string(list_transform(string_split(lower(m), ' '), lambda w: upper(w[1]) || w[2:]), ' ') ELSE m END AS market,
+         CASE WHEN m = 'Total' THEN 'total' ELSE 'detail' END AS market_level, CASE WHEN l_orderkey % 97 <> 0 THEN month END AS period_key, CASE WHEN p_partkey % 11 <> 0 THEN CAST(4100000000 + p_partkey AS VARCHAR) END AS upc_key,
+         CASE WHEN p_partkey % 11 <> 0 THEN lpad(CAST(41000000000 + p_partkey * 10 + p_partkey % 10 AS VARCHAR), 12, '0') END AS upc,
+         CASE WHEN p_partkey % 3 = 0 THEN lower(p_name) || ' pieces' ELSE upper(p_name) || ' ' || oz || 'OZCAN' END AS description, CASE WHEN p_partkey % 3 <> 0 THEN oz || 'oz-can' END AS size_key,
+         CASE WHEN p_partkey % 13 <> 0 THEN p_brand END AS brand, CASE WHEN p_partkey % 13 <> 0 THEN lower(p_brand) END AS brand_norm,
+         CASE WHEN p_type ~ '^[A-Z ]{5,}$' THEN p_type[1] || lower(p_type[2:]) ELSE p_type END AS category, CASE WHEN l_quantity NOT IN (3, 5) THEN l_extendedprice END AS sales, CASE WHEN l_quantity NOT IN (3, 4) THEN l_quantity END AS units,
+         round(0.95 - CASE WHEN l_orderkey % 97 = 0 THEN 0.3 ELSE 0 END - CASE WHEN l_quantity = 3 THEN 0.2 ELSE 0 END, 2) AS confidence,
+         CASE WHEN l_orderkey % 97 = 0 OR l_quantity = 3 THEN 'needs_review' ELSE 'normalized' END AS record_status,
+         nullif(concat_ws('; ', CASE WHEN l_orderkey % 97 = 0 THEN 'period_unparsed' END, CASE WHEN l_quantity = 3 THEN 'no_metric_values' END), '') AS row_reason
+  FROM (SELECT *, unnest(CASE WHEN l_linenumber = 1 THEN [r_name, 'Total'] ELSE [r_name] END) AS m FROM sales)),
 panel AS (
-  SELECT 'Acme ' || r_name || ' TA' AS market, strftime(l_shipdate, '%Y-%m') AS period_key,
-         CAST(CASE WHEN p_partkey % 5 = 0 THEN 5200000000 ELSE 4100000000 END + p_partkey AS VARCHAR) AS upc_key,
+  SELECT *, ('0x' || substr(md5(concat_ws('|', market, period_key, upc)), 1, 15))::BIGINT AS position FROM (
+  SELECT m AS market, month AS period_key, CAST(CASE WHEN p_partkey % 5 = 0 THEN 5200000000 ELSE 4100000000 END + p_partkey AS VARCHAR) AS upc_key,
          lpad(CAST(CASE WHEN p_partkey % 5 = 0 THEN 52000000000 ELSE 41000000000 END + p_partkey * 10 AS VARCHAR), 12, '0') AS upc,
-         lower(p_name) || ' item' AS description, lower(p_brand) AS brand_norm, sum(l_extendedprice) * 2 AS sales, sum(l_quantity) AS units
-  FROM sales WHERE p_partkey % 7 <> 0 AND r_name <> 'ASIA' AND month(l_shipdate) <> 12 GROUP BY ALL)
+         CASE WHEN p_partkey % 10 = 0 THEN upper(p_name) || ' ' || oz || 'OZ CAN' ELSE lower(p_name) || ' item' END AS description, CASE WHEN p_partkey % 10 = 0 THEN oz || 'oz-can' END AS size_key,
+         CASE WHEN CAST(string_split(p_brand, '#')[2] AS INTEGER) % 2 = 0 THEN replace(lower(p_brand), '#', ' #') ELSE lower(p_brand) END AS brand_norm, sum(l_extendedprice) * 2 AS sales, sum(l_quantity) AS units
+  FROM (SELECT *, unnest(CASE WHEN r_name <> 'ASIA' THEN ['Acme ' || r_name || ' TA', 'Acme Total US'] ELSE ['Acme Total US'] END) AS m FROM sales WHERE p_partkey % 7 <> 0 AND month(l_shipdate) <> 12) GROUP BY ALL))
 """
-#: The coverage run in DuckDB: rows r and groups g with statuses.
-RUN_SQL = (
+#: The product tiers in DuckDB: alias (spelling of brands), best (descriptions), cross (crosswalk), c (client rows with pkey and pmatch).
+KEYS_SQL = (
     "WITH "
     + SIDES_SQL
+    + f""",
+codes AS MATERIALIZED (SELECT upc_key, arg_min(description, position) AS description, arg_min(size_key, position) AS size_key, arg_min(brand_norm, position) AS brand, min(position) AS position FROM panel GROUP BY 1),
+alias AS (SELECT m.brand_norm AS client_brand, min(t.brand_norm) AS panel_brand FROM (SELECT DISTINCT brand_norm FROM client) m JOIN (SELECT DISTINCT brand_norm FROM panel) t ON replace(m.brand_norm, ' ', '') = replace(t.brand_norm, ' ', '')
+          WHERE m.brand_norm NOT IN (SELECT brand_norm FROM panel) GROUP BY 1),
+c0 AS MATERIALIZED (SELECT client.* REPLACE (coalesce(panel_brand, brand_norm) AS brand_norm), codes.upc_key IS NOT NULL AS known FROM client LEFT JOIN codes ON client.upc_key = codes.upc_key LEFT JOIN alias ON brand_norm = client_brand),
+named AS (SELECT description AS b, min(position) AS place, arg_max(upc_key, position) AS fuzzy_key FROM codes GROUP BY 1),
+scored AS MATERIALIZED ({token_set_sql("SELECT DISTINCT c0.description AS a, named.b FROM c0, named WHERE NOT known")}),
+best AS (SELECT a, arg_max(fuzzy_key, (s, -place)) AS fuzzy_key FROM scored JOIN named USING (b) WHERE s >= 85 GROUP BY 1),
+firsts AS (SELECT upc_key, arg_min(description, source_row_id) AS description, arg_min(size_key, source_row_id) AS size_key, (arg_min(ROW(brand_norm), source_row_id))[1] AS brand FROM c0 WHERE NOT known AND upc_key IS NOT NULL GROUP BY 1),
+pool AS (SELECT f.upc_key, f.description AS a, k.description AS b, k.upc_key AS other, k.position, coalesce(f.size_key = k.size_key, false) AS fits, f.size_key IS NOT NULL AS sized FROM firsts f JOIN codes k USING (brand)),
+chosen AS (SELECT * FROM pool WHERE fits OR upc_key NOT IN (SELECT upc_key FROM pool WHERE fits)),
+alike AS MATERIALIZED ({token_set_sql("SELECT DISTINCT a, b FROM chosen")}),
+auto AS MATERIALIZED (SELECT upc_key AS client_key, x[3] AS panel_key, x[1] AS s, x[4] AS sized FROM (SELECT upc_key, max((least(100, s + CASE WHEN fits THEN 8 ELSE 0 END), -position, other, sized)) AS x FROM chosen JOIN alike USING (a, b) GROUP BY 1) WHERE x[1] >= 65),
+c1 AS (SELECT c0.*, CASE WHEN NOT known AND fuzzy_key IS NOT NULL THEN fuzzy_key ELSE upc_key END AS k1, CASE WHEN NOT known AND fuzzy_key IS NOT NULL THEN 'description_fuzzy' WHEN upc_key IS NOT NULL THEN 'upc' END AS m1 FROM c0 LEFT JOIN best ON description = a),
+c2 AS (SELECT c1.*, coalesce(panel_key, k1) AS k2, CASE WHEN panel_key IS NOT NULL THEN 'upc_crosswalk' ELSE m1 END AS m2 FROM c1 LEFT JOIN auto ON k1 = client_key),
+c3 AS (SELECT c2.*, codes.upc_key IS NULL AND brand_norm IS NOT NULL AS rolled FROM c2 LEFT JOIN codes ON k2 = codes.upc_key),
+c AS MATERIALIZED (SELECT c3.* EXCLUDE (rolled, k1, m1, k2, m2), CASE WHEN rolled THEN 'BRAND::' || brand_norm ELSE k2 END AS pkey, CASE WHEN rolled THEN 'brand_rollup' ELSE m2 END AS pmatch,
+      CASE WHEN market = 'Total' THEN 'Acme Total US' WHEN market <> 'ASIA' THEN 'Acme ' || upper(market) || ' TA' END AS panel_market, market_level <> 'detail' AS kpi_slice FROM c3)
+"""
+)
+#: The coverage run in DuckDB: rows r and groups g with statuses and reasons.
+RUN_SQL = (
+    KEYS_SQL
     + """,
-codes AS (SELECT DISTINCT upc_key FROM panel),
-mapped AS (SELECT DISTINCT c.market, p.market AS panel_market FROM client c JOIN panel p ON p.market = 'Acme ' || upper(c.market) || ' TA'),
-c AS (SELECT client.*, m.panel_market, CASE WHEN k.upc_key IS NULL THEN 'BRAND::' || brand_norm ELSE client.upc_key END AS pkey,
-             CASE WHEN k.upc_key IS NULL THEN 'brand_rollup' ELSE 'upc' END AS pmatch
-      FROM client LEFT JOIN codes k ON client.upc_key = k.upc_key LEFT JOIN mapped m ON client.market = m.market),
-mine AS (SELECT DISTINCT pkey FROM c),
-p AS (SELECT panel.*, CASE WHEN mine.pkey IS NULL THEN 'BRAND::' || brand_norm ELSE upc_key END AS pkey FROM panel LEFT JOIN mine ON upc_key = mine.pkey),
-cg AS (SELECT pkey, period_key, panel_market, sum(sales) AS client_sales, sum(units) AS client_units, min(pmatch) AS pmatch, count(*) AS client_row_count, min(upc) AS min_upc
-       FROM c WHERE panel_market IS NOT NULL GROUP BY 1, 2, 3),
-pg AS (SELECT pkey, period_key, market AS panel_market, sum(sales) AS panel_sales, sum(units) AS panel_units FROM p GROUP BY 1, 2, 3),
-inside AS (SELECT * FROM pg WHERE panel_market IN (SELECT panel_market FROM cg)),
-g AS (SELECT pkey, period_key, panel_market, client_sales, client_units, panel_sales, panel_units, client_row_count, pmatch,
-        CASE WHEN cg.client_row_count IS NOT NULL AND inside.panel_sales IS NOT NULL THEN
-               CASE WHEN pmatch = 'brand_rollup' THEN 'matched_with_caveat' ELSE 'matched' END
-             WHEN cg.client_row_count IS NULL THEN 'missing_from_client'
-             WHEN pkey IN (SELECT pkey FROM inside) AND (pkey, period_key) NOT IN (SELECT (pkey, period_key) FROM inside) THEN 'period_mismatch'
-             WHEN pkey NOT IN (SELECT pkey FROM inside) AND pkey IN (SELECT pkey FROM pg) THEN 'market_mismatch'
-             ELSE 'missing_from_discover' END AS status
-      FROM cg FULL JOIN inside USING (pkey, period_key, panel_market)),
-r AS (SELECT c.*, CASE WHEN c.panel_market IS NULL THEN 'market_mismatch' ELSE g.status END AS status
-      FROM c LEFT JOIN g ON g.client_row_count IS NOT NULL AND c.pkey = g.pkey AND c.period_key = g.period_key AND c.panel_market = g.panel_market)
+p AS (SELECT panel.*, CASE WHEN mine.pkey IS NULL THEN 'BRAND::' || brand_norm ELSE upc_key END AS pkey FROM panel LEFT JOIN (SELECT DISTINCT pkey FROM c) mine ON upc_key = mine.pkey),
+cg AS (SELECT pkey, period_key, panel_market, sum(sales) AS client_sales, sum(units) AS client_units, arg_min(pmatch, source_row_id) AS pmatch, count(*) AS client_row_count, avg(confidence) AS confidence, bool_or(kpi_slice) AS kpi_slice,
+              arg_min(description, source_row_id) AS client_description, arg_min(upc, source_row_id) AS client_upc, arg_min(brand, source_row_id) AS brand, arg_min(category, source_row_id) AS category
+       FROM c WHERE panel_market IS NOT NULL AND pkey IS NOT NULL AND period_key IS NOT NULL GROUP BY 1, 2, 3),
+inside AS (SELECT pkey, period_key, market AS panel_market, sum(sales) AS panel_sales, sum(units) AS panel_units, arg_min(description, position) AS panel_description, arg_min(upc, position) AS panel_upc FROM p GROUP BY 1, 2, 3),
+j AS (SELECT *, client_row_count IS NOT NULL AS mine, panel_sales IS NOT NULL AS theirs FROM cg FULL JOIN inside USING (pkey, period_key, panel_market)),
+g AS (SELECT j.*, CASE WHEN mine AND theirs THEN
+               CASE WHEN client_sales IS NULL AND client_units IS NULL THEN 'metric_mismatch' WHEN pmatch = 'description_fuzzy' THEN 'low_confidence_product_match' WHEN pmatch IN ('upc_crosswalk', 'brand_rollup') THEN 'matched_with_caveat' ELSE 'matched' END
+             WHEN NOT mine THEN 'missing_from_client' WHEN pkey IN (SELECT pkey FROM inside) AND (pkey, period_key) NOT IN (SELECT (pkey, period_key) FROM inside) THEN 'period_mismatch' ELSE 'missing_from_discover' END AS status,
+        CASE WHEN mine AND theirs THEN
+               CASE WHEN client_sales IS NULL AND client_units IS NULL THEN 'client rows have no comparable sales/unit values' WHEN pmatch = 'description_fuzzy' THEN 'matched by description similarity, not UPC'
+                    WHEN pmatch = 'upc_crosswalk' THEN 'matched via UPC crosswalk (brand + pack/size + description)' WHEN pmatch = 'brand_rollup' THEN 'matched at brand level (UPC not in the panel)' END
+             WHEN NOT mine THEN 'panel row without a client counterpart' WHEN pkey IN (SELECT pkey FROM inside) AND (pkey, period_key) NOT IN (SELECT (pkey, period_key) FROM inside) THEN 'product is in the panel, but not in this period' ELSE 'product and period aren''t in the panel' END AS exception_reason FROM j),
+r AS (SELECT c.*, CASE WHEN record_status = 'needs_review' THEN 'needs_review' WHEN c.panel_market IS NULL THEN 'market_mismatch' WHEN c.pkey IS NULL THEN 'missing_from_discover' ELSE g.status END AS status,
+             CASE WHEN record_status = 'needs_review' THEN row_reason WHEN c.panel_market IS NULL THEN 'client market has no panel market' WHEN c.pkey IS NULL THEN 'no product key' ELSE g.exception_reason END AS reason
+      FROM c LEFT JOIN g ON g.mine AND c.pkey = g.pkey AND c.period_key = g.period_key AND c.panel_market = g.panel_market)
 """
 )

@@ -8,8 +8,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from shelfspan.functions import fuzzy, geography, identifiers, periods, text
-from shelfspan.operators import align, coverage, graph, normalize, panel, reports, schema
-from shelfspan.plans.derived import CUSTOMER, RUN_SQL, SIDES_SQL, client_file, panel_file, read
+from shelfspan.operators import align, coverage, graph, markets, normalize, panel, reports, schema
+from shelfspan.plans.derived import CUSTOMER, KEYS_SQL, RUN_SQL, SIDES_SQL, client_file, indel, panel_file, read, token_set_sql
 from shelfspan.sources import tabular
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -37,47 +37,51 @@ def sides(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
 
 
 def run(spark: SparkSession, sf: str) -> coverage.Coverage:
-    mine, theirs = sides(spark, sf)
-    # Labels come with the place where they first appear; both lists are a few rows, taken from the small tables.
-    names = read(spark, sf, "region").select("r_name", F.col("r_regionkey").alias("position"))
-    there = names.where("r_name != 'ASIA'").select(F.concat(F.lit(f"{CUSTOMER} "), "r_name", F.lit(" TA")).alias("market"), "position")
-    aligned = align.align_equal_markets(names.select(text.standardize(F.col("r_name")).alias("market"), "position"), there, CUSTOMER).cache()  # a row for each market label
-    return coverage.run_coverage(mine, theirs, aligned, by_description=False)
+    """The run that all coverage reports read: every tier, customers and markets aligned."""
+    return coverage.run_coverage(*sides(spark, sf))
 
 
 def on_run(sql: str) -> str:
     return f"{RUN_SQL} {sql}"
 
 
+def on_keys(sql: str) -> str:
+    return f"{KEYS_SQL} {sql}"
+
+
 def on_sides(sql: str) -> str:
     return f"WITH {SIDES_SQL} {sql}"
 
 
 # -- coverage and its reports
 
+M = "status IN ('matched', 'matched_with_caveat')"
+
 
 @query(
-    on_run("""
-, t AS (SELECT period_key, sum(panel_sales) AS ps, sum(panel_units) AS pu FROM g WHERE status IN ('matched', 'matched_with_caveat') GROUP BY 1)
-SELECT r.period_key AS period, round(sum(sales), 2) AS client_sales, round(coalesce(any_value(ps), 0), 2) AS panel_sales,
-       round(coalesce(sum(sales) FILTER (WHERE status IN ('matched', 'matched_with_caveat')), 0) - coalesce(any_value(ps), 0), 2) AS sales_delta,
-       coalesce(round(coalesce(sum(sales) FILTER (WHERE status IN ('matched', 'matched_with_caveat')), 0) / sum(sales), 4), 0) AS coverage_rate,
+    on_run(f"""
+, t AS (SELECT period_key, sum(panel_sales) AS ps, sum(panel_units) AS pu FROM g WHERE {M} AND kpi_slice GROUP BY 1)
+SELECT r.period_key AS period, round(coalesce(sum(sales), 0), 2) AS client_sales, round(coalesce(any_value(ps), 0), 2) AS panel_sales,
+       round(coalesce(sum(sales) FILTER (WHERE {M}), 0) - coalesce(any_value(ps), 0), 2) AS sales_delta,
+       coalesce(round(coalesce(sum(sales) FILTER (WHERE {M}), 0) / sum(sales), 4), 0) AS coverage_rate,
        round(sum(units), 2) AS client_units, round(any_value(pu), 2) AS panel_units
-FROM r LEFT JOIN t USING (period_key) GROUP BY 1""")
+FROM r LEFT JOIN t USING (period_key) WHERE kpi_slice AND r.period_key IS NOT NULL GROUP BY 1""")
 )
 def coverage_by_period(spark: SparkSession, sf: str) -> DataFrame:
     return reports.trend(run(spark, sf))
 
 
 @query(
-    on_run("""
-, a AS (SELECT count(*) AS n, count(*) FILTER (WHERE m) AS k, sum(sales) AS s, coalesce(sum(sales) FILTER (WHERE m), 0) AS t, sum(units) AS u, coalesce(sum(units) FILTER (WHERE m), 0) AS v
-        FROM (SELECT *, status IN ('matched', 'matched_with_caveat') AS m FROM r)),
-b AS (SELECT sum(panel_sales) AS ps, sum(panel_units) AS pu FROM g WHERE status IN ('matched', 'matched_with_caveat'))
+    on_run(f"""
+, a AS (SELECT count(*) AS n, count(*) FILTER (WHERE m) AS k, count(*) FILTER (WHERE kpi_slice) AS kn, count(*) FILTER (WHERE kpi_slice AND m) AS kk, count(*) FILTER (WHERE status IN ('needs_review', 'low_confidence_product_match')) AS review,
+               coalesce(sum(sales) FILTER (WHERE kpi_slice), 0) AS s, coalesce(sum(sales) FILTER (WHERE kpi_slice AND m), 0) AS t, sum(units) FILTER (WHERE kpi_slice) AS u, coalesce(sum(units) FILTER (WHERE kpi_slice AND m), 0) AS v
+        FROM (SELECT *, {M} AS m FROM r)),
+b AS (SELECT coalesce(sum(panel_sales), 0) AS ps, coalesce(sum(panel_units), 0) AS pu FROM g WHERE {M} AND kpi_slice)
 SELECT n AS total_client_rows, k AS matched_rows, round(k / n, 4) AS row_coverage_pct, round(s, 2) AS client_sales_uploaded, round(t, 2) AS matched_client_sales,
        round(t / s, 4) AS sales_coverage_pct, round(ps, 2) AS panel_comparable_sales, round(t - ps, 2) AS sales_delta, round(u, 2) AS client_units_uploaded,
        round(v, 2) AS matched_client_units, round(v / u, 4) AS unit_coverage_pct, round(pu, 2) AS panel_comparable_units, round(v - pu, 2) AS unit_delta, round(s - t, 2) AS uncovered_sales,
-       'comparable' AS comparison_mode, 'comparable' AS delta_label, n AS kpi_slice_rows, round(k / n, 4) AS kpi_slice_row_coverage_pct, CAST(0 AS BIGINT) AS rows_needing_review, CAST(NULL AS VARCHAR) AS kpi_slice_note
+       'comparable' AS comparison_mode, 'comparable' AS delta_label, kn AS kpi_slice_rows, round(kk / kn, 4) AS kpi_slice_row_coverage_pct, review AS rows_needing_review,
+       CASE WHEN kn < n THEN 'Detail markets are left out of totals, so nothing counts twice.' END AS kpi_slice_note
 FROM a, b""")
 )
 def kpis(spark: SparkSession, sf: str) -> DataFrame:
@@ -86,23 +90,24 @@ def kpis(spark: SparkSession, sf: str) -> DataFrame:
 
 @query(
     on_run("""
-SELECT CASE status WHEN 'matched_with_caveat' THEN 2 WHEN 'missing_from_discover' THEN 4 WHEN 'missing_from_client' THEN 5 WHEN 'market_mismatch' THEN 6 WHEN 'period_mismatch' THEN 7 END::BIGINT AS rank,
-       status, n AS rows, round(s, 2) AS client_sales, round(p, 2) AS panel_sales
-FROM (SELECT status, count(*) AS n, sum(sales) AS s, NULL::DOUBLE AS p FROM r WHERE status NOT IN ('matched', 'missing_from_client') GROUP BY 1
-      UNION ALL SELECT status, count(*), NULL, sum(panel_sales) FROM g WHERE status = 'missing_from_client' GROUP BY 1)""")
+SELECT list_position(['matched', 'matched_with_caveat', 'low_confidence_product_match', 'missing_from_discover', 'missing_from_client', 'market_mismatch', 'period_mismatch', 'metric_mismatch', 'needs_review'], status)::BIGINT AS rank,
+       status, n AS rows, round(s, 2) AS client_sales, round(p, 2) AS panel_sales, note
+FROM (SELECT status, count(*) AS n, coalesce(sum(sales), 0) AS s, NULL::DOUBLE AS p, arg_min(reason, source_row_id) AS note FROM r WHERE status NOT IN ('matched', 'missing_from_client') GROUP BY 1
+      UNION ALL SELECT status, count(*), NULL, coalesce(sum(panel_sales), 0), min(exception_reason) FROM g WHERE status = 'missing_from_client' GROUP BY 1)""")
 )
 def exceptions(spark: SparkSession, sf: str) -> DataFrame:
-    return reports.exceptions(run(spark, sf)).drop("note")
+    return reports.exceptions(run(spark, sf))
 
 
 @query(
     on_run("""
-SELECT status, period_key AS period, panel_market AS market, round(client_sales, 2) AS client_sales, round(panel_sales, 2) AS panel_sales, round(client_sales - panel_sales, 2) AS sales_delta,
-       round(client_units, 2) AS client_units, round(panel_units, 2) AS panel_units, round(client_units - panel_units, 2) AS unit_delta, coalesce(client_row_count, 0) AS client_row_count
+SELECT status, exception_reason, period_key AS period, 'Acme Stores' AS customer, panel_market AS market, client_upc, client_description AS client_item_description, panel_upc, panel_description AS panel_item_description, brand, category,
+       round(client_sales, 2) AS client_sales, round(panel_sales, 2) AS panel_sales, round(client_sales - panel_sales, 2) AS sales_delta,
+       round(client_units, 2) AS client_units, round(panel_units, 2) AS panel_units, round(client_units - panel_units, 2) AS unit_delta, round(confidence, 2) AS match_confidence, coalesce(client_row_count, 0) AS client_row_count
 FROM (SELECT * FROM g ORDER BY pkey, period_key, panel_market LIMIT 5000)""")
 )
 def drilldown(spark: SparkSession, sf: str) -> DataFrame:
-    return reports.drilldown(run(spark, sf), CUSTOMER).select("status", "period", "market", "client_sales", "panel_sales", "sales_delta", "client_units", "panel_units", "unit_delta", "client_row_count")
+    return reports.drilldown(run(spark, sf))
 
 
 @query(on_run("SELECT status, count(*) AS groups, coalesce(sum(client_row_count), 0)::BIGINT AS rows FROM g GROUP BY 1"))
@@ -110,73 +115,99 @@ def coverage_status(spark: SparkSession, sf: str) -> DataFrame:
     return run(spark, sf).groups.groupBy("status").agg(F.count(F.lit(1)).alias("groups"), F.coalesce(F.sum("client_row_count"), F.lit(0)).alias("rows"))
 
 
-@query(on_run("SELECT status, count(*) AS rows, round(sum(sales), 2) AS sales FROM r GROUP BY 1"))
+@query(on_run("SELECT status, reason, count(*) AS rows, round(sum(sales), 2) AS sales FROM r GROUP BY 1, 2"))
 def row_status(spark: SparkSession, sf: str) -> DataFrame:
-    return run(spark, sf).rows.groupBy("status").agg(F.count(F.lit(1)).alias("rows"), F.round(F.sum("sales"), 2).alias("sales"))
+    return run(spark, sf).rows.groupBy("status", F.col("exception_reason").alias("reason")).agg(F.count(F.lit(1)).alias("rows"), F.round(F.sum("sales"), 2).alias("sales"))
 
 
-@query(on_run("SELECT pkey, period_key, panel_market, round(client_sales, 2) AS client_sales, client_units, client_row_count, pmatch FROM cg"))
+@query(on_run("SELECT pkey, period_key, panel_market, round(client_sales, 2) AS client_sales, client_units, client_row_count, pmatch, client_description, client_upc, brand, category, round(confidence, 2) AS confidence FROM cg"))
 def client_group_agg(spark: SparkSession, sf: str) -> DataFrame:
     g = run(spark, sf).groups.where("client_row_count is not null")
-    return g.select("pkey", "period_key", "panel_market", F.round("client_sales", 2).alias("client_sales"), "client_units", "client_row_count", "pmatch")
+    return g.select("pkey", "period_key", "panel_market", F.round("client_sales", 2).alias("client_sales"), "client_units", "client_row_count", "pmatch", "client_description", "client_upc", "brand", "category", F.round("confidence", 2).alias("confidence"))
 
 
-@query(on_run("SELECT pkey, period_key, panel_market, round(panel_sales, 2) AS panel_sales, panel_units FROM inside"))
+@query(on_run("SELECT pkey, period_key, panel_market, round(panel_sales, 2) AS panel_sales, panel_units, panel_description, panel_upc FROM inside"))
 def panel_group_agg(spark: SparkSession, sf: str) -> DataFrame:
     g = run(spark, sf).groups.where("panel_sales is not null")
-    return g.select("pkey", "period_key", "panel_market", F.round("panel_sales", 2).alias("panel_sales"), "panel_units")
+    return g.select("pkey", "period_key", "panel_market", F.round("panel_sales", 2).alias("panel_sales"), "panel_units", "panel_description", "panel_upc")
 
 
-@query(on_run("SELECT pkey, period_key, panel_market, client_row_count IS NOT NULL AS from_client, panel_sales IS NOT NULL AS from_panel, status FROM g"))
+@query(on_run("SELECT pkey, period_key, panel_market, client_row_count IS NOT NULL AS from_client, panel_sales IS NOT NULL AS from_panel, status, exception_reason FROM g"))
 def coverage_outer_join(spark: SparkSession, sf: str) -> DataFrame:
-    return run(spark, sf).groups.select("pkey", "period_key", "panel_market", F.col("client_row_count").isNotNull().alias("from_client"), F.col("panel_sales").isNotNull().alias("from_panel"), "status")
+    return run(spark, sf).groups.select("pkey", "period_key", "panel_market", F.col("client_row_count").isNotNull().alias("from_client"), F.col("panel_sales").isNotNull().alias("from_panel"), "status", "exception_reason")
 
 
-@query(on_run("SELECT status, period_key AS period, count(*) AS rows, round(sum(sales), 2) AS sales FROM r WHERE status NOT IN ('matched', 'matched_with_caveat') GROUP BY 1, 2"))
+@query(on_run(f"SELECT source_row_id, customer, market, period_key AS period, upc, description AS item_description, brand, category, sales AS sales_value, units AS unit_value, status, reason AS exception_reason FROM r WHERE NOT {M}"))
 def exception_rows(spark: SparkSession, sf: str) -> DataFrame:
-    return reports.exception_rows(run(spark, sf)).groupBy("status", "period").agg(F.count(F.lit(1)).alias("rows"), F.round(F.sum("sales_value"), 2).alias("sales"))
+    return reports.exception_rows(run(spark, sf))
 
 
 @query(
-    on_run("""
-SELECT brand_norm AS brand, count(*) AS client_rows, count(*) FILTER (WHERE status IN ('matched', 'matched_with_caveat')) AS matched_rows, round(sum(sales), 2) AS client_sales,
-       round(count(*) FILTER (WHERE status IN ('matched', 'matched_with_caveat')) / count(*), 3) AS match_rate FROM r GROUP BY 1""")
+    on_run(f"""
+SELECT brand_norm AS brand, count(*) AS client_rows, count(*) FILTER (WHERE {M}) AS matched_rows, round(coalesce(sum(sales), 0), 2) AS client_sales,
+       round(count(*) FILTER (WHERE {M}) / count(*), 3) AS match_rate FROM r WHERE kpi_slice AND brand_norm IS NOT NULL GROUP BY 1""")
 )
 def brand_diag(spark: SparkSession, sf: str) -> DataFrame:
     return reports.brand_diagnostic(run(spark, sf))
 
 
 @query(
-    on_run("""
-SELECT period_key AS period, count(*) AS client_rows, count(*) FILTER (WHERE m) AS matched_rows, round(sum(sales), 2) AS client_sales, round(coalesce(sum(sales) FILTER (WHERE m), 0), 2) AS matched_client_sales,
-       coalesce(round(coalesce(sum(sales) FILTER (WHERE m), 0) / sum(sales), 3), 0) AS match_rate FROM (SELECT *, status IN ('matched', 'matched_with_caveat') AS m FROM r) GROUP BY 1""")
+    on_run(f"""
+SELECT period_key AS period, count(*) AS client_rows, count(*) FILTER (WHERE m) AS matched_rows, round(coalesce(sum(sales), 0), 2) AS client_sales, round(coalesce(sum(sales) FILTER (WHERE m), 0), 2) AS matched_client_sales,
+       coalesce(round(coalesce(sum(sales) FILTER (WHERE m), 0) / sum(sales), 3), 0) AS match_rate FROM (SELECT *, {M} AS m FROM r) WHERE kpi_slice AND period_key IS NOT NULL GROUP BY 1""")
 )
 def period_diag(spark: SparkSession, sf: str) -> DataFrame:
     return reports.period_diagnostic(run(spark, sf))
 
 
 @query(
-    on_sides("""
-SELECT count(DISTINCT c) AS client_brand_count, count(DISTINCT p) AS panel_brand_count, count(*) FILTER (WHERE c IS NOT NULL AND p IS NOT NULL) AS overlap_count,
-       coalesce(array_to_string(list_sort(list(c) FILTER (WHERE p IS NULL))[:20], ', '), '') AS client_unmatched_brands
-FROM (SELECT DISTINCT brand_norm AS c FROM client) FULL JOIN (SELECT DISTINCT brand_norm AS p FROM panel) ON c = p""")
+    on_run(f"""
+, b AS (SELECT brand_norm AS c, count(*) FILTER (WHERE kpi_slice AND {M}) AS hits FROM r WHERE brand_norm IS NOT NULL GROUP BY 1)
+SELECT count(c) AS client_brand_count, count(p) AS panel_brand_count, count(*) FILTER (WHERE c IS NOT NULL AND p IS NOT NULL) AS overlap_count,
+       coalesce(array_to_string(list_sort(list(c) FILTER (WHERE hits = 0))[:20], ', '), '') AS client_unmatched_brands
+FROM b FULL JOIN (SELECT DISTINCT brand_norm AS p FROM panel) ON c = p""")
 )
 def brand_overlap(spark: SparkSession, sf: str) -> DataFrame:
-    return reports.brand_overlap(*sides(spark, sf))
+    return reports.brand_overlap(run(spark, sf))
 
 
 @query(on_run("SELECT DISTINCT period_key AS period FROM g WHERE status = 'matched' AND panel_market = 'Acme EUROPE TA'"))
 def drilldown_facet(spark: SparkSession, sf: str) -> DataFrame:
-    whole = reports.drilldown(run(spark, sf), CUSTOMER, limit=None)
+    whole = reports.drilldown(run(spark, sf), limit=None)
     return reports.facet(reports.filtered(whole, status="matched", market="Acme EUROPE TA"), "period")
 
 
+@query(on_run("SELECT status, period_key AS period, panel_market AS market, client_upc, panel_upc, client_description AS client_item_description FROM g WHERE status = 'matched_with_caveat' AND (contains(lower(client_description), 'red r') OR contains(lower(panel_description), 'red r') OR contains(client_upc, 'Red R') OR contains(panel_upc, 'Red R'))"))
+def drilldown_search(spark: SparkSession, sf: str) -> DataFrame:
+    """Drilldown rows that hold a text."""
+    whole = reports.drilldown(run(spark, sf), limit=None)
+    return reports.filtered(whole, search="Red R", status="matched_with_caveat").select("status", "period", "market", "client_upc", "panel_upc", "client_item_description")
+
+
+@query(on_run(f"""
+, o AS (SELECT count(c) AS n, count(p) AS k, count(*) FILTER (WHERE c IS NOT NULL AND p IS NOT NULL) AS shared FROM (SELECT DISTINCT brand_norm AS c FROM r WHERE brand_norm IS NOT NULL) FULL JOIN (SELECT DISTINCT brand_norm AS p FROM panel) ON c = p)
+SELECT 'monthly' AS time_grain, 'comparable' AS comparison_mode, 'Acme Stores=Acme' AS customers, false AS market_rollup_mode, count(DISTINCT market_level) = 2 AS market_hierarchy_detected,
+       (SELECT string_agg(market || '=' || panel_market, '; ' ORDER BY market) FROM (SELECT DISTINCT market, panel_market FROM r WHERE panel_market IS NOT NULL)) AS markets,
+       (SELECT coalesce(string_agg(market, '; ' ORDER BY market), '') FROM (SELECT DISTINCT market FROM r WHERE panel_market IS NULL)) AS unmapped,
+       (SELECT count(*) FROM alias) AS brand_aliases, (SELECT count(*) FROM auto) AS crosswalk_entries, any_value(n) AS client_brands, any_value(k) AS panel_brands, any_value(shared) AS overlap FROM r, o"""))
+def coverage_summary(spark: SparkSession, sf: str) -> DataFrame:
+    """What the run found besides its figures."""
+    found = run(spark, sf)
+    s = reports.summary(found)
+    pairs = lambda d: "; ".join(f"{a}={b}" for a, b in sorted(d.items()))
+    b = s["brand_overlap_diagnostic"]
+    row = (s["time_grain"], s["comparison_mode"], pairs(s["customer_alignment"]), s["market_rollup_mode"], s["market_hierarchy_detected"], pairs(s["market_alignment"]), "; ".join(sorted(s["unmapped_client_markets"])), b["client_brand_count"], b["panel_brand_count"], b["overlap_count"])
+    one = spark.createDataFrame([row], "time_grain string, comparison_mode string, customers string, market_rollup_mode boolean, market_hierarchy_detected boolean, markets string, unmapped string, client_brands long, panel_brands long, overlap long")
+    count = lambda df, name: df.agg(F.count(F.lit(1)).alias(name))
+    return one.join(count(found.brands, "brand_aliases"), F.lit(True)).join(count(found.crosswalk, "crosswalk_entries"), F.lit(True))
+
+
 # -- client file to the fixed model
 
 
-@query(on_sides("SELECT source_row_id, market AS client_market_standardized, period_key, upc_key, upc AS upc_normalized, description AS item_description_raw, brand AS brand_standardized, sales AS sales_value, units AS unit_value, 'normalized' AS record_status, 0.95::DOUBLE AS mapping_confidence FROM client"))
+@query(on_sides("SELECT source_row_id, market AS client_market_standardized, period_key, upc_key, upc AS upc_normalized, description AS item_description_raw, brand AS brand_standardized, sales AS sales_value, units AS unit_value, record_status, confidence::DOUBLE AS mapping_confidence, row_reason AS exception_reason, market_level, category AS category_standardized FROM client"))
 def norm_long(spark: SparkSession, sf: str) -> DataFrame:
-    return model(spark, sf).select("source_row_id", "client_market_standardized", "period_key", "upc_key", "upc_normalized", "item_description_raw", "brand_standardized", "sales_value", "unit_value", "record_status", "mapping_confidence")
+    return model(spark, sf).select("source_row_id", "client_market_standardized", "period_key", "upc_key", "upc_normalized", "item_description_raw", "brand_standardized", "sales_value", "unit_value", "record_status", "mapping_confidence", "exception_reason", "market_level", "category_standardized")
 
 
 @query(
@@ -193,12 +224,12 @@ def unpivot_wide(spark: SparkSession, sf: str) -> DataFrame:
     return normalize.normalize(wide, {}, {}, "monthly", "directional", 0.4, columns).select("source_row_id", "period_key", "sales_value", "unit_value")
 
 
-@query(on_sides("SELECT count(*) AS total_rows, 1.0::DOUBLE AS period_parse_rate, 1.0::DOUBLE AS upc_valid_rate, 1.0::DOUBLE AS sales_present_rate, 0::BIGINT AS rows_needing_review, count(DISTINCT period_key) AS distinct_periods, count(DISTINCT market) AS distinct_markets, count(DISTINCT upc_key) AS distinct_products FROM client"))
+@query(on_sides("SELECT count(*) AS total_rows, round(count(period_key) / count(*), 3) AS period_parse_rate, round(count(upc_key) / count(upc), 3) AS upc_valid_rate, round(count(sales) / count(*), 3) AS sales_present_rate, count(*) FILTER (WHERE record_status = 'needs_review') AS rows_needing_review, count(DISTINCT period_key) AS distinct_periods, count(DISTINCT market) AS distinct_markets, count(DISTINCT upc_key) AS distinct_products FROM client"))
 def quality_summary(spark: SparkSession, sf: str) -> DataFrame:
     return normalize.quality(model(spark, sf))
 
 
-@query(on_sides("SELECT brand AS value, count(*) AS rows FROM client GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 12"))
+@query(on_sides("SELECT brand AS value, count(*) AS rows FROM client WHERE brand IS NOT NULL GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 12"))
 def top_values(spark: SparkSession, sf: str) -> DataFrame:
     return reports.top_values(model(spark, sf), "brand_standardized", 12)
 
@@ -214,10 +245,15 @@ def numeric_restore(spark: SparkSession, sf: str) -> DataFrame:
     return read(spark, sf, "orders").select("o_orderkey", normalize.number(raw).alias("value"))
 
 
-@query(on_sides("SELECT 'UPC' AS \"column\", count(*) AS rows, 1.0::DOUBLE AS numeric_rate, 0.0::DOUBLE AS date_rate, 1.0::DOUBLE AS upc_rate FROM client UNION ALL SELECT 'Month', count(*), 0.0, 1.0, 0.0 FROM client UNION ALL SELECT 'POS Sales $', count(*), 1.0, 0.0, 0.0 FROM client"))
+@query(
+    on_sides("""
+SELECT 'UPC' AS "column", count(*) AS rows, count(upc) / count(*) AS non_null_rate, 1.0::DOUBLE AS numeric_rate, count(upc_key) / count(upc) AS upc_rate FROM client
+UNION ALL SELECT 'Brand', count(*), count(brand) / count(*), 0.0, 0.0 FROM client UNION ALL SELECT 'Item Description', count(*), 1.0, 0.0, 0.0 FROM client
+UNION ALL SELECT 'POS Sales $', count(*), count(sales) / count(*), 1.0, 0.0 FROM client UNION ALL SELECT 'Units', count(*), count(units) / count(*), 1.0, 0.0 FROM client""")
+)
 def column_profile(spark: SparkSession, sf: str) -> DataFrame:
-    sales = client_file(spark, sf).select("UPC", "Month", F.concat(F.lit("$9"), F.lit("999.5")).alias("POS Sales $"))
-    return schema.profile(sales).select("column", "rows", "numeric_rate", "date_rate", "upc_rate")
+    file = client_file(spark, sf).select("source_row_id", "UPC", "Brand", "Item Description", "POS Sales $", "Units")
+    return schema.profile(file).select("column", "rows", "non_null_rate", "numeric_rate", "upc_rate")
 
 
 @query("SELECT 'wide' AS structure, 'monthly' AS grain, 'comparable' AS mode WHERE false UNION ALL SELECT 'long', 'monthly', 'comparable'")
@@ -292,7 +328,7 @@ def market_labels(spark: SparkSession, sf: str) -> DataFrame:
 @query(on_sides("SELECT market, count(*) AS rows, round(sum(sales), 2) AS dollar_sales, sum(units) AS unit_sales, min(period_key) AS first_period, max(period_key) AS last_period, 'Acme' AS customer FROM panel GROUP BY 1"))
 def junk_filter(spark: SparkSession, sf: str) -> DataFrame:
     export = panel_file(spark, sf)
-    junk = spark.createDataFrame([("Copyright", None, None, None, None, None, None, None), ("Acme ASIA TA", "2000-01", None, "x", "b", "c", 1.0, 1.0), ("Acme ASIA TA", "2000-01", "041000000010", "x", "b", "c", None, 1.0)], export.schema)
+    junk = spark.createDataFrame([("Copyright", None, None, None, None, None, None, None, 1), ("Acme ASIA TA", "2000-01", None, "x", "b", "c", 1.0, 1.0, 2), ("Acme ASIA TA", "2000-01", "041000000010", "x", "b", "c", None, 1.0, 3)], export.schema)
     rows = panel.validate(export.unionByName(junk)).panel
     key = periods.period_key(F.col("period_end"), "monthly")
     return rows.groupBy("market").agg(F.count(F.lit(1)).alias("rows"), F.round(F.sum("dollar_sales"), 2).alias("dollar_sales"), F.sum("unit_sales").alias("unit_sales"), F.min(key).alias("first_period"), F.max(key).alias("last_period"), F.min("customer").alias("customer"))
@@ -319,7 +355,7 @@ def overlap_count(spark: SparkSession, sf: str) -> DataFrame:
 def market_alignment(spark: SparkSession, sf: str) -> DataFrame:
     names = read(spark, sf, "region").select("r_name", F.col("r_regionkey").alias("position"))
     there = names.where("r_name != 'ASIA'").select(F.concat(F.lit("Acme "), "r_name", F.lit(" TA")).alias("market"), "position")
-    return align.align_equal_markets(names.select(text.standardize(F.col("r_name")).alias("market"), "position"), there, CUSTOMER).select("client_market", "panel_market")
+    return markets.align_markets(names.select(text.standardize(F.col("r_name")).alias("market"), "position"), there, CUSTOMER).select("client_market", "panel_market")
 
 
 GEO = (("Western NY Operating Area", "NY"), ("Mid-Atlantic", ""), ("Buffalo TA", "NY"), ("Washington", "DC WA"), ("Orlando", "FL"), ("New England", "CT MA ME NH RI VT"), ("walmart", ""))
@@ -331,15 +367,6 @@ def geo_expansion(spark: SparkSession, sf: str) -> DataFrame:
     return geography.expand(labels, "market").select("label", F.array_join("states", " ").alias("states"))
 
 
-def indel(a: str, b: str) -> str:
-    """SQL of the indel ratio of two strings; the fold keeps the row of a table of common subsequences."""
-    row = "list_transform(range(1, length({b}) + 1), lambda j: list_max(list_transform(range(1, j + 1), lambda t: CASE WHEN {b}[t] = m.ch THEN coalesce(row.n[t - 1], 0) + 1 ELSE row.n[t] END)))"
-    start = "{{'ch': '', 'n': list_transform(range(1, length({b}) + 1), lambda j: 0)}}"
-    chars = "list_transform(range(1, length({a}) + 1), lambda k: {{'ch': {a}[k], 'n': NULL::BIGINT[]}})"
-    fold = f"list_reduce(list_concat([{start}], {chars}), lambda row, m: {{{{'ch': '', 'n': {row}}}}})"
-    return f"200.0 * list_max(({fold}).n) / (length({{a}}) + length({{b}}))".format(a=a, b=b)
-
-
 #: Equal without blanks, then contained, then alike. Client brands are one word, so brands that share a word are contained.
 BRAND_SQL = f"""
 WITH b AS (SELECT DISTINCT lower(p_brand) AS c, CAST(string_split(p_brand, '#')[2] AS INTEGER) % 3 AS k FROM part),
@@ -368,32 +395,44 @@ def brand_alias(spark: SparkSession, sf: str) -> DataFrame:
     return align.align_brands(b, there).select("client_brand", "panel_brand")
 
 
-@query("SELECT CAST(4100000000 + p_partkey AS VARCHAR) AS client_key, CASE WHEN p_partkey % 10 = 0 THEN 'user' || p_partkey ELSE CAST(5200000000 + p_partkey AS VARCHAR) END AS panel_key, CASE WHEN p_partkey % 10 = 0 THEN 'user' ELSE 'auto' END AS basis FROM part WHERE p_partkey % 5 = 0")
-def crosswalk_user_override(spark: SparkSession, sf: str) -> DataFrame:
-    part = read(spark, sf, "part").where("p_partkey % 5 = 0").select((F.lit(4100000000) + F.col("p_partkey")).cast("string").alias("client_key"), (F.lit(5200000000) + F.col("p_partkey")).cast("string").alias("panel_key"), "p_partkey")
-    said = part.where("p_partkey % 10 = 0").select("client_key", F.explode(F.array(F.struct(F.lit(1).alias("position"), F.lit("old").alias("panel_key")), F.struct(F.lit(2).alias("position"), F.concat(F.lit("user"), "p_partkey").alias("panel_key")))).alias("e")).select("client_key", "e.*")
-    return align.merge_crosswalk(part.drop("p_partkey"), said)
+def keyed(spark: SparkSession, sf: str) -> coverage.Keyed:
+    """Product keys of both sides, all tiers."""
+    mine, theirs = sides(spark, sf)
+    return coverage.resolve_keys(mine, theirs.drop("brand_low_norm"))
 
 
-@query()
+def automatic(spark: SparkSession, sf: str) -> DataFrame:
+    return keyed(spark, sf).crosswalk
+
+
+@query(on_keys("SELECT client_key, panel_key, 'auto' AS basis FROM auto"))
 def crosswalk_auto(spark: SparkSession, sf: str) -> DataFrame:
     """Client codes without a twin in the panel, matched by brand and description."""
-    mine, theirs = sides(spark, sf)
-    return align.build_crosswalk(mine.select("upc_key", F.lower("description").alias("description"), "brand_norm", F.col("source_row_id").alias("position")).withColumnRenamed("brand_norm", "brand"), theirs.select("upc_key", "description", F.col("brand_norm").alias("brand"), "position"))
+    return automatic(spark, sf)
 
 
-@query()
+@query(on_keys("""
+, said AS (SELECT DISTINCT upc_key AS client_key, 'user' || upc_key AS user_key FROM c WHERE upc_key LIKE '%0')
+SELECT client_key, coalesce(user_key, panel_key) AS panel_key, CASE WHEN user_key IS NOT NULL THEN 'user' ELSE 'auto' END AS basis FROM auto FULL JOIN said USING (client_key)"""))
+def crosswalk_user_override(spark: SparkSession, sf: str) -> DataFrame:
+    """The automatic crosswalk of all codes, with a user's two entries for some, of which the later counts."""
+    mine, _ = sides(spark, sf)
+    own = mine.where("upc_key like '%0'").select(F.col("upc_key").alias("client_key")).distinct()
+    said = own.select("client_key", F.explode(F.array(F.struct(F.lit(1).alias("position"), F.lit("old").alias("panel_key")), F.struct(F.lit(2).alias("position"), F.concat(F.lit("user"), "client_key").alias("panel_key")))).alias("e")).select("client_key", "e.*")
+    return align.merge_crosswalk(automatic(spark, sf), said)
+
+
+@query(on_keys("SELECT pmatch, count(*) AS rows, count(DISTINCT pkey) AS keys FROM c GROUP BY 1"))
 def description_fuzzy(spark: SparkSession, sf: str) -> DataFrame:
-    """Product keys with all tiers: code, description, brand."""
-    mine, theirs = sides(spark, sf)
-    keyed, _ = coverage.resolve_keys(mine.withColumn("description", F.lower("description")), theirs)
-    return keyed.groupBy("pmatch").agg(F.count(F.lit(1)).alias("rows"), F.count_distinct("pkey").alias("keys"))
+    """Product keys with all tiers: code, description, crosswalk, brand."""
+    return keyed(spark, sf).client.groupBy("pmatch").agg(F.count(F.lit(1)).alias("rows"), F.count_distinct("pkey").alias("keys"))
 
 
-@query("SELECT 100.0::DOUBLE AS subset, 0.0::DOUBLE AS nothing, round(100 * 2 * 3 / 8.0, 4)::DOUBLE AS plain, 100.0::DOUBLE AS part")
+@query("WITH d AS (SELECT DISTINCT p_name AS a FROM part), e AS (SELECT DISTINCT p_name || ' ' || lower(p_type) AS b FROM part) SELECT a, b, round(s, 6) AS token_set FROM (" + token_set_sql("SELECT a, b FROM d, e") + ") WHERE s >= 75")
 def fuzzy_scores(spark: SparkSession, sf: str) -> DataFrame:
-    one = spark.range(1).select(F.lit("lime fizz").alias("a"), F.lit("fizz lime twelve").alias("b"), F.lit("").alias("e"), F.lit("abcd").alias("x"), F.lit("abce").alias("y"))
-    return one.select(fuzzy.token_set("a", "b").alias("subset"), fuzzy.token_set("a", "e").alias("nothing"), F.round(fuzzy.token_set("x", "y"), 4).alias("plain"), fuzzy.partial(F.lit("fizz"), "b").alias("part"))
+    """Likeness of product names with names and types, from 75 on."""
+    part = read(spark, sf, "part")
+    return align.alike_pairs(part.select(F.col("p_name").alias("a")), "a", part.select(F.concat("p_name", F.lit(" "), F.lower("p_type")).alias("b")), "b", 75).select("a", "b", F.round("score", 6).alias("token_set"))
 
 
 # -- mapping graph

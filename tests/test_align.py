@@ -5,7 +5,7 @@ import random
 import pytest
 
 from shelfspan.functions import fuzzy
-from shelfspan.operators import align
+from shelfspan.operators import align, markets
 
 
 def brand_of(c, panel):
@@ -44,10 +44,42 @@ def test_brands_against_brute_force(spark, client, panel):
     assert got == {c: b for c in client if (b := brand_of(c, panel))}
 
 
-def test_customers_without_a_common_word(spark):
-    frame = lambda *rows: spark.createDataFrame([(x,) for x in rows], "customer string")
-    got = {(r.client, r.panel) for r in align.align_customers(frame("Walgreens", "Publix", "Kroger Stores"), frame("Wallgreens", "Publix", "Stores Kroger", "Target")).collect()}
-    assert got == {("Walgreens", "Wallgreens"), ("Publix", "Publix"), ("Kroger Stores", "Stores Kroger")}
+def test_customers(spark):
+    got, notes = markets.customer_map(spark, ["Walgreens", "Publix", "Kroger Stores", "Nobody"], ["Wallgreens", "Publix", "Stores Kroger", "Target"])
+    assert {c: d for c, (d, _) in got.items()} == {"Walgreens": "Wallgreens", "Publix": "Publix", "Kroger Stores": "Stores Kroger"} and not notes
+    got, notes = markets.customer_map(spark, ["Foo"], ["Bar"])
+    assert got["Foo"][0] == "Bar" and len(notes) == 1
+    assert markets.customer_map(spark, ["Foo", "Fuu"], ["Bar"]) == ({}, []) and markets.customer_map(spark, [], ["Bar"]) == ({}, [])
+
+
+def test_markets(spark):
+    client = ["Total", "Boston Region", "Western NY", "Denver", "Atlantis", "South", "National Account"]
+    panel = ["Acme Total US", "Acme Boston TA", "Acme Buffalo TA", "Acme Albany TA", "Acme Denver TA", "Acme Total US NHM", "Acme Miami TA"]
+    got = markets.align_labels(spark, client, panel, "Acme")
+    by = {m[0]: m[1:] for m in got.matches}
+    assert list(by) == client
+    assert by["Total"] == ("Acme Total US", "total-rollup", 1.0, False, None)
+    assert by["Boston Region"][0] == "Acme Boston TA" and by["Denver"][:2] == ("Acme Denver TA", "fuzzy") and by["Denver"][2] == 1.0
+    assert by["Western NY"] == ("Western NY  (rollup of: Acme Buffalo TA)", "geo-rollup", 0.85, True, ["Acme Buffalo TA"])
+    assert by["South"] == ("South  (rollup of: Acme Miami TA)", "geo-rollup", 0.85, True, ["Acme Miami TA"])
+    # What is left of the country goes to a national label.
+    assert by["National Account"][3:] == (True, ["Acme Albany TA"])
+    assert by["Atlantis"][0] is None and len(got.warnings) == 3
+    assert markets.align_labels(spark, [], panel).matches == [] and [m[1] for m in markets.align_labels(spark, ["a"], []).matches] == [None]
+
+
+def descriptions(count, seed):
+    rng = random.Random(seed)
+    pool = ["lime", "fizz", "cola", "a", "b", "12pk", "12oz", "can", "cans", "bottle", "botle", "zero", "sugar", "x", "vanillaextract"]
+    return sorted({" ".join(rng.choice(pool) for _ in range(rng.choice((1, 2, 3, 4, 6)))) + rng.choice(("", "", "s", " q")) for _ in range(count)})
+
+
+@pytest.mark.parametrize("cutoff", [85, 70, 95])
+def test_alike_pairs_against_brute_force(spark, cutoff):
+    left, right = [*descriptions(150, 1), "", " ", "zzz"], [*descriptions(150, 2), "", "cola", "cola cola lime"]
+    frame = lambda rows: spark.createDataFrame([(x,) for x in [*rows, None, rows[0]]], "d string")
+    got = {(r.a, r.b) for r in align.alike_pairs(frame(left).toDF("a"), "a", frame(right).toDF("b"), "b", cutoff).collect()}
+    assert got == {(a, b) for a in left for b in right if fuzzy.token_set_ratio(a, b) >= cutoff}
 
 
 def test_crosswalk_of_a_brand_within_a_word(spark):
