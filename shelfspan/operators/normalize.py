@@ -8,7 +8,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from shelfspan.functions import identifiers, periods, text
-from shelfspan.functions.let import let
 
 #: Columns of the fixed model and their types, in order.
 MODEL = (
@@ -19,9 +18,9 @@ MODEL = (
 
 def number(x: Column) -> Column:
     """A number, also with currency signs, thousands separators or in parentheses (negative); null for anything else."""
-    s = F.regexp_replace(F.trim(x.cast("string")), r"[$£€¥,]", "")
-    s = F.regexp_replace(s, r"^\(([\d.]+)\)$", "-$1")
-    return let(s, lambda v: F.when(v.rlike(r"^[+-]?([0-9]+\.?[0-9]*|\.[0-9]+)([eE][+-]?[0-9]+)?$"), v.try_cast("double")))
+    s = F.translate(F.trim(x.cast("string")), "$£€¥,", "")
+    plain = F.when(s.rlike(r"^[+-]?([0-9]+\.?[0-9]*|\.[0-9]+)([eE][+-]?[0-9]+)?$"), s.try_cast("double"))
+    return plain.when(s.rlike(r"^\([\d.]+\)$"), -F.translate(s, "()", "").try_cast("double"))
 
 
 def row_period(concepts: dict[str, str]) -> Column:
@@ -79,12 +78,17 @@ def normalize(df: DataFrame, concepts: dict[str, str], metrics: dict[str, str],
         rows = with_period(df, concepts).select("*", pick("sales").alias("_sales"), pick("unit").alias("_units"), pick("volume").alias("_volume"), F.lit("; ".join(metrics[k] for k in have)).alias("_metric_names"))
         raws = [text.clean_label(F.col(f"`{concepts[c]}`")) for c in ("week_end_date", "period", "month", "fiscal_month") if c in concepts]
         raw = F.coalesce(*raws) if raws else F.lit(None).cast("string")
-    start, end = F.col("_parsed.period_start"), F.col("_parsed.period_end")
+    # Cells are cleaned once, in a step of their own.
+    dims = ("customer", "client_market", "upc", "item_id", "item_description", "brand", "manufacturer", "category")
+    rows = rows.select("source_row_id", "_parsed", "_sales", "_units", "_volume", "_metric_names", raw.alias("_raw"), *(cell(c).alias(f"_{c}") for c in dims))
+    rows = rows.withColumns({"_upc_key": identifiers.upc_key(F.col("_upc")), "_start": F.col("_parsed.period_start"), "_end": F.col("_parsed.period_end")})
+    cell, raw = lambda c: F.col(f"_{c}"), F.col("_raw")
+    start, end = F.col("_start"), F.col("_end")
     start = periods.week_start(start, end) if grain == "weekly" else start
     market, upc = cell("client_market"), cell("upc")
     no_metric = F.coalesce("_sales", "_units", "_volume").isNull()
     no_period = F.col("_parsed").isNull()
-    unkeyed = upc.isNotNull() & identifiers.upc_key(upc).isNull()
+    unkeyed = upc.isNotNull() & F.col("_upc_key").isNull()
     trust = F.lit(confidence) - F.when(no_period, 0.3).otherwise(0.0) - F.when(no_metric, 0.2).otherwise(0.0) - F.when(unkeyed, 0.1).otherwise(0.0)
     reason = F.concat_ws("; ", F.when(no_period, "period_unparsed"), F.when(no_metric, "no_metric_values"))
     values = {
@@ -92,9 +96,9 @@ def normalize(df: DataFrame, concepts: dict[str, str], metrics: dict[str, str],
         "source_file_name": F.lit(file_name),
         "source_sheet_name": F.lit(sheet_name),
         "customer_raw": cell("customer"),
-        "customer_standardized": text.standardize(cell("customer")),
+        "customer_standardized": text.titled(cell("customer")),
         "client_market_raw": market,
-        "client_market_standardized": text.standardize(market),
+        "client_market_standardized": text.titled(market),
         "market_level": F.when(text.is_total_like(market), "total").when(market.isNotNull(), "detail"),
         "period_raw": raw,
         "period_start": F.date_format(start, "yyyy-MM-dd"),
@@ -104,15 +108,15 @@ def normalize(df: DataFrame, concepts: dict[str, str], metrics: dict[str, str],
         "product_key_raw": F.coalesce(upc, cell("item_id")),
         "upc_raw": upc,
         "upc_normalized": identifiers.normalize_upc(upc),
-        "upc_key": identifiers.upc_key(upc),
+        "upc_key": F.col("_upc_key"),
         "item_id_raw": cell("item_id"),
         "item_description_raw": cell("item_description"),
         "brand_raw": cell("brand"),
-        "brand_standardized": text.standardize(cell("brand")),
+        "brand_standardized": text.titled(cell("brand")),
         "manufacturer_raw": cell("manufacturer"),
-        "manufacturer_standardized": text.standardize(cell("manufacturer")),
+        "manufacturer_standardized": text.titled(cell("manufacturer")),
         "category_raw": cell("category"),
-        "category_standardized": text.standardize(cell("category")),
+        "category_standardized": text.titled(cell("category")),
         "metric_type_raw": F.when(F.col("_sales").isNotNull(), "sales").when(F.col("_units").isNotNull(), "unit").when(F.col("_volume").isNotNull(), "volume"),
         "metric_name_raw": F.col("_metric_names"),
         "metric_value": F.coalesce("_sales", "_units", "_volume"),

@@ -49,8 +49,8 @@ def find_header(rows: list[list]) -> int:
 
 
 def _numeric(c: str):
-    s = F.regexp_replace(F.regexp_replace(F.trim(F.col(f"`{c}`")), r"[$£€¥,]", ""), r"^\(([\d.]+)\)$", "-$1")
-    return F.when(s.rlike(r"^[+-]?([0-9]+\.?[0-9]*|\.[0-9]+)([eE][+-]?[0-9]+)?$"), s.try_cast("double"))
+    s = F.translate(F.trim(F.col(f"`{c}`")), "$£€¥,", "")
+    return F.when(s.rlike(r"^[+-]?([0-9]+\.?[0-9]*|\.[0-9]+)([eE][+-]?[0-9]+)?$"), s.try_cast("double")).when(s.rlike(r"^\([\d.]+\)$"), -F.translate(s, "()", "").try_cast("double"))
 
 
 def restore_numbers(df: DataFrame) -> DataFrame:
