@@ -13,10 +13,24 @@ from pyspark.sql.pandas.types import to_arrow_schema
 
 #: Rows that a Python task turns into Python objects at a time.
 ROWS_AT_A_TIME = 256
-#: Rows that are sent to a Python task at a time, where the session has Spark's default of 10,000: long texts would make that much memory in the JVM and in Python.
+#: Rows that queries have sent to a Python task at a time, where the session has Spark's default of 10,000: long texts would make that much memory in the JVM and in Python.
 ROWS_SENT = "2000"
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Has fewer rows sent to Python at a time for the session's jobs, if it has the default. For queries and applications; operators leave settings alone, and Spark bounds a batch's bytes by spark.sql.execution.arrow.maxBytesPerBatch besides."""
+    if spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == "10000":
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", ROWS_SENT)
+
+
+def free_name(df: DataFrame, name: str) -> str:
+    """A column name that df doesn't have, in any case of letters."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One of the synthetic tables."""
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -29,9 +43,6 @@ def map_rows(df: DataFrame, columns: list[str], schema: str, make: Callable[[],
     columns' values. With `keep` all of df's columns stay, and new columns replace those of the same name;
     without it only the new columns are returned. Works in slices of ROWS_AT_A_TIME rows.
     """
-    conf = df.sparkSession.conf
-    if conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == "10000":
-        conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", ROWS_SENT)
     new = T._parse_datatype_string(schema)
     old = [f for f in df.schema.fields if keep and f.name not in new.names]
     out_schema = T.StructType([*old, *new.fields])

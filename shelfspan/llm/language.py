@@ -8,6 +8,7 @@ one. The language with the highest mean is the answer.
 from __future__ import annotations
 
 import math
+import uuid
 from collections.abc import Callable
 
 import numpy as np
@@ -17,7 +18,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from shelfspan.llm.bpe import Remembered
-from shelfspan.llm.common import Scratch, held_out, map_rows, table
+from shelfspan.llm.common import Scratch, held_out, map_rows, small_batches, table
 
 #: Documents that are learned from at most: those with the least hashes of their ids.
 SAMPLE = 20_000
@@ -39,7 +40,7 @@ def training_words(docs: DataFrame, text: str, lang: str, doc_id: str, rows: int
 
 
 def train(docs: DataFrame, text: str = "text", lang: str = "lang", doc_id: str = "doc_id") -> dict:
-    """{"langs": [...], "units": ascending hashes, "scores": float32 log frequencies with one added, a row for each unit and a column for each language}.
+    """{"name": of this model, "langs": [...], "units": ascending hashes, "scores": float32 log frequencies with one added, a row for each unit and a column for each language}.
 
     Units are the words and the n-grams of each length that the sample has at least SEEN times, all of them;
     `unit_hash` tells words from n-grams. Counting is done by Spark; the table, which the sample bounds, is
@@ -69,7 +70,7 @@ def train(docs: DataFrame, text: str = "text", lang: str = "lang", doc_id: str =
         scores[of] = np.log((n[of] + 1) / (n[of].sum(axis=0) + of.sum()))
     units = got["unit"].to_numpy(np.int64)
     order = np.argsort(units)
-    return {"langs": langs, "units": units[order], "scores": scores[order]}
+    return {"name": uuid.uuid4().hex, "langs": langs, "units": units[order], "scores": scores[order]}
 
 
 #: Hash of each kind of unit alone, with Spark's seed.
@@ -82,10 +83,26 @@ def unit_hash(k: int, unit: str) -> int:
     return got - (1 << 64) if got >= 1 << 63 else got
 
 
+#: The index of the model that this process has used last, by the model's name: Python workers go from task to task.
+_INDEX: dict[str, dict[int, int]] = {}
+
+
+def index_of(model: dict) -> dict[int, int]:
+    """Places of the model's hashes; built once in a process, not in each task."""
+    name = model.get("name")
+    if name is None or name not in _INDEX:
+        built = {h: at for at, h in enumerate(model["units"].tolist())}
+        if name is None:
+            return built
+        _INDEX.clear()
+        _INDEX[name] = built
+    return _INDEX[name]
+
+
 def unit_scores(k: int, unit: str, model: dict) -> np.ndarray | None:
-    """A unit's row of scores; the first call builds the index of the model's hashes."""
+    """A unit's row of scores; the first call looks for the index of the model's hashes."""
     if "index" not in model:
-        model["index"] = {h: at for at, h in enumerate(model["units"].tolist())}
+        model["index"] = index_of(model)
     at = model["index"].get(unit_hash(k, unit))
     return None if at is None else model["scores"][at]
 
@@ -138,5 +155,6 @@ def predict(docs: DataFrame, model: dict, text: str = "text") -> DataFrame:
 
 
 def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    small_batches(spark)
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
     return predict(docs.select("doc_id", "text"), train(docs)).select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score")

@@ -26,7 +26,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from shelfspan.llm.bpe import Remembered
-from shelfspan.llm.common import Scratch, is_small, map_rows, small_side, table
+from shelfspan.llm.common import Scratch, free_name, is_small, map_rows, small_batches, small_side, table
 
 WORDS = 5
 THRESHOLD = 0.8
@@ -321,16 +321,19 @@ def deduplicate(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", thr
     known = member.join(small_side(first), "label").withColumn("stays", (F.col("md5") == F.col("of_md5")) & F.col("doc_id").eqNullSafe(F.col("of_id")))
     known = work.save(known.groupBy("stays", F.col("md5").alias("of_md5"), F.col("doc_id").alias("of_id")).agg(F.count(F.lit(1)).alias("times")))
 
+    own = free_name(docs, "__md5")
+
     def of(d: DataFrame, named: DataFrame, how: str) -> DataFrame:
         named = small_side(named.select("of_md5", "of_id"))
-        return d.join(named, (d["__md5"] == named["of_md5"]) & d[doc_id].eqNullSafe(named["of_id"]), how)
+        return d.join(named, (d[own] == named["of_md5"]) & d[doc_id].eqNullSafe(named["of_id"]), how)
 
-    kept = of(docs.withColumn("__md5", digest(text)), known.where("NOT stays"), "left_anti")
+    kept = of(docs.withColumn(own, digest(text)), known.where("NOT stays"), "left_anti")
     repeated = known.where("stays AND times > 1")
     if not repeated.isEmpty():
-        kept = of(kept, repeated, "left_anti").unionByName(of(kept, repeated, "left_semi").dropDuplicates([doc_id, "__md5"]))
-    return kept.drop("__md5")
+        kept = of(kept, repeated, "left_anti").unionByName(of(kept, repeated, "left_semi").dropDuplicates([doc_id, own]))
+    return kept.drop(own)
 
 
 def op8_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    small_batches(spark)
     return near_duplicates(table(spark, sf_dir, "documents")).select("doc_id", "class_id", "class_size")

@@ -16,7 +16,7 @@ from collections.abc import Callable, Iterator
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from shelfspan.llm.common import map_rows, table
+from shelfspan.llm.common import map_rows, small_batches, table
 
 #: Kinds in the order in which spans of equal start are listed, and what replaces them.
 KINDS = ("email", "ip", "card", "phone")
@@ -308,4 +308,5 @@ def mask(docs: DataFrame, text: str = "text") -> DataFrame:
 
 
 def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    small_batches(spark)
     return find(table(spark, sf_dir, "documents"))

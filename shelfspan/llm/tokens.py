@@ -8,7 +8,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 
 from shelfspan.llm import bpe
-from shelfspan.llm.common import map_rows, table
+from shelfspan.llm.common import map_rows, small_batches, table
 
 
 def vocabulary(name: str = "byte_bpe_50k.json") -> str:
@@ -124,8 +124,10 @@ def count(df: DataFrame, path: str, limit: int, doc_id: str = "doc_id", text: st
 
 
 def op3_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    small_batches(spark)
     return round_trip(table(spark, sf_dir, "documents"), vocabulary())
 
 
 def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    small_batches(spark)
     return count(table(spark, sf_dir, "documents"), vocabulary(), limit=1024)

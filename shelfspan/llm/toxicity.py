@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from shelfspan.llm.bpe import Remembered
-from shelfspan.llm.common import ROWS_AT_A_TIME, held_out, map_rows, table
+from shelfspan.llm.common import ROWS_AT_A_TIME, free_name, held_out, map_rows, small_batches, table
 
 #: Number of weights: the model has at most as many entries, 12 MB.
 DIM = 1 << 20
@@ -126,11 +126,12 @@ def score(docs: DataFrame, model: tuple[np.ndarray, np.ndarray], text: str = "te
 
 def reject(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """The rows of docs whose score is below the threshold, as they are. Null and empty texts have the bias's score; repeated rows all go or all stay; with nothing to learn from all stay."""
-    scored = score(docs, train(docs, labels), into="__toxicity")
-    return scored.where(F.col("__toxicity") < threshold).drop("__toxicity")
+    into = free_name(docs, "__toxicity")
+    return score(docs, train(docs, labels), into=into).where(F.col(into) < threshold).select(*(F.col(f"`{c}`") for c in docs.columns))
 
 
 def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    small_batches(spark)
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     scored = score(docs, train(docs, table(spark, sf_dir, "labels")))
     return scored.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"))

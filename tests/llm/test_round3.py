@@ -222,3 +222,19 @@ def test_shares_of_large_totals():
 
 def test_audit_sql(spark):
     same_rows(divergence.op11_source_divergence(spark, SF), divergence.OP11_SQL, {"documents": f"{SF}/documents.parquet"}, COLUMNS)
+
+
+# -- stages keep the caller's columns
+
+
+def test_stages_keep_columns_with_clashing_names(spark):
+    from shelfspan.llm import minhash, toxicity
+
+    docs = spark.createDataFrame([(k, f"text {k} of its own kind " * 8, "x", "y", "z") for k in range(8)] + [(9, "text 0 of its own kind " * 8, "a", "b", "c"), (10, None, "d", "e", "f")], "doc_id long, text string, __toxicity string, __md5 string, `__TOXICITY_` string")
+    labels = spark.createDataFrame([(k, k % 2) for k in range(8)], "doc_id long, toxic int")
+    kept = minhash.deduplicate(docs)
+    assert kept.columns == docs.columns and kept.count() < docs.count() and {r["__md5"] for r in kept.collect()} <= {"y", "b", "e"}
+    clean = toxicity.reject(docs, labels, threshold=1.1)
+    assert clean.columns == docs.columns and sorted(map(str, clean.collect())) == sorted(map(str, docs.collect()))
+    for empty in (minhash.deduplicate(docs.limit(0)), toxicity.reject(docs.limit(0), labels)):
+        assert empty.columns == docs.columns and empty.count() == 0
