@@ -94,6 +94,18 @@ def exceptions(run: Coverage) -> DataFrame:
     return rows.unionByName(groups).select(rank.cast("long").alias("rank"), "status", "rows", F.round("client_sales", 2).alias("client_sales"), F.round("panel_sales", 2).alias("panel_sales"), "note").orderBy("rank")
 
 
+def exception_shares(run: Coverage) -> DataFrame:
+    """The exceptions with total_rows and each status's share of them, to three places."""
+    e = exceptions(run)
+    total = e.agg(F.sum("rows").alias("total_rows"))
+    return e.join(F.broadcast(total), F.lit(True)).withColumn("share", _share(F.col("rows"), F.col("total_rows"), 3))  # one row
+
+
+def matched_split(diagnostic: DataFrame) -> DataFrame:
+    """A brand or period diagnostic with `side`: whether any of its rows matches."""
+    return diagnostic.withColumn("side", F.when(F.col("matched_rows") > 0, "matched").otherwise("unmatched"))
+
+
 def exception_rows(run: Coverage) -> DataFrame:
     """Client rows that aren't matched: the export of exceptions."""
     named = {"source_row_id": "source_row_id", "customer": "customer", "market": "market", "period_key": "period", "upc": "upc", "description": "item_description", "brand": "brand", "category": "category", "sales": "sales_value", "units": "unit_value", "status": "status", "exception_reason": "exception_reason"}

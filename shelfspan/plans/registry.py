@@ -8,9 +8,9 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from shelfspan.functions import fuzzy, geography, identifiers, periods, text
-from shelfspan.operators import align, coverage, graph, markets, normalize, panel, reports, schema
+from shelfspan.operators import align, coverage, graph, markets, normalize, panel, profile, reports, schema
 from shelfspan.plans.derived import CUSTOMER, KEYS_SQL, RUN_SQL, SIDES_SQL, client_file, indel, panel_file, read, token_set_sql
-from shelfspan.sources import tabular
+from shelfspan.sources import shared, tabular
 
 Query = Callable[[SparkSession, str], DataFrame]
 CONCEPTS = {"customer": "Retailer", "client_market": "Market", "month": "Month", "upc": "UPC", "item_description": "Item Description", "brand": "Brand", "category": "Category"}
@@ -202,6 +202,20 @@ def coverage_summary(spark: SparkSession, sf: str) -> DataFrame:
     return one.join(count(found.brands, "brand_aliases"), F.lit(True)).join(count(found.crosswalk, "crosswalk_entries"), F.lit(True))
 
 
+@query(
+    on_run("""
+, e AS (SELECT status, count(*) AS n FROM r WHERE status NOT IN ('matched', 'missing_from_client') GROUP BY 1 UNION ALL SELECT status, count(*) FROM g WHERE status = 'missing_from_client' GROUP BY 1)
+SELECT status, n AS rows, sum(n) OVER ()::BIGINT AS total_rows, round(n / sum(n) OVER (), 3) AS share FROM e""")
+)
+def exception_shares(spark: SparkSession, sf: str) -> DataFrame:
+    return reports.exception_shares(run(spark, sf)).select("status", "rows", "total_rows", "share")
+
+
+@query(on_run(f"SELECT period_key AS period, count(*) AS client_rows, CASE WHEN count(*) FILTER (WHERE {M}) > 0 THEN 'matched' ELSE 'unmatched' END AS side FROM r WHERE kpi_slice AND period_key IS NOT NULL GROUP BY 1"))
+def diagnostics_split(spark: SparkSession, sf: str) -> DataFrame:
+    return reports.matched_split(reports.period_diagnostic(run(spark, sf))).select("period", "client_rows", "side")
+
+
 # -- client file to the fixed model
 
 
@@ -234,6 +248,44 @@ def top_values(spark: SparkSession, sf: str) -> DataFrame:
     return reports.top_values(model(spark, sf), "brand_standardized", 12)
 
 
+@query(
+    on_sides("""
+, v AS (SELECT unnest(['customer_standardized', 'client_market_standardized', 'brand_standardized', 'category_standardized']) AS "column", unnest([customer, market, brand, category]) AS value, source_row_id FROM client),
+n AS (SELECT "column", value, count(*) AS rows, min(source_row_id) AS first FROM v WHERE value IS NOT NULL GROUP BY 1, 2),
+k AS (SELECT *, row_number() OVER (PARTITION BY "column" ORDER BY rows DESC, first)::INTEGER AS place FROM n)
+SELECT "column", value, rows, CASE WHEN "column" = 'client_market_standardized' THEN value = 'Total' END AS total_like, place FROM k WHERE place <= CASE "column" WHEN 'customer_standardized' THEN 5 WHEN 'client_market_standardized' THEN 25 ELSE 12 END""")
+)
+def profile_values(spark: SparkSession, sf: str) -> DataFrame:
+    """Customers, markets, brands and categories of the profile."""
+    return profile.value_counts(model(spark, sf))
+
+
+@query(
+    on_sides("""
+, f AS (SELECT description, min(source_row_id) AS first FROM client GROUP BY 1 ORDER BY 2 LIMIT 200),
+s AS (SELECT DISTINCT regexp_extract(description, ' ([0-9]+)OZCAN$', 1) || 'OZ' AS size FROM f WHERE description LIKE '%OZCAN')
+SELECT 'Acme Stores' AS customer, min(CASE WHEN period_key IS NOT NULL THEN period_key || '-01' END) AS period_start, strftime(max(last_day((period_key || '-01')::DATE)), '%Y-%m-%d') AS period_end, 'monthly' AS time_grain,
+       count(DISTINCT upc_key) AS distinct_products, (SELECT string_agg(size, ',' ORDER BY size) FROM s) AS sizes, 'UPC' AS identifiers, 'Item Description' AS descriptions, count(DISTINCT market) AS markets FROM client""")
+)
+def client_profile(spark: SparkSession, sf: str) -> DataFrame:
+    """The whole profile, of the detected columns."""
+    p = profile.build(model(spark, sf), schema.detect(client_file(spark, sf)))
+    row = (p["customer"], p["period_start"], p["period_end"], p["time_grain"], p["distinct_products"], ",".join(p["description_hints"]["sizes"]), ",".join(p["product_identifier_fields"]), ",".join(p["description_fields"]), len(p["markets"]))
+    return spark.createDataFrame([row], "customer string, period_start string, period_end string, time_grain string, distinct_products long, sizes string, identifiers string, descriptions string, markets long")
+
+
+@query("""SELECT CAST(o_orderkey AS VARCHAR) AS "Order Key", 'line 1 of ' || o_orderkey || chr(10) || '"quoted", and ' || o_custkey AS "Note", o_totalprice AS "Total", CASE WHEN o_orderkey % 1000 = 507 THEN 'far' || chr(10) || 'out' END AS "Unnamed_3", CASE WHEN o_orderkey % 1000 = 507 THEN o_custkey::DOUBLE END AS "Unnamed_4" FROM orders""")
+def csv_scan(spark: SparkSession, sf: str) -> DataFrame:
+    """Orders written as a CSV folder whose cells hold quotes and line breaks and of which few rows are wider, and read again."""
+    quoted = lambda x: F.concat(F.lit('"'), F.replace(x, F.lit('"'), F.lit('""')), F.lit('"'))
+    key, cust = F.col("o_orderkey").cast("string"), F.col("o_custkey").cast("string")
+    note = F.concat(F.lit("line 1 of "), key, F.lit("\n"), F.lit('"quoted", and '), cust)
+    wide = F.when(F.col("o_orderkey") % 1000 == 507, F.concat(F.lit(","), quoted(F.lit("far\nout")), F.lit(","), cust)).otherwise("")
+    lines = read(spark, sf, "orders").select("o_orderkey", F.concat(key, F.lit(","), quoted(note), F.lit(",$"), F.format_string("%.2f", "o_totalprice"), wide).alias("value"))
+    head = spark.createDataFrame([(-1, "Order Key,Note,Total")], "o_orderkey long, value string")
+    return tabular.read_csv(spark, shared.stored_text(lines.unionByName(head).repartitionByRange("o_orderkey").sortWithinPartitions("o_orderkey").select("value"))).df.drop("source_row_id")
+
+
 @query(
     """
 WITH raw AS (SELECT o_orderkey, CASE o_orderkey % 6 WHEN 0 THEN '$' || printf('%.2f', o_totalprice) WHEN 1 THEN '(' || printf('%.2f', o_totalprice) || ')' WHEN 2 THEN '1,' || printf('%.1f', 100 + o_orderkey % 800) WHEN 3 THEN 'n/a' WHEN 4 THEN ' ' || CAST(o_orderkey AS VARCHAR) ELSE NULL END AS x, o_totalprice FROM orders)

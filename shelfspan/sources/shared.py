@@ -4,22 +4,30 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 
-def stored(df: DataFrame) -> DataFrame:
-    """df written as Parquet below spark.checkpoint.dir and read again, so that it is computed once and survives lost executors.
-
-    In local mode without that setting a folder of the warehouse is used. Parquet can't hold columns of no type, so they become strings.
-    """
-    spark = df.sparkSession
-    sc = spark.sparkContext
-    folder = sc.getConf().get("spark.checkpoint.dir")
+def shared_path(spark: SparkSession) -> str:
+    """A new path below spark.checkpoint.dir, or in local mode without that setting below the warehouse."""
+    folder = spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if folder is None:
-        if not sc.master.startswith("local"):
+        if not spark.sparkContext.master.startswith("local"):
             raise ValueError("set spark.checkpoint.dir to a folder that all machines share")
         folder = spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_stored"
+    return f"{folder.rstrip('/')}/stored-{uuid.uuid4().hex}"
+
+
+def stored(df: DataFrame) -> DataFrame:
+    """df written as Parquet to a shared path and read again, so that it is computed once and survives lost executors. Parquet can't hold columns of no type, so they become strings."""
+    spark = df.sparkSession
     df = df.withColumns({c: df[c].cast("string") for c, kind in df.dtypes if kind == "void"})
-    path = f"{folder.rstrip('/')}/stored-{uuid.uuid4().hex}"
+    path = shared_path(spark)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def stored_text(lines: DataFrame) -> str:
+    """The path of a folder of text parts, one line for each row of the single column."""
+    path = shared_path(lines.sparkSession)
+    lines.write.text(path)
+    return path
