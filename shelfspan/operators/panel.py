@@ -4,11 +4,12 @@ from __future__ import annotations
 
 from dataclasses import dataclass, field
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from shelfspan.functions import identifiers, periods, text
 from shelfspan.operators.normalize import number
+from shelfspan.sources.shared import stored
 from shelfspan.sources.tabular import header_form
 
 #: Accepted headers of each field, the more specific first.
@@ -54,19 +55,25 @@ def missing_fields(matched: dict[str, str]) -> list[str]:
     return lacking
 
 
-def cleaned(df: DataFrame, matched: dict[str, str]) -> DataFrame:
+def cleaned(df: DataFrame, matched: dict[str, str], seen: tuple[Observation, Observation] | None = None) -> DataFrame:
     """Canonical columns (all of COLUMNS, null where absent), without junk rows: those without numeric dollars, market or code.
 
     Where the export has no such column, the description is the brand and the customer leads the market's label. `position` is the row's
-    place in the file if df has source_row_id, else a hash of its content.
+    place in the file if df has source_row_id, else a hash of its content. What `seen` observes is counted while the rows are written: rows and
+    junk of the file, then rows that stay and their span.
     """
     place = F.col("source_row_id") if "source_row_id" in df.columns else F.xxhash64(*(F.col(f"`{h}`") for h in matched.values()))
     cell = lambda f: text.clean_label(F.col(f"`{matched[f]}`")) if f in matched else F.lit(None).cast("string")
     rows = df.select(*(number(cell(f)).alias(f) if f.endswith("_sales") else cell(f).alias(f) for f in SYNONYMS), place.alias("position"))
-    rows = rows.where("dollar_sales is not null and market is not null and upc is not null")
+    good = F.col("dollar_sales").isNotNull() & F.col("market").isNotNull() & F.col("upc").isNotNull()
+    if seen:
+        rows = rows.observe(seen[0], F.count(F.lit(1)).alias("rows"), F.count_if(~good).alias("junk"))
+    rows = rows.where(good)
     absent = {"item_description": F.col("brand"), "customer": text.customer_from_market(F.col("market"))}
     rows = rows.withColumns({f: x for f, x in absent.items() if f not in matched})
     rows = periods.with_parsed(rows, F.col("period"), "parsed")
+    if seen:
+        rows = rows.observe(seen[1], F.count(F.lit(1)).alias("rows"), F.min("parsed.period_start").alias("start"), F.max("parsed.period_end").alias("end"))
     return rows.select(*SYNONYMS, "parsed.period_start", "parsed.period_end", identifiers.upc_key(F.col("upc")).alias("upc_key"), identifiers.normalize_upc(F.col("upc")).alias("upc_normalized"), "position")
 
 
@@ -78,6 +85,59 @@ def validate(df: DataFrame) -> Validation:
     return Validation(not lacking, matched, lacking, notes, None if lacking else cleaned(df, matched))
 
 
+@dataclass
+class PanelReport:
+    """valid, what was found of each file (name, valid, rows, junk, period_start, period_end, missing, warnings), of all, and the stitched panel with its first rows."""
+
+    valid: bool
+    files: list[dict]
+    warnings: list[str]
+    row_count: int = 0
+    period_start: str | None = None
+    period_end: str | None = None
+    missing_required_fields: list[str] = field(default_factory=list)
+    matched_fields: dict[str, str] = field(default_factory=dict)
+    preview: list[dict] = field(default_factory=list)
+    panel: DataFrame | None = None
+
+
+#: Rows of a report's preview.
+PREVIEW = 8
+
+
+def check_files(files: dict[str, DataFrame]) -> PanelReport:
+    """Checks, cleans and stitches the files of one export. Their figures are observed while the panel is written, so each file is read once."""
+    checks = {name: match_fields(df.columns) for name, df in files.items()}
+    lacking = {name: missing_fields(m) for name, m in checks.items()}
+    seen = {name: (Observation(), Observation()) for name in files}
+    told = {name: [] if "volume_sales" in m else ["The export has no volume sales."] for name, m in checks.items()}
+    missing = sorted({f for fields in lacking.values() for f in fields})
+    first = next(iter(checks.values()), {})
+    if missing or not files:
+        rows = [{"name": n, "valid": not lacking[n], "rows": None, "junk": None, "period_start": None, "period_end": None, "missing": lacking[n], "warnings": told[n]} for n in files]
+        return PanelReport(False, rows, [w for t in told.values() for w in t] + ["All files of an export must have the required fields."], missing_required_fields=missing, matched_fields=first)
+    parts = {name: stored(cleaned(df, checks[name], seen[name])) for name, df in files.items()}
+    rows = []
+    for name, (before, after) in seen.items():
+        b, a = before.get, after.get
+        if b["junk"]:
+            told[name].append(f"{b['junk']} rows without sales, market or code were left out.")
+        rows.append({"name": name, "valid": True, "rows": a["rows"], "junk": b["junk"], "period_start": a["start"] and str(a["start"]), "period_end": a["end"] and str(a["end"]), "missing": [], "warnings": told[name]})
+    whole = stored(stitch(list(parts.values()))) if len(parts) > 1 else next(iter(parts.values()))
+    count = whole.count() if len(parts) > 1 else rows[0]["rows"]
+    warnings = [w for t in told.values() for w in t]
+    if len(parts) > 1:
+        repeated = sum(r["rows"] for r in rows) - count
+        if repeated:
+            warnings.append(f"{repeated} rows stood in several files and were kept once.")
+        if over := overlap_count(whole).first()[0]:
+            warnings.append(f"{over} combinations of item, period and market have several rows with different values; they are summed.")
+        warnings.append(f"{len(parts)} files were stitched to {count} rows.")
+    shown = [{c: None if v is None else str(v) for c, v in r.asDict().items() if c != "position"} for r in whole.orderBy("position").limit(PREVIEW).collect()]
+    starts, ends = ([r[k] for r in rows if r[k]] for k in ("period_start", "period_end"))
+    return PanelReport(True, rows, warnings, count, min(starts, default=None), max(ends, default=None), [], first, shown, whole)
+
+
 def stitch(panels: list[DataFrame]) -> DataFrame:
     """One panel of several files: united by name, without exact repeats, of which the first stays. A single file stays as it is."""
     if len(panels) == 1:

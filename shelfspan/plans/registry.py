@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import calendar
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -224,17 +225,15 @@ def norm_long(spark: SparkSession, sf: str) -> DataFrame:
     return model(spark, sf).select("source_row_id", "client_market_standardized", "period_key", "upc_key", "upc_normalized", "item_description_raw", "brand_standardized", "sales_value", "unit_value", "record_status", "mapping_confidence", "exception_reason", "market_level", "category_standardized")
 
 
-@query(
-    """
-SELECT o_custkey AS source_row_id, p.period_key, s AS sales_value, u AS unit_value FROM (
-  SELECT o_custkey, sum(CASE WHEN month(o_orderdate) = 1 THEN o_totalprice END) AS s1, count(*) FILTER (WHERE month(o_orderdate) = 1) AS u1,
-         sum(CASE WHEN month(o_orderdate) = 2 THEN o_totalprice END) AS s2, count(*) FILTER (WHERE month(o_orderdate) = 2) AS u2 FROM orders GROUP BY 1) w,
-  LATERAL (SELECT '2025-01' AS period_key, round(s1, 2) AS s, u1::DOUBLE AS u UNION ALL SELECT '2025-02', round(s2, 2), u2::DOUBLE) p"""
-)
+@query("""
+SELECT k.o_custkey AS source_row_id, printf('2025-%02d', m) AS period_key, (SELECT round(sum(o_totalprice), 2) FROM orders o WHERE o.o_custkey = k.o_custkey AND month(o_orderdate) = m) AS sales_value,
+       (SELECT count(*) FROM orders o WHERE o.o_custkey = k.o_custkey AND month(o_orderdate) = m)::DOUBLE AS unit_value FROM (SELECT DISTINCT o_custkey FROM orders) k, range(1, 13) t(m)""")
 def unpivot_wide(spark: SparkSession, sf: str) -> DataFrame:
+    """A wide file of twelve months, its columns detected by their headers."""
     m = F.month("o_orderdate")
-    wide = read(spark, sf, "orders").groupBy(F.col("o_custkey").alias("source_row_id")).agg(*(x for k, label in ((1, "Jan-25"), (2, "Feb-25")) for x in (F.round(F.sum(F.when(m == k, F.col("o_totalprice"))), 2).alias(f"{label} Net Rev"), F.count_if(m == k).alias(f"{label} Units"))))
-    columns = [(f"{label} {what}", f"2025-{k:02}-01", end, "monthly", kind) for k, label, end in ((1, "Jan-25", "2025-01-31"), (2, "Feb-25", "2025-02-28")) for what, kind in (("Net Rev", "sales"), ("Units", "unit"))]
+    wide = read(spark, sf, "orders").groupBy(F.col("o_custkey").alias("source_row_id")).agg(*(x for k, name in enumerate(calendar.month_abbr) if k for x in (F.round(F.sum(F.when(m == k, F.col("o_totalprice"))), 2).alias(f"{name}-25 Net Rev"), F.count_if(m == k).alias(f"{name}-25 Units"))))
+    named = schema.wide_header(wide.columns[1:])
+    columns = [(c, a, b, grain, schema.classify_metric(rest).kind) for c, (a, b, grain, rest) in named.items()]
     return normalize.normalize(wide, {}, {}, "monthly", "directional", 0.4, columns).select("source_row_id", "period_key", "sales_value", "unit_value")
 
 
@@ -366,12 +365,12 @@ def brand_norm(spark: SparkSession, sf: str) -> DataFrame:
     return read(spark, sf, "part").select("p_partkey", text.norm_brand(raw).alias("brand_norm"), text.brand_from_description(F.concat(F.lit("The 12 "), "p_name")).alias("first_word"), text.norm_value(F.col("p_brand")).alias("value_form"), text.norm_header(F.concat("p_brand", F.lit(" ($)"))).alias("header_form"))
 
 
-@query("SELECT n_name, n_nationkey % 3 = 0 AS total_like, CASE WHEN n_nationkey % 2 = 0 THEN 'Acme' ELSE string_split(n_name, ' ')[1] END AS customer, CASE WHEN upper(n_name) = n_name AND length(n_name) > 4 THEN n_name[1] || lower(n_name[2:]) ELSE n_name END AS standard FROM nation WHERE NOT contains(n_name, ' ')")
+@query("SELECT n_nationkey, n_nationkey % 3 = 0 AS total_like, CASE WHEN n_nationkey % 2 = 0 THEN 'Acme' ELSE string_split(l, ' ')[1] END AS customer, CASE WHEN upper(l) = l AND length(l) > 4 THEN array_to_string(list_transform(string_split(l, ' '), lambda w: w[1] || lower(w[2:])), ' ') ELSE l END AS standard FROM (SELECT *, replace(n_name, '_', ' ') AS l FROM nation)")
 def market_labels(spark: SparkSession, sf: str) -> DataFrame:
-    n = read(spark, sf, "nation").where("not contains(n_name, ' ')")
-    label = F.when(F.col("n_nationkey") % 3 == 0, F.concat("n_name", F.lit(" National Account"))).otherwise(F.col("n_name"))
-    market = F.when(F.col("n_nationkey") % 2 == 0, F.concat(F.lit("Total Acme (x) "), "n_name")).otherwise(F.concat("n_name", F.lit(" TA")))
-    return n.select("n_name", text.is_total_like(label).alias("total_like"), text.customer_from_market(market).alias("customer"), text.standardize(F.col("n_name")).alias("standard"))
+    n = read(spark, sf, "nation").withColumn("l", F.replace("n_name", F.lit("_"), F.lit(" ")))
+    label = F.when(F.col("n_nationkey") % 3 == 0, F.concat("l", F.lit(" National Account"))).otherwise(F.col("l"))
+    market = F.when(F.col("n_nationkey") % 2 == 0, F.concat(F.lit("Total Acme (x) "), "l")).otherwise(F.concat("l", F.lit(" TA")))
+    return n.select("n_nationkey", text.is_total_like(label).alias("total_like"), text.customer_from_market(market).alias("customer"), text.standardize(F.col("l")).alias("standard"))
 
 
 # -- panel
@@ -400,6 +399,17 @@ def overlap_count(spark: SparkSession, sf: str) -> DataFrame:
     return panel.overlap_count(early.unionByName(late.withColumn("dollar_sales", F.col("dollar_sales") + 1)))
 
 
+@query(on_sides("""
+SELECT 'early' AS name, count(*) AS rows, 1::BIGINT AS junk, min(period_key) || '-01' AS period_start, strftime(max(last_day((period_key || '-01')::DATE)), '%Y-%m-%d') AS period_end, (SELECT count(*) FROM panel) AS stitched FROM panel WHERE period_key <= '1999-06'
+UNION ALL SELECT 'late', count(*), 0, min(period_key) || '-01', strftime(max(last_day((period_key || '-01')::DATE)), '%Y-%m-%d'), (SELECT count(*) FROM panel) FROM panel WHERE period_key >= '1999-01'"""))
+def panel_files(spark: SparkSession, sf: str) -> DataFrame:
+    """Figures of two files of one export that overlap by half a year."""
+    export = panel_file(spark, sf)
+    foot = spark.createDataFrame([("Copyright", None, None, None, None, None, None, None, 1)], export.schema)
+    found = panel.check_files({"early": export.where("Periods <= '1999-06'").unionByName(foot), "late": export.where("Periods >= '1999-01'")})
+    return spark.createDataFrame([(f["name"], f["rows"], f["junk"], f["period_start"], f["period_end"], found.row_count) for f in found.files], "name string, rows long, junk long, period_start string, period_end string, stitched long")
+
+
 # -- alignment
 
 
@@ -413,10 +423,12 @@ def market_alignment(spark: SparkSession, sf: str) -> DataFrame:
 GEO = (("Western NY Operating Area", "NY"), ("Mid-Atlantic", ""), ("Buffalo TA", "NY"), ("Washington", "DC WA"), ("Orlando", "FL"), ("New England", "CT MA ME NH RI VT"), ("walmart", ""))
 
 
-@query("SELECT * FROM (VALUES " + ", ".join(f"('{a}', '{b}')" for a, b in GEO) + ") AS v(label, states)")
+@query("SELECT n_nationkey, states FROM nation JOIN (VALUES " + ", ".join(f"({k}, '{b}')" for k, (_, b) in enumerate(GEO)) + ") AS v(k, states) ON n_nationkey % 7 = k")
 def geo_expansion(spark: SparkSession, sf: str) -> DataFrame:
-    labels = spark.createDataFrame([(a,) for a, _ in GEO], "market string")
-    return geography.expand(labels, "market").select("label", F.array_join("states", " ").alias("states"))
+    """States of market labels, one of seven for each nation."""
+    label = F.get(F.array(*(F.lit(a) for a, _ in GEO)), (F.col("n_nationkey") % 7).cast("int"))
+    nations = read(spark, sf, "nation").select("n_nationkey", label.alias("market"))
+    return nations.join(geography.expand(nations, "market"), F.col("market") == F.col("label")).select("n_nationkey", F.array_join("states", " ").alias("states"))
 
 
 #: Equal without blanks, then contained, then alike. Client brands are one word, so brands that share a word are contained.
@@ -503,10 +515,11 @@ def graph_edges(spark: SparkSession, sf: str) -> DataFrame:
     return edges.agg(F.count(F.lit(1)).alias("edges"))
 
 
-@query("SELECT 'USER' AS kind WHERE false UNION ALL SELECT 'read'")
+@query(on_sides("""SELECT source_row_id::VARCHAR AS source_row_id, upper(market) AS "Market", upc AS "UPC", description AS "Item Description", brand AS "Brand" FROM client ORDER BY client.source_row_id LIMIT 25"""))
 def preview(spark: SparkSession, sf: str) -> DataFrame:
-    shown = tabular.preview(client_file(spark, sf), 25)
-    return shown.agg(F.when(F.count(F.lit(1)) == 25, "read").otherwise("short").alias("kind"))
+    """The first rows of the client file as text."""
+    file = client_file(spark, sf).withColumn("Market", F.upper("Market")).orderBy("source_row_id")
+    return tabular.preview(file, 25, ["source_row_id", "Market", "UPC", "Item Description", "Brand"])
 
 
 def queries() -> dict[str, Query]:

@@ -86,3 +86,19 @@ def test_user_crosswalk_overrides_exact_matches(spark):
     user = spark.createDataFrame([(CODES["A"], CODES["H"], 1)], "client_key string, panel_key string, position long")
     run = coverage.run_coverage(client(spark, MINE[:1]), panel(spark, THEIRS), user_crosswalk=user)
     assert [(r.pkey, r.pmatch, r.status) for r in run.rows.collect()] == [(CODES["H"], "upc_crosswalk", "matched_with_caveat")]
+
+
+def test_panel_files(spark):
+    from shelfspan.operators import panel as panels
+
+    schema = "source_row_id long, Markets string, Periods string, UPC string, Brand string, Category string, `$` string, Units string"
+    one = spark.createDataFrame([(0, "Acme Boston TA", "2025-01", "071800000211", "b", "c", "1.5", "1"), (1, "Acme Boston TA", "2025-02", "071800000211", "b", "c", "2", "1"), (2, "Copyright", None, None, None, None, None, None)], schema)
+    two = spark.createDataFrame([(0, "Acme Boston TA", "2025-02", "071800000211", "b", "c", "2", "1"), (1, "Acme Boston TA", "2025-03", "071800000228", None, "c", "3", "1")], schema)
+    got = panels.check_files({"a.csv": one, "b.csv": two})
+    assert got.valid and got.row_count == 3 and (got.period_start, got.period_end) == ("2025-01-01", "2025-03-31")
+    assert [(f["name"], f["rows"], f["junk"]) for f in got.files] == [("a.csv", 2, 1), ("b.csv", 2, 0)] and got.files[0]["period_end"] == "2025-02-28"
+    assert len(got.preview) == 3 and any("kept once" in w for w in got.warnings)
+    # Without a description column the brand stands in, and the market's first word for the customer.
+    assert {(r.item_description, r.customer) for r in got.panel.collect()} == {("b", "Acme"), (None, "Acme")}
+    bad = panels.check_files({"a.csv": one.drop("UPC")})
+    assert not bad.valid and bad.panel is None and "upc" in bad.missing_required_fields
