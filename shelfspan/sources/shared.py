@@ -3,18 +3,63 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
 
-def shared_path(spark: SparkSession) -> str:
-    """A new path below spark.checkpoint.dir, or in local mode without that setting below the warehouse."""
+#: Paths that `stored` has written since `working` began, innermost last.
+_WORK: list[list[str]] = []
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """spark.checkpoint.dir, or in local mode without that setting a folder of the warehouse."""
     folder = spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if folder is None:
         if not spark.sparkContext.master.startswith("local"):
             raise ValueError("set spark.checkpoint.dir to a folder that all machines share")
         folder = spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_stored"
-    return f"{folder.rstrip('/')}/stored-{uuid.uuid4().hex}"
+    return folder.rstrip("/")
+
+
+def shared_path(spark: SparkSession) -> str:
+    """A new path in the shared folder."""
+    path = f"{shared_folder(spark)}/stored-{uuid.uuid4().hex}"
+    if _WORK:
+        _WORK[-1].append(path)
+    return path
+
+
+@contextmanager
+def working(spark: SparkSession) -> Iterator[None]:
+    """Deletes the tables that are stored within, also after an error."""
+    _WORK.append([])
+    try:
+        yield
+    finally:
+        for path in _WORK.pop():
+            delete(spark, path)
+
+
+def _at(spark: SparkSession, path: str):
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), at
+
+
+def delete(spark: SparkSession, path: str) -> None:
+    files, at = _at(spark, path)
+    files.delete(at, True)
+
+
+def exists(spark: SparkSession, path: str) -> bool:
+    files, at = _at(spark, path)
+    return files.exists(at)
+
+
+def children(spark: SparkSession, path: str) -> list[str]:
+    files, at = _at(spark, path)
+    return sorted(f.getPath().getName() for f in files.listStatus(at)) if files.exists(at) else []
 
 
 def stored(df: DataFrame) -> DataFrame:

@@ -1,5 +1,7 @@
 """Coverage runs and their reports on a micro-fixture of two sides."""
 
+import pytest
+
 from shelfspan.operators import coverage, reports
 
 CLIENT = "source_row_id long, customer string, market string, market_level string, period_key string, upc_key string, upc string, description string, brand string, brand_norm string, category string, sales double, units double, volume double, confidence double, record_status string, exception_reason string"
@@ -102,3 +104,22 @@ def test_panel_files(spark):
     assert {(r.item_description, r.customer) for r in got.panel.collect()} == {("b", "Acme"), (None, "Acme")}
     bad = panels.check_files({"a.csv": one.drop("UPC")})
     assert not bad.valid and bad.panel is None and "upc" in bad.missing_required_fields
+
+
+def test_catalogue_of_runs(spark, tmp_path):
+    from shelfspan.sources import shared
+    from shelfspan.sources.catalogue import Catalogue
+
+    runs = Catalogue(spark, coverage.Coverage, str(tmp_path / "runs"))
+    before = set(shared.children(spark, shared.shared_folder(spark)))
+    run = runs.keep("first-1", lambda: coverage.run_coverage(client(spark, MINE), panel(spark, THEIRS)))
+    assert set(shared.children(spark, shared.shared_folder(spark))) == before
+    assert runs.ids() == ["first-1"] and run.customers == {"Acme": "Acme"} and reports.kpis(run).first().matched_rows == 3
+    again = runs.get("first-1")
+    assert again.rows.count() == 10 and again.markets.mapped()["Total"] == "Acme Total US" and reports.summary(again)["unmapped_client_markets"] == ["Atlantis"]
+    blocked = runs.keep("first-1", lambda: coverage.run_coverage(client(spark, MINE), panel(spark, THEIRS), mode="not_comparable"))
+    assert blocked.blocked and blocked.rows is None and runs.get("first-1").blocked
+    runs.expire("first-1")
+    assert runs.ids() == [] and runs.get("first-1") is None and not (tmp_path / "runs" / "first-1").exists()
+    with pytest.raises(ValueError, match="not a run id"):
+        runs.get("../x")
