@@ -136,10 +136,9 @@ def for_coverage(model: DataFrame) -> DataFrame:
     return model.select("source_row_id", F.col("customer_standardized").alias("customer"), F.col("client_market_standardized").alias("market"), "market_level", "period_key", "upc_key", F.col("upc_normalized").alias("upc"), F.col("item_description_raw").alias("description"), F.col("brand_standardized").alias("brand"), text.norm_brand(F.col("brand_standardized")).alias("brand_norm"), F.col("category_standardized").alias("category"), F.col("sales_value").alias("sales"), F.col("unit_value").alias("units"), F.col("volume_value").alias("volume"), F.col("mapping_confidence").alias("confidence"), "record_status", "exception_reason")
 
 
-def quality(model: DataFrame) -> DataFrame:
-    """One row: how much of a client file could be read."""
+def _figures() -> list[Column]:
     rate = lambda c: F.round(F.avg(c.cast("int")), 3)
-    return model.agg(
+    return [
         F.count(F.lit(1)).alias("total_rows"),
         F.coalesce(rate(F.col("period_key").isNotNull()), F.lit(0.0)).alias("period_parse_rate"),
         F.round(F.avg(F.when(F.col("upc_raw").isNotNull(), F.col("upc_key").isNotNull().cast("int"))), 3).alias("upc_valid_rate"),
@@ -148,4 +147,29 @@ def quality(model: DataFrame) -> DataFrame:
         F.count_distinct("period_key").alias("distinct_periods"),
         F.count_distinct("client_market_standardized").alias("distinct_markets"),
         F.when(F.count_distinct("upc_key") > 0, F.count_distinct("upc_key")).otherwise(F.count_distinct("item_id_raw")).alias("distinct_products"),
+    ]
+
+
+def quality(model: DataFrame) -> DataFrame:
+    """One row: how much of a client file could be read."""
+    return model.agg(*_figures())
+
+
+def warned(model: DataFrame) -> DataFrame:
+    """The row of `quality` with the file's span and `warnings` of what a reader should know, in the same pass over the file."""
+    lost = lambda c, of: F.count_if(of & F.col(c).isNull())
+    has = lambda level: F.count_if(F.col("market_level") == level) > 0
+    row = model.agg(
+        *_figures(),
+        F.min("period_start").alias("period_start"),
+        F.max("period_end").alias("period_end"),
+        (has("total") & has("detail")).alias("both_levels"),
+        lost("upc_key", F.col("upc_raw").isNotNull()).alias("no_code"),
+        lost("period_key", F.lit(True)).alias("no_period"),
+    )
+    told = (
+        F.when(F.col("both_levels"), "The file has total and detail markets; figures use the total, so nothing counts twice."),
+        F.when(F.col("no_code") > 0, F.concat(F.col("no_code").cast("string"), F.lit(" rows have identifiers that aren't product codes."))),
+        F.when(F.col("no_period") > 0, F.concat(F.col("no_period").cast("string"), F.lit(" rows have periods that can't be read."))),
     )
+    return row.withColumn("warnings", F.array_compact(F.array(*told))).drop("both_levels", "no_code", "no_period")

@@ -501,18 +501,137 @@ def fuzzy_scores(spark: SparkSession, sf: str) -> DataFrame:
 
 # -- mapping graph
 
-
-@query("SELECT 14::BIGINT AS nodes, 7::BIGINT AS n_source_column, 7::BIGINT AS n_target_field WHERE false UNION ALL SELECT 18, 9, 9")
-def graph_stats(spark: SparkSession, sf: str) -> DataFrame:
-    maps = graph.mappings_frame(spark, schema.detect(client_file(spark, sf)))
-    return graph.stats(graph.layout(graph.nodes_of(maps))).select("nodes", "n_source_column", "n_target_field")
+#: What a part's number makes of it where parts stand for the columns of a file.
+GRAPH_CONCEPTS = (None, "upc", "item_description", "brand", "manufacturer", "category", "client_market", "customer", "week_end_date", "unit", "sales", "volume", "other")
+GRAPH_ROLES = ("dimension", "metric", "alternate", "unmapped", "ignored")
+
+
+def safe_sql(x: str) -> str:
+    return f"coalesce(nullif(left(regexp_replace(regexp_replace(lower({x}), '[^a-z0-9]+', '-', 'g'), '^-+|-+$', '', 'g'), 90), ''), 'item')"
+
+
+def band_sql(x: str) -> str:
+    return f"CASE WHEN {x} IS NULL THEN 'none' WHEN {x} >= 0.9 THEN 'high' WHEN {x} >= 0.7 THEN 'medium' WHEN {x} >= 0.5 THEN 'low' ELSE 'needs_review' END"
+
+
+def severity_sql(x: str) -> str:
+    return f"CASE {x} WHEN 'needs_review' THEN 'critical' WHEN 'low' THEN 'warning' ELSE 'info' END"
+
+
+#: n: all statements of nodes, e: of edges, by place; node and edge: one by id. Names of parts have none of the words that tell areas.
+GRAPH_SQL = f"""
+WITH m AS (SELECT *, 'client-field-' || {safe_sql("name")} AS source_id, 'meaning-' || {safe_sql("area || '-' || means")} AS means_id, 'panel-field-' || {safe_sql("target")} AS target_id, 'rule-' || {safe_sql("area || '-' || told_by")} AS rule_id,
+                  'exception-' || {safe_sql("name || '-' || role || '-' || band")} AS flag_id, role = 'unmapped' OR band IN ('needs_review', 'low') AS flagged, floor(sure * 100 + 0.5)::BIGINT || '% confidence' AS said, {severity_sql("band")} AS severity,
+                  CASE WHEN role = 'unmapped' OR band = 'needs_review' THEN 'critical' ELSE 'warning' END AS flag_severity
+  FROM (SELECT *, {band_sql("sure")} AS band, coalesce(concept, CASE role WHEN 'ignored' THEN 'Ignored field' WHEN 'unmapped' THEN 'Unmapped field' ELSE 'Needs interpretation' END) AS means,
+          CASE WHEN role = 'unmapped' THEN 'exceptions' WHEN concept IN ('client_market', 'customer') THEN 'geography' WHEN concept = 'week_end_date' THEN 'time' WHEN concept IN ('unit', 'sales', 'volume') THEN 'metrics'
+               WHEN role = 'metric' AND (concept IS NULL OR concept = 'other') THEN 'metrics' ELSE 'product' END AS area,
+          CASE WHEN concept IN ('upc', 'item_description') THEN 'Panel Product ID' WHEN concept = 'brand' THEN 'Panel Brand' WHEN concept = 'manufacturer' THEN 'Panel Manufacturer' WHEN concept = 'category' THEN 'Panel Category'
+               WHEN concept = 'client_market' THEN 'Panel Market' WHEN concept = 'customer' THEN 'Panel Customer' WHEN concept = 'week_end_date' THEN 'Panel Period' WHEN concept = 'unit' THEN 'Panel Units' WHEN concept = 'sales' THEN 'Panel Sales'
+               WHEN concept = 'volume' THEN 'Panel Volume' WHEN role = 'metric' THEN 'Panel Measure' WHEN concept = 'other' THEN 'Panel other' ELSE 'Panel Target Field' END AS target,
+          CASE role WHEN 'dimension' THEN 'Header and sample pattern match' WHEN 'metric' THEN 'Metric classifier' WHEN 'alternate' THEN 'Alternate field candidate' WHEN 'unmapped' THEN 'Manual review required' ELSE 'Excluded from mapping' END AS told_by
+        FROM (SELECT pos, name, role, sure, CASE WHEN role NOT IN ('unmapped', 'ignored') THEN concept END AS concept
+              FROM (SELECT p_partkey AS pos, p_name AS name, ({list(GRAPH_ROLES)})[p_partkey % 5 + 1] AS role, ({["" if c is None else c for c in GRAPH_CONCEPTS]})[p_partkey % 13 + 1] AS c, nullif(c, '') AS concept, (p_partkey % 101)::DOUBLE / 100 AS sure FROM part)))),
+n AS (SELECT pos, 0 AS k, source_id AS id, name AS label, 'client_field' AS type, area, sure AS confidence, band, severity, [{{'n': 'role', 'v': role}}, {{'n': 'concept', 'v': coalesce(concept, 'Not detected')}}, {{'n': 'evidence', 'v': told_by}}] AS d FROM m
+      UNION ALL SELECT pos, 1, means_id, means, 'interpreted_meaning', area, sure, band, severity, [{{'n': 'source_column', 'v': name}}, {{'n': 'evidence', 'v': told_by}}] FROM m
+      UNION ALL SELECT pos, 2, target_id, target, 'panel_field', area, sure, band, severity, [{{'n': 'derived_from', 'v': name}}, {{'n': 'detected_concept', 'v': coalesce(concept, 'Needs review')}}] FROM m
+      UNION ALL SELECT pos, 3, rule_id, told_by, 'rule', area, sure, band, severity, [{{'n': 'source_column', 'v': name}}] FROM m
+      UNION ALL SELECT pos, 4, flag_id, CASE WHEN role = 'unmapped' THEN 'Unmapped client field' ELSE 'Low confidence field mapping' END, 'exception', 'exceptions', sure, band, flag_severity,
+                       [{{'n': 'source_column', 'v': name}}, {{'n': 'role', 'v': role}}, {{'n': 'confidence', 'v': sure::VARCHAR}}] FROM m WHERE flagged),
+e AS (SELECT pos, 0 AS k, source_id AS source, means_id AS target, said AS label, 'interpreted as' AS relationship, sure AS confidence, band FROM m
+      UNION ALL SELECT pos, 1, means_id, target_id, said, 'maps to', sure, band FROM m UNION ALL SELECT pos, 2, rule_id, means_id, 'rule used', 'supports', sure, band FROM m
+      UNION ALL SELECT pos, 3, source_id, flag_id, CASE WHEN role = 'unmapped' THEN 'unmapped' ELSE said END, 'flagged by', sure, band FROM m WHERE flagged),
+told AS (SELECT id, string_agg(n || '=' || v, '|' ORDER BY n) AS details FROM (SELECT id, d.n AS n, arg_max(d.v, (pos, k)) AS v FROM (SELECT id, pos, k, unnest(d) AS d FROM n) GROUP BY ALL) GROUP BY 1),
+node AS (SELECT id, x.label AS label, x.type AS type, x.area AS area, x.confidence AS confidence, x.band AS band, x.severity AS severity, details
+         FROM (SELECT id, arg_min({{'label': label, 'type': type, 'area': area, 'confidence': confidence, 'band': band, 'severity': severity}}, (pos, k)) AS x FROM n GROUP BY 1) JOIN told USING (id)),
+edge AS (SELECT source, target, x.label AS label, x.relationship AS relationship, x.confidence AS confidence, x.band AS band
+         FROM (SELECT source, target, arg_min({{'label': label, 'relationship': relationship, 'confidence': confidence, 'band': band}}, (pos, k)) AS x FROM e GROUP BY 1, 2))
+"""
+NODE_COLUMNS = ("id", "label", "type", "area", "confidence", "band", "severity")
+
+
+def parts_graph(spark: SparkSession, sf: str) -> graph.Graph:
+    """A graph whose columns are all parts: many state the same nodes."""
+    k = F.col("p_partkey")
+    pick = lambda xs, n: F.get(F.array(*map(F.lit, xs)), (k % n).cast("int"))
+    role = pick(GRAPH_ROLES, len(GRAPH_ROLES))
+    concept = F.when(~role.isin("unmapped", "ignored"), pick(GRAPH_CONCEPTS, len(GRAPH_CONCEPTS)))
+    columns = read(spark, sf, "part").select(k.cast("long").alias("position"), F.col("p_name").alias("column"), concept.alias("concept"), role.alias("role"), ((k % 101).cast("double") / 100).alias("confidence"))
+    return graph.assemble(*graph.of_columns(columns))
+
+
+@query(f"{GRAPH_SQL} SELECT * FROM node")
+def graph_nodes(spark: SparkSession, sf: str) -> DataFrame:
+    """Nodes with the details of all their statements."""
+    told = F.array_join(F.array_sort(F.transform(F.map_entries("details"), lambda x: F.concat(x["key"], F.lit("="), x["value"]))), "|")
+    return parts_graph(spark, sf).nodes.select(*NODE_COLUMNS, told.alias("details"))
+
+
+@query(f"{GRAPH_SQL}, shown AS (SELECT id FROM node WHERE area <> 'exceptions' AND band IN ('high', 'medium')) SELECT * FROM edge WHERE band IN ('high', 'medium') AND source IN (SELECT id FROM shown) AND target IN (SELECT id FROM shown)")
+def graph_edges(spark: SparkSession, sf: str) -> DataFrame:
+    """Edges of at least medium confidence between nodes of such, exceptions left out."""
+    g = parts_graph(spark, sf)
+    _, edges = graph.visible(g.nodes, g.edges, areas=["product", "geography", "time", "metrics"], bands=["high", "medium"])
+    return edges.drop("id")
 
 
-@query("SELECT count(*)::BIGINT AS edges FROM (VALUES (1), (2), (3), (4), (5), (6), (7), (8), (9))")
-def graph_edges(spark: SparkSession, sf: str) -> DataFrame:
-    maps = graph.mappings_frame(spark, schema.detect(client_file(spark, sf)))
-    nodes, edges = graph.visible(graph.nodes_of(maps), graph.edges_of(maps))
-    return edges.agg(F.count(F.lit(1)).alias("edges"))
+@query(f"""{GRAPH_SQL} SELECT {", ".join(f"count(*) FILTER (WHERE type = '{t}') AS {n}" for n, t in (("client_fields", "client_field"), ("panel_fields", "panel_field"), ("rules", "rule"), ("exceptions", "exception")))},
+{", ".join(f"count(*) FILTER (WHERE band = '{t}') AS {n}" for n, t in (("high_confidence", "high"), ("medium_confidence", "medium"), ("low_confidence", "low"), ("needs_review", "needs_review")))} FROM node""")
+def graph_stats(spark: SparkSession, sf: str) -> DataFrame:
+    return graph.stats(parts_graph(spark, sf).nodes)
+
+
+@query(on_sides(f"""
+, q AS (SELECT count(DISTINCT market) AS markets, count(DISTINCT period_key) AS periods, count(DISTINCT upc_key) AS products, round(avg((period_key IS NOT NULL)::INT), 3) AS parsed, count(*) FILTER (WHERE record_status = 'needs_review') AS review FROM client),
+f AS (SELECT * FROM (SELECT 'Acme Stores' AS label, 'geography' AS area, 'Customer scope' AS means, 'Panel Customer' AS target, 0.85::DOUBLE AS sure UNION ALL SELECT markets || ' market values', 'geography', 'Market scope', 'Panel Market', CASE WHEN markets > 0 THEN 0.8 END FROM q
+      UNION ALL SELECT periods || ' periods', 'time', 'monthly', 'Panel Period', nullif(parsed, 0) FROM q UNION ALL SELECT products || ' products', 'product', 'Product scope', 'Panel Product Universe', CASE WHEN products > 0 THEN 0.75 END FROM q)),
+n AS (SELECT 'client-profile-' || {safe_sql("area || '-' || label")} AS id, label, 'client_field' AS type, area, sure FROM f UNION ALL SELECT 'meaning-' || {safe_sql("area || '-' || means")}, means, 'interpreted_meaning', area, sure FROM f
+      UNION ALL SELECT 'panel-field-' || {safe_sql("target")}, target, 'panel_field', area, sure FROM f)
+SELECT id, label, type, area, sure AS confidence, {band_sql("sure")} AS band, {severity_sql(band_sql("sure"))} AS severity FROM n
+UNION ALL SELECT 'exception-quality-review', 'Rows needing review', 'exception', 'exceptions', NULL, 'needs_review', 'critical' FROM q WHERE review > 0"""))
+def graph_profile(spark: SparkSession, sf: str) -> DataFrame:
+    """Nodes of the file as a whole."""
+    rows = model(spark, sf)
+    customer = profile.mode(rows, "customer_standardized").first()
+    return graph.assemble(*graph.of_profile(normalize.warned(rows), customer and customer["value"], "monthly")).nodes.select(*NODE_COLUMNS)
+
+
+#: Nodes and exceptions of a coverage run: statuses st, brands with gaps gap.
+COVERED_SQL = f"""
+, k AS (SELECT round(count(*) FILTER (WHERE {M}) / count(*), 4) AS rate, CASE WHEN count(*) FILTER (WHERE status IN ('needs_review', 'low_confidence_product_match')) > 0 THEN 'warning' ELSE 'info' END AS severity FROM r),
+places AS (SELECT DISTINCT market, panel_market FROM c WHERE market IS NOT NULL),
+spelled AS (SELECT * FROM alias ORDER BY client_brand LIMIT 10),
+st AS (SELECT *, CASE WHEN status IN ('metric_mismatch', 'needs_review') THEN 'critical' WHEN contains(status, 'matched') THEN 'info' ELSE 'warning' END AS severity
+       FROM (SELECT status, count(*) AS n, arg_min(reason, source_row_id) AS note FROM r WHERE status NOT IN ('matched', 'missing_from_client') GROUP BY 1 UNION ALL SELECT status, count(*), min(exception_reason) FROM g WHERE status = 'missing_from_client' GROUP BY 1)),
+gap AS (SELECT brand_norm AS brand, count(*) AS n, count(*) FILTER (WHERE {M}) AS hits, round(hits / n, 3) AS rate FROM r WHERE kpi_slice AND brand_norm IS NOT NULL GROUP BY 1 HAVING rate < 0.95 ORDER BY rate, n DESC, brand LIMIT 10)"""
+
+
+@query(on_run(f"""{COVERED_SQL}
+, n AS (SELECT 'rule-coverage-match-engine' AS id, 'Coverage match engine' AS label, 'rule' AS type, 'metrics' AS area, rate::DOUBLE AS confidence, {band_sql("rate")} AS band, severity FROM k
+  UNION ALL SELECT 'meaning-matched-coverage', 'Matched coverage result', 'interpreted_meaning', 'metrics', rate, {band_sql("rate")}, severity FROM k
+  UNION ALL SELECT 'rule-market-alignment', 'Market alignment rule', 'rule', 'geography', 0.6, 'low', 'warning'
+  UNION ALL FROM (VALUES ('rule-customer-alignment', 'Customer alignment rule', 'rule', 'geography', 0.85, 'medium', 'info'), ('client-customer-acme-stores', 'Acme Stores', 'client_field', 'geography', 0.85, 'medium', 'info'), ('panel-customer-acme', 'Acme', 'panel_field', 'geography', 0.85, 'medium', 'info'))
+  UNION ALL SELECT 'client-market-' || {safe_sql("market")}, market, 'client_field', 'geography', 0.9, 'high', 'info' FROM places WHERE panel_market IS NOT NULL
+  UNION ALL SELECT 'panel-market-' || {safe_sql("panel_market")}, panel_market, 'panel_field', 'geography', 0.9, 'high', 'info' FROM places WHERE panel_market IS NOT NULL
+  UNION ALL SELECT 'exception-unmapped-market-' || {safe_sql("market")}, 'Unmapped market: ' || market, 'exception', 'exceptions', NULL, 'needs_review', 'critical' FROM places WHERE panel_market IS NULL
+  UNION ALL SELECT DISTINCT 'rule-brand-fuzzy-aliases', 'Brand fuzzy alias rule', 'rule', 'product', 0.75, 'medium', 'info' FROM alias
+  UNION ALL SELECT 'client-brand-' || {safe_sql("client_brand")}, client_brand, 'client_field', 'product', 0.75, 'medium', 'info' FROM spelled
+  UNION ALL SELECT 'panel-brand-' || {safe_sql("panel_brand")}, panel_brand, 'panel_field', 'product', 0.75, 'medium', 'info' FROM spelled
+  UNION ALL SELECT 'exception-' || {safe_sql("status || '-' || n")}, status, 'exception', 'exceptions', NULL, CASE severity WHEN 'info' THEN 'medium' WHEN 'warning' THEN 'low' ELSE 'needs_review' END, severity FROM st
+  UNION ALL SELECT 'exception-' || {safe_sql("'brand-match-' || brand")}, 'Brand match: ' || brand, 'exception', 'exceptions', rate, {band_sql("rate")}, CASE WHEN rate = 0 THEN 'critical' ELSE 'warning' END FROM gap)
+SELECT * FROM n"""))
+def graph_coverage(spark: SparkSession, sf: str) -> DataFrame:
+    """Nodes of a coverage run."""
+    return graph.assemble(*graph.of_coverage(run(spark, sf))).nodes.select(*NODE_COLUMNS)
+
+
+@query(on_run(f"""{COVERED_SQL}
+SELECT 'exception-unmapped-market-' || {safe_sql("market")} AS id, 'Unmapped client market: ' || market AS title, 'geography' AS area, 'critical' AS severity, NULL::BIGINT AS rows, 'This client market has no panel market.' AS note FROM places WHERE panel_market IS NULL
+UNION ALL SELECT 'exception-' || {safe_sql("status || '-' || n")}, status, CASE WHEN status LIKE 'missing%' OR status LIKE '%mismatch' OR status LIKE '%review' THEN 'exceptions' ELSE 'product' END, severity, n, note FROM st WHERE severity <> 'info'
+UNION ALL SELECT 'exception-' || {safe_sql("'brand-match-' || brand")}, 'Brand coverage gap: ' || brand, 'product', CASE WHEN rate = 0 THEN 'critical' ELSE 'warning' END, n - hits, floor(rate * 100 + 0.5)::BIGINT || '% match rate for ' || brand || '.' FROM gap"""))
+def graph_exceptions(spark: SparkSession, sf: str) -> DataFrame:
+    """Exceptions of a coverage run: markets, statuses and the brands with the largest gaps."""
+    return graph.assemble(*graph.of_coverage(run(spark, sf))).exceptions.select("id", "title", "area", "severity", "rows", "note")
 
 
 @query(on_sides("""SELECT source_row_id::VARCHAR AS source_row_id, upper(market) AS "Market", upc AS "UPC", description AS "Item Description", brand AS "Brand" FROM client ORDER BY client.source_row_id LIMIT 25"""))
