@@ -531,7 +531,7 @@ WITH m AS (SELECT *, 'client-field-' || {safe_sql("name")} AS source_id, 'meanin
                WHEN concept = 'volume' THEN 'Panel Volume' WHEN role = 'metric' THEN 'Panel Measure' WHEN concept = 'other' THEN 'Panel other' ELSE 'Panel Target Field' END AS target,
           CASE role WHEN 'dimension' THEN 'Header and sample pattern match' WHEN 'metric' THEN 'Metric classifier' WHEN 'alternate' THEN 'Alternate field candidate' WHEN 'unmapped' THEN 'Manual review required' ELSE 'Excluded from mapping' END AS told_by
         FROM (SELECT pos, name, role, sure, CASE WHEN role NOT IN ('unmapped', 'ignored') THEN concept END AS concept
-              FROM (SELECT p_partkey AS pos, p_name AS name, ({list(GRAPH_ROLES)})[p_partkey % 5 + 1] AS role, ({["" if c is None else c for c in GRAPH_CONCEPTS]})[p_partkey % 13 + 1] AS c, nullif(c, '') AS concept, (p_partkey % 101)::DOUBLE / 100 AS sure FROM part)))),
+              FROM (SELECT p_partkey AS pos, p_name AS name, ({list(GRAPH_ROLES)})[p_partkey % 5 + 1] AS role, ({["" if c is None else c for c in GRAPH_CONCEPTS]})[p_partkey % 13 + 1] AS c, nullif(c, '') AS concept, (p_partkey * 37 % 101)::DOUBLE / 100 AS sure FROM part)))),
 n AS (SELECT pos, 0 AS k, source_id AS id, name AS label, 'client_field' AS type, area, sure AS confidence, band, severity, [{{'n': 'role', 'v': role}}, {{'n': 'concept', 'v': coalesce(concept, 'Not detected')}}, {{'n': 'evidence', 'v': told_by}}] AS d FROM m
       UNION ALL SELECT pos, 1, means_id, means, 'interpreted_meaning', area, sure, band, severity, [{{'n': 'source_column', 'v': name}}, {{'n': 'evidence', 'v': told_by}}] FROM m
       UNION ALL SELECT pos, 2, target_id, target, 'panel_field', area, sure, band, severity, [{{'n': 'derived_from', 'v': name}}, {{'n': 'detected_concept', 'v': coalesce(concept, 'Needs review')}}] FROM m
@@ -556,7 +556,7 @@ def parts_graph(spark: SparkSession, sf: str) -> graph.Graph:
     pick = lambda xs, n: F.get(F.array(*map(F.lit, xs)), (k % n).cast("int"))
     role = pick(GRAPH_ROLES, len(GRAPH_ROLES))
     concept = F.when(~role.isin("unmapped", "ignored"), pick(GRAPH_CONCEPTS, len(GRAPH_CONCEPTS)))
-    columns = read(spark, sf, "part").select(k.cast("long").alias("position"), F.col("p_name").alias("column"), concept.alias("concept"), role.alias("role"), ((k % 101).cast("double") / 100).alias("confidence"))
+    columns = read(spark, sf, "part").select(k.cast("long").alias("position"), F.col("p_name").alias("column"), concept.alias("concept"), role.alias("role"), ((k * 37 % 101).cast("double") / 100).alias("confidence"))
     return graph.assemble(*graph.of_columns(columns))
 
 

@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from shelfspan.sources.records import read_records
+from shelfspan.sources.workbooks import read_workbooks
 
 #: Rows that may hold the header.
 HEAD_ROWS = 10
@@ -109,14 +110,47 @@ def typed(body: DataFrame, plain: list[str], header: list[str]) -> DataFrame:
     return body.select(*((_numeric(c) if counts[c].k >= max(1, int(counts[c].n * 0.95)) else F.col(c)).alias(h) for c, h in kept), F.col("id").alias("source_row_id"))
 
 
-def read_excel(spark: SparkSession, path: str) -> Loaded:
-    """The fullest sheet of a workbook. Workbooks are read on the driver, so this is for files of its size; needs openpyxl or xlrd."""
+def read_xlsx(spark: SparkSession, path: str) -> Loaded:
+    """The sheet of a workbook that has most cells of data, times its columns (40 count at most); the first of equal ones.
+
+    source_row_id is the row of the sheet, from 0. Raises ValueError for a workbook without data.
+    """
+    found = read_workbooks(spark, path)
+    head: dict[int, list[list]] = {}
+    names: dict[int, str] = {}
+    for r in found.where(F.col("row") < HEAD_ROWS).orderBy("sheet_no", "row").collect():  # HEAD_ROWS of each sheet
+        names[r.sheet_no] = r.sheet
+        if r.row >= 0:
+            rows = head.setdefault(r.sheet_no, [])
+            rows += [[]] * (r.row - len(rows))
+            rows.append([c if c is None or t else float("nan") for c, t in zip(r.cells, r.is_text, strict=True)])
+    header = {k: find_header(rows) for k, rows in head.items()}
+    below = F.create_map(*(F.lit(x) for pair in header.items() for x in pair))[F.col("sheet_no")] if header else F.lit(0)
+    filled = found.where(F.col("row") > F.coalesce(below, F.lit(-1))).select("sheet_no", F.posexplode("cells").alias("k", "x")).where("trim(x) != ''")
+    sizes = {r.sheet_no: r for r in filled.groupBy("sheet_no").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("k").alias("wide"), (F.max("k") + 1).alias("width")).collect()}
+    if not sizes:
+        raise ValueError(f"no sheet of {PurePosixPath(path).name} has data")
+    best = max(sorted(sizes), key=lambda k: sizes[k].n * min(sizes[k].wide, 40))
+    at = header.get(best, 0)
+    sheet = found.where((F.col("sheet_no") == best) & (F.col("row") >= at))
+    titles = sheet.where(F.col("row") == at).select("cells").first()
+    plain = [f"_c{k}" for k in range(sizes[best].width)]
+    cells = [(c or "").strip() or None for c in (titles.cells if titles else [])]
+    body = sheet.where(F.col("row") > at).select(F.col("row").alias("id"), *(F.nullif(F.trim(F.get("cells", F.lit(k))), F.lit("")).alias(c) for k, c in enumerate(plain))).where(F.coalesce(*plain).isNotNull())
+    sheets = [names[k] for k in sorted(names)]
+    notes = [f"{len(sheets)} sheets; {names[best]} was read."] if len(sheets) > 1 else []
+    width = max(len(plain), len(cells))
+    return Loaded(typed(body, plain, unique_names(cells + [None] * (width - len(cells)), width)[: len(plain)]), PurePosixPath(path).name, names[best], sheets, at, notes + [f"The header is in row {at + 1}."] * bool(at))
+
+
+def read_xls(spark: SparkSession, path: str) -> Loaded:
+    """The fullest sheet of a workbook in the older binary format (.xls). It is read on the driver, and has 65,536 rows at most; needs xlrd."""
     import pandas as pd
 
     try:
         sheets = pd.read_excel(path, sheet_name=None, header=None, dtype=object)
     except ImportError as e:
-        raise RuntimeError("reading workbooks needs openpyxl (xlsx) or xlrd (xls)") from e
+        raise RuntimeError("reading .xls needs xlrd") from e
     name = max(sheets, key=lambda s: int(sheets[s].notna().sum().sum()) * min(sheets[s].shape[1], 40))
     raw = sheets[name]
     rows = [[None if pd.isna(v) else v for v in r] for r in raw.itertuples(index=False)]
@@ -133,8 +167,10 @@ def load(spark: SparkSession, path: str) -> Loaded:
     kind = PurePosixPath(path).suffix.lower()
     if kind == ".csv":
         return read_csv(spark, path)
-    if kind in (".xlsx", ".xls"):
-        return read_excel(spark, path)
+    if kind == ".xlsx":
+        return read_xlsx(spark, path)
+    if kind == ".xls":
+        return read_xls(spark, path)
     if kind == ".parquet":
         return Loaded(spark.read.parquet(path).withColumn("source_row_id", F.monotonically_increasing_id()), PurePosixPath(path).name)
     raise ValueError(f"unsupported file type: {kind or 'none'}")
