@@ -20,8 +20,10 @@ SPAN = 9
 #: A stretch's score must reach this, or this share of a shorter item's words.
 MIN_SCORE = 13
 MIN_SHARE = 0.7
-#: An item too short for seeds, but of at least so many words, is found anywhere in a text; a shorter one only as an entire text.
+#: An item too short for these masks, but of at least so many words, is found anywhere in a text; a shorter one only as an entire text.
 MIN_INSIDE = 5
+#: From so many words on, one inner word of such an item may be replaced: of its two masks, 1010.. and 0101.., one doesn't see that word.
+MIN_TOLERANT = 6
 
 
 def words(text: Column) -> Column:
@@ -89,16 +91,33 @@ def _verified(hits: DataFrame) -> DataFrame:
     return hits.select("*", best.alias("best")).where(F.col("best.score") >= F.least(F.lit(MIN_SCORE), F.ceil(F.size("g") * MIN_SHARE)))
 
 
-def _whole_items(doc: DataFrame, short: DataFrame, sizes: list[int]) -> DataFrame:
-    """(doc, item_id, best): items of fewer words than SPAN that documents hold word for word; `short` has item_id and key."""
+def _short_keys(h: str, at: Column, n: int) -> list[Column]:
+    """Hashes of the n words from place `at` (from 0) on under the masks for items of n words."""
+    masks = [range(p, n, 2) for p in (0, 1)] if n >= MIN_TOLERANT else [range(n)]
+    return [F.xxhash64(F.lit(n), F.lit(m), *(F.get(h, at + k) for k in places)) for m, places in enumerate(masks)]
+
+
+def _short_hits(doc: DataFrame, items: DataFrame, sizes: list[int], broadcast: bool) -> DataFrame:
+    """(doc, item_id, score, start, words): items of fewer words than SPAN at the places of documents where enough words agree.
+
+    A place carries its own n words, not the document's, so what is compared stays small on either kind of join.
+    """
 
     def places(n: int) -> Column:
         last = F.size("h") - n
         at = F.when(last >= 0 if n >= MIN_INSIDE else last == 0, F.sequence(F.lit(0), F.greatest(last, F.lit(0)))).otherwise(F.array().cast("array<int>"))
-        return F.transform(at, lambda i: F.struct(F.xxhash64(F.lit(n), *(F.get("h", i + k) for k in range(n))).alias("key"), F.struct(F.lit(n).alias("score"), i.alias("start"), F.lit(n).alias("words")).alias("best")))
+        return F.flatten(F.transform(at, lambda i: F.array(*(F.struct(k.alias("key"), i.alias("start"), F.slice("h", i + 1, n).alias("said")) for k in _short_keys("h", i, n)))))
 
-    at = doc.select("doc", F.explode(F.concat(*map(places, sizes))).alias("at")).select("doc", "at.key", "at.best")
-    return at.join(short, "key").select("doc", "item_id", "best")
+    side = None
+    for n in sizes:
+        part = items.where(F.size("g") == n).select("item_id", "g", F.explode(F.array(*_short_keys("g", F.lit(0), n))).alias("key"))
+        side = part if side is None else side.unionByName(part)
+    at = doc.select("doc", F.explode(F.concat(*map(places, sizes))).alias("at")).select("doc", "at.*")
+    n = F.size("g")
+    agree = F.size(F.filter(F.arrays_zip("said", "g"), lambda x: x["said"] == x["g"]))
+    least = n - F.when(n >= MIN_TOLERANT, 1).otherwise(0)
+    ends = (F.get("said", F.lit(0)) == F.get("g", F.lit(0))) & (F.element_at("said", -1) == F.element_at("g", -1))
+    return at.join(F.broadcast(side) if broadcast else side, "key").where((F.size("said") == n) & (agree >= least) & ends).select("doc", "item_id", (2 * agree - n).alias("score"), "start", n.alias("words"))
 
 
 def leaks(docs: DataFrame, benchmark: DataFrame, key: str, text: str = "text", item_id: str = "item_id", item_text: str = "text", broadcast_bytes: int = 64 << 20) -> DataFrame:
@@ -107,8 +126,8 @@ def leaks(docs: DataFrame, benchmark: DataFrame, key: str, text: str = "text", i
     `key` names the document; rows that share a key are one document. A row for each key and item. Null texts
     are empty; extra columns are ignored. A null key or item_id is a value of its own.
 
-    Items of fewer than SPAN words, which no seed fits, must agree in all words: from MIN_INSIDE words on
-    anywhere in a text, below as an entire text. Items without a word give none.
+    Items of fewer than SPAN words have masks of their own. From MIN_TOLERANT words on all words but one inner one
+    must agree, from MIN_INSIDE on all, anywhere in a text; shorter items must be an entire text. Items without a word give none.
 
     While the benchmark's seeds, each with its item's word hashes, take at most `broadcast_bytes` (summed
     first), they are broadcast and documents aren't shuffled at all. Beyond that, seeds of both sides meet in
@@ -137,11 +156,8 @@ def leaks(docs: DataFrame, benchmark: DataFrame, key: str, text: str = "text", i
         found = _verified(doc.join(pairs, "text_md5").join(words_of, "item_md5"))
     found = found.select("doc", "item_id", "best.score", "best.start", "best.words")
     if shorter:
-        # Nulls beyond an item's words leave its hash as it is.
-        short = items.where(too_short).select("item_id", F.xxhash64(n, *(F.get("g", F.lit(k)) for k in range(SPAN - 1))).alias("key"))
         of = docs.select(F.col(f"`{key}`").alias("doc"), hashes(F.col(text)).alias("h"))
-        held = _whole_items(of, F.broadcast(short) if shorter * 64 <= broadcast_bytes else short, sizes)
-        found = found.unionByName(held.select("doc", "item_id", "best.score", "best.start", "best.words"))
+        found = found.unionByName(_short_hits(of, items.where(too_short), sizes, broadcast=shorter * 320 <= broadcast_bytes))
     best = F.max(F.struct(F.col("score"), (-F.col("start")).alias("before"), F.col("words")))
     return found.groupBy("doc", "item_id").agg(best.alias("best")).select(F.col("doc").alias(key), "item_id", F.col("best.score").cast("long").alias("score"), (-F.col("best.before")).cast("long").alias("start"), F.col("best.words").cast("long").alias("words"))
 
