@@ -63,9 +63,10 @@ BETWEEN, BEFORE_FIGURES = re.compile(r"[\s,.-]*"), re.compile(r"[\s-]*")
 IN_A_ROW = 3
 ANY_DIGIT_WORD = re.compile(rf"\b(?:{DIGIT_WORD})[\s,.-]+(?:{DIGIT_WORD})[\s,.-]+(?:{DIGIT_WORD})\b", re.IGNORECASE)
 BRACKETED = re.compile(r"(?:\[\s*(?P<a>at|@|dot|\.)\s*\]|\(\s*(?P<b>at|@|dot|\.)\s*\)|\{\s*(?P<c>at|@|dot|\.)\s*\}|<\s*(?P<d>at|@|dot|\.)\s*>)\s*", re.IGNORECASE)
-#: Last labels that make `at` and `dot` between blanks an address.
-LAST = "com|org|net|edu|gov|mil|info|biz|dev|app|co|io|ai|me|tv|de|fr|es|it|uk|eu|us|ch|nl|be|pl|se|pt|mx|ca|au|ru|in|jp|cn|br|example|test|invalid"
-SPACED = re.compile(rf"(?<=[A-Za-z0-9])(?P<at>[ _]+at[ _]+)(?P<host>[A-Za-z0-9-]+(?:(?:[ _]+dot[ _]+|\.)[A-Za-z0-9-]+)*[ _]+dot[ _]+(?:{LAST})\b)", re.IGNORECASE)
+#: Words that `at` or `dot` between blanks stand beside in sentences; a host with one of them as a label isn't an address.
+PROSE = "a|an|the|this|that|these|those|of|in|on|to|is|was|are|and|or|but|by|for|from|my|your|his|her|its|our|their|each|every|any|no|one|it|which|what|where|with|as|at|dot"
+LABEL = rf"(?!(?:{PROSE})\b)[A-Za-z0-9-]+"
+SPACED = re.compile(rf"(?<=[A-Za-z0-9])(?P<at>[ _]+at[ _]+)(?P<host>{LABEL}(?:(?:[ _]+dot[ _]+|\.){LABEL})*[ _]+dot[ _]+(?!(?:{PROSE})\b)[A-Za-z]{{2,24}}(?![A-Za-z0-9-]))", re.IGNORECASE)
 DOT_WORD = re.compile(r"(?<![ _])[ _]+dot[ _]+", re.IGNORECASE)
 AROUND_AT = re.compile(r"(?<=[A-Za-z0-9])[ \t]+@[ \t]*(?=[A-Za-z0-9])|(?<=[A-Za-z0-9])@[ \t]+(?=[A-Za-z0-9])")
 #: What may stand in the part before an @, and a host whose labels are joined by dots or dot words.
