@@ -18,12 +18,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from shelfspan.llm.bpe import Remembered
-from shelfspan.llm.common import ROWS_AT_A_TIME, free_name, held_out, map_rows, small_batches, table
+from shelfspan.llm.common import free_name, held_out, map_rows, small_batches, table
 
 #: Number of weights: the model has at most as many entries, 12 MB.
 DIM = 1 << 20
 #: Labelled rows that are learned from at most: those with the least hashes of their ids. This bounds a task. On 0.1 GB, 5,000, 10,000 and 15,500 rows find 0.89, 0.94 and 0.97 of the held-out toxic texts.
 SAMPLE = 20_000
+#: Features of these rows that are learned from at most, 240 MB: rows are taken in order of their ids' hashes until they have so many. This bounds the task's memory whatever the texts' length.
+FEATURES = 60_000_000
 ALPHA, BETA, L1, L2, EPOCHS = 0.5, 1.0, 4.0, 1.0, 4
 THRESHOLD = 0.3
 
@@ -74,32 +76,46 @@ def training_rows(docs: DataFrame, labels: DataFrame, doc_id: str, text: str, la
     return docs.join(F.broadcast(of), F.col(doc_id) == F.col("of")).select(F.col("of").alias("doc_id"), F.col(text).alias("text"), "label").groupBy("doc_id").agg(F.min("text").alias("text"), F.first("label").alias("label"))
 
 
-def train(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", label: str = "toxic") -> tuple[np.ndarray, np.ndarray]:
+def featurise() -> Callable:
+    hashed = word_hashes()
+
+    def f(rows: dict[str, list]) -> dict[str, list]:
+        place = [xxhash.xxh3_64_intdigest(n) - (1 << 63) for n in rows["name"]]
+        return {"place": place, "name": rows["name"], "label": rows["label"], "at": [features(t, hashed).astype(np.int32) for t in rows["text"]]}
+
+    return f
+
+
+def fit(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[pa.RecordBatch]:
+    """One batch (feature, weight) from batches with columns label and at, in the order given; rows after the one that brings the features to `most` aren't learned from."""
+    rows, held = [], 0
+    for b in batches:
+        for y, at in zip(b.column("label").to_pylist(), b.column("at"), strict=True):
+            if held < most:
+                rows.append((np.append(at.values.to_numpy(), np.int32(DIM)), y))
+                held += len(rows[-1][0])
+    if not rows:
+        return
+    model = Ftrl()
+    for _ in range(EPOCHS):
+        for at, y in rows:
+            model.learn(at, y)
+    at = np.arange(DIM + 1)
+    w = model.weights(at)
+    used = w != 0
+    yield pa.RecordBatch.from_arrays([pa.array(at[used]), pa.array(w[used])], names=["feature", "weight"])
+
+
+def train(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", label: str = "toxic", most: int = FEATURES) -> tuple[np.ndarray, np.ndarray]:
     """(features, weights) that aren't zero, the bias as feature DIM; both empty if there is nothing to learn from.
 
-    The sample of at most SAMPLE rows is learned by one task, in order of hashed ids.
+    Texts of the sample of at most SAMPLE rows become features in many tasks; one task learns from these, in
+    order of hashed ids, and holds at most `most` of them besides the last text's.
     """
-
-    def fit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashed, rows = word_hashes(), []
-        for b in batches:
-            for k in range(0, b.num_rows, ROWS_AT_A_TIME):
-                part = b.slice(k, ROWS_AT_A_TIME)
-                rows += [(i, np.append(features(t, hashed), DIM).astype(np.int32), y) for i, t, y in zip(*(part.column(c).to_pylist() for c in ("doc_id", "text", "label")), strict=True)]
-        if not rows:
-            return
-        rows.sort(key=lambda r: (xxhash.xxh3_64_intdigest(str(r[0])), r[0]))
-        model = Ftrl()
-        for _ in range(EPOCHS):
-            for _, at, y in rows:
-                model.learn(at, y)
-        at = np.arange(DIM + 1)
-        w = model.weights(at)
-        used = w != 0
-        yield pa.RecordBatch.from_arrays([pa.array(at[used]), pa.array(w[used])], names=["feature", "weight"])
-
-    rows = training_rows(docs, labels, doc_id, text, label)
-    model = rows.repartition(1).mapInArrow(fit, "feature long, weight double").toPandas()  # at most DIM + 1 rows
+    rows = training_rows(docs, labels, doc_id, text, label).select(F.col("doc_id").cast("string").alias("name"), "label", "text")
+    ready = map_rows(rows, ["name", "label", "text"], "place long, name string, label double, at array<int>", featurise)
+    ordered = ready.repartition(1).sortWithinPartitions("place", "name").select("label", "at")
+    model = ordered.mapInArrow(lambda batches: fit(batches, most), "feature long, weight double").toPandas()  # at most DIM + 1 rows
     return model["feature"].to_numpy(np.int64), model["weight"].to_numpy(np.float64)
 
 

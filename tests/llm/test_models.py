@@ -1,5 +1,6 @@
 """Toxicity, near duplicates, personal data, language and the pipeline."""
 
+import math
 import random
 import re
 import time
@@ -8,6 +9,7 @@ from collections import Counter
 
 import numpy as np
 import pytest
+import xxhash
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
@@ -42,6 +44,48 @@ def test_toxicity_held_out(spark):
     assert toxicity.score(docs.limit(0), toxicity.train(docs.limit(0), labels)).count() == 0
 
 
+def ftrl_by_hand(rows):
+    """Weights after learning (features, label) rows: one number at a time, by the published update rule."""
+    z, n = {}, {}
+
+    def weight(i):
+        l1 = 0.0 if i == toxicity.DIM else toxicity.L1
+        if abs(z.get(i, 0.0)) <= l1:
+            return 0.0
+        return -(z[i] - math.copysign(l1, z[i])) / ((toxicity.BETA + math.sqrt(n[i])) / toxicity.ALPHA + toxicity.L2)
+
+    for _ in range(toxicity.EPOCHS):
+        for at, y in rows:
+            w = {i: weight(i) for i in at}
+            g = 1 / (1 + math.exp(-sum(w.values()))) - y
+            for i in at:
+                old = n.get(i, 0.0)
+                z[i] = z.get(i, 0.0) + g - (math.sqrt(old + g * g) - math.sqrt(old)) / toxicity.ALPHA * w[i]
+                n[i] = old + g * g
+    return {i: w for i in z if (w := weight(i)) != 0}
+
+
+def test_weights_against_brute_force(spark):
+    """The model, its scores and its bounds, over texts with ties: repeated ids with different texts and labels."""
+    rng = random.Random(9)
+    texts = {i: " ".join(rng.choices("tree house river stone cloud awful vermin".split(), k=rng.randrange(25))) for i in range(150)}
+    toxic = {i: int("awful vermin" in t) for i, t in texts.items()}
+    docs = spark.createDataFrame([*texts.items(), (7, texts[7]), (8, texts[8] + " zebra")], "doc_id long, text string").repartition(5)
+    labels = spark.createDataFrame([*toxic.items(), (9, 1), (9, 0)], "doc_id long, toxic int")
+    toxic[9] = 1
+    order = sorted((i for i in texts if not held(i)), key=lambda i: xxhash.xxh3_64_intdigest(str(i)))
+    hashed = toxicity.word_hashes()
+    rows = [([*toxicity.features(texts[i], hashed).tolist(), toxicity.DIM], toxic[i]) for i in order]
+    at, w = toxicity.train(docs, labels)
+    want = ftrl_by_hand(rows)
+    assert len(want) > 5 and dict(zip(at.tolist(), w.tolist(), strict=True)) == pytest.approx(want, rel=1e-9)
+    for r in toxicity.score(docs, (at, w)).collect():
+        assert r.score == pytest.approx(1 / (1 + math.exp(-sum(want.get(i, 0.0) for i in [*toxicity.features(r.text, hashed).tolist(), toxicity.DIM]))))
+    half = next(k for k in range(len(rows)) if sum(len(f) for f, _ in rows[: k + 1]) >= 1500)
+    at, w = toxicity.train(docs, labels, most=1500)
+    assert dict(zip(at.tolist(), w.tolist(), strict=True)) == pytest.approx(ftrl_by_hand(rows[: half + 1]), rel=1e-9)
+
+
 # -- near duplicates
 
 
