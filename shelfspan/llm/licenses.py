@@ -1,8 +1,9 @@
 """Licence scans by canonical digest lookup (DataFrame functions only).
 
 Case, punctuation, copyright lines and equivalent spellings are normalised away, and the SHA-256 of what
-remains is joined to the digests of known licences. Both each line and the entire text of a document are
-looked up: a notice usually is a line, a licence file is an entire text.
+remains is joined to the digests of known licences. Each line, each paragraph of several lines and the entire
+text of a document are looked up: a notice is a line or a paragraph at the head of a file, a licence file is an
+entire text.
 """
 
 from __future__ import annotations
@@ -69,6 +70,33 @@ NOTICES = (
     "This project is licensed under the {}.",
     "This software is licensed under the {}.",
 )
+#: Identifiers of the SPDX list that name each licence, where they aren't the licence's key alone.
+SPDX = {
+    "GPL-2.0": ("GPL-2.0", "GPL-2.0-only", "GPL-2.0-or-later", "GPL-2.0+"),
+    "GPL-3.0": ("GPL-3.0", "GPL-3.0-only", "GPL-3.0-or-later", "GPL-3.0+"),
+    "LGPL-2.1": ("LGPL-2.1", "LGPL-2.1-only", "LGPL-2.1-or-later", "LGPL-2.1+"),
+    "LGPL-3.0": ("LGPL-3.0", "LGPL-3.0-only", "LGPL-3.0-or-later", "LGPL-3.0+"),
+    "AGPL-3.0": ("AGPL-3.0", "AGPL-3.0-only", "AGPL-3.0-or-later"),
+}
+#: What the notices of the GNU licences have in common.
+GNU_NOTICE = "{} you can redistribute it and/or modify it under the terms of the GNU {}General Public License as published by the Free Software Foundation{} version {} of the License, or (at your option) any later version."
+#: Notices and titles of several lines, as the licences publish them.
+BLOCKS = {
+    "Apache-2.0": (
+        'Licensed under the Apache License, Version 2.0 (the "License");',
+        'Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance with the License. You may obtain a copy of the License at',
+        'Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance with the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0',
+        "Apache License Version 2.0, January 2004",
+        "Apache License Version 2.0, January 2004 http://www.apache.org/licenses/",
+    ),
+    "GPL-2.0": (GNU_NOTICE.format("This program is free software;", "", "; either", "2"), "GNU GENERAL PUBLIC LICENSE Version 2, June 1991"),
+    "GPL-3.0": (GNU_NOTICE.format("This program is free software:", "", ", either", "3"), "GNU GENERAL PUBLIC LICENSE Version 3, 29 June 2007"),
+    "LGPL-2.1": (GNU_NOTICE.format("This library is free software;", "Lesser ", "; either", "2.1"), "GNU LESSER GENERAL PUBLIC LICENSE Version 2.1, February 1999"),
+    "LGPL-3.0": (GNU_NOTICE.format("This library is free software:", "Lesser ", ", either", "3"), "GNU LESSER GENERAL PUBLIC LICENSE Version 3, 29 June 2007"),
+    "AGPL-3.0": (GNU_NOTICE.format("This program is free software:", "Affero ", ", either", "3"), "GNU AFFERO GENERAL PUBLIC LICENSE Version 3, 19 November 2007"),
+    "MPL-2.0": ("This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at http://mozilla.org/MPL/2.0/.",),
+    "EPL-2.0": ("This program and the accompanying materials are made available under the terms of the Eclipse Public License 2.0 which is available at https://www.eclipse.org/legal/epl-2.0/",),
+}
 #: What the BSD texts have in common.
 BSD_HEAD = """Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:
 
@@ -121,14 +149,16 @@ TITLES = {"MIT": "MIT License", "ISC": "ISC License", "0BSD": "BSD Zero Clause L
 
 def known_rows() -> list[tuple[str, str]]:
     rows = [(k, n.format(name)) for k, names in NAMES.items() for name in names for n in NOTICES]
+    rows += [(k, f"SPDX-License-Identifier: {i}") for k in dict.fromkeys([*NAMES, *TEXTS]) for i in SPDX.get(k, (k,))]
+    rows += [(k, b) for k, blocks in BLOCKS.items() for b in blocks]
     return rows + [(k, head + t) for k, t in TEXTS.items() for head in ("", TITLES[k] + "\n\n")]
 
 
 def known_licenses(spark: SparkSession, folder: str | None = None) -> DataFrame:
     """(license, text): the notices and short texts that this module states, and the whole of each file in `folder`, whose name is the licence's.
 
-    Long licences (Apache, GPL, MPL, CC) have no entire text here: without a folder of their published texts only
-    notices find them.
+    Long licences (Apache, GPL, MPL, CC) have no entire text here: without a folder of their published texts
+    notices, titles and SPDX lines of one identifier find them.
     """
     known = spark.createDataFrame(known_rows(), "license string, text string")
     if folder is None:
@@ -146,9 +176,23 @@ def canonical(line: Column) -> Column:
     return F.trim(out)
 
 
+def all_canonical_lines(text: Column) -> Column:
+    return F.transform(F.split(F.coalesce(text, F.lit("")), "\n"), canonical)
+
+
+def filled(forms: Column) -> Column:
+    return F.filter(forms, lambda x: x != "")
+
+
 def canonical_lines(text: Column) -> Column:
     """The canonical forms of a text's lines, without empty ones."""
-    return F.filter(F.transform(F.split(F.coalesce(text, F.lit("")), "\n"), canonical), lambda x: x != "")
+    return filled(all_canonical_lines(text))
+
+
+def canonical_blocks(lines: Column) -> Column:
+    """Paragraphs of two lines or more, as one form each: lines between those of empty form (blank ones, bare comment marks, copyright lines)."""
+    blocks = F.transform(F.split(F.array_join(lines, "\n"), "\n\n+"), lambda x: F.btrim(x, F.lit("\n")))
+    return F.transform(F.filter(blocks, lambda x: F.contains(x, F.lit("\n"))), lambda x: F.translate(x, "\n", " "))
 
 
 def digest(canonical_text: Column) -> Column:
@@ -162,27 +206,23 @@ def known_digests(known: DataFrame) -> DataFrame:
 
 
 def scan(docs: DataFrame, known: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """(doc_id, license, n_lines, entire_text): known licences that documents state, a row for each document and licence.
+    """(doc_id, license, n_lines, n_blocks, entire_text): known licences that documents state, a row for each document and licence.
 
-    `n_lines` counts the lines that are a notice of the licence; `entire_text` says whether all of the text is
-    a known text of it. Null and empty texts state none. Rows with the same doc_id are one document with their
+    `n_lines` counts the lines that are a notice of the licence, `n_blocks` the paragraphs of several lines that
+    are a known text of it, however they are wrapped or commented out; `entire_text` says whether all of the
+    text is one. Null and empty texts state none. Rows with the same doc_id are one document with their
     findings added up (a null doc_id too), so a repeated row counts its lines twice. Other columns are ignored.
     One pass over the texts and a hash join to the digests; only findings are shuffled.
     """
-    lines = docs.select(F.col(doc_id).alias("doc_id"), canonical_lines(F.col(text)).alias("lines"))
-    units = lines.select(
-        "doc_id",
-        F.explode(
-            F.concat(
-                F.transform("lines", lambda x: F.struct(F.lit(False).alias("entire"), digest(x).alias("digest"))),
-                F.array(F.struct(F.lit(True).alias("entire"), digest(F.array_join("lines", " ")).alias("digest"))),
-            )
-        ).alias("unit"),
-    ).select("doc_id", "unit.entire", "unit.digest")
-    found = units.join(small_side(known_digests(known)), "digest")
+    every = docs.select(F.col(doc_id).alias("doc_id"), all_canonical_lines(F.col(text)).alias("every"))
+    forms = every.select("doc_id", filled(F.col("every")).alias("lines"), canonical_blocks(F.col("every")).alias("blocks"))
+    unit = lambda kind: lambda x: F.struct(F.lit(kind).alias("kind"), digest(x).alias("digest"))
+    units = F.concat(F.transform("lines", unit("line")), F.transform("blocks", unit("block")), F.array(unit("entire")(F.array_join("lines", " "))))
+    found = forms.select("doc_id", F.explode(units).alias("unit")).select("doc_id", "unit.kind", "unit.digest").join(small_side(known_digests(known)), "digest")
     return found.groupBy("doc_id", "license").agg(
-        F.sum(F.when(~F.col("entire"), 1).otherwise(0)).cast("long").alias("n_lines"),
-        F.max("entire").alias("entire_text"),
+        F.count_if(F.col("kind") == "line").alias("n_lines"),
+        F.count_if(F.col("kind") == "block").alias("n_blocks"),
+        F.max(F.col("kind") == "entire").alias("entire_text"),
     )
 
 
@@ -196,13 +236,17 @@ def op2_sql() -> str:
     text = f"regexp_replace(regexp_replace(lower(x), {quoted(COPYRIGHT_LINE)}, '', 'g'), {quoted(NOT_WORD)}, ' ', 'g')"
     for pattern, to in SPELLINGS:
         text = f"regexp_replace({text}, {quoted(pattern)}, {quoted(to.replace('$', chr(92)))}, 'g')"
-    lines = f"list_filter(list_transform(string_split(coalesce(text, ''), chr(10)), lambda x: trim({text}, ' ')), lambda y: y <> '')"
+    every = f"list_transform(string_split(coalesce(text, ''), chr(10)), lambda x: trim({text}, ' '))"
+    filled = "list_filter(every, lambda y: y <> '')"
+    blocks = "list_transform(string_split_regex(array_to_string(every, chr(10)), '\\n\\n+'), lambda x: trim(x, chr(10)))"
+    blocks = f"list_transform(list_filter({blocks}, lambda x: contains(x, chr(10))), lambda x: replace(x, chr(10), ' '))"
     values = ", ".join(f"({quoted(k)}, {quoted(t)})" for k, t in known_rows())
     return f"""
-WITH known AS (SELECT DISTINCT license, array_to_string({lines}, ' ') AS form FROM (VALUES {values}) AS v(license, text)),
-forms AS (SELECT doc_id, {lines} AS lines FROM documents),
-units AS (SELECT doc_id, false AS entire, unnest(lines) AS form FROM forms
-          UNION ALL SELECT doc_id, true, array_to_string(lines, ' ') FROM forms)
-SELECT doc_id, license, CAST(sum(CASE WHEN entire THEN 0 ELSE 1 END) AS BIGINT) AS n_lines, bool_or(entire) AS entire_text
+WITH known AS (SELECT DISTINCT license, array_to_string({filled}, ' ') AS form FROM (SELECT license, {every} AS every FROM (VALUES {values}) AS v(license, text))),
+forms AS (SELECT doc_id, {filled} AS lines, {blocks} AS blocks FROM (SELECT doc_id, {every} AS every FROM documents)),
+units AS (SELECT doc_id, 'line' AS kind, unnest(lines) AS form FROM forms
+          UNION ALL SELECT doc_id, 'block', unnest(blocks) FROM forms
+          UNION ALL SELECT doc_id, 'entire', array_to_string(lines, ' ') FROM forms)
+SELECT doc_id, license, count(*) FILTER (kind = 'line') AS n_lines, count(*) FILTER (kind = 'block') AS n_blocks, bool_or(kind = 'entire') AS entire_text
 FROM units JOIN known USING (form) WHERE form <> '' GROUP BY doc_id, license
 """

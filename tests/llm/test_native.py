@@ -158,6 +158,38 @@ def test_leaks_against_brute_force(spark):
     got = {(r.doc_id, r.item_id) for r in decontaminate.leaks(docs, bench, "doc_id").collect()}
     assert want <= got and len(got) <= len(want) + 2
 
+def test_notices_of_several_lines(spark, tmp_path):
+    """Heads of source files and titles of licence files, wrapped and commented out in any way; SQL finds the same."""
+    apache = '# Licensed under the Apache License, Version 2.0 (the "License");\n# you may not use this file except in compliance\n# with the License. You may obtain a copy of the License at\n#\n#   https://www.apache.org/licenses/LICENSE-2.0\n'
+    gnu = "/*\n * Copyright (C) 2021 Some Body\n *\n * This program is free software: you can redistribute it and/or modify\n * it under the terms of the GNU General Public Licence as published by\n * the Free Software Foundation, either version 3 of the License, or\n * (at your option) any later version.\n */\nint main"
+    docs = [
+        (1, apache),
+        (2, "                Apache License\n           Version 2.0, January 2004\n        http://www.apache.org/licenses/\n\n   TERMS AND CONDITIONS"),
+        (3, "// SPDX-License-Identifier: MIT\nfn main() {}"),
+        (4, gnu.removesuffix("int main")),
+        (5, "This project is licensed under\nthe MIT License.\n\nmore"),
+        (6, "# SPDX-License-Identifier: GPL-2.0-or-later"),
+        (7, "about the Apache License\nVersion 2.0, January 2004"),
+        (8, "\n\n\n"),
+        (1, apache),
+        (9, gnu),
+    ]
+    d = spark.createDataFrame([(i, t, "x") for i, t in docs], "doc_id long, text string, kind string")
+    got = sorted(tuple(r) for r in licenses.scan(d, licenses.known_licenses(spark)).collect())
+    assert got == [
+        (1, "Apache-2.0", 2, 2, True),
+        (2, "Apache-2.0", 0, 1, False),
+        (3, "MIT", 1, 0, False),
+        (4, "GPL-3.0", 0, 1, False),
+        (5, "MIT", 0, 1, False),
+        (6, "GPL-2.0", 1, 0, True),
+        (9, "GPL-3.0", 0, 1, False),
+    ]
+    d.write.parquet(str(tmp_path / "documents.parquet"))
+    with duckdb.connect() as con:
+        con.execute(f"CREATE VIEW documents AS SELECT * FROM read_parquet('{tmp_path}/documents.parquet/*.parquet')")
+        assert sorted(con.execute(licenses.op2_sql()).fetchall()) == got
+
 
 # -- fingerprints
 
