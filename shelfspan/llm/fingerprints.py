@@ -23,6 +23,8 @@ PARAGRAPH = r"[^\n]{1,64}[^\n.!?]{0,64}[.!?]*"
 TABLES = 3
 #: Cells of a fingerprint's subtable.
 CELLS = 8
+#: A pair that doesn't peel is tried again with 4 times as many cells: each retry costs a round of jobs, so there are fewer than with twice as many.
+GROWTH_BITS = 2
 #: Peeling steps; each takes digests out of one subtable.
 STEPS = 12
 
@@ -93,29 +95,34 @@ def peel(cells: DataFrame, by: list[str], digests: bool) -> DataFrame:
     return rows
 
 
-def spec_of(level: int, n_added: Column, n_removed: Column) -> Column:
-    """Level 0 has a fingerprint's size; above, a subtable has a power of two of cells with room even if nothing is shared, doubled from level to level."""
-    if level == 0:
-        return F.lit(CELLS.bit_length() - 1)
-    return (32 * level + F.ceil(F.log2((n_added + n_removed) * 0.5 + 4)) + level - 1).cast("int")
+def spec_of(level: int) -> int:
+    """Level 0 has a fingerprint's size; each next one has GROWTH_BITS more bits of cells."""
+    return 32 * level + CELLS.bit_length() - 1 + GROWTH_BITS * level
 
 
-def differences(pairs: DataFrame, by: list[str], digests: bool = True, levels: int = 12) -> DataFrame:
+def room(level: int) -> int:
+    """Cells of a sketch of this level: no more digests than these can be recovered from it."""
+    return TABLES * CELLS << GROWTH_BITS * level
+
+
+def differences(pairs: DataFrame, by: list[str], digests: bool = True, levels: int = 10) -> DataFrame:
     """What peeling recovers from pairs of digest arrays `a` and `b`, named by the columns `by`.
 
     (*by, level, added, removed): `added` are the digests in b but not in a, `removed` those in a but
     not in b, sorted arrays, or with digests=False how many there are. `level` is the sketch size that
-    sufficed: 0 is a fingerprint's, each next one is larger and hashes anew. Pairs that don't peel are tried
-    again at the next level, which has room for all of them and doubles from then on, with a checkpoint
-    between levels; of a pair that still fails after the last one (not seen) the arrays themselves are
-    compared, at level -1. Pairs of the same name are one, given once. Null arrays are empty. If
+    sufficed: 0 is a fingerprint's, each next one is larger and hashes anew. A sketch's size depends on the
+    level alone, so what is exchanged follows how much differs, not how long the texts are. Pairs that don't peel are
+    tried again at the next level, with a checkpoint between levels; a level is left out for pairs whose sizes
+    differ by more than its cells. Of a pair that still fails after the last level (a million digests
+    differ) the arrays themselves are compared, at level -1. Pairs of the same name are one, given once. Null arrays are empty. If
     rows are laid out by some of the columns `by`, they aren't shuffled again.
     """
     empty = F.array().cast("array<long>")
     pairs = pairs.select(*by, F.coalesce("a", empty).alias("a"), F.coalesce("b", empty).alias("b"))
-    found, pending = None, pairs
+    excess = F.abs(F.size("a") - F.size("b"))
+    found, pending = None, pairs.where(excess <= room(0))
     for level in range(levels):
-        rows = pending.select(*by, "a", "b", spec_of(level, F.size("a"), F.size("b")).alias("spec"))
+        rows = pending.select(*by, "a", "b", F.lit(spec_of(level)).alias("spec"))
         peeled = peel(sketch(rows, by, "b", "a"), by, digests)
         left = F.count_if((F.col("cell") >= 0) & ((F.col("n") != 0) | (F.col("key") != 0)))
         if digests:
@@ -128,10 +135,12 @@ def differences(pairs: DataFrame, by: list[str], digests: bool = True, levels: i
         done = checkpoint(result.groupBy(*by).agg(F.min_by(good, F.when(F.col("left") == 0, F.col("spec"))).alias("r")))
         solved = done.where("r is not null").select(*by, "r.*")
         found = solved if found is None else found.unionByName(solved)
-        failing = done.where("r is null").select(*by)
-        if failing.isEmpty():
+        failing, later = done.where("r is null").select(*by), excess > room(level)
+        if failing.isEmpty() and pairs.where(later).isEmpty():
             return found
-        pending = pairs.join(small_side(failing), by, "left_semi")
+        if level + 1 < levels:
+            later = later & (excess <= room(level + 1))
+        pending = pairs.join(small_side(failing.unionByName(pairs.where(later).select(*by))), by, "left_semi")
     only = lambda x, y: F.sort_array(F.array_except(x, y)) if digests else F.size(F.array_except(x, y)).cast("long")
     return found.unionByName(pending.select(*by, F.lit(-1).alias("level"), only("b", "a").alias("added"), only("a", "b").alias("removed")))
 
@@ -214,7 +223,7 @@ def compare_edits(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", p
     by = [*place, "side"]
     apart = differences(rows.select(*place, "a", sides("b", "c").alias("k")).select(*place, "k.side", "a", "k.b"), by, digests=False)
     apart = wide(apart, dict.fromkeys(("d_edited", "d_next"), F.col("added") + F.col("removed")))
-    single = rows.select(*place, sides("a", "b").alias("k")).select(*place, "k.side", "k.b", spec_of(0, F.lit(0), F.lit(0)).alias("spec"))
+    single = rows.select(*place, sides("a", "b").alias("k")).select(*place, "k.side", "k.b", F.lit(spec_of(0)).alias("spec"))
     # Each paragraph is in one cell of each subtable, so the first subtable's counts add up to the number of paragraphs.
     size = F.coalesce(F.sum(F.when(F.col("cell").between(0, CELLS - 1), F.col("n"))), F.lit(0))
     prints = wide(as_text(sketch(single, by, "b", None), by, size), dict.fromkeys(("fingerprint", "edited_fingerprint"), F.col("fingerprint")))
