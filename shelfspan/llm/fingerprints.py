@@ -4,7 +4,8 @@ A sketch has three subtables of cells. Each paragraph's digest is added to one c
 cell's count goes up by one and its key is XORed with the digest. Sketches of two versions subtract cell by
 cell, which cancels what they share. A cell that is left with a count of 1 or -1 holds one digest; taking it
 out of its two other cells frees more (peeling), until nothing is left and the differing digests are known.
-If something is left, the sketch was too small, and a larger one is tried.
+If something is left, the sketch was too small; its counts tell about how much differs, and so the size of the
+larger one that is tried.
 
 Peeling goes through the subtables in turn, so no digest is taken out twice in one step, and every step is
 an aggregation by cell. Rows are laid out by `bucket` once; all steps stay within that layout and don't
@@ -23,7 +24,7 @@ PARAGRAPH = r"[^\n]{1,64}[^\n.!?]{0,64}[.!?]*"
 TABLES = 3
 #: Cells of a fingerprint's subtable.
 CELLS = 8
-#: A pair that doesn't peel is tried again with 4 times as many cells: each retry costs a round of jobs, so there are fewer than with twice as many.
+#: Each level has 4 times as many cells as the one before.
 GROWTH_BITS = 2
 #: Peeling steps; each takes digests out of one subtable.
 STEPS = 12
@@ -95,14 +96,25 @@ def peel(cells: DataFrame, by: list[str], digests: bool) -> DataFrame:
     return rows
 
 
-def spec_of(level: int) -> int:
+def spec_of(level: int | Column) -> int | Column:
     """Level 0 has a fingerprint's size; each next one has GROWTH_BITS more bits of cells."""
-    return 32 * level + CELLS.bit_length() - 1 + GROWTH_BITS * level
+    return level * (32 + GROWTH_BITS) + CELLS.bit_length() - 1
 
 
-def room(level: int) -> int:
-    """Cells of a sketch of this level: no more digests than these can be recovered from it."""
-    return TABLES * CELLS << GROWTH_BITS * level
+def level_for(differing: Column, levels: int) -> Column:
+    """The first level with two cells for each differing digest, `levels` if none has."""
+    bits = F.log2(2 * differing / (TABLES * CELLS))
+    return F.least(F.greatest(F.lit(0), F.ceil(bits / GROWTH_BITS)), F.lit(levels)).cast("int")
+
+
+def differing(taken: Column, squares: Column, tilt: Column, spec: Column) -> Column:
+    """About how many digests differ, from a sketch that didn't peel: those taken out, and of what is left the squared counts.
+
+    In a subtable of m cells, d digests of which e more are added than removed have squared counts of
+    d + (e * e - d) / m in the mean. `squares` and `tilt` are the sums of squared counts and of counts over all subtables.
+    """
+    m, e = cells_of(spec), tilt / TABLES
+    return taken + F.greatest(F.abs(e), (squares / TABLES - e * e / m) * m / (m - 1))
 
 
 def differences(pairs: DataFrame, by: list[str], digests: bool = True, levels: int = 10) -> DataFrame:
@@ -110,39 +122,47 @@ def differences(pairs: DataFrame, by: list[str], digests: bool = True, levels: i
 
     (*by, level, added, removed): `added` are the digests in b but not in a, `removed` those in a but
     not in b, sorted arrays, or with digests=False how many there are. `level` is the sketch size that
-    sufficed: 0 is a fingerprint's, each next one is larger and hashes anew. A sketch's size depends on the
-    level alone, so what is exchanged follows how much differs, not how long the texts are. Pairs that don't peel are
-    tried again at the next level, with a checkpoint between levels; a level is left out for pairs whose sizes
-    differ by more than its cells. Of a pair that still fails after the last level (a million digests
+    sufficed: 0 is a fingerprint's, each next one is larger and hashes anew. A pair begins at the level that its sizes'
+    difference asks for; what is left of a sketch that doesn't peel tells about how much differs, and the pair is tried
+    again at the level for that, a larger one in any case. So what is exchanged follows how much differs, not how long
+    the texts are, and unrelated texts need two or three rounds, not one for each level. There is a checkpoint after each round. Of a
+    pair that no level suffices for (a million digests
     differ) the arrays themselves are compared, at level -1. Pairs of the same name are one, given once. Null arrays are empty. If
     rows are laid out by some of the columns `by`, they aren't shuffled again.
     """
     empty = F.array().cast("array<long>")
     pairs = pairs.select(*by, F.coalesce("a", empty).alias("a"), F.coalesce("b", empty).alias("b"))
-    excess = F.abs(F.size("a") - F.size("b"))
-    found, pending = None, pairs.where(excess <= room(0))
-    for level in range(levels):
-        rows = pending.select(*by, "a", "b", F.lit(spec_of(level)).alias("spec"))
+    pending = pairs.withColumn("level", level_for(F.abs(F.size("a") - F.size("b")), levels))
+    found, beyond = None, None
+    for _ in range(levels):
+        # A pair beyond all levels has an empty sketch of no size: it is named with those that fail, without another pass over all pairs.
+        fits = F.col("level") < levels
+        rows = pending.select(*by, *(F.when(fits, F.col(c)).otherwise(empty).alias(c) for c in ("a", "b")), F.when(fits, spec_of(F.col("level"))).otherwise(-1).alias("spec"))
         peeled = peel(sketch(rows, by, "b", "a"), by, digests)
-        left = F.count_if((F.col("cell") >= 0) & ((F.col("n") != 0) | (F.col("key") != 0)))
+        here = F.col("cell") >= 0
+        left = F.count_if(here & ((F.col("n") != 0) | (F.col("key") != 0)))
         if digests:
             took = [F.sort_array(F.collect_list(F.when((F.col("cell") == -1) & (F.col("n") == sign), F.col("digest")))) for sign in (1, -1)]
         else:
             took = [F.sum(F.when(F.col("cell") == c, F.abs("n")).otherwise(0)) for c in (-1, -3)]
         odd = F.count_if((F.col("cell") == -1) & (F.abs("n") > 1)) if digests else F.lit(0)
-        result = peeled.groupBy(*by, "spec").agg((left + odd).alias("left"), took[0].alias("added"), took[1].alias("removed"))
-        good = F.when(F.col("left") == 0, F.struct((F.col("spec") / 32).cast("int").alias("level"), "added", "removed"))
-        done = checkpoint(result.groupBy(*by).agg(F.min_by(good, F.when(F.col("left") == 0, F.col("spec"))).alias("r")))
-        solved = done.where("r is not null").select(*by, "r.*")
-        found = solved if found is None else found.unionByName(solved)
-        failing, later = done.where("r is null").select(*by), excess > room(level)
-        if failing.isEmpty() and pairs.where(later).isEmpty():
-            return found
-        if level + 1 < levels:
-            later = later & (excess <= room(level + 1))
-        pending = pairs.join(small_side(failing.unionByName(pairs.where(later).select(*by))), by, "left_semi")
+        sums = [F.sum(F.when(w, v).otherwise(0)) for w, v in ((F.col("cell").isin(-1, -3), F.abs("n")), (here, F.col("n") * F.col("n")), (here, F.col("n")))]
+        result = peeled.groupBy(*by, "spec").agg((left + odd).alias("left"), took[0].alias("added"), took[1].alias("removed"), *(x.alias(c) for x, c in zip(sums, ("taken", "squares", "tilt"), strict=True)))
+        level = (F.col("spec") / 32).cast("int")
+        good = F.when((F.col("left") == 0) & (F.col("spec") >= 0), F.struct(level.alias("level"), "added", "removed"))
+        larger = F.when(F.col("spec") < 0, levels).otherwise(F.greatest(level + 1, level_for(differing(*map(F.col, ("taken", "squares", "tilt", "spec"))), levels)))
+        done = checkpoint(result.select(*by, good.alias("r"), larger.alias("larger")))
+        solved, failing = done.where("r is not null").select(*by, "r.*"), done.where("r is null")
+        again, never = failing.where(F.col("larger") < levels).select(*by, F.col("larger").alias("level")), failing.where(F.col("larger") >= levels).select(*by)
+        found, beyond = (solved, never) if found is None else (found.unionByName(solved), beyond.unionByName(never))
+        if again.isEmpty():
+            break
+        pending = pairs.join(small_side(again), by)
+    if beyond.isEmpty():
+        return found
+    rest = pairs.join(small_side(beyond), by, "left_semi")
     only = lambda x, y: F.sort_array(F.array_except(x, y)) if digests else F.size(F.array_except(x, y)).cast("long")
-    return found.unionByName(pending.select(*by, F.lit(-1).alias("level"), only("b", "a").alias("added"), only("a", "b").alias("removed")))
+    return found.unionByName(rest.select(*by, F.lit(-1).alias("level"), only("b", "a").alias("added"), only("a", "b").alias("removed")))
 
 
 def likeness(a: Column, b: Column, differing: Column) -> Column:

@@ -257,3 +257,18 @@ def test_sketches_follow_the_difference(spark):
     assert {k: v[1:] for k, v in got.items()} == {1: (0, 1), 8: (0, 8), 60: (0, 60), 400: (0, 400), 5000: (2000, 2000)}
     levels = [got[k][0] for k in (1, 8, 60, 400, 5000)]
     assert levels == sorted(levels) and levels[0] == 0 and levels[2] <= 2 < levels[4]
+
+
+def test_rounds_of_unrelated_texts(spark, monkeypatch):
+    """What is left of a sketch tells the size of the next one, so texts of any size need few rounds; pairs beyond all levels are compared too."""
+    rounds = []
+    monkeypatch.setattr(fingerprints, "checkpoint", lambda df, real=fingerprints.checkpoint: rounds.append(1) or real(df))
+    text = lambda lo, hi: "\n".join(f"line number {k}" for k in range(lo, hi))
+    rows = [(k, text(0, k), text(k, 2 * k + k // 8)) for k in (5, 30, 200, 1500, 3000)] + [(1, text(0, 9), text(0, 9)), (0, None, text(0, 4000))]
+    df = spark.createDataFrame(rows, "pair long, x string, y string").select("pair", fingerprints.digests(F.col("x")).alias("a"), fingerprints.digests(F.col("y")).alias("b"))
+    want = {k: (k + k // 8, k) for k in (5, 30, 200, 1500, 3000)} | {1: (0, 0), 0: (4000, 0)}
+    got = {r.pair: (r.added, r.removed) for r in fingerprints.differences(df, ["pair"], digests=False).collect()}
+    assert got == want and len(rounds) <= 3
+    few = {r.pair: r for r in fingerprints.differences(df, ["pair"], digests=False, levels=3).collect()}
+    assert {k: (r.added, r.removed) for k, r in few.items()} == want
+    assert [few[k].level for k in (0, 1, 1500, 3000)] == [-1, 0, -1, -1]
