@@ -37,3 +37,11 @@ def test_mean_confidence_is_exact(spark):
         df = spark.createDataFrame(rows, "source_row_id long, pkey string, period_key string, panel_market string, market_ok boolean, sales double, confidence double")
         df = df.select("*", *(F.lit(None).cast(t).alias(c) for c, t in {"units": "double", "volume": "double", "description": "string", "upc": "string", "brand": "string", "category": "string", "pmatch": "string"}.items()), *(F.lit(True).alias(c) for c in ("kpi_slice", "market_caveat", "anywhere", "known", "known_period")))
         assert coverage.client_groups(df.coalesce(1)).first()["confidence"] == 0.875
+
+
+def test_growing_tables_are_not_sent_to_all_tasks(spark):
+    rows = spark.createDataFrame([("1", "a", "b", 0)], "upc_key string, description string, brand_norm string, source_row_id long")
+    products = rows.select("*", F.lit("1").alias("pkey"), F.lit("upc").alias("pmatch"), F.lit("b").alias("brand"), F.array(F.lit("2000-01")).alias("periods"))
+    plans = [coverage._keyed_rows(rows.withColumn("period_key", F.lit("2000-01")), products), coverage._met(rows, "upc_key", "source_row_id", rows.select("upc_key", F.lit(True).alias("known")))]
+    assert all(df._jdf.queryExecution().sparkPlan().toString().count("SortMergeJoin") == 1 for df in plans)
+    assert plans[0].first()["known_period"] and plans[1].first()["known"]
